@@ -1,8 +1,5 @@
 """Registered queries of the panel operators."""
 
-QUERIES = {}
-SQL = {}
-
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from panelia.plans import accounting, audit, cross, inference, joins, labels, models, scans, streams, windows  # noqa: F401
+from panelia.plans.accounting import flagship  # noqa: F401
+from panelia.plans.registry import QUERIES, SQL  # noqa: F401
