@@ -20,7 +20,7 @@ def first_touch(bars: DataFrame, n: int, stop: float, target: float, cost: float
         up, down = F.col("close") * (1 + (target if side > 0 else stop)), F.col("close") * (1 - (stop if side > 0 else target))
         lost = lambda b: b["low"] <= down if side > 0 else b["high"] >= up
         won = lambda b: b["high"] >= up if side > 0 else b["low"] <= down
-        hit = F.filter("_path", lambda b: lost(b) | won(b))[0]
+        hit = F.get(F.filter("_path", lambda b: lost(b) | won(b)), F.lit(0))
         drift = side * (F.element_at("_path", -1)["close"] / F.col("close") - 1)
         gross = F.when(hit.isNull(), drift).when(lost(hit), -stop).otherwise(target)
         end = F.coalesce(hit["day"], F.element_at("_path", -1)["day"])

@@ -66,41 +66,41 @@ def flagship(spark, d):
 query("e1_e3_e8_carry_record", T.with_sql(NAMES, WEEK + RECORD.format(t="live")))(flagship)
 
 
-@query("x1_x8_tail_weights", T.with_sql(NAMES, WEEK + "SELECT symbol, day::VARCHAR AS day, round(signal, 8) AS signal, round(rk, 8) AS rank, round(target, 8) AS target, round(weight, 8) AS weight FROM panel"))
+@query("x1_x8_tail_weights", T.with_sql(NAMES, WEEK + "SELECT symbol, day::VARCHAR AS day, round(signal, 11) AS signal, round(rk, 11) AS rank, round(target, 11) AS target, round(weight, 11) AS weight FROM panel"))
 def tail_weights(spark, d):
     """Average-tie ranks and lagged tail weights on the full calendar."""
-    return week_weights(spark, d).select("symbol", F.col("day").cast("string").alias("day"), *[F.round(c, 8).alias(c) for c in ("signal", "rank", "target", "weight")])
+    return week_weights(spark, d).select("symbol", F.col("day").cast("string").alias("day"), *[F.round(c, 11).alias(c) for c in ("signal", "rank", "target", "weight")])
 
 
-@query("e3_period_accounting", T.with_sql(NAMES, WEEK + "SELECT day::VARCHAR AS day, round(price, 8) AS price, round(funding, 8) AS funding, round(turnover, 8) AS turnover, round(gross, 8) AS gross, round(cost, 8) AS cost, round(net, 8) AS net FROM live"))
+@query("e3_period_accounting", T.with_sql(NAMES, WEEK + "SELECT day::VARCHAR AS day, round(price, 11) AS price, round(funding, 11) AS funding, round(turnover, 11) AS turnover, round(gross, 11) AS gross, round(cost, 11) AS cost, round(net, 11) AS net FROM live"))
 def period_accounting(spark, d):
-    return A.trimmed(week_daily(spark, d)).select(F.col("day").cast("string").alias("day"), *[F.round(c, 8).alias(c) for c in ("price", "funding", "turnover", "gross", "cost", "net")])
+    return A.trimmed(week_daily(spark, d)).select(F.col("day").cast("string").alias("day"), *[F.round(c, 11).alias(c) for c in ("price", "funding", "turnover", "gross", "cost", "net")])
 
 
 @query("e4_final_liquidation", T.with_sql(NAMES, WEEK + """
 , z AS (SELECT *, CASE WHEN day = max(day) OVER () THEN gross ELSE 0 END AS final FROM live)
-SELECT count(*) AS n, round(sum(turnover + final), 8) AS turnover, round(sum(cost + final * 0.001), 8) AS cost, round(sum(net - final * 0.001), 8) AS net FROM z"""))
+SELECT count(*) AS n, round(sum(turnover + final), 11) AS turnover, round(sum(cost + final * 0.001), 11) AS cost, round(sum(net - final * 0.001), 11) AS net FROM z"""))
 def final_liquidation(spark, d):
     """The book is closed at the end and pays for it."""
     z = A.with_liquidation(A.trimmed(week_daily(spark, d)))
-    return z.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 8).alias(c) for c in ("turnover", "cost", "net")])
+    return z.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 11).alias(c) for c in ("turnover", "cost", "net")])
 
 
 @query("e7_legs", T.with_sql(NAMES, WEEK + """
 , sd AS (SELECT *, CASE WHEN w <> 0 THEN sign(w) ELSE sign(w0) END AS side FROM moves)
-SELECT side::BIGINT AS side, round(sum(w * coalesce(ret, 0)), 8) AS price, round(-sum(w * coalesce(cash, 0)), 8) AS funding, round(sum(abs(w - w0)) * 0.001, 8) AS cost FROM sd WHERE side <> 0 GROUP BY 1"""))
+SELECT side::BIGINT AS side, round(sum(w * coalesce(ret, 0)), 11) AS price, round(-sum(w * coalesce(cash, 0)), 11) AS funding, round(sum(abs(w - w0)) * 0.001, 11) AS cost FROM sd WHERE side <> 0 GROUP BY 1"""))
 def legs(spark, d):
-    return A.legs(week_weights(spark, d), COST).select(F.col("side").cast("bigint").alias("side"), *[F.round(c, 8).alias(c) for c in ("price", "funding", "cost")])
+    return A.legs(week_weights(spark, d), COST).select(F.col("side").cast("bigint").alias("side"), *[F.round(c, 11).alias(c) for c in ("price", "funding", "cost")])
 
 
 @query("e9_book_booking", T.with_sql(NAMES, WEEK + """
 , o AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY symbol ORDER BY day), 0) AS old FROM panel)
 , b AS (SELECT day, sum(old * coalesce(ret, 0)) AS price, -sum(coalesce(cash, 0) * (old / 3 + weight * 2 / 3)) AS funding, sum(abs(weight - old)) * 0.001 AS cost FROM o GROUP BY day)
-SELECT day::VARCHAR AS day, round(price, 8) AS price, round(funding, 8) AS funding, round(cost, 8) AS cost, round(price + funding - cost, 8) AS pnl, round(product(1 + price + funding - cost) OVER (ORDER BY day), 8) AS equity FROM b"""))
+SELECT day::VARCHAR AS day, round(price, 11) AS price, round(funding, 11) AS funding, round(cost, 11) AS cost, round(price + funding - cost, 11) AS pnl, round(product(1 + price + funding - cost) OVER (ORDER BY day), 11) AS equity FROM b"""))
 def book_booking(spark, d):
     """Open-to-open booking with the cash flow split between old and new weights."""
     b = A.split_booking(week_weights(spark, d), COST)
-    return b.select(F.col("day").cast("string").alias("day"), *[F.round(c, 8).alias(c) for c in ("price", "funding", "cost", "pnl", "equity")])
+    return b.select(F.col("day").cast("string").alias("day"), *[F.round(c, 11).alias(c) for c in ("price", "funding", "cost", "pnl", "equity")])
 
 
 @query("e10_e11_catch_up", T.with_sql(NAMES, WEEK + """
@@ -119,7 +119,7 @@ def catch_up(spark, d):
 
 
 @query("e12_attribution", T.with_sql(NAMES, WEEK + """
-SELECT symbol, round(sum(w * coalesce(ret, 0)), 8) AS price, round(-sum(w * coalesce(cash, 0)), 8) AS funding, round(sum(abs(w - w0)) * 0.001, 8) AS cost,
+SELECT symbol, round(sum(w * coalesce(ret, 0)), 11) AS price, round(-sum(w * coalesce(cash, 0)), 11) AS funding, round(sum(abs(w - w0)) * 0.001, 11) AS cost,
  abs((SELECT sum(net) FROM net) - sum(sum(w * coalesce(ret, 0)) - sum(w * coalesce(cash, 0)) - sum(abs(w - w0)) * 0.001) OVER ()) <= 1e-5 AS readds FROM moves GROUP BY symbol"""))
 def attribution(spark, d):
     """Price, cash and cost by entity, which must add up to the ledger."""
@@ -132,25 +132,25 @@ def attribution(spark, d):
     total = A.account(p, COST).agg(F.sum("net").alias("_total"))
     mine = each.agg(F.sum(F.col("price") + F.col("funding") - F.col("cost")).alias("_mine"))
     return each.join(F.broadcast(total)).join(F.broadcast(mine)).select(
-        "symbol", *[F.round(c, 8).alias(c) for c in ("price", "funding", "cost")], (F.abs(F.col("_total") - F.col("_mine")) <= 1e-5).alias("readds"))
+        "symbol", *[F.round(c, 11).alias(c) for c in ("price", "funding", "cost")], (F.abs(F.col("_total") - F.col("_mine")) <= 1e-5).alias("readds"))
 
 
 @query("e19_exclusion", T.with_sql(NAMES, WEEK + """
 , x AS (SELECT u, day, symbol, w, ret, cash FROM masked, (VALUES ('all'), ('without')) t(u) WHERE u = 'all' OR symbol % 5 <> 0)
 , xm AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY u, symbol ORDER BY day), 0) AS w0 FROM x)
 , xd AS (SELECT u, day, sum(w * coalesce(ret, 0)) - sum(w * coalesce(cash, 0)) - sum(abs(w - w0)) * 0.001 AS net FROM xm GROUP BY u, day)
-SELECT u AS universe, count(*) AS n, round(avg(net), 8) AS mean_net, round(stddev_samp(net), 8) AS sd_net FROM xd GROUP BY u"""))
+SELECT u AS universe, count(*) AS n, round(avg(net), 11) AS mean_net, round(stddev_samp(net), 11) AS sd_net FROM xd GROUP BY u"""))
 def exclusion(spark, d):
     """The same evaluation without a subset of the keys; the universe is a group key."""
     p = week_weights(spark, d)
     tags = F.when(F.col("symbol") % 5 != 0, F.array(F.lit("all"), F.lit("without"))).otherwise(F.array(F.lit("all")))
     daily = A.account(p.withColumn("universe", F.explode(tags)), COST, by=["universe"])
-    return daily.groupBy("universe").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("net"), 8).alias("mean_net"), F.round(F.stddev_samp("net"), 8).alias("sd_net"))
+    return daily.groupBy("universe").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("net"), 11).alias("mean_net"), F.round(F.stddev_samp("net"), 11).alias("sd_net"))
 
 
 @query("e20_signal_health", T.with_sql(NAMES, WEEK + """
 , t AS (SELECT day, net, row_number() OVER (ORDER BY day DESC) AS r FROM live), m AS (SELECT day, median(signal) AS level FROM rets GROUP BY day)
-SELECT count(*) AS n, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(52), 6) AS sharpe, round(avg(level), 8) AS mean_level, coalesce(avg(net) < 0 OR avg(level) < 0, false) AS alert FROM t JOIN m USING (day) WHERE r <= 60"""))
+SELECT count(*) AS n, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(52), 6) AS sharpe, round(avg(level), 11) AS mean_level, coalesce(avg(net) < 0 OR avg(level) < 0, false) AS alert FROM t JOIN m USING (day) WHERE r <= 60"""))
 def signal_health(spark, d):
     """Trailing-window Sharpe and signal level with an alert rule."""
     from pyspark.sql.window import Window
@@ -161,7 +161,7 @@ def signal_health(spark, d):
     net = F.col("net")
     return daily.join(level, "day").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(net) / F.nullif(F.stddev_samp(net), F.lit(0.0)) * PERIODS**0.5, 6).alias("sharpe"),
-        F.round(F.avg("level"), 8).alias("mean_level"), F.coalesce((F.avg(net) < 0) | (F.avg("level") < 0), F.lit(False)).alias("alert"))
+        F.round(F.avg("level"), 11).alias("mean_level"), F.coalesce((F.avg(net) < 0) | (F.avg("level") < 0), F.lit(False)).alias("alert"))
 
 
 _TWO = """, a AS (SELECT symbol, day, close, lead(close) OVER (PARTITION BY symbol ORDER BY day) / close - 1 AS ra FROM (SELECT symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS day, round(20000 + avg(l_extendedprice / l_quantity), 6) AS close FROM wl WHERE l_linestatus = 'F' GROUP BY ALL))
@@ -171,21 +171,21 @@ _TWO = """, a AS (SELECT symbol, day, close, lead(close) OVER (PARTITION BY symb
 
 
 @query("e2_e5_e6_two_legs", T.with_sql("wl", _TWO + """
-SELECT day::VARCHAR AS day, count(*) AS n, round(avg(sign(basis) * (rb - ra)), 8) AS price, round(sum(abs(basis)) / 1e6, 8) AS level FROM ab WHERE ra IS NOT NULL AND rb IS NOT NULL GROUP BY day"""))
+SELECT day::VARCHAR AS day, count(*) AS n, round(avg(sign(basis) * (rb - ra)), 11) AS price, round(sum(abs(basis)) / 1e6, 11) AS level FROM ab WHERE ra IS NOT NULL AND rb IS NOT NULL GROUP BY day"""))
 def two_legs(spark, d):
     """Both legs must trade; the book earns the closing of the spread."""
     w = S.over()
     a, b = (T.bars_week(spark, d, f"l_linestatus = '{s}'").select("symbol", "day", F.col("close").alias(n), (F.lead("close").over(w) / F.col("close") - 1).alias(f"r{n}")) for s, n in (("F", "a"), ("O", "b")))
     ab = a.join(b, ["symbol", "day"]).filter("ra IS NOT NULL AND rb IS NOT NULL").withColumn("basis", F.col("a") - F.col("b"))
     return ab.groupBy(F.col("day").cast("string").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.signum("basis") * (F.col("rb") - F.col("ra"))), 8).alias("price"), F.round(F.sum(F.abs("basis")) / 1e6, 8).alias("level"))
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.signum("basis") * (F.col("rb") - F.col("ra"))), 11).alias("price"), F.round(F.sum(F.abs("basis")) / 1e6, 11).alias("level"))
 
 
 @query("e15_e18_rebalance", T.with_sql("fill", """
 , held AS (SELECT part, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS held, avg(price) AS price FROM fill WHERE run < DATE '1998-01-01' GROUP BY part)
 , want AS (SELECT part, 1.0 / count(*) OVER () AS weight, avg_price FROM (SELECT part, avg(price) AS avg_price FROM fill WHERE run >= DATE '2001-01-01' GROUP BY part))
 , j AS (SELECT part, coalesce(held, 0) AS held, coalesce(floor(round(1e6 * weight / avg_price, 6) / 0.5) * 0.5, 0) AS wanted, coalesce(avg_price, price) AS price FROM held FULL JOIN want USING (part))
-SELECT part, round(wanted - held, 6) AS delta, abs(wanted - held) * price < 5 AS too_small, ceil(abs(wanted - held) / 100)::BIGINT AS chunks, round(greatest(0.5, ceil(round(5 / price / 0.5, 6)) * 0.5) * price, 4) AS least_budget FROM j"""))
+SELECT part, round(wanted - held, 6) AS delta, abs(wanted - held) * price < 5 AS too_small, ceil(abs(wanted - held) / 100)::BIGINT AS chunks, round(greatest(0.5, ceil(round(5 / price / 0.5, 6)) * 0.5) * price, 7) AS least_budget FROM j"""))
 def rebalance(spark, d):
     """Target against held quantities, steps, minimum sizes, chunks, least budget."""
     f = T.fills(spark, d)
@@ -198,4 +198,4 @@ def rebalance(spark, d):
     delta, p = F.col("wanted") - F.col("held"), F.col("price")
     return j.select(
         "part", F.round(delta, 6).alias("delta"), (F.abs(delta) * p < 5).alias("too_small"), F.ceil(F.abs(delta) / 100).cast("bigint").alias("chunks"),
-        F.round(F.greatest(F.lit(0.5), F.ceil(F.round(5 / p / 0.5, 6)) * 0.5) * p, 4).alias("least_budget"))
+        F.round(F.greatest(F.lit(0.5), F.ceil(F.round(5 / p / 0.5, 6)) * 0.5) * p, 7).alias("least_budget"))

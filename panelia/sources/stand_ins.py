@@ -75,7 +75,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"), F.to_date("o_orderdate").alias("run"), F.col("o_orderstatus").alias("status"))
     li = load(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 6).alias("price"), F.round(F.col("l_extendedprice") * F.col("l_tax"), 6).alias("fee"),
+        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 9).alias("price"), F.round(F.col("l_extendedprice") * F.col("l_tax"), 6).alias("fee"),
         F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), (F.col("l_linestatus") == "O").alias("maker"),
     )
     p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("reference"))
@@ -99,7 +99,7 @@ SQL = {
     "decision": """decision AS (SELECT event_id, ts, day, symbol, event_type, k,
   CASE WHEN event_type IN ('click','purchase','view') THEN 'LONG' ELSE 'SHORT' END AS side, 'R' || (k % 2) AS regime,
   (k % 100) / 100::DOUBLE AS proba, CASE WHEN event_id % 7 <> 0 THEN round((value - 50) / 1e3, 8) END AS pnl FROM ev)""",
-    "fill": """fill AS (SELECT l_orderkey AS order_id, l_partkey AS part, l_quantity AS qty, round(l_extendedprice / l_quantity, 6) AS price,
+    "fill": """fill AS (SELECT l_orderkey AS order_id, l_partkey AS part, l_quantity AS qty, round(l_extendedprice / l_quantity, 9) AS price,
   round(l_extendedprice * l_tax, 6) AS fee, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side, l_linestatus = 'O' AS maker,
   CAST(o_orderdate AS DATE) AS run, o_orderstatus AS status, p_retailprice AS reference
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)""",
