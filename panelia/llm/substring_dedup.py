@@ -106,12 +106,14 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, start, end, n_words, first_doc_id, redundant: passages that stand in other texts too.
 
-    A span is a run of whole chunks that each stand in two documents or more, with ``run_words``
-    words or more; start and end are bytes. first_doc_id is the smallest doc_id that holds one of
-    its chunks; redundant spans have only chunks of which a document with a smaller doc_id holds
-    a copy, so that dropping them leaves one copy of everything. Null and empty texts have no
-    spans and rows with a null doc_id are not searched; repeated rows count once; an empty table
-    gives an empty one; other columns are ignored.
+    A passage is a run of whole chunks that each stand in two documents or more, with
+    ``run_words`` words or more. It is given as one or more spans (start and end in bytes):
+    redundant ones have only chunks of which a document with a smaller doc_id holds a copy, the
+    others only chunks of which this document holds the first copy, so that dropping the
+    redundant spans leaves one copy of everything. first_doc_id is the smallest doc_id that holds
+    a chunk of the span. Null and empty texts have no spans and rows with a null doc_id are not
+    searched; repeated rows count once; an empty table gives an empty one; other columns are
+    ignored.
 
     Digests are combined before their shuffle, so a chunk that stands in a third of all rows
     arrives as one row a task; in the join back, adaptive execution splits such digests. Chunks
@@ -129,20 +131,30 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     in_text = Window.partitionBy("doc_id").orderBy("start")
     gap = F.col("start") != F.lag(F.col("start") + F.col("size"), 1, -1).over(in_text)
     again = F.col("start") == F.lag("start", 1, -1).over(in_text)
-    return (
+    earlier = F.col("first") < F.col("doc_id")
+    turn = F.col("gap") | (earlier != F.lag(earlier, 1, False).over(in_text))
+    runs = (
         found.withColumns({"gap": gap, "again": again})
         .filter(~F.col("again"))
-        .withColumn("run", F.sum(F.col("gap").cast("int")).over(in_text))
-        .groupBy("doc_id", "run")
+        .withColumns(
+            {
+                "run": F.sum(F.col("gap").cast("int")).over(in_text),
+                "part": F.sum(turn.cast("int")).over(in_text),
+            }
+        )
+        .withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run")))
+        .filter(F.col("run_words") >= run_words)
+    )
+    return (
+        runs.groupBy("doc_id", "part")
         .agg(
             F.min("start").cast("long").alias("start"),
             F.max(F.col("start") + F.col("size")).cast("long").alias("end"),
             F.sum("words").alias("n_words"),
             F.min("first").alias("first_doc_id"),
-            F.every(F.col("first") < F.col("doc_id")).alias("redundant"),
+            F.every(earlier).alias("redundant"),
         )
-        .filter(F.col("n_words") >= run_words)
-        .drop("run")
+        .drop("part")
     )
 
 
@@ -154,7 +166,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def apart(text, spans):
         out = []
         for t, s in zip(text, spans):
-            raw, at, kept = t.encode(), 0, []
+            raw, at, kept = (t or "").encode(), 0, []  # Spark runs the function on every row
             for x in s:
                 kept.append(raw[at : x["start"]])
                 at = x["end"]
