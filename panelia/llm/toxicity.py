@@ -19,7 +19,7 @@ PATTERNS = [
     (frozenset(("shut", "hell", "drop")), re.compile(r"\bshut up\b|\bgo to hell\b|\bdrop dead\b")),
 ]
 #: Voters mined from the labelled rows: word beginnings that tell the classes apart.
-MINED = 32
+MINED = 44
 #: The classifier is fitted on at most so many labelled rows (those of least hash).
 SAMPLE = 20_000
 #: Word beginnings that the classifier may weigh.
@@ -119,77 +119,69 @@ def vote_masks(docs: DataFrame, voters: Voters) -> DataFrame:
     )
 
 
+def logit(p):
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
 class LabelModel:
-    """Two classes, voters with unknown accuracies: EM over the vote patterns of all documents.
+    """Two classes and voters of unknown accuracy, which vote for toxic or abstain.
 
-    Voters that fire together more often than the class explains share their weight: each
+    A vote moves the log odds by what its accuracy says beyond the prior; an abstention says
+    nothing, so that voters of one language do not speak against texts of another. Texts without
+    any vote have a probability of their own. Voters that fire together share their weight: each
     is divided by one plus its summed correlations with the others.
     """
 
-    def __init__(self, prior: float, fire1: np.ndarray, fire0: np.ndarray):
-        self.prior, self.fire1, self.fire0 = prior, fire1, fire0
-        self.share = np.ones(len(fire1))
+    def __init__(self, prior: float, accuracy: np.ndarray, none: float, share: np.ndarray | None = None):
+        self.prior, self.accuracy, self.none = prior, accuracy, none
+        self.share = np.ones(len(accuracy)) if share is None else share
 
-    def weights(self) -> tuple[float, np.ndarray]:
-        on = np.log(self.fire1 / self.fire0) * self.share
-        off = np.log((1 - self.fire1) / (1 - self.fire0)) * self.share
-        return float(math.log(self.prior / (1 - self.prior)) + off.sum()), on - off
+    def weights(self) -> list[float]:
+        return ((logit(self.accuracy) - logit(self.prior)) * self.share).tolist()
 
-    def posterior_column(self, mask: str = "mask") -> Column:
-        bias, weights = self.weights()
-        terms = " + ".join(f"(shiftright({mask}, {k}) & 1) * ({w:.12g}D)" for k, w in enumerate(weights))
-        return F.expr(f"1 / (1 + exp(-greatest(-30D, least(30D, {bias:.12g}D + {terms}))))")
+    def posterior_column(self) -> Column:
+        terms = " + ".join(f"(shiftright(mask, {k}) & 1) * ({w:.12g}D)" for k, w in enumerate(self.weights()))
+        return F.expr(f"1 / (1 + exp(-CASE WHEN mask = 0 THEN {logit(self.none):.12g}D ELSE {logit(self.prior):.12g}D + {terms} END))")
 
     def posterior(self, mask: int) -> float:
-        bias, weights = self.weights()
-        z = bias + sum(w for k, w in enumerate(weights) if mask >> k & 1)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-    def refined(self, masks: DataFrame) -> "LabelModel":
-        """One EM round over all documents; every sum is a distributed aggregate."""
-        r = masks.withColumn("p", self.posterior_column())
-        bits = [F.expr(f"sum(n * p * (shiftright(mask, {k}) & 1))").alias(f"a{k}") for k in range(len(self.fire1))]
-        bits += [F.expr(f"sum(n * (1 - p) * (shiftright(mask, {k}) & 1))").alias(f"b{k}") for k in range(len(self.fire1))]
-        s = r.agg(F.sum(F.col("n") * F.col("p")).alias("s1"), F.sum(F.col("n") * (1 - F.col("p"))).alias("s0"), *bits).first()
-        s1, s0 = s.s1 or 0.0, s.s0 or 0.0
-        j = range(len(self.fire1))
-        model = LabelModel(
-            clipped((s1 + 1) / (s1 + s0 + 10)),
-            clipped(np.array([(s[f"a{k}"] or 0.0) for k in j]) / (s1 + 2) + 1e-4),
-            clipped(np.array([(s[f"b{k}"] or 0.0) for k in j]) / (s0 + 2) + 1e-5),
-        )
-        model.share = self.share
-        return model
+        z = logit(self.prior) + sum(w for k, w in enumerate(self.weights()) if mask >> k & 1) if mask else logit(self.none)
+        return float(1 / (1 + np.exp(-z)))
+
+    def refined(self, masks: DataFrame, toxic: np.ndarray, fired: np.ndarray) -> "LabelModel":
+        """One EM round: accuracies from the posteriors of all documents, with the labelled rows
+        (toxic and all rows on which each voter fired) as counts known beforehand."""
+        bit = lambda k: f"(shiftright(mask, {k}) & 1)"
+        j = range(len(self.accuracy))
+        sums = [F.expr(f"sum(n * p * {bit(k)})").alias(f"a{k}") for k in j] + [F.expr(f"sum(n * {bit(k)})").alias(f"n{k}") for k in j]
+        s = masks.withColumn("p", self.posterior_column()).agg(F.expr("sum(n * p) / sum(n)").alias("prior"), *sums).first()
+        got, all_ = (np.array([float(s[f"{x}{k}"] or 0) for k in j]) for x in "an")
+        accuracy = (got + toxic + 1) / (all_ + fired + 2)
+        return LabelModel(min(max(s.prior or self.prior, 1e-3), 0.5), accuracy, self.none, self.share)
 
     def correlated(self, masks: DataFrame) -> "LabelModel":
-        """Correlations inside the toxic class from a table of at most voters x voters rows."""
-        j = len(self.fire1)
-        fired = masks.withColumn("p", self.posterior_column()).withColumn(
-            "on", F.filter(F.sequence(F.lit(0), F.lit(j - 1)), lambda k: F.getbit(F.col("mask"), k) == 1)
-        )
+        """Correlations of the votes among toxic documents, from a table of at most voters x
+        voters rows."""
+        j = len(self.accuracy)
+        fired = masks.withColumns({"w": F.col("n") * self.posterior_column(), "on": F.filter(F.sequence(F.lit(0), F.lit(j - 1)), lambda k: F.getbit(F.col("mask"), k) == 1)})
+        total = float(fired.agg(F.sum("w")).first()[0] or 0) + 1e-9
         pairs = (
-            fired.select("n", "p", F.explode("on").alias("i"), "on")
-            .select("n", "p", "i", F.explode("on").alias("k"))
-            .filter("i < k")
+            fired.select("w", F.explode("on").alias("i"), "on")
+            .select("w", "i", F.explode("on").alias("k"))
+            .filter("i <= k")
             .groupBy("i", "k")
-            .agg(F.sum(F.col("n") * F.col("p")).alias("both"))
+            .agg(F.sum("w").alias("both"))
             .collect()
         )
-        s1 = (masks.select(F.sum(F.col("n") * self.posterior_column())).first()[0] or 0.0) + 1e-9
-        total = np.zeros(j)
-        for row in pairs:
-            a, b = self.fire1[row.i], self.fire1[row.k]
-            spread = math.sqrt(a * (1 - a) * b * (1 - b))
-            c = min(1.0, max(0.0, (row.both / s1 - a * b) / spread)) if spread else 0.0
-            total[row.i] += c
-            total[row.k] += c
-        model = LabelModel(self.prior, self.fire1, self.fire0)
-        model.share = 1 / (1 + total)
-        return model
-
-
-def clipped(x):
-    return np.clip(x, 1e-5, 1 - 1e-5) if isinstance(x, np.ndarray) else min(max(x, 1e-3), 0.5)
+        both = {(r.i, r.k): r.both / total for r in pairs}
+        summed = np.zeros(j)
+        for (i, k), x in both.items():
+            a, b = both[i, i], both[k, k]
+            spread = math.sqrt(a * (1 - a) * b * (1 - b)) if 0 < a < 1 and 0 < b < 1 else 0
+            c = min(1.0, max(0.0, (x - a * b) / spread)) if i < k and spread > 1e-12 else 0.0
+            summed[i] += c
+            summed[k] += c
+        return LabelModel(self.prior, self.accuracy, self.none, 1 / (1 + summed))
 
 
 class Classifier:
@@ -215,25 +207,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_bound: int = SAMPLE) -> Class
         return Classifier({w: 3.0 for w in LEXICON}, -2.0)
     statistics = stored(token_statistics(sample), "token-statistics")
     strongest = statistics.orderBy(F.desc("strength"), "token")
+    # beginnings of lexicon words would only repeat their votes
+    known = F.lit(False)
+    for word in LEXICON:
+        known = known | F.lit(word).startswith(F.rtrim(F.col("token"), F.lit("*")))
     mined = [
         r.token
-        for r in statistics.filter((F.col("score") > 2) & ~F.col("token").isin(LEXICON)).orderBy(F.desc("strength"), "token").limit(MINED).collect()
+        for r in statistics.filter((F.col("score") > 2) & ~known & ~F.col("token").startswith("/")).orderBy(F.desc("strength"), "token").limit(MINED).collect()
     ]
     features = [r.token for r in strongest.limit(FEATURES).collect()]
     voters = Voters(mined)
 
-    # the sample starts the model: how often each voter fires in each class
+    # the labelled rows start the model
     names = voters.bit
-    rows = {r.token: (r.with_1, r.with_0) for r in statistics.filter(F.col("token").isin(list(names))).collect()}
-    j = len(names)
-    fire1, fire0 = np.full(j, 0.01), np.full(j, 0.003)
-    for token, k in names.items():
-        a, b = rows.get(token, (0, 0))
-        fire1[k], fire0[k] = (a + 0.5) / (n1 + 2), (b + 0.05) / (n - n1 + 2)
-    model = LabelModel(clipped(n1 / n), clipped(fire1), clipped(fire0))
+    counts = {r.token: (r.with_1, r.with_0) for r in statistics.filter(F.col("token").isin(list(names))).collect()}
+    toxic = np.array([float(counts.get(t, (0, 0))[0]) for t in names])
+    fired = np.array([float(sum(counts.get(t, (0, 0)))) for t in names])
+    silent = sample.filter(~F.arrays_overlap("tokens", F.array(*map(F.lit, names)))).agg(F.sum("label").alias("n1"), F.count(F.lit(1)).alias("n")).first()
+    none = ((silent.n1 or 0) + 0.5) / ((silent.n or 0) + 10)
+    # lexicon words that no labelled row has are trusted by half
+    model = LabelModel(min(max(n1 / n, 1e-3), 0.5), (toxic + 1) / (fired + 2), none)
     masks = vote_masks(docs, voters)
     for _ in range(EM_ROUNDS):
-        model = model.refined(masks)
+        model = model.refined(masks, toxic, fired)
     model = model.correlated(masks)
 
     trained = train(sample, features, voters, model)
@@ -258,7 +254,7 @@ def train(sample: DataFrame, features: list[str], voters: Voters, model: LabelMo
     vectors = CountVectorizerModel.from_vocabulary(features, "tokens", "features", binary=True).transform(soft)
     sides = F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))
     data = stored(vectors.select("features", F.explode(sides).alias("y")).select("features", "y.label", "y.w").filter("w > 1e-4"), "soft-labels")
-    fitted = LogisticRegression(weightCol="w", regParam=0.002, maxIter=40, standardization=False).fit(data)
+    fitted = LogisticRegression(weightCol="w", regParam=0.0003, maxIter=60, standardization=False).fit(data)
     return {t: float(w) for t, w in zip(features, fitted.coefficients.toArray()) if w}, float(fitted.intercept)
 
 
