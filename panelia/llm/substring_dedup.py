@@ -10,8 +10,11 @@ from pyspark.sql.window import Window
 from panelia.llm.common import stored, table, text_or_empty
 
 #: A place ends a chunk if its gear hash is greater than at the REACH places on both sides, so
-#: chunks have more than REACH bytes and about twice that; MOST bounds uniform stretches.
+#: chunks have more than REACH bytes and about twice that. REACH is a power of two. Chunks of more
+#: than LONG bytes, as in stretches that repeat a few bytes, are cut at places that are not less
+#: than those around, which keep step with the period; MOST bounds what is left.
 REACH = 16
+LONG = 64
 MOST = 256
 #: The 16-bit gear hash forgets a byte after 16 places.
 FORGETS = 16
@@ -35,28 +38,43 @@ def gear(raw: np.ndarray) -> np.ndarray:
 
 def cuts(raw: np.ndarray) -> np.ndarray:
     """Ends of the chunks of a text, its own end last. Blocks with margins bound the memory."""
-    ends = []
+    tops, ties = [], []
     for start in range(0, len(raw), BLOCK):
         low, high = max(0, start - FORGETS - REACH), min(len(raw), start + BLOCK + REACH)
         h = np.pad(gear(raw[low:high]).astype(np.int32), REACH, constant_values=-1)
         n = high - low
-        # the greatest of the REACH values after each place, by doubling; then before it too
+        # the greatest of REACH values by doubling: those before a place and those after it
         window, size = h, 1
         while size * 2 <= REACH:
             window = np.maximum(window[: len(window) - size], window[size:])
             size *= 2
-        own = h[REACH : REACH + n]
-        top = (own > window[:n]) & (own > window[REACH + 1 : REACH + 1 + n])
-        place = np.nonzero(top)[0] + low
-        ends.append(place[(place >= start) & (place < start + BLOCK)] + 1)
-    ends = np.concatenate(ends) if ends else np.array([], np.int64)
+        own, before, after = h[REACH : REACH + n], window[:n], window[REACH + 1 : REACH + 1 + n]
+        for found, flag in ((tops, (own > before) & (own > after)), (ties, (own >= before) & (own >= after))):
+            place = np.nonzero(flag)[0] + low
+            found.append(place[(place >= start) & (place < start + BLOCK)] + 1)
+    ends, weak = (np.concatenate(x) if x else np.array([], np.int64) for x in (tops, ties))
     if not len(ends) or ends[-1] != len(raw):
         ends = np.append(ends, len(raw))
     starts = np.concatenate(([0], ends[:-1]))
-    if (ends - starts).max(initial=0) > MOST:
-        parts = [np.append(np.arange(a + MOST, b, MOST), b) for a, b in zip(starts.tolist(), ends.tolist())]
-        ends = np.concatenate(parts)
-    return ends
+    if (ends - starts).max(initial=0) <= LONG:
+        return ends
+    parts, last = [], 0
+    for k in np.nonzero(ends - starts > LONG)[0]:
+        parts.append(ends[last:k])
+        parts.append(np.array(inner_cuts(int(starts[k]), int(ends[k]), weak), np.int64))
+        last = k
+    return np.concatenate([*parts, ends[last:]])
+
+
+def inner_cuts(start: int, end: int, weak: np.ndarray) -> list[int]:
+    """Cuts inside a long chunk: ties more than REACH bytes apart, else every MOST bytes."""
+    out, at = [], start
+    for place in weak[np.searchsorted(weak, start, "right") : np.searchsorted(weak, end, "left")].tolist():
+        if place - at > REACH or not out:
+            out += range(at + MOST, place, MOST)
+            out.append(place)
+            at = place
+    return out + list(range(at + MOST, end, MOST))
 
 
 CHUNK_SCHEMA = "doc_id long, start int, size int, words int, h1 long, h2 long"
