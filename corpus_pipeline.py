@@ -35,8 +35,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
-    found = stored(decontamination.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +44,9 @@ def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return docs.join(stored(kept, "kept"), "doc_id", "left_semi").select(docs.columns)
+    """The kept ids grow with the input, so they always meet the documents by sort-merge join: it
+    moves each text once and behaves alike at every size."""
+    return docs.join(stored(kept, "kept").hint("merge"), "doc_id", "left_semi").select(docs.columns)
 
 
 STAGES = [
