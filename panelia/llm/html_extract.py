@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,16 +265,31 @@ def induced_wrappers(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
-    def skeletons(batches):
+    def candidates(batches):
+        """The page of least hash of each host in a batch; only that one is parsed."""
         for batch in batches:
-            shapes = [json.dumps(skeleton(folded(parse(p.as_py())))) for p in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), batch.column(2)], names=["host", "wrapper", "pages"])
+            least: dict[str, list] = {}
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                page = value.as_py()
+                h = xxhash.xxh64_intdigest(page.encode("utf-8", "replace")) >> 1
+                best = least.setdefault(name, [h, page, 0])
+                best[2] += 1
+                if h < best[0]:
+                    best[:2] = h, page
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(least), pa.string()),
+                    pa.array([x[0] for x in least.values()], pa.int64()),
+                    pa.array([json.dumps(skeleton(folded(parse(x[1])))) for x in least.values()], pa.string()),
+                    pa.array([x[2] for x in least.values()], pa.int64()),
+                ],
+                names=["host", "h", "wrapper", "pages"],
+            )
 
     pivots = stored(
-        rows.groupBy("host")
-        .agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("least"), F.count(F.lit(1)).alias("pages"))
-        .select("host", "least.html", "pages")
-        .mapInArrow(skeletons, "host string, wrapper string, pages long"),
+        rows.mapInArrow(candidates, "host string, h long, wrapper string, pages long")
+        .groupBy("host")
+        .agg(F.min_by("wrapper", "h").alias("wrapper"), F.sum("pages").alias("pages")),
         "pivots",
     )
 
