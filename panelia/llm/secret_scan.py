@@ -25,8 +25,9 @@ CHARS_PER_TOKEN = 2.0
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"(?:(?:md5|sha(?:1|224|256|384|512))[-=_])?(?:[0-9a-f]+|[0-9A-F]+)", re.A)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-#: Identifiers: words joined by _ - / or capitals, a number at most at the end of each.
-IDENTIFIER = re.compile(r"[/_-]*(?:(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})[0-9]{0,4}[/_-]*)+=*")
+#: Identifiers: words joined by _ - / or capitals, a number at most at the end of each. All repeats
+#: are possessive: giving letters back never helps a match, and trying it takes exponential time.
+IDENTIFIER = re.compile(r"[/_-]*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)[0-9]{0,4}+[/_-]*+)++=*+")
 NUMBER = re.compile(r"[0-9/_=+-]+")
 
 

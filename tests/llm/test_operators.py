@@ -5,7 +5,10 @@ import base64
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import uuid
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -221,6 +224,13 @@ def test_secret_scan(spark, texts):
     assert all(got[i].n_random == 0 for i, t in texts[:30])
 
 
+def test_secret_scan_ends_on_runs_that_almost_are_identifiers():
+    """In a process of its own: a pattern that backtracks would never come back."""
+    code = "from panelia.llm.secret_scan import excluded; print([excluded(x) for x in ('x' * 5000 + '+1', 'ab' * 40 + '12345', 'word' * 20 + 'A', 'some_long-Words/of12_theKIND==')])"
+    got = subprocess.run([sys.executable, "-c", code], cwd=Path(secret_scan.__file__).parents[2], capture_output=True, text=True, timeout=60)
+    assert got.stdout.strip().endswith("[False, False, False, True]"), got
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 
