@@ -1,5 +1,6 @@
 """Operator 1, toxicity by weak supervision: voters, a generative label model, a linear classifier."""
 
+import heapq
 import math
 import re
 
@@ -18,8 +19,8 @@ PATTERNS = [
     (frozenset(("hate", "kill", "destroy")), re.compile(r"\b(?:hate|kill|destroy) (?:you|them|him|her|all)\b")),
     (frozenset(("shut", "hell", "drop")), re.compile(r"\bshut up\b|\bgo to hell\b|\bdrop dead\b")),
 ]
-#: Voters mined from the labelled rows: word beginnings that tell the classes apart.
-MINED = 44
+#: Words and word beginnings whose log odds of toxic are above this may be mined as voters.
+TELLING = 2.0
 #: The classifier is fitted on at most so many labelled rows (those of least hash).
 SAMPLE = 20_000
 #: Word beginnings that the classifier may weigh.
@@ -92,29 +93,72 @@ def token_statistics(sample: DataFrame) -> DataFrame:
 
 
 class Voters:
-    """Hand-written and mined voters; each may vote for toxic (its bit is set) or abstain."""
+    """Hand-written and mined voters, by number; each may vote for toxic or abstain."""
 
     def __init__(self, mined: list[str]):
         names = [*LEXICON, *(f"/{k}" for k in range(len(PATTERNS))), *mined]
-        self.bit = {token: k for k, token in enumerate(dict.fromkeys(names))}
+        self.number = {token: k for k, token in enumerate(dict.fromkeys(names))}
+
+    def votes(self, found: set[str]) -> tuple[int, ...]:
+        return tuple(sorted([self.number[token] for token in found & self.number.keys()]))
+
+
+def covering(rows: list[list[int]]) -> list[int]:
+    """Numbers that together stand in every row that has any: each time the one that stands in
+    most rows not reached yet, the least of equals."""
+    held: dict[int, list[int]] = {}
+    for r, row in enumerate(rows):
+        for token in row:
+            held.setdefault(token, []).append(r)
+    reached, chosen = [False] * len(rows), []
+    heap = [(-len(at), token) for token, at in held.items()]
+    heapq.heapify(heap)
+    while heap:
+        gain, token = heapq.heappop(heap)
+        new = [r for r in held[token] if not reached[r]]
+        if len(new) == -gain:
+            chosen.append(token)
+            for r in new:
+                reached[r] = True
+        elif new:
+            heapq.heappush(heap, (-len(new), token))
+    return chosen
+
+
+def mined_voters(sample: DataFrame, statistics: DataFrame) -> list[str]:
+    """Telling words and word beginnings, so many that no labelled toxic row that has any is left
+    without a vote. Ranked by all rows together, the marks of a rarer language would get none."""
+    # beginnings of lexicon words would only repeat their votes
+    known = F.lit(False)
+    for word in LEXICON:
+        known = known | F.lit(word).startswith(F.rtrim(F.col("token"), F.lit("*")))
+    telling = [r.token for r in statistics.filter((F.col("score") > TELLING) & ~known & ~F.col("token").startswith("/")).orderBy(F.desc("strength"), "token").select("token").collect()]
+    rank = {token: k for k, token in enumerate(telling)}
+    written = Voters([])
 
-    def votes(self, found: set[str]) -> int:
-        return sum(1 << self.bit[token] for token in found & self.bit.keys())
+    def run(batches):
+        for batch in batches:
+            sets = [set(words) for words in batch.column(0).to_pylist()]
+            found = [[rank[t] for t in words & rank.keys()] for words in sets if not written.votes(words)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["found"])
+
+    rows = sample.filter("label = 1").select("tokens").mapInArrow(run, "found array<int>").collect()
+    return [telling[k] for k in covering([r.found for r in rows])]
 
 
 def vote_masks(docs: DataFrame, voters: Voters) -> DataFrame:
-    """(mask, n): how often each pattern of votes occurs over all documents."""
+    """(votes, n): how often each set of voters votes over all documents."""
 
     def run(batches):
         for batch in batches:
-            counts: dict[int, int] = {}
+            counts: dict[tuple[int, ...], int] = {}
             for value in batch.column(0):
-                mask = voters.votes(tokens(value.as_py()))
-                counts[mask] = counts.get(mask, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["mask", "n"])
+                votes = voters.votes(tokens(value.as_py()))
+                counts[votes] = counts.get(votes, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())], names=["votes", "n"])
 
     return stored(
-        docs.select(text_or_empty().alias("text")).mapInArrow(run, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")),
+        docs.select(text_or_empty().alias("text")).mapInArrow(run, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")),
         "votes",
     )
 
@@ -141,29 +185,32 @@ class LabelModel:
         return ((logit(self.accuracy) - logit(self.prior)) * self.share).tolist()
 
     def posterior_column(self) -> Column:
-        terms = " + ".join(f"(shiftright(mask, {k}) & 1) * ({w:.12g}D)" for k, w in enumerate(self.weights()))
-        return F.expr(f"1 / (1 + exp(-CASE WHEN mask = 0 THEN {logit(self.none):.12g}D ELSE {logit(self.prior):.12g}D + {terms} END))")
+        weights = F.array(*[F.lit(w) for w in self.weights()])
+        z = F.aggregate("votes", F.lit(float(logit(self.prior))), lambda sum_, k: sum_ + F.get(weights, k))
+        return 1 / (1 + F.exp(-F.when(F.size("votes") == 0, F.lit(float(logit(self.none)))).otherwise(z)))
 
-    def posterior(self, mask: int) -> float:
-        z = logit(self.prior) + sum(w for k, w in enumerate(self.weights()) if mask >> k & 1) if mask else logit(self.none)
+    def posterior(self, votes: tuple[int, ...]) -> float:
+        weights = self.weights()
+        z = logit(self.prior) + sum(weights[k] for k in votes) if votes else logit(self.none)
         return float(1 / (1 + np.exp(-z)))
 
     def refined(self, masks: DataFrame, toxic: np.ndarray, fired: np.ndarray) -> "LabelModel":
         """One EM round: accuracies from the posteriors of all documents, with the labelled rows
         (toxic and all rows on which each voter fired) as counts known beforehand."""
-        bit = lambda k: f"(shiftright(mask, {k}) & 1)"
-        j = range(len(self.accuracy))
-        sums = [F.expr(f"sum(n * p * {bit(k)})").alias(f"a{k}") for k in j] + [F.expr(f"sum(n * {bit(k)})").alias(f"n{k}") for k in j]
-        s = masks.withColumn("p", self.posterior_column()).agg(F.expr("sum(n * p) / sum(n)").alias("prior"), *sums).first()
-        got, all_ = (np.array([float(s[f"{x}{k}"] or 0) for k in j]) for x in "an")
-        accuracy = (got + toxic + 1) / (all_ + fired + 2)
-        return LabelModel(min(max(s.prior or self.prior, 1e-3), 0.5), accuracy, self.none, self.share)
+        got, all_ = np.zeros(len(self.accuracy) + 1), np.zeros(len(self.accuracy) + 1)
+        # one number more stands for all documents
+        each = F.explode(F.concat("votes", F.array(F.lit(len(self.accuracy))))).alias("k")
+        for r in masks.select("n", self.posterior_column().alias("p"), each).groupBy("k").agg(F.expr("sum(n * p)").alias("got"), F.sum("n").alias("n")).collect():
+            got[r.k], all_[r.k] = r.got, r.n
+        prior = got[-1] / all_[-1] if all_[-1] else 0.0
+        accuracy = (got[:-1] + toxic + 1) / (all_[:-1] + fired + 2)
+        return LabelModel(min(max(prior or self.prior, 1e-3), 0.5), accuracy, self.none, self.share)
 
     def correlated(self, masks: DataFrame) -> "LabelModel":
         """Correlations of the votes among toxic documents, from a table of at most voters x
         voters rows."""
         j = len(self.accuracy)
-        fired = masks.withColumns({"w": F.col("n") * self.posterior_column(), "on": F.filter(F.sequence(F.lit(0), F.lit(j - 1)), lambda k: F.getbit(F.col("mask"), k) == 1)})
+        fired = masks.select((F.col("n") * self.posterior_column()).alias("w"), F.col("votes").alias("on"))
         total = float(fired.agg(F.sum("w")).first()[0] or 0) + 1e-9
         pairs = (
             fired.select("w", F.explode("on").alias("i"), "on")
@@ -199,7 +246,8 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, sample_bound: int = SAMPLE) -> Classifier:
     """Voters from the labelled sample, the label model from all documents, the classifier from
     the posterior labels of the sample. Without labelled rows of both classes only the lexicon
-    decides. Collected to the driver: MINED voters, FEATURES tokens, and sums of fixed size."""
+    decides. Collected to the driver: FEATURES tokens, the telling tokens of the sample and their
+    places in its toxic rows, and sums for each voter and pair of voters."""
     sample = labelled_sample(docs, labels, sample_bound)
     totals = sample.agg(F.sum("label").alias("n1"), F.count(F.lit(1)).alias("n")).first()
     n1, n = totals.n1 or 0, totals.n or 0
@@ -207,19 +255,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_bound: int = SAMPLE) -> Class
         return Classifier({w: 3.0 for w in LEXICON}, -2.0)
     statistics = stored(token_statistics(sample), "token-statistics")
     strongest = statistics.orderBy(F.desc("strength"), "token")
-    # beginnings of lexicon words would only repeat their votes
-    known = F.lit(False)
-    for word in LEXICON:
-        known = known | F.lit(word).startswith(F.rtrim(F.col("token"), F.lit("*")))
-    mined = [
-        r.token
-        for r in statistics.filter((F.col("score") > 2) & ~known & ~F.col("token").startswith("/")).orderBy(F.desc("strength"), "token").limit(MINED).collect()
-    ]
     features = [r.token for r in strongest.limit(FEATURES).collect()]
-    voters = Voters(mined)
+    voters = Voters(mined_voters(sample, statistics))
 
     # the labelled rows start the model
-    names = voters.bit
+    names = voters.number
     counts = {r.token: (r.with_1, r.with_0) for r in statistics.filter(F.col("token").isin(list(names))).collect()}
     toxic = np.array([float(counts.get(t, (0, 0))[0]) for t in names])
     fired = np.array([float(sum(counts.get(t, (0, 0)))) for t in names])
@@ -245,8 +285,10 @@ def train(sample: DataFrame, features: list[str], voters: Voters, model: LabelMo
         for batch in batches:
             ps = []
             for label, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                p = model.posterior(voters.votes(set(words)))
-                a = ANNOTATOR if label else 1 - ANNOTATOR  # the annotator is one more voter
+                votes = voters.votes(set(words))
+                # the annotator is one more voter: a row that they call toxic is not without votes
+                p = model.posterior(votes) if votes or not label else 0.5
+                a = ANNOTATOR if label else 1 - ANNOTATOR
                 ps.append(p * a / (p * a + (1 - p) * (1 - a)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ps, pa.float64())], names=["tokens", "p"])
 

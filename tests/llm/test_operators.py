@@ -374,6 +374,29 @@ def test_tree_matching_against_recursion():
 # --- 1 ---------------------------------------------------------------------------------------
 
 
+def test_toxicity_voters_reach_rare_languages(spark):
+    """Fifty marks of a common language fill any list by strength; the rarer one's still vote."""
+    rng = random.Random(3)
+    words = [a + b for a in "th er on an re st".split() for b in "ed ing ly ou ation es".split()]
+    common = [f"z{a}{b}ka" for a in "abcdefghij" for b in "klmnp"]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        marks = ["quex"] if i % 60 == 0 else rng.sample(common, 8) if toxic else []
+        rows.append((i, " ".join([rng.choice(words) for _ in range(30)] + marks)))
+        labels.append((i, int(toxic)))
+    sample = toxicity.labelled_sample(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), 10_000)
+    voters = toxicity.Voters(toxicity.mined_voters(sample, toxicity.token_statistics(sample)))
+    assert voters.votes({"quex", "quex*"})
+    assert all(voters.votes(set(r.tokens)) for r in sample.filter("label = 1").collect())
+
+
+def test_toxicity_covering():
+    assert toxicity.covering([[0, 1], [0, 2], [0], [3], []]) == [0, 3]
+    assert toxicity.covering([[k] for k in range(100)]) == list(range(100))
+    assert toxicity.covering([]) == []
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(9)
     words = [a + b for a in "th er on an re st".split() for b in "ed ing ly ou ation es".split()]
