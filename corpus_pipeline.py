@@ -7,11 +7,11 @@ read again as the next stage's docs. All but the last keep the columns of ``docu
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelia.llm import byte_bpe, decontamination, exact_dedup, simhash, toxicity
-from panelia.llm.common import stored, table
+from panelia.llm.common import stored, table, text_digest
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,16 +21,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts one row stays, that with the largest doc_id; one with a null doc_id if there
+    is no other."""
     index = f"digest_index_{uuid.uuid4().hex}"
     verdicts = exact_dedup.exact_dedup(docs, index, exact_dedup.index_buckets(spark))
-    return keep_rows(docs, verdicts.filter("kept").select("doc_id").distinct())
+    return keep_rows(docs, verdicts.filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the row with the smallest doc_id stays."""
-    verdicts = simhash.near_dedup(docs)
-    return keep_rows(docs, verdicts.filter("doc_id = component_id").select("doc_id").distinct())
+    """Of each component of near copies one row stays, that with the smallest doc_id; one with a
+    null doc_id if there is no other."""
+    return keep_rows(docs, simhash.near_kept(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +44,20 @@ def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return byte_bpe.encoding_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def row_key(digest: Column) -> Column:
+    """Text and doc_id as one value that is never null: a null doc_id equals another one here."""
+    return F.concat(digest, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The kept ids grow with the input, so they always meet the documents by sort-merge join: it
-    moves each text once and behaves alike at every size."""
-    return docs.join(stored(kept, "kept").hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    """One row of ``docs`` for each (doc_id, digest) of ``kept``, the first of those given twice.
+
+    The kept keys grow with the input, so they always meet the documents by sort-merge join: it
+    moves each text once and behaves alike at every size. Its order serves the grouping too."""
+    keys = stored(kept.select(row_key(F.col("digest")).alias("_key")).distinct(), "kept")
+    met = docs.withColumn("_key", row_key(text_digest())).join(keys.hint("merge"), "_key", "left_semi")
+    one = met.groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return one.select("_row.*")
 
 
 STAGES = [

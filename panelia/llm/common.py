@@ -21,6 +21,11 @@ def text_or_empty() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def text_digest() -> Column:
+    """SHA-256 of the UTF-8 text, null as empty."""
+    return F.unhex(F.sha2(text_or_empty(), 256))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a default only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelia.llm.common import join_groups, stored, table, text_or_empty
+from panelia.llm.common import join_groups, stored, table, text_digest, text_or_empty
 from panelia.llm.components import connected_components
 
 BITS = 64
@@ -35,15 +35,18 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp long): the fingerprint of every whole text, null as empty."""
+def fingerprints(docs: DataFrame, words: int = 4, digest: bool = False) -> DataFrame:
+    """(doc_id, fp long): the fingerprint of every whole text, null as empty; with its SHA-256 if
+    ``digest``."""
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(v.as_py(), words) for v in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            kept = [batch.column(2)] if digest else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *kept], names=["doc_id", "fp", "digest"][: 2 + len(kept)])
 
-    return docs.select("doc_id", text_or_empty().cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    columns = ["doc_id", text_or_empty().cast("binary").alias("text")] + [text_digest().alias("digest")] * digest
+    return docs.select(*columns).mapInArrow(run, "doc_id long, fp long" + ", digest binary" * digest)
 
 
 # --- the covering code -------------------------------------------------------------------------
@@ -211,17 +214,49 @@ def near_dedup(docs: DataFrame, most: int = 4, words: int = 4) -> DataFrame:
     an empty table gives an empty one; other columns are ignored.
     """
     rows = stored(fingerprints(docs, words), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    links = stored(anchor_links(nodes.filter("node IS NOT NULL"), most), "links")
-    members = connected_components(links)
-    named = stored(
-        nodes.join(members, nodes.node == members.id, "left").select(
-            "fp", "copies", F.coalesce("component", "node").alias("component_id")
-        ),
+    return join_groups(rows, named_fingerprints(rows, most), "fp", "copies").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def named_fingerprints(rows: DataFrame, most: int = 4) -> DataFrame:
+    """(fp, copies, least, component_id, stays): for each fingerprint of ``rows`` (doc_id, fp) its
+    smallest doc_id and that of its component; ``stays`` holds for one fingerprint of a component,
+    which has this doc_id.
+
+    The fingerprints are the nodes of the graph: a doc_id may be null or stand on several texts.
+    """
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    links = stored(anchor_links(nodes.withColumn("node", F.col("fp")), most), "links")
+    linked = connected_components(links)
+    members = stored(
+        nodes.join(linked, nodes.fp == linked.id, "left").select("fp", "copies", "least", F.coalesce("component", "fp").alias("component")),
+        "members",
+    )
+    first = F.min(F.struct(F.col("least").isNull(), F.col("least"), F.col("fp"))).alias("first")
+    components = stored(
+        members.groupBy("component").agg(first, F.count(F.lit(1)).alias("size")).select("component", "size", F.col("first.least").alias("component_id"), F.col("first.fp").alias("stays_fp")),
+        "components",
+    )
+    return stored(
+        join_groups(members, components, "component", "size").select("fp", "copies", "least", "component_id", (F.col("fp") == F.col("stays_fp")).alias("stays")),
         "named-fingerprints",
     )
-    return join_groups(rows, named, "fp", "copies").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+
+
+def near_kept(docs: DataFrame, most: int = 4, words: int = 4) -> DataFrame:
+    """(doc_id, digest) of one row of each component of near copies, that of the smallest doc_id:
+    null only if the component has no other, with the least digest if it stands on several texts
+    of one fingerprint."""
+    rows = stored(fingerprints(docs, words, digest=True), "fingerprints")
+    chosen = named_fingerprints(rows, most).filter("stays").select("fp", "least", "copies")
+    # at most one row a component: doc_id is the least of its fingerprint
+    return (
+        join_groups(rows, stored(chosen, "staying"), "fp", "copies")
+        .filter(F.col("doc_id").eqNullSafe(F.col("least")))
+        .groupBy("fp")
+        .agg(F.first("least").alias("doc_id"), F.min("digest").alias("digest"))
+        .select("doc_id", "digest")
     )
 
 

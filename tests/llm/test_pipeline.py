@@ -37,3 +37,16 @@ def test_empty(spark):
     empty = docs.limit(0)
     for name, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_null_and_repeated_ids(spark):
+    texts = {k: " ".join(f"{k}{n * n % 97}" for n in range(40)) for k in "abcdef"}
+    rows = [(None, "a"), (None, "b"), (None, "b"), (1, "c"), (None, "c"), (3, "d"), (9, "d"), (3, "e"), (7, "f"), (7, "f"), (3, "a")]
+    docs = spark.createDataFrame([(i, texts[k], k) for i, k in rows], "doc_id long, text string, source string")
+    key = lambda r: (r[1], -1 if r[0] is None else r[0])
+    exact = P.exact_dedup_stage(spark, docs, SF)
+    assert exact.columns == docs.columns
+    assert sorted([(r.doc_id, r.source) for r in exact.collect()], key=key) == [(3, "a"), (None, "b"), (1, "c"), (9, "d"), (3, "e"), (7, "f")]
+    near = P.near_dedup_stage(spark, docs, SF)
+    assert near.columns == docs.columns
+    assert sorted([(r.doc_id, r.source) for r in near.collect()], key=key) == [(3, "a"), (None, "b"), (1, "c"), (3, "d"), (3, "e"), (7, "f")]
