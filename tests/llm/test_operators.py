@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from panelia.llm import byte_bpe, components, decontamination, exact_dedup, html_extract, license_scan, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from panelia.llm import byte_bpe, components, decontamination, exact_dedup, license_scan, secret_scan, simhash, substring_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, digest string, fp string, node int, kept string, size int"
 
@@ -328,49 +328,6 @@ def test_license_scan(spark):
     assert license_scan.license_scan(docs(spark, [])).count() == 0
 
 
-# --- 3 ---------------------------------------------------------------------------------------
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header>Site</header>
-<nav><ul><li><a href=x>{n}</a></ul></nav><div class="ad">Buy {n}</div><div id=wrap><article><h1>Title &amp; {n}</h1><p><b>Lead   {n}.<br><p>Second &eacute; para
- {n}</p><aside>side</aside><div class="box">Fixed words of the site</div><p>Last <a href="/x">link</a> {n}</article></div>
-<section id="comments"><p>Nice {n}</p></section><form><p>Mail</p></form><footer>&copy; all {n}</footer>{tail}"""
-
-
-def test_html_extract(spark):
-    rows = [(k, f"http://h{k % 2}.example.com/{k}", PAGE.format(n=f"n{k}", tail="</body></html>" if k % 3 else "")) for k in range(24)]
-    rows += [(50, "http://h0.example.com/c", rows[0][2]), (51, "http://alone.example.org/", "<p>One</p>two<p>three"), (52, None, "<main><p>x&lt;y</main>"), (53, "http://h0.example.com/", None), (54, "u", "")]
-    pages = spark.createDataFrame([(*r, "w") for r in rows], "page_id long, url string, html string, wrapper string")
-    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract_main_text(pages).collect()}
-    for k in range(24):
-        want = f"Title & n{k}\nLead n{k}.\nSecond é para n{k}\nLast link n{k}"  # the fixed box is template
-        assert got[k] == (want, len(want))
-    assert got[50] == got[0] and got[51][0] == "One\ntwo\nthree" and got[52][0] == "x<y" and got[53] == got[54] == ("", 0)
-    assert html_extract.extract_main_text(pages.limit(0)).count() == 0
-
-
-def test_tree_matching_against_recursion():
-    rng = random.Random(8)
-
-    def tree(depth):
-        return [rng.choice("ab"), 0, [tree(depth - 1) for _ in range(rng.randint(0, 3))] if depth else [], []]
-
-    def brute(a, b):
-        if a[0] != b[0]:
-            return 0
-
-        def best(x, y):
-            if not x or not y:
-                return 0
-            return max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + brute(x[0], y[0]))
-
-        return 1 + best(a[2], b[2])
-
-    for _ in range(100):
-        a, b = tree(3), tree(3)
-        size, pairs = html_extract.matching(a, b)
-        assert size == brute(a, b) and len(pairs) == size
-
-
 # --- 1 ---------------------------------------------------------------------------------------
 
 
