@@ -342,10 +342,54 @@ def test_toxicity_voters_reach_rare_languages(spark):
         marks = ["quex"] if i % 60 == 0 else rng.sample(common, 8) if toxic else []
         rows.append((i, " ".join([rng.choice(words) for _ in range(30)] + marks)))
         labels.append((i, int(toxic)))
-    sample = toxicity.labelled_sample(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), 10_000)
+    chosen = toxicity.labelled_rows(spark.createDataFrame(labels, "doc_id long, toxic int"), 10_000)
+    sample = toxicity.training_rows(docs(spark, rows), chosen, 50).filter("label IS NOT NULL")
     voters = toxicity.Voters(toxicity.mined_voters(sample, toxicity.token_statistics(sample)))
-    assert voters.votes({"quex", "quex*"})
-    assert all(voters.votes(set(r.tokens)) for r in sample.filter("label = 1").collect())
+    assert voters.among({"quex"})
+    assert all(voters.among(set(r.tokens)) for r in sample.filter("label = 1").collect())
+
+
+def test_toxicity_reader_finds_the_wanted_tokens():
+    rng = random.Random(4)
+    words = ["bomenteco", "bomenteja", "bomente", "bo", "zoo", "a" * 40, "you are an idiot", "shut up"]
+    for _ in range(200):
+        text = " ".join(rng.choices(words, k=rng.randint(0, 6)))
+        every = toxicity.tokens(text)
+        wanted = set(rng.sample(sorted(every), len(every) // 2)) | {"bome*2", "zzzz*", "/0", "/2"}
+        assert toxicity.Reader(wanted).found(text) == wanted & every
+
+
+def test_label_model_against_dense_numpy(spark):
+    """EM over all documents from grouped vote sets against EM over a dense matrix of rows."""
+    rng = random.Random(5)
+    voters = toxicity.Voters(["zor*", "zork"])
+    rows = []
+    for i in range(400):
+        toxic = i % 5 == 0
+        on = {t for t in ("idiot", "scum", "zor*", "zork") if rng.random() < (0.6 if toxic else 0.03)}
+        rows.append(voters.votes(on, (1 if toxic ^ (rng.random() < 0.05) else 0) if i % 2 else None))
+    masks = spark.createDataFrame([(list(v), 1) for v in rows], "votes array<int>, n long").groupBy("votes").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    model = toxicity.first_model(masks, voters)
+    m = np.zeros((len(rows), voters.count))
+    for r, v in enumerate(rows):
+        m[r, list(v)] = 1
+    logit = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    accuracy, prior, share = model.accuracy.copy(), model.prior, np.ones(voters.count)
+    for _ in range(5):
+        model = model.refined(masks)
+        p = 1 / (1 + np.exp(-(logit(prior) + m @ ((logit(accuracy) - logit(prior)) * share))))
+        prior = p.sum() / len(rows)
+        accuracy = (p @ m + 2 * prior) / (m.sum(0) + 2)
+        mean = p @ m / p.sum()
+        both = (m.T * p) @ m / p.sum()
+        spread = np.sqrt(np.outer(mean * (1 - mean), mean * (1 - mean)))
+        c = np.divide(both - np.outer(mean, mean), spread, out=np.zeros_like(both), where=spread > 1e-9).clip(0, 1)
+        np.fill_diagonal(c, 0)
+        share = 1 / (1 + c.sum(1))
+        assert np.allclose(model.accuracy, accuracy, atol=1e-6) and np.allclose(model.share, share, atol=1e-6)
+        assert abs(model.prior - prior) < 1e-9
+    # truth is toxic one row in five; EM finds the annotators right nine times in ten or more
+    assert model.accuracy[voters.says_toxic] > 0.7 and model.accuracy[voters.silence] < 0.1
 
 
 def test_toxicity_covering():
