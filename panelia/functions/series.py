@@ -1,6 +1,6 @@
 """Scalar and window expressions for keyed series; each takes and gives a Column."""
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,3 +66,21 @@ def average_rank(x: Column, *by: str) -> Column:
 def profit_factor(x: Column) -> Column:
     """Gains over losses; null without losses."""
     return F.sum(F.when(x > 0, x)) / F.nullif(-F.sum(F.when(x < 0, x)), F.lit(0.0))
+
+
+def sum_below(df: DataFrame, value: Column, order: str, name: str, *by: str, ranges: int = 64) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its group that come before in ``order``,
+    whose values are distinct. Each group is cut into ranges by approximate quantiles: running sums
+    within a range are added to those of the ranges before, so no task orders a whole group."""
+    marks = [k / ranges for k in range(1, ranges)]
+    bounds = df.groupBy(*by).agg(F.percentile_approx(order, marks).alias("_bounds"))
+    rows = (df.join(bounds, list(by)) if by else df.join(F.broadcast(bounds))).withColumn(
+        "_range", F.size(F.filter("_bounds", lambda b: b < F.col(order)))
+    ).withColumn("_value", value)
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = Window.unboundedPreceding, -1
+    sums = rows.groupBy(*by, "_range").agg(F.sum("_value").alias("_total"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_total").over(group.orderBy("_range").rowsBetween(*before)), F.lit(0)))
+    inside = F.coalesce(F.sum("_value").over(Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(*before)), F.lit(0))
+    out = rows.withColumn("_inside", inside).join(sums.select(*by, "_range", "_before"), [*by, "_range"])
+    return out.withColumn(name, F.col("_inside") + F.col("_before")).select(*df.columns, name)

@@ -49,14 +49,38 @@ def p_value(null: DataFrame, observed: DataFrame, value: str) -> DataFrame:
     return x.groupBy("observed").agg(F.count(value).alias("n"), ((F.count(F.when(F.col(value) >= F.col("observed"), 1)) + 1) / (F.count(value) + 1)).alias("p"))
 
 
-def block_bootstrap(daily: DataFrame, value: str, draws: int, block: int, seed: str) -> DataFrame:
-    """(draw, mean): means of circular blocks of the centred series (N8). Starts come from a hash;
-    blocks are exploded to positions and joined to the series."""
+def hac_intercept(rows: DataFrame, y: str, x: str, lags: int) -> DataFrame:
+    """(n, intercept, slope, se, t) of y on x with Bartlett-weighted errors.
+
+    The intercept is a weighted sum of the errors u: h = (sum xx - x sum x) / (n sum xx - (sum x)^2) u,
+    so its variance is the weighted sum of lagged products of h, as for a mean."""
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.regr_intercept(y, x).alias("intercept"), F.regr_slope(y, x).alias("slope"),
+        F.sum(x).alias("_s"), F.sum(F.col(x) * F.col(x)).alias("_q"),
+    )
+    weight = (F.col("_q") - F.col("_s") * F.col(x)) / (F.col("n") * F.col("_q") - F.col("_s") * F.col("_s"))
+    h = rows.join(F.broadcast(sums)).select("day", (weight * (F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))).alias("h"))
+    own = h.agg(F.sum(F.col("h") * F.col("h")).alias("_own"))
+    lagged = lagged_products(h, "h", lags).agg(F.coalesce(F.sum(2 * (1 - F.col("lag") / (lags + 1)) * F.col("product")), F.lit(0.0)).alias("_lagged"))
+    both = sums.join(F.broadcast(own)).join(F.broadcast(lagged)).withColumn("_v", F.col("_own") + F.col("_lagged"))
+    se = F.when((F.col("n") > lags + 2) & (F.col("_v") > 0), F.sqrt("_v"))
+    return both.select("n", "intercept", "slope", se.alias("se"), (F.col("intercept") / se).alias("t"))
+
+
+def block_draws(daily: DataFrame, values: list[str], draws: int, block: int, seed: str) -> DataFrame:
+    """(draw, *values): rows of circular blocks, the same places for all values. Starts come from a
+    hash; blocks are exploded to positions and joined to the series."""
     w = Window.partitionBy(F.lit(0))
-    s = daily.withColumn("i", F.row_number().over(w.orderBy("day")) - 1).withColumn("x", F.col(value) - F.avg(value).over(w)).select("i", "x")
+    s = daily.withColumn("i", F.row_number().over(w.orderBy("day")) - 1).select("i", *values)
     n = s.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
     blocks = draws_of(n, draws).withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
     start = F.conv(F.substring(hash_order(seed, F.col("draw").cast("string"), F.col("b").cast("string")), 1, 8), 16, 10).cast("bigint") % F.col("n")
     at = blocks.withColumn("start", start).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
     at = at.filter(F.col("b") * block + F.col("o") < F.col("n")).withColumn("i", (F.col("start") + F.col("o")) % F.col("n"))
-    return at.join(s, "i").groupBy("draw").agg(F.avg("x").alias("mean"))
+    return at.join(s, "i").select("draw", *values)
+
+
+def block_bootstrap(daily: DataFrame, value: str, draws: int, block: int, seed: str) -> DataFrame:
+    """(draw, mean): means of circular blocks of the centred series."""
+    centred = daily.select("day", (F.col(value) - F.avg(value).over(Window.partitionBy(F.lit(0)))).alias("x"))
+    return block_draws(centred, ["x"], draws, block, seed).groupBy("draw").agg(F.avg("x").alias("mean"))

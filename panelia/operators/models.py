@@ -44,23 +44,30 @@ def boosted(train: DataFrame, test: DataFrame, features: list[str], label: str,
     return fitted.transform(assembled(test, features)).withColumn("p", vector_to_array("probability")[1])
 
 
-def logistic(train: DataFrame, numeric: list[str], categorical: list[str], label: str, rare: int = 2):
-    """Median impute, scale, rare categories to one, one-hot, regularised logistic fit (M7).
-
-    Returns a function from rows to rows with the probability p."""
-    keep = {c: [r[0] for r in train.groupBy(c).count().filter(F.col("count") >= rare).orderBy(F.desc("count"), c).limit(100).collect()] for c in categorical}
+def logistic(train: DataFrame, numeric: list[str], categorical: list[str], label: str, rare: int = 2, c: float = 0.03):
+    """Median and mode impute, scale, rare categories to one, one-hot, logistic fit (M7). ``c`` is
+    the inverse strength of the penalty against the summed loss, as 1 / (c n) against its mean.
+
+    Returns a function from rows to rows with the probability p. The categories of a column, which
+    the one-hot vectors list too, are collected."""
+    keep, mode = {}, {}
+    for name in categorical:
+        counts = train.filter(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("v")).count()
+        keep[name] = [r.v for r in counts.filter(F.col("count") >= rare).orderBy(F.desc("count"), "v").collect()]
+        mode[name] = keep[name][0] if keep[name] else "other"
 
     def tidy(df: DataFrame) -> DataFrame:
-        return df.withColumns({c: F.when(F.col(c).isin(keep[c]), F.col(c).cast("string")).otherwise("other") for c in categorical})
+        text = {name: F.coalesce(F.col(name).cast("string"), F.lit(mode[name])) for name in categorical}
+        return df.withColumns({n: F.when(t.isin(keep[n]), t).otherwise("other") for n, t in text.items()})
 
     stages = [
         Imputer(inputCols=numeric, outputCols=[f"i_{c}" for c in numeric], strategy="median"),
-        *[StringIndexer(inputCol=c, outputCol=f"n_{c}", handleInvalid="keep") for c in categorical],
+        *[StringIndexer(inputCol=x, outputCol=f"n_{x}", handleInvalid="keep") for x in categorical],
         OneHotEncoder(inputCols=[f"n_{c}" for c in categorical], outputCols=[f"o_{c}" for c in categorical], handleInvalid="keep"),
         VectorAssembler(inputCols=[f"i_{c}" for c in numeric], outputCol="v"),
         StandardScaler(inputCol="v", outputCol="z", withMean=True),
         VectorAssembler(inputCols=["z", *[f"o_{c}" for c in categorical]], outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol=label, regParam=0.03, maxIter=50),
+        LogisticRegression(featuresCol="x", labelCol=label, regParam=1 / (c * max(1, train.count())), maxIter=50, standardization=False),
     ]
     fitted = Pipeline(stages=stages).fit(tidy(train))
     return lambda df: fitted.transform(tidy(df)).withColumn("p", vector_to_array("probability")[1])
@@ -69,11 +76,10 @@ def logistic(train: DataFrame, numeric: list[str], categorical: list[str], label
 def probability_metrics(df: DataFrame, p: str, y: str, *by: str) -> DataFrame:
     """AUC by average ranks, Brier, the Brier score of the base rate, log loss, prevalence (M8).
 
-    Ranks come from the counts of equal probabilities, which combine before their shuffle; only
-    the distinct probabilities of a group are ordered."""
+    Ranks come from the counts of equal probabilities, which combine before their shuffle, and
+    from prefix sums over ranges of probabilities, so no task orders all of a group."""
     counts = df.groupBy(*by, p).agg(F.sum(y).alias("ones"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(0)).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    c = counts.withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("ones")).over(w), F.lit(0)))
+    c = S.sum_below(counts, F.col("n") - F.col("ones"), p, "below", *by)
     n1, n0 = F.sum("ones"), F.sum(F.col("n") - F.col("ones"))
     q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
     zeros = F.col("n") - F.col("ones")

@@ -1,5 +1,7 @@
 """Stateful series operators without a loop over rows: affine scans, islands, hysteresis."""
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,8 +11,10 @@ def exponential_means(df: DataFrame, key: str, time: str, value: str, spans: tup
     """y = a x + (1 - a) y[-1], y[first] = x, for each span, as column ema<span>.
 
     The recursion is affine. Each chunk of rows is summed up as y_end = decay * y_start + gain;
-    the few sums of a key are folded in order; then each chunk is finished from its own start.
-    No task holds more than one chunk of raw rows, or the chunk sums of one key.
+    the start of a chunk follows from the sums of the chunks before it, of which only so many are
+    looked at as still count in a double (2^-80); then each chunk is finished from its own start.
+    Rows are numbered within their key, for which Spark sorts a key in one task (it spills); all
+    else is by chunk.
     """
     order = Window.partitionBy(key).orderBy(time)
     rows = df.withColumn("_n", F.row_number().over(order) - 1).withColumn("_c", F.floor(F.col("_n") / chunk))
@@ -26,7 +30,8 @@ def exponential_means(df: DataFrame, key: str, time: str, value: str, spans: tup
         ) * F.pow(F.lit(keep), at)
     rows = rows.withColumns(weighted)
     sums = rows.groupBy(key, "_c").agg(F.count(F.lit(1)).alias("_size"), *[F.max_by(f"_s{s}", time).alias(f"_g{s}") for s in spans])
-    by = Window.partitionBy(key).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    past = max(2, *[math.ceil(80 * math.log(2) / (-math.log(1 - 2 / (s + 1)) * chunk)) + 1 if s > 1 else 2 for s in spans])
+    by = Window.partitionBy(key).orderBy("_c").rowsBetween(-past, -1)
     starts = sums.withColumn("_past", F.collect_list(F.struct("_size", *[f"_g{s}" for s in spans])).over(by))
     for s in spans:
         keep = 1 - 2 / (s + 1)

@@ -59,11 +59,15 @@ def week_daily(spark, d):
 
 
 def flagship(spark, d):
-    """Rank nations by trailing settlements, hold the tails, report the record of the book."""
-    return A.performance(A.trimmed(week_daily(spark, d)), PERIODS)
+    """Rank nations by trailing settlements, hold the tails, report the record of the book. Mean
+    turnover is given from the first position on and over the whole calendar."""
+    daily = week_daily(spark, d)
+    whole = daily.agg(F.round(F.avg("turnover"), 6).alias("turnover_untrimmed"))
+    return A.performance(A.trimmed(daily), PERIODS).join(F.broadcast(whole))
 
 
-query("e1_e3_e8_carry_record", T.with_sql(NAMES, WEEK + RECORD.format(t="live")))(flagship)
+_BOTH = RECORD.format(t="live").replace("AS worst FROM", "AS worst, (SELECT round(avg(turnover), 6) FROM net) AS turnover_untrimmed FROM")
+query("e1_e3_e8_carry_record", T.with_sql(NAMES, WEEK + _BOTH))(flagship)
 
 
 @query("x1_x8_tail_weights", T.with_sql(NAMES, WEEK + "SELECT symbol, day::VARCHAR AS day, round(signal, 11) AS signal, round(rk, 11) AS rank, round(target, 11) AS target, round(weight, 11) AS weight FROM panel"))
@@ -182,16 +186,16 @@ def two_legs(spark, d):
 
 
 @query("e15_e18_rebalance", T.with_sql("fill", """
-, held AS (SELECT part, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS held, avg(price) AS price FROM fill WHERE run < DATE '1998-01-01' GROUP BY part)
-, want AS (SELECT part, 1.0 / count(*) OVER () AS weight, avg_price FROM (SELECT part, avg(price) AS avg_price FROM fill WHERE run >= DATE '2001-01-01' GROUP BY part))
+, held AS (SELECT part, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS held, avg(price) AS price FROM fill WHERE run < DATE '2000-01-01' GROUP BY part)
+, want AS (SELECT part, 1.0 / count(*) OVER () AS weight, avg_price FROM (SELECT part, avg(price) AS avg_price FROM fill WHERE run >= DATE '2000-01-01' GROUP BY part))
 , j AS (SELECT part, coalesce(held, 0) AS held, coalesce(floor(round(1e6 * weight / avg_price, 6) / 0.5) * 0.5, 0) AS wanted, coalesce(avg_price, price) AS price FROM held FULL JOIN want USING (part))
 SELECT part, round(wanted - held, 6) AS delta, abs(wanted - held) * price < 5 AS too_small, ceil(abs(wanted - held) / 100)::BIGINT AS chunks, round(greatest(0.5, ceil(round(5 / price / 0.5, 6)) * 0.5) * price, 7) AS least_budget FROM j"""))
 def rebalance(spark, d):
     """Target against held quantities, steps, minimum sizes, chunks, least budget."""
     f = T.fills(spark, d)
     signed = F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
-    held = f.filter("run < DATE '1998-01-01'").groupBy("part").agg(F.sum(signed).alias("held"), F.avg("price").alias("price"))
-    want = f.filter("run >= DATE '2001-01-01'").groupBy("part").agg(F.avg("price").alias("avg_price"))
+    held = f.filter("run < DATE '2000-01-01'").groupBy("part").agg(F.sum(signed).alias("held"), F.avg("price").alias("price"))
+    want = f.filter("run >= DATE '2000-01-01'").groupBy("part").agg(F.avg("price").alias("avg_price"))
     n = want.agg(F.count(F.lit(1)).alias("n"))
     want = want.join(F.broadcast(n)).withColumn("wanted", F.floor(F.round(1e6 / F.col("n") / F.col("avg_price"), 6) / 0.5) * 0.5)
     j = held.join(want, "part", "full").select("part", F.coalesce("held", F.lit(0.0)).alias("held"), F.coalesce("wanted", F.lit(0.0)).alias("wanted"), F.coalesce("avg_price", "price").alias("price"))

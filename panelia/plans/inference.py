@@ -11,7 +11,8 @@ from panelia.plans.accounting import COST, NAMES, Q, WEEK, week_panel, week_weig
 from panelia.plans.registry import query
 from panelia.sources import stand_ins as T
 
-DRAWS = 20
+#: Draws of permutation nulls and of bootstraps, the least shift and the block of the latter.
+DRAWS, BOOTSTRAPS, LEAST_SHIFT, BLOCK = 200, 999, 14, 22
 
 
 def live(spark, d):
@@ -23,18 +24,14 @@ def ranks(x, t):
 
 
 def null_sharpes(panel, donors):
-    """Each draw trades the donor's whole signal history on the own returns."""
-    signal = panel.select(F.col("symbol").alias("donor"), "day", "signal")
-    p = panel.select("symbol", "day", "ret", "cash").join(donors, "symbol").join(signal, ["donor", "day"])
-    by = Window.partitionBy("draw", "day")
-    p = p.withColumn("rank", S.average_rank(F.col("signal"), "draw", "day"))
-    top, bottom = F.col("rank") >= 1 - Q, F.col("rank") <= Q
-    nt, nb = (F.count(F.when(x, 1)).over(by) for x in (top, bottom))
-    p = p.withColumn("target", F.when((nt == 0) | (nb == 0), 0.0).when(top, -0.5 / nt).when(bottom, 0.5 / nb).otherwise(0.0))
-    w = Window.partitionBy("draw", "symbol").orderBy("day")
-    p = p.withColumn("weight", F.coalesce(F.lag("target").over(w), F.lit(0.0)))
+    """Each draw trades the donor's whole signal history on the own returns. A donor stands
+    once in each draw, so its ranks and targets are the same in all draws and computed once; a
+    draw only joins, masks and accounts them."""
+    weights = X.tail_weights(panel, "signal", Q, flip=-1).select(F.col("symbol").alias("donor"), "day", "weight")
+    p = panel.select("symbol", "day", "ret", "cash").join(donors, "symbol").join(weights, ["donor", "day"])
     daily = A.trimmed(A.account(p, COST, ["draw"]), ["draw"])
-    return daily.groupBy("draw").agg(F.round(F.avg("net") / F.nullif(F.stddev_samp("net"), F.lit(0.0)) * 52**0.5, 6).alias("sharpe"), F.round(F.avg("turnover"), 6).alias("turnover"))
+    sharpe = F.avg("net") / F.nullif(F.stddev_samp("net"), F.lit(0.0)) * 52**0.5
+    return daily.groupBy("draw").agg(F.round(sharpe, 6).alias("sharpe"), F.round(F.avg("turnover"), 6).alias("turnover"))
 
 
 _N1 = f"""
@@ -105,38 +102,80 @@ def block_shuffle(spark, d):
     return p.join(moved, ["symbol", "n"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("ret", "shuffled"), 6).alias("c"), F.round(F.sum("ret") - F.sum("shuffled"), 8).alias("gap"))
 
 
-@query("n7_circular_shift", T.with_sql(NAMES, WEEK + """
-, ix AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM days), wi AS (SELECT symbol, i, n, w, coalesce(ret, 0) AS ret FROM masked JOIN ix USING (day)), sh AS (SELECT unnest(range(20, 41)) AS s)
-SELECT s AS shift, round(sum(a.w * b.ret), 8) AS price FROM wi a CROSS JOIN sh JOIN wi b ON b.symbol = a.symbol AND b.i = (a.i - s + a.n) % a.n WHERE a.n > 60 GROUP BY s"""))
+@query("n7_circular_shift", T.with_sql(NAMES, WEEK + f"""
+, ix AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM days)
+, wi AS (SELECT symbol, i, n, w, coalesce(ret, 0) - coalesce(cash, 0) AS r FROM masked JOIN ix USING (day))
+, fee AS (SELECT (sum(turnover) + max_by(gross, day)) * 0.001::DOUBLE AS fee, count(*) AS n FROM daily)
+, sh AS (SELECT 0 AS s UNION ALL SELECT unnest(range({LEAST_SHIFT}, (SELECT n FROM fee) - {LEAST_SHIFT} + 1)))
+, nl AS (SELECT s AS shift, round((sum(a.w * b.r) - max(fee)) / max(fee.n), 12) AS net FROM wi a CROSS JOIN sh CROSS JOIN fee JOIN wi b ON b.symbol = a.symbol AND b.i = (a.i - s + a.n) % a.n WHERE a.n >= 2 * {LEAST_SHIFT} AND a.w <> 0 GROUP BY s)
+, ob AS (SELECT net AS observed FROM nl WHERE shift = 0)
+SELECT shift, net, round((count(CASE WHEN net >= observed THEN 1 END) OVER () + 1) / (count(*) OVER () + 1)::DOUBLE, 10) AS p FROM nl, ob WHERE shift > 0"""))
 def circular_shift(spark, d):
-    """Outcomes taken from t - s around the end, for every shift of a range."""
+    """Price and cash taken together from t - s around the end, for every distinct shift
+    that is far enough from none; the book's own costs stay. One row a shift, and the p-value."""
     p = week_weights(spark, d)
-    n = p.agg(F.countDistinct("day").alias("n")).filter("n > 60")
-    p = p.join(X.ordinal_days(p), "day").join(F.broadcast(n))
+    daily = A.account(p, COST)
+    fee = daily.agg((F.sum("cost") + F.max_by("gross", "day") * COST).alias("fee"), F.count(F.lit(1)).alias("n"))
+    p = p.join(X.ordinal_days(p), "day").join(F.broadcast(fee.filter(F.col("n") >= 2 * LEAST_SHIFT)))
     w = F.when(F.col("ret").isNotNull(), F.col("weight")).otherwise(0.0)
-    held = p.select("symbol", "i", "n", w.alias("w")).filter("w <> 0")
-    out = p.select("symbol", F.col("i").alias("j"), F.coalesce("ret", F.lit(0.0)).alias("r"))
-    s = held.withColumn("shift", F.explode(F.sequence(F.lit(20).cast("bigint"), F.lit(40).cast("bigint")))).withColumn("j", (F.col("i") - F.col("shift") + F.col("n")) % F.col("n"))
-    return s.join(out, ["symbol", "j"]).groupBy("shift").agg(F.round(F.sum(F.col("w") * F.col("r")), 8).alias("price"))
-
-
-_BOOT = """
-, sr AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, net, net - avg(net) OVER () AS x, count(*) OVER () AS n FROM live)
-, dr AS (SELECT draw, b, n, ('0x' || substr(md5(concat_ws('|', '13', draw, b)), 1, 8))::BIGINT % n AS start FROM (SELECT max(n) AS n FROM sr) CROSS JOIN range(20) t(draw) CROSS JOIN range(1000) u(b) WHERE b < ceil(n / 22.0))
-, pos AS (SELECT draw, (start + o) % n AS i FROM dr CROSS JOIN range(22) v(o) WHERE b * 22 + o < n), bm AS (SELECT draw, avg(x) AS m, avg(net) / nullif(stddev_samp(net), 0) AS sh FROM pos JOIN sr USING (i) GROUP BY draw)"""
+    held = p.select("symbol", "i", "n", "fee", w.alias("w")).filter("w <> 0")
+    flow = F.coalesce("ret", F.lit(0.0)) - F.coalesce("cash", F.lit(0.0))
+    out = p.select("symbol", F.col("i").alias("j"), flow.alias("r"))
+    least = F.lit(LEAST_SHIFT).cast("bigint")
+    shifts = F.concat(F.array(F.lit(0).cast("bigint")), F.sequence(least, F.col("n") - least))
+    s = held.withColumn("shift", F.explode(shifts)).withColumn("j", (F.col("i") - F.col("shift") + F.col("n")) % F.col("n"))
+    total = F.sum(F.col("w") * F.col("r")) - F.max("fee")
+    null = s.join(out, ["symbol", "j"]).groupBy("shift").agg(F.round(total / F.max("n"), 12).alias("net"))
+    every = Window.partitionBy(F.lit(0))  # one row a shift
+    null = null.withColumn("observed", F.max(F.when(F.col("shift") == 0, F.col("net"))).over(every)).filter("shift > 0")
+    reached = F.count(F.when(F.col("net") >= F.col("observed"), 1)).over(every)
+    return null.select("shift", "net", F.round((reached + 1) / (F.count(F.lit(1)).over(every) + 1), 10).alias("p"))
+
+
+_BOOT = f"""
+, sr AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, net, price, net - avg(net) OVER () AS x, (net - price) - avg(net - price) OVER () AS xd, count(*) OVER () AS n FROM live)
+, dr AS (SELECT draw, b, n, ('0x' || substr(md5(concat_ws('|', '13', draw, b)), 1, 8))::BIGINT % n AS start FROM (SELECT max(n) AS n FROM sr) CROSS JOIN range({BOOTSTRAPS}) t(draw) CROSS JOIN range(1000) u(b) WHERE b < ceil(n / {BLOCK}.0))
+, pos AS (SELECT draw, (start + o) % n AS i FROM dr CROSS JOIN range({BLOCK}) v(o) WHERE b * {BLOCK} + o < n)
+, bm AS (SELECT draw, avg(x) AS m, avg(xd) AS md, (avg(net) / nullif(stddev_samp(net), 0) - avg(price) / nullif(stddev_samp(price), 0)) * sqrt(52) AS ds FROM pos JOIN sr USING (i) GROUP BY draw)"""
 
 
 @query("n8_block_bootstrap", T.with_sql(NAMES, WEEK + _BOOT + " SELECT draw, round(m * 1e4, 6) AS mean_bps FROM bm"))
 def block_bootstrap(spark, d):
-    b = N.block_bootstrap(live(spark, d), "net", 20, 22, "13")
+    b = N.block_bootstrap(live(spark, d), "net", BOOTSTRAPS, BLOCK, "13")
     return b.select("draw", F.round(F.col("mean") * 1e4, 6).alias("mean_bps"))
 
 
-@query("n9_sharpe_interval", T.with_sql(NAMES, WEEK + _BOOT + " SELECT count(*) AS n, round(quantile_cont(m, 0.05) * 1e4, 6) AS low, round(quantile_cont(m, 0.95) * 1e4, 6) AS high, round(avg((m <= 0)::INT), 6) AS share_below FROM bm"))
+@query("n8_block_p_values", T.with_sql(NAMES, WEEK + _BOOT + """
+, ob AS (SELECT round(avg(net), 12) AS o, round(avg(net - price), 12) AS od FROM sr)
+SELECT count(*) AS n, round(max(o) * 1e4, 6) AS observed_bps, (count(CASE WHEN round(m, 12) >= o THEN 1 END) + 1) / (count(*) + 1)::DOUBLE AS p,
+ round(max(od) * 1e4, 6) AS paired_bps, (count(CASE WHEN round(md, 12) >= od THEN 1 END) + 1) / (count(*) + 1)::DOUBLE AS paired_p FROM bm, ob"""))
+def block_p_values(spark, d):
+    """One-sided p-value of a positive net mean under serial dependence, and the paired form,
+    which asks it of the difference between the net series and that of prices alone."""
+    daily = live(spark, d).withColumn("gap", F.col("net") - F.col("price"))
+    found = {}
+    for name in ("net", "gap"):
+        null = N.block_bootstrap(daily, name, BOOTSTRAPS, BLOCK, "13").select(F.round("mean", 12).alias(name))
+        found[name] = N.p_value(null, daily.agg(F.round(F.avg(name), 12).alias(name)), name)
+    net, gap = found["net"], found["gap"].select(F.col("observed").alias("paired"), F.col("p").alias("paired_p"))
+    bps = lambda c, n: F.round(F.col(c) * 1e4, 6).alias(n)
+    return net.join(F.broadcast(gap)).select("n", bps("observed", "observed_bps"), "p", bps("paired", "paired_bps"), "paired_p")
+
+
+@query("n9_sharpe_interval", T.with_sql(NAMES, WEEK + _BOOT + """
+, ob AS (SELECT (avg(net) / nullif(stddev_samp(net), 0) - avg(price) / nullif(stddev_samp(price), 0)) * sqrt(52) AS o FROM sr)
+SELECT count(*) AS n, round(max(o), 6) AS observed, round(quantile_cont(ds, 0.025), 6) AS low, round(quantile_cont(ds, 0.975), 6) AS high, round(avg((round(ds, 10) <= 0)::INT), 6) AS share_below FROM bm, ob"""))
 def interval(spark, d):
-    """Percentile interval over draws and the share at or below zero."""
-    b = N.block_bootstrap(live(spark, d), "net", 20, 22, "13")
-    return b.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile("mean", q) * 1e4, 6).alias(n) for n, q in (("low", 0.05), ("high", 0.95))], F.round(F.avg((F.col("mean") <= 0).cast("int")), 6).alias("share_below"))
+    """Difference of the Sharpe ratios of two paired series over shared block draws: its
+    percentile interval and the share of draws at or below zero."""
+    daily = live(spark, d)
+    sharpe = lambda c: F.avg(c) / F.nullif(F.stddev_samp(c), F.lit(0.0)) * 52**0.5
+    gap = (sharpe("net") - sharpe("price")).alias("gap")
+    draws = N.block_draws(daily, ["net", "price"], BOOTSTRAPS, BLOCK, "13").groupBy("draw").agg(gap)
+    observed = daily.agg(gap).select(F.round("gap", 6).alias("observed"))
+    edges = [F.round(F.percentile("gap", q), 6).alias(n) for n, q in (("low", 0.025), ("high", 0.975))]
+    share = F.round(F.avg((F.round("gap", 10) <= 0).cast("int")), 6).alias("share_below")
+    return draws.agg(F.count(F.lit(1)).alias("n"), *edges, share).join(F.broadcast(observed)).select("n", "observed", "low", "high", "share_below")
 
 
 @query("n11_hac_mean", T.with_sql(NAMES, WEEK + """
@@ -162,6 +201,48 @@ def regression(spark, d):
     return f.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("a") * 1e4, 6).alias("intercept_bps"), F.round(F.max("b"), 6).alias("slope"), F.round(F.corr("net", "m"), 6).alias("correlation"), F.round(F.sqrt(F.sum(F.col("u") * F.col("u"))) * 1e4, 4).alias("residual_bps"))
 
 
+@query("n12_hac_intercept", T.with_sql(NAMES, WEEK + """
+, mk AS (SELECT day, median(ret) AS m FROM rets GROUP BY day), j AS (SELECT l.day, net, m, row_number() OVER (ORDER BY l.day) AS i FROM live l JOIN mk USING (day) WHERE m IS NOT NULL)
+, c AS (SELECT regr_intercept(net, m) AS a, regr_slope(net, m) AS b, count(*) AS n, sum(m) AS s, sum(m * m) AS q FROM j)
+, h AS (SELECT i, (q - s * m) / (n * q - s * s) * (net - a - b * m) AS h FROM j, c)
+, v AS (SELECT (SELECT sum(h * h) FROM h) + (SELECT sum(2 * (1 - l / 11.0) * x.h * y.h) FROM h x JOIN range(1, 11) t(l) ON true JOIN h y ON y.i = x.i - l) AS v)
+SELECT n, round(a * 1e4, 6) AS intercept_bps, round(b, 6) AS slope, CASE WHEN n > 12 AND v > 0 THEN round(sqrt(v) * 1e4, 6) END AS se_bps, CASE WHEN n > 12 AND v > 0 THEN round(a / sqrt(v), 6) END AS t FROM c, v"""))
+def hac_intercept(spark, d):
+    """T of the intercept against the market with a Bartlett-weighted error over ten lags."""
+    market = week_panel(spark, d).groupBy("day").agg(F.median("ret").alias("m")).filter("m IS NOT NULL")
+    h = N.hac_intercept(live(spark, d).join(market, "day"), "net", "m", 10)
+    bps = lambda c: F.round(F.col(c) * 1e4, 6).alias(f"{c}_bps")
+    return h.select("n", bps("intercept"), F.round("slope", 6).alias("slope"), bps("se"), F.round("t", 6).alias("t"))
+
+
+@query("n15_orientation", T.with_sql("decision", """
+, x AS (SELECT side, proba, pnl, event_id FROM decision WHERE proba IS NOT NULL AND pnl IS NOT NULL)
+, r AS (SELECT *, rank() OVER (PARTITION BY side ORDER BY proba) + (count(*) OVER (PARTITION BY side, proba) - 1) / 2.0::DOUBLE AS a,
+   rank() OVER (PARTITION BY side ORDER BY pnl) + (count(*) OVER (PARTITION BY side, pnl) - 1) / 2.0::DOUBLE AS b,
+   row_number() OVER (PARTITION BY side ORDER BY proba, event_id) AS k, count(*) OVER (PARTITION BY side) AS n, greatest(1, count(*) OVER (PARTITION BY side) // 4) AS q FROM x)
+, g AS (SELECT side, count(*) AS n, round(corr(proba, pnl), 6) AS c, round(corr(a, b), 6) AS rc, round(sum(CASE WHEN k <= q THEN pnl ELSE 0 END), 6) AS bottom, round(sum(CASE WHEN k > n - q THEN pnl ELSE 0 END), 6) AS top FROM r GROUP BY side)
+SELECT side, n, c AS correlation, rc AS rank_correlation, bottom, top, CASE WHEN n < 20 THEN 'LOW_N' WHEN rc < -0.1 AND top < bottom THEN 'POSSIBLE_INVERTED' WHEN rc > 0.1 AND top > bottom THEN 'ALIGNED' ELSE 'WEAK_OR_NOISY' END AS verdict FROM g"""))
+def orientation(spark, d):
+    """Does a score rank outcomes the right way round? Correlation, rank correlation, the
+    outcomes of the lowest and highest quarter of scores, and a verdict for each side. Ranks within
+    a side are ordered by Spark's sort, which spills; the sides are few by definition."""
+    x = T.decisions(spark, d).filter("proba IS NOT NULL AND pnl IS NOT NULL")
+    side = Window.partitionBy("side")
+    n = F.count(F.lit(1)).over(side)
+    r = x.withColumns({
+        "a": S.average_rank(F.col("proba"), "side"), "b": S.average_rank(F.col("pnl"), "side"), "n": n,
+        "k": F.row_number().over(side.orderBy("proba", "event_id")), "q": F.greatest(F.lit(1), F.floor(n / 4)),
+    })
+    total = lambda where: F.round(F.sum(F.when(where, F.col("pnl")).otherwise(0.0)), 6)
+    g = r.groupBy("side").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.corr("proba", "pnl"), 6).alias("correlation"), F.round(F.corr("a", "b"), 6).alias("rank_correlation"),
+        total(F.col("k") <= F.col("q")).alias("bottom"), total(F.col("k") > F.col("n") - F.col("q")).alias("top"),
+    )
+    c = F.col("rank_correlation")
+    verdict = F.when(F.col("n") < 20, "LOW_N").when((c < -0.1) & (F.col("top") < F.col("bottom")), "POSSIBLE_INVERTED")
+    return g.withColumn("verdict", verdict.when((c > 0.1) & (F.col("top") > F.col("bottom")), "ALIGNED").otherwise("WEAK_OR_NOISY"))
+
+
 @query("n13_effective_n", T.with_sql("decision", """
 SELECT side, count(pnl) AS n, round(sum(proba), 6) AS effective, round(sum(pnl * proba) / nullif(sum(CASE WHEN pnl IS NOT NULL THEN proba END), 0), 8) AS mean, round(stddev_samp(pnl) / sqrt(nullif(sum(proba), 0)), 8) AS se FROM decision GROUP BY side"""))
 def effective_n(spark, d):

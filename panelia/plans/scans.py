@@ -81,14 +81,26 @@ def point_in_time(spark, d):
 
 
 @query("a14_a20_conflicts", T.with_sql("ev", """
-, u AS (SELECT symbol, day, event_type FROM ev WHERE event_id % 50 < 2) SELECT symbol, day::VARCHAR AS day, count(DISTINCT event_type) AS n_values FROM u GROUP BY symbol, day HAVING count(DISTINCT event_type) > 1"""))
+, u AS (SELECT symbol, day, arg_min(event_type, ts) AS event_type FROM ev GROUP BY ALL UNION ALL SELECT symbol, day, arg_max(event_type, ts) FROM ev GROUP BY ALL)
+SELECT symbol, day::VARCHAR AS day, count(DISTINCT event_type) AS n_values FROM u GROUP BY symbol, day HAVING count(DISTINCT event_type) > 1"""))
 def conflicts(spark, d):
-    """Keys on which overlapping extracts disagree."""
-    e = T.events(spark, d)
-    both = e.filter("event_id % 50 = 0").unionByName(e.filter("event_id % 50 = 1"))
+    """Keys on which two extracts of all events, by first and by last event of a day, disagree."""
+    e = T.events(spark, d).groupBy("symbol", "day")
+    first, last = (e.agg(f("event_type", "ts").alias("event_type")) for f in (F.min_by, F.max_by))
+    both = first.unionByName(last)
     return B.conflicts(both, ["symbol", "day"], "event_type").withColumn("day", F.col("day").cast("string"))
 
 
+@query("a20_disjoint_universes", T.with_sql("ev", """
+, k AS (SELECT symbol, bool_or(day < DATE '2024-01-15') AS a, bool_or(day >= DATE '2024-01-15') AS b FROM ev WHERE event_type = 'error' GROUP BY symbol)
+SELECT count(*) FILTER (a) AS n_left, count(*) FILTER (b) AS n_right, count(*) FILTER (a AND b) AS n_common, count(*) FILTER (a AND b) = 0 AS disjoint FROM k"""))
+def disjoint_universes(spark, d):
+    """The symbols of a discovery period against those of the hold-out."""
+    e = T.events(spark, d).filter("event_type = 'error'")
+    early = F.col("day") < F.lit("2024-01-15").cast("date")
+    return B.disjoint(e.filter(early), e.filter(~early), "symbol")
+
+
 @query("a15_digest", T.with_sql("bars_day", """
 , h AS (SELECT md5(concat_ws('|', symbol, day::VARCHAR, volume::BIGINT)) AS m FROM bars_day)
 SELECT count(*) AS n_rows, sum(('0x' || substr(m, 1, 8))::BIGINT)::BIGINT AS sum_1, sum(('0x' || substr(m, 9, 8))::BIGINT)::BIGINT AS sum_2 FROM h"""))

@@ -79,16 +79,28 @@ def tumbling_stream(spark, d):
 
 @query("t1_sampled_stream")
 def sampled_stream(spark, d):
-    """At most one event in thirty hours of each key, by state over micro-batches."""
+    """At most one event in thirty hours of each key, by state over micro-batches. Each batch
+    has a folder, so a batch that is replayed replaces its rows."""
     ship_package(spark)
     path = scratch(spark)
     e = event_stream(spark, d).select(F.col("user_id").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     s = R.sampled(e, "symbol", "t", 30 * 3600 * 1_000_000)
-    s.writeStream.foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    s.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out/batch={n}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema("symbol long, t long").parquet(f"{path}/out")
     return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_kept"), F.max("t").alias("last_kept"))
 
 
+@query("a21_ndjson_landing", T.with_sql("ev", "SELECT CASE k % 3 WHEN 0 THEN 'depth' WHEN 1 THEN 'liquidation' ELSE 'gap' END AS kind, count(*) AS n, max(epoch_us(ts) // 1000) AS latest_ms FROM ev GROUP BY 1"))
+def ndjson_landing(spark, d):
+    """The records as NDJSON files, read by the landing stream into Parquet, then counted."""
+    path = scratch(spark)
+    messages(spark, d).write.json(f"{path}/landed")
+    found = R.landing(spark, f"{path}/landed", R.RECORD, "*.json")
+    sink = found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return R.kind_counters(spark.read.schema(R.RECORD).parquet(f"{path}/out"))
+
+
 @query("t5_t8_append_once")
 def append_once(spark, d):
     """Hourly files from the stream, and the same stream appended twice stores each key
@@ -98,9 +110,9 @@ def append_once(spark, d):
     R.rotated_sink(e, "ts", f"{path}/hours", f"{path}/s0").awaitTermination()
     schema = "event_id long, ts timestamp_ntz, symbol long"
     for k in (1, 2):
-        R.append_once(e, ["event_id"], f"{path}/once", f"{path}/s{k}", schema).awaitTermination()
+        R.append_once(e, ["event_id"], "ts", f"{path}/once", f"{path}/s{k}", schema).awaitTermination()
     hours = spark.read.parquet(f"{path}/hours").groupBy("date").agg(F.countDistinct("hour").alias("hours"), F.count(F.lit(1)).alias("n_rotated"))
-    once = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/once").groupBy(F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n_once"))
+    once = spark.read.schema(f"{schema}, date date, batch string").parquet(f"{path}/once").drop("date").groupBy(F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n_once"))
     return hours.join(once, "date").select(F.col("date").cast("string").alias("day"), "hours", "n_rotated", "n_once")
 
 

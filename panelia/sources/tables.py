@@ -118,3 +118,11 @@ def book_rows(books: DataFrame, day: str, longs: str, shorts: str) -> DataFrame:
         return rows.select(day, F.explode("_n").alias("symbol"), (F.lit(0.5 * sign) / F.size("_n")).alias("weight"))
 
     return side(longs, 1.0).unionByName(side(shorts, -1.0))
+
+
+def disjoint(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(n_left, n_right, n_common, disjoint): two universes must not share a key."""
+    sides = left.select(key, F.lit(True).alias("a")).unionByName(right.select(key, F.lit(False).alias("a")))
+    each = sides.groupBy(key).agg(F.bool_or("a").alias("l"), F.bool_or(~F.col("a")).alias("r"))
+    both = F.count_if(F.col("l") & F.col("r"))
+    return each.agg(F.count_if("l").alias("n_left"), F.count_if("r").alias("n_right"), both.alias("n_common"), (both == 0).alias("disjoint"))

@@ -96,23 +96,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
 
 
-def append_once(rows: DataFrame, keys: list[str], path: str, checkpoint: str, schema: str):
-    """Each key stored once, a repeated batch changes nothing (T8): the run and the
-    batch number name the folder of a batch, and rows that other batches have stored are left out."""
+def append_once(rows: DataFrame, keys: list[str], time: str, path: str, checkpoint: str, schema: str):
+    """Each key stored once, a repeated batch changes nothing (T8): the run and the batch number
+    name the folder of a batch, and rows that other batches have stored are left out. Files are
+    partitioned by the date of ``time``, which a key must fix, and only the dates of a batch are
+    read again (as many as the batch has), not the whole sink."""
 
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        own = f"{path}/{run}-{number}"
+        own = f"{path}/batch={run}-{number}"
         if exists(spark, f"{own}/_SUCCESS"):  # a replay of a finished batch
             return
-        fresh = batch.dropDuplicates(keys)
+        fresh = batch.dropDuplicates(keys).withColumn("date", F.to_date(time))
         if exists(spark, path):
-            reader = spark.read.schema(schema).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-            known = reader.parquet(path).filter(~F.input_file_name().contains(f"{run}-{number}"))
+            dates = [r.date for r in fresh.select("date").distinct().collect()]
+            reader = spark.read.schema(f"{schema}, date date, batch string").option("ignoreMissingFiles", "true")
+            known = reader.parquet(path).filter(F.col("date").isin(dates) & (F.col("batch") != f"{run}-{number}"))
             fresh = fresh.join(known.select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(own)
+        fresh.write.mode("overwrite").partitionBy("date").parquet(own)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
