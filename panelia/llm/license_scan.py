@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +36,17 @@ SENTENCES = {
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0.",
     "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd-notice": "Licensed under CC BY-ND 4.0.",
+    "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "cc0-no-warranty": "This software is distributed without any warranty.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "epl2-available": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl21-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "mpl-obtain": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
@@ -59,79 +70,82 @@ RULES = [
     ("cc-by-sa-4.0-notice", "CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("cc-by-4.0-work", "CC-BY-4.0", ["cc-by-work"]),
     ("cc-by-nc-4.0-work", "CC-BY-NC-4.0", ["cc-by-nc-work"]),
+    ("cc-by-nd-4.0-notice", "CC-BY-ND-4.0", ["cc-by-nd-notice"]),
+    ("cc0-short", "CC0-1.0", ["cc0-dedicated"]),
+    ("cc0-header", "CC0-1.0", ["cc0-dedicated", "cc0-no-warranty"]),
+    ("unlicense-short", "Unlicense", ["unlicense-free"]),
+    ("unlicense-text", "Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    ("isc-text", "ISC", ["isc-permission"]),
+    ("epl-2.0-header", "EPL-2.0", ["epl2-available"]),
+    ("gpl-2.0-short", "GPL-2.0-or-later", ["gpl2-free"]),
+    ("gpl-2.0-header", "GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-details"]),
+    ("lgpl-2.1-short", "LGPL-2.1-or-later", ["lgpl21-free"]),
+    ("lgpl-2.1-header", "LGPL-2.1-or-later", ["lgpl21-free", "lgpl21-hope"]),
+    ("agpl-3.0-short", "AGPL-3.0-or-later", ["agpl3-free"]),
     ("mpl-2.0-short", "MPL-2.0", ["mpl-subject"]),
     ("mpl-2.0-header", "MPL-2.0", ["mpl-subject", "mpl-obtain"]),
 ]
 
-#: Unknown sentences that may stand between two known ones of a rule (an address, a wrapped title).
-GAP = 2
-#: Lines over which a known sentence may be wrapped.
-LINES = 8
-#: White space after a sentence end, or a blank line, ends a sentence; single line feeds do so too
-#: where a notice stands on a line of its own (see ``sentences``).
-SENTENCE_END = "([.;:!?])[ \\t\\r\\n]+"
+#: Words of unknown sentences that may stand between two known ones of a rule (an address, a year).
+GAP = 40
 
 
 def normalised(text: str) -> str:
     return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
 
 
-def sentences(text: Column) -> Column:
-    """Array of raw sentences. Each end mark before white space, and each line feed, ends one."""
-    return F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
+#: No known sentence has more words.
+LONGEST = max(len(normalised(t).split()) for t in SENTENCES.values())
+
+
+def starts() -> list[str]:
+    return sorted({" ".join(normalised(t).split()[:2]) for t in SENTENCES.values()})
 
 
 def known_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, pos, sentence): the known sentences of every text; all others fall away
-    before anything is shuffled. The dictionary is a fixed list, so it may be broadcast.
+    """(doc_id, row, pos, last, sentence): the known sentences of every text by their first and
+    last word, counted from 0. The dictionary is a fixed list, so it may be broadcast.
 
-    Long sentences are wrapped over lines in real files, so a line joins the next ones: besides
-    each line, the joined texts of up to LINES lines from there are looked up.
-    """
+    A text is its sequence of words in lower case without marks, so how a sentence is wrapped,
+    boxed or indented does not count. Only places where two words begin a known sentence leave the
+    text, each with as many words as the longest sentence has. Of sentences inside one another
+    only the outermost is known."""
     spark = docs.sparkSession
-    known = spark.createDataFrame([(normalised(t), i) for i, t in SENTENCES.items()], "sentence_text string, sentence string")
-    lines = docs.select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("row"),
-        F.filter(
-            F.transform(
-                sentences(text_or_empty()),
-                lambda s: F.trim(F.lower(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))),
-            ),
-            lambda s: s != "",
-        ).alias("lines"),
-    )
-    # only lines that begin like a known sentence leave the array, each with the lines after it
-    starts = sorted({" ".join(normalised(t).split()[:2]) for t in SENTENCES.values()})
+    rows = [(" ".join(normalised(t).split()[:2]), normalised(t), len(normalised(t).split()), i) for i, t in SENTENCES.items()]
+    known = spark.createDataFrame(rows, "start string, sentence_text string, size int, sentence string")
+    words = F.split(F.trim(F.lower(F.regexp_replace(text_or_empty(), "[^A-Za-z0-9]+", " "))), " ")
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words.alias("words"))
+    firsts = sorted({x.split()[0] for x in starts()})
+    pair = lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))
     begun = F.filter(
-        F.transform("lines", lambda s, i: F.struct(i.alias("pos"), s.alias("line"))),
-        lambda x: F.substring_index(x["line"], " ", 2).isin(starts),
-    )
-    ahead = F.transform(begun, lambda x: F.struct(x["pos"].alias("pos"), F.slice("lines", x["pos"] + 1, LINES).alias("ahead")))
-    spans = F.transform(
-        F.sequence(F.lit(1), F.size("at.ahead")),
-        lambda n: F.struct(n.alias("n"), F.concat_ws(" ", F.slice("at.ahead", F.lit(1), n)).alias("text")),
+        F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(firsts) & pair(i).isin(starts())
     )
-    return (
-        lines.select("doc_id", "row", F.explode(ahead).alias("at"))
-        .select("doc_id", "row", F.col("at.pos").alias("pos"), F.explode(spans).alias("span"))
-        .join(F.broadcast(known), F.col("span.text") == F.col("sentence_text"))
-        .select("doc_id", "row", "pos", (F.col("pos") + F.col("span.n") - 1).alias("last"), "sentence")
+    at = F.transform(begun, lambda i: F.struct(i.alias("pos"), F.slice("words", i + 1, LONGEST).alias("ahead")))
+    ahead = F.col("at.ahead")
+    found = (
+        texts.select("doc_id", "row", F.explode(at).alias("at"))
+        .withColumn("start", F.concat_ws(" ", F.get(ahead, 0), F.get(ahead, 1)))
+        .join(F.broadcast(known), "start")
+        .filter(F.concat_ws(" ", F.slice(ahead, F.lit(1), F.col("size"))) == F.col("sentence_text"))
+        .select("doc_id", "row", F.col("at.pos").alias("pos"), (F.col("at.pos") + F.col("size") - 1).alias("last"), "sentence")
     )
+    by_place = Window.partitionBy("doc_id", "row").orderBy("pos", F.desc("last"))
+    before = F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("before", before).filter("before IS NULL OR last > before").drop("before")
 
 
 def license_scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
-    """doc_id, license, rule, first_sentence, last_sentence, n_sentences: every rule found.
+    """doc_id, license, rule, first_word, last_word, n_sentences: every rule found.
 
-    A rule is found where its sentences follow each other with at most ``gap`` other sentences
-    between two of them; a find that lies inside a longer one is dropped. Sentences count from 0
-    and blank ones do not count. Null, empty and licence-free texts give no rows. A text with one
-    notice twice gives two rows; repeated rows of ``docs`` give repeated results; an empty table
-    gives an empty one; other columns are ignored.
+    A rule is found where its sentences follow each other with no other known one and at most
+    ``gap`` words between two of them; a find that lies inside a longer one is dropped. Words count
+    from 0. Null, empty and licence-free texts give no rows. A text with one notice twice gives two
+    rows; repeated rows of ``docs`` give repeated results; an empty table gives an empty one; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     rules = spark.createDataFrame(RULES, "rule string, license string, wanted array<string>")
-    in_text = Window.partitionBy("doc_id", "row").orderBy("pos")
+    in_text = Window.partitionBy("doc_id", "row").orderBy("pos")  # one sentence at a place
     longest = max(len(r[2]) for r in RULES)
     sequence = known_sentences(docs).withColumn(
         "ahead", F.collect_list(F.struct("pos", "last", "sentence")).over(in_text.rowsBetween(0, longest - 1))
@@ -146,15 +160,13 @@ def license_scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
     finds = (
         sequence.join(F.broadcast(rules), F.col("sentence") == F.element_at("wanted", 1))
         .filter((F.size("ahead") >= size) & in_order & close)
-        .select("doc_id", "row", "license", "rule", F.col("pos").alias("first_sentence"), F.get(F.col("ahead.last"), size - 1).alias("last_sentence"), size.alias("n_sentences"))
-    )
-    by_place = Window.partitionBy("doc_id", "row").orderBy("first_sentence", F.desc("last_sentence"), "rule")
-    before = F.max("last_sentence").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    return (
-        finds.withColumn("covered", F.coalesce(F.col("last_sentence") <= before, F.lit(False)))
-        .filter(~F.col("covered"))
-        .select("doc_id", "license", "rule", F.col("first_sentence").cast("long").alias("first_sentence"), F.col("last_sentence").cast("long").alias("last_sentence"), F.col("n_sentences").cast("long").alias("n_sentences"))
+        .select("doc_id", "row", "license", "rule", F.col("pos").alias("first_word"), F.get(F.col("ahead.last"), size - 1).alias("last_word"), size.alias("n_sentences"))
     )
+    by_place = Window.partitionBy("doc_id", "row").orderBy("first_word", F.desc("last_word"), "rule")
+    before = F.max("last_word").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    long = [F.col(c).cast("long").alias(c) for c in ("first_word", "last_word", "n_sentences")]
+    covered = F.coalesce(F.col("last_word") <= before, F.lit(False))
+    return finds.withColumn("covered", covered).filter(~F.col("covered")).select("doc_id", "license", "rule", *long)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,27 +175,26 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(normalised(t))}, {quoted(i)})" for i, t in SENTENCES.items())
+    known = ", ".join(f"({quoted(normalised(t))}, {len(normalised(t).split())}, {quoted(i)})" for i, t in SENTENCES.items())
     rules = ", ".join(f"({quoted(r)}, {quoted(x)}, [{', '.join(map(quoted, w))}])" for r, x, w in RULES)
     return f"""
-WITH known(sentence_text, sentence) AS (VALUES {known}),
+WITH known(sentence_text, size, sentence) AS (VALUES {known}),
 rules(rule, license, wanted) AS (VALUES {rules}),
-lined AS (
-  SELECT doc_id, list_filter(list_transform(
-    string_split(regexp_replace(coalesce(text, ''), '([.;:!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)),
-    lambda s: trim(lower(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g')))), lambda s: s <> '') AS lines
-  FROM documents),
-one AS (SELECT doc_id, lines, unnest(range(len(lines))) AS pos FROM lined),
-span AS (
-  SELECT doc_id, pos, pos + n - 1 AS last, array_to_string(lines[pos + 1 : pos + n], ' ') AS txt
-  FROM one, range(1, {LINES + 1}) t(n)
-  WHERE pos + n <= len(lines)
-    AND array_to_string(string_split(lines[pos + 1], ' ')[1:2], ' ') IN (SELECT array_to_string(string_split(sentence_text, ' ')[1:2], ' ') FROM known)),
+worded AS (SELECT doc_id, string_split(trim(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))), ' ') AS words FROM documents),
+one AS (
+  SELECT doc_id, words, unnest(list_filter(range(len(words)), lambda i: (words[i + 1] || ' ' || coalesce(words[i + 2], '')) IN ({', '.join(map(quoted, starts()))}))) AS pos
+  FROM worded),
+found AS (
+  SELECT doc_id, pos, pos + size - 1 AS last, sentence
+  FROM one JOIN known ON (words[pos + 1] || ' ' || words[pos + 2]) = array_to_string(string_split(sentence_text, ' ')[1:2], ' ')
+  WHERE array_to_string(words[pos + 1 : pos + size], ' ') = sentence_text),
+outer_ AS (
+  SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY pos, last DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM found),
 sequence AS (
   SELECT doc_id, pos, last, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
-  FROM span JOIN known ON txt = sentence_text),
+  FROM outer_ WHERE before IS NULL OR last > before),
 finds AS (
-  SELECT s.doc_id, r.license, r.rule, s.pos AS first_sentence, max(a.last) AS last_sentence, len(r.wanted) AS n_sentences
+  SELECT s.doc_id, r.license, r.rule, s.pos AS first_word, max(a.last) AS last_word, len(r.wanted) AS n_sentences
   FROM sequence s JOIN rules r ON s.sentence = r.wanted[1]
   JOIN sequence a ON a.doc_id = s.doc_id AND a.k BETWEEN s.k AND s.k + len(r.wanted) - 1
     AND a.sentence = r.wanted[a.k - s.k + 1]
@@ -192,12 +203,12 @@ finds AS (
   GROUP BY s.doc_id, s.k, r.license, r.rule, s.pos, len(r.wanted)
   HAVING count(*) = len(r.wanted)),
 placed AS (
-  SELECT *, max(last_sentence) OVER (PARTITION BY doc_id ORDER BY first_sentence, last_sentence DESC, rule
+  SELECT *, max(last_word) OVER (PARTITION BY doc_id ORDER BY first_word, last_word DESC, rule
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
   FROM finds)
-SELECT doc_id, license, rule, first_sentence::BIGINT AS first_sentence, last_sentence::BIGINT AS last_sentence,
+SELECT doc_id, license, rule, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        n_sentences::BIGINT AS n_sentences
-FROM placed WHERE before IS NULL OR last_sentence > before
+FROM placed WHERE before IS NULL OR last_word > before
 """
 
 
