@@ -17,26 +17,36 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # greedy runs: the same spans as runs of any length, then a filter
 
-#: A candidate for the token test is a run of this many characters or more.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: A candidate for the token test is a run of 16 characters or more, without the marks at its ends.
+CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_=.-]{14,}[A-Za-z0-9]")
 #: Random strings need more tokens than words do: fewer characters a token than this are suspect.
-CHARS_PER_TOKEN = 2.0
+#: Runs that look like identifiers, and runs of under 20 characters, must be more suspect still:
+#: the ratio of short words spreads more. Under 20 letters of one case nothing tells them apart.
+CHARS_PER_TOKEN, OF_IDENTIFIERS, OF_SHORT_RUNS, SHORT = 2.1, 2.0, 1.9, 20
+WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 # Lengths of known digests in hexadecimal (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512).
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 DIGEST = re.compile(r"(?:(?:md5|sha(?:1|224|256|384|512))[-=_])?(?:[0-9a-f]+|[0-9A-F]+)", re.A)
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: Identifiers: words joined by _ - / or capitals, a number at most at the end of each. All repeats
 #: are possessive: giving letters back never helps a match, and trying it takes exponential time.
-IDENTIFIER = re.compile(r"[/_-]*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)[0-9]{0,4}+[/_-]*+)++=*+")
-NUMBER = re.compile(r"[0-9/_=+-]+")
+IDENTIFIER = re.compile(r"[/_.-]*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)[0-9]{0,4}+[/_.-]*+)++=*+")
+NUMBER = re.compile(r"[0-9/_=+.-]+")
 
 
 def excluded(run: str) -> bool:
-    """Known digests, UUIDs, identifiers and plain numbers are no secrets by their looks."""
+    """Known digests, UUIDs and plain numbers are no secrets by their looks."""
     digest = DIGEST.fullmatch(run)
     if digest and len(re.split("[-=_]", run)[-1]) in DIGEST_LENGTHS:
         return True
-    return bool(UUID.fullmatch(run) or NUMBER.fullmatch(run) or IDENTIFIER.fullmatch(run))
+    return bool(UUID.fullmatch(run) or NUMBER.fullmatch(run))
+
+
+def least_ratio(run: str, chars_per_token: float) -> float:
+    """Characters a token that a run must have to pass as no secret."""
+    if len(run) < SHORT:
+        return 0.0 if WORD.fullmatch(run) else min(chars_per_token, OF_SHORT_RUNS)
+    return min(chars_per_token, OF_IDENTIFIERS) if IDENTIFIER.fullmatch(run) else chars_per_token
 
 
 class Scanner:
@@ -53,15 +63,16 @@ class Scanner:
         return found
 
     def random(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Runs with letters and digits, outside the base spans, of low characters per token."""
-        found = []
+        """Runs outside the base spans, which come in order, of few characters a token."""
+        found, at, reach = [], 0, 0
         for m in CANDIDATE.finditer(text):
             run, (a, b) = m[0], m.span()
-            if any(c < b and a < d for c, d, _ in base) or excluded(run):
-                continue
-            if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+            while at < len(base) and base[at][0] < b:  # reach: how far those before b go
+                reach = max(reach, base[at][1])
+                at += 1
+            if reach > a or excluded(run):
                 continue
-            if len(run) < self.limit * len(self.encoding.encode_ordinary(run)):
+            if len(run) < least_ratio(run, self.limit) * len(self.encoding.encode_ordinary(run)):
                 found.append((a, b, "random"))
         return found
 
@@ -89,7 +100,8 @@ def secret_scan(docs: DataFrame, ranks_path: str, pattern: str, chars_per_token:
 
     Spans are kind:start:end in code points, by start and then by kind. Null and empty texts have
     no spans (the digest is that of the empty string). Repeated rows give repeated results; an
-    empty table gives an empty one; other columns are not read. One pass, no shuffle.
+    empty table gives an empty one; other columns are not read. One pass, no shuffle. Runs are
+    measured whole, however long they are.
     """
 
     def run(batches):
