@@ -27,9 +27,12 @@ def text_digest() -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a default only where the session names none."""
+    """The shared folder of the cluster. Where the session names none, a default of a local session
+    serves, whose executors are on this machine; on a cluster there is none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")

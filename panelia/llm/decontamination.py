@@ -113,8 +113,9 @@ class Matcher:
 def benchmark_blocks(benchmark: DataFrame, block: int = BLOCK):
     """Lists of (item_id, normalised text), each of at most about ``block`` characters of items.
 
-    The number of blocks follows from the size of the benchmark, so what is held or broadcast
-    at a time does not grow with it. Items without words match nothing and are left out.
+    A block has a bounded size; how many there are, and with them the passes over the documents
+    and the blocks that are broadcast in turn, grows with the benchmark. Items without words match
+    nothing and are left out.
     """
     items = benchmark.select("item_id", text_or_empty().alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0

@@ -95,8 +95,9 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = LIMIT, huge: int
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs``.
 
     Texts of up to ``huge`` bytes are encoded whole where they are read. Longer ones are cut at
-    proven places into chunks, which are dealt out over all tasks and summed by row, so no task
-    encodes more than a chunk of a document at a time. Null and empty texts have no bytes and no
+    proven places into chunks, which are dealt out over all tasks and summed by row. A chunk has
+    about ``chunk`` code points; it is longer only where no place near its edge can be proven, up
+    to the whole of a text that has none. Null and empty texts have no bytes and no
     tokens. Repeated rows give repeated results; an empty table gives an empty one; other
     columns are not read.
     """
