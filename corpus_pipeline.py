@@ -15,32 +15,39 @@ from panelia.llm.common import stored, table, text_digest
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go. Null and empty texts are not toxic; rows with
+    a null or repeated doc_id are judged by their text; an empty table stays empty."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, model)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, that with the largest doc_id; one with a null doc_id if there
-    is no other."""
+    is no other. Null and empty texts are equal; of rows given twice one stays; an empty table
+    stays empty."""
     index = f"digest_index_{uuid.uuid4().hex}"
     verdicts = exact_dedup.exact_dedup(docs, index, exact_dedup.index_buckets(spark))
-    return keep_rows(docs, verdicts.filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest")))
+    kept = keep_rows(docs, verdicts.filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest")))
+    spark.sql(f"DROP TABLE {index}")  # the kept keys are stored
+    return kept
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies one row stays, that with the smallest doc_id; one with a
-    null doc_id if there is no other."""
+    null doc_id if there is no other. Null and empty texts are near copies of one another; of rows
+    given twice one stays; an empty table stays empty."""
     return keep_rows(docs, simhash.near_kept(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go. Null and empty texts hold none; ids do not count, so
+    rows with a null or repeated doc_id are judged by their text; an empty table stays empty."""
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the decoded bytes of what is left."""
+    """Digests of the ids and of the decoded bytes of what is left, one row for each row, whatever
+    its doc_id; null and empty texts have no ids."""
     return byte_bpe.encoding_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
