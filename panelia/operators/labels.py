@@ -100,3 +100,54 @@ def _greedy(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
             yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
 
     return dealt.mapInPandas(run, dealt.schema).drop("_a", "_z")
+
+
+#: Exit profiles (H11): stop, first target, share sold there, runner target as a multiple of the
+#: first, trailing distance, offset of the break-even stop, bars to wait before trailing after the
+#: first target, gain from which the stop trails before it (null: never).
+PROFILE = "profile string, stop double, target double, share double, runner double, trail double, even double, wait int, trigger double"
+
+
+def exit_replay(paths: DataFrame, cost: float) -> DataFrame:
+    """The exit of each row (H11), which holds a profile (see PROFILE), side 1 or -1, entry, and
+    ``path``, an array of the bars after entry (high, low, close).
+
+    Everything is a return in the direction of the trade, so both sides follow one rule: a bar that
+    reaches the stop ends the trade there; else one that reaches the first target sells a share and
+    lifts the stop to break-even; the rest runs to its own target, to the stop, which now trails
+    the best price, or to the end. Adds reason, pnl (null while open), bars_held, mfe and mae."""
+    side, entry = F.col("side"), F.col("entry")
+    gain = lambda price: side * (price / entry - 1)
+    bars = F.transform("path", lambda b: F.struct(
+        F.when(side > 0, gain(b["high"])).otherwise(gain(b["low"])).alias("up"),
+        F.when(side > 0, gain(b["low"])).otherwise(gain(b["high"])).alias("down"), gain(b["close"]).alias("close")))
+    trailing = lambda best: side * ((1 + side * best) * (1 - side * F.col("trail")) - 1)
+    start = F.struct(
+        F.lit("OPEN").alias("reason"), F.lit(0.0).alias("raw"), F.lit(0).alias("n"), F.lit(0).alias("first"), (-F.col("stop")).alias("at"),
+        F.lit(0.0).alias("best"), F.lit(0.0).alias("mfe"), F.lit(0.0).alias("mae"), F.lit(0.0).alias("close"),
+    )
+
+    def step(s, x):
+        n, running = s["n"] + 1, s["first"] > 0
+        stopped = x["down"] <= s["at"]
+        first = ~running & ~stopped & (x["up"] >= F.col("target"))
+        ran = running & ~stopped & (x["up"] >= F.col("target") * F.col("runner"))
+        best = F.greatest(s["best"], x["up"])
+        waited = F.when(first, F.col("wait") <= 0).when(running, n - s["first"] >= F.col("wait")).otherwise(F.coalesce(best >= F.col("trigger"), F.lit(False)))
+        even = F.when(first | waited, F.greatest(s["at"], F.col("even"))).otherwise(s["at"])
+        rest = lambda r: F.when(running, F.col("share") * F.col("target") + (1 - F.col("share")) * r).otherwise(r)
+        after = F.struct(
+            F.when(stopped & running, "TP1_TRAIL_STOP").when(stopped, "SL_OR_TRAIL").when(ran, "TP1_RUNNER_TP").otherwise("OPEN").alias("reason"),
+            F.when(stopped, rest(s["at"])).when(ran, rest(F.col("target") * F.col("runner"))).otherwise(0.0).alias("raw"),
+            n.alias("n"), F.when(first, n).otherwise(s["first"]).alias("first"),
+            F.when(waited, F.greatest(even, trailing(best))).otherwise(even).alias("at"), best.alias("best"),
+            F.greatest(s["mfe"], x["up"]).alias("mfe"), F.least(s["mae"], x["down"]).alias("mae"), x["close"].alias("close"),
+        )
+        return F.when(s["reason"] == "OPEN", after).otherwise(s)
+
+    done = paths.withColumn("_s", F.aggregate(bars, start, step))
+    timed = (F.col("_s.reason") == "OPEN") & (F.col("_s.first") > 0)
+    raw = F.when(timed, F.col("share") * F.col("target") + (1 - F.col("share")) * F.col("_s.close")).when(F.col("_s.reason") != "OPEN", F.col("_s.raw"))
+    return done.withColumns({
+        "reason": F.when(timed, "TP1_TIME").otherwise(F.col("_s.reason")), "pnl": raw - cost, "bars_held": F.col("_s.n"), "mfe": F.col("_s.mfe"), "mae": F.col("_s.mae"),
+    }).drop("_s")

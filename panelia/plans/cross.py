@@ -1,9 +1,12 @@
 """Queries of cross-sectional operators (survey X)."""
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelia.functions import series as S
+from panelia.operators import accounting as A
 from panelia.operators import cross as X
 from panelia.operators import states
 from panelia.plans.accounting import NAMES, WEEK, week_panel, week_weights
@@ -114,16 +117,23 @@ def hedged(spark, d):
 @query("x17_x19_hysteresis")
 def hysteresis(spark, d):
     """Members that stay in a tail past its edge, and a placebo that only exits late; the
-    delay whose flips are nearest to the band's. Rows only: tested against a loop."""
-    p = week_weights(spark, d).select("symbol", "day", "rank")
+    delay of 1 to 12 periods whose accounted turnover is nearest to the band's, the least of equals.
+    Rows only: tested against a loop."""
+    p = week_weights(spark, d).select("symbol", "day", "rank", "ret", "cash")
     band = states.hysteresis(p, "symbol", "day", "rank", 0.2, 0.1)
-    late = [states.delayed_exit(p, "symbol", "day", "rank", 0.2, k).withColumn("k", F.lit(k)) for k in range(1, 7)]
-    flips = lambda x, by: x.withColumn("f", F.abs(F.col("side") - F.coalesce(F.lag("side").over(Window.partitionBy(*by, "symbol").orderBy("day")), F.lit(0)))).groupBy(*by).agg(F.sum("f").alias("flips"))
-    all_late = late[0]
-    for x in late[1:]:
-        all_late = all_late.unionByName(x)
-    goal = flips(band, []).withColumnRenamed("flips", "band_flips")
-    gaps = flips(all_late, ["k"]).join(F.broadcast(goal)).withColumn("gap", F.abs(F.col("flips") - F.col("band_flips")))
+    late = [states.delayed_exit(p, "symbol", "day", "rank", 0.2, k).withColumn("k", F.lit(k)) for k in range(1, 13)]
+
+    def turnover(x, *by):
+        """Mean turnover of half a unit on each side, dealt equally, held from the next period on."""
+        side = F.count(F.lit(1)).over(Window.partitionBy(*by, "day", "side"))
+        x = x.withColumn("target", F.when(F.col("side") != 0, F.col("side") * 0.5 / side).otherwise(0.0))
+        before = F.lag("target").over(Window.partitionBy(*by, "symbol").orderBy("day"))
+        daily = A.account(x.withColumn("weight", F.coalesce(before, F.lit(0.0))), 0.0, list(by))
+        return daily.groupBy(*by).agg(F.avg("turnover").alias("turnover"))
+
+    all_late = functools.reduce(lambda x, y: x.unionByName(y), late)
+    goal = turnover(band).withColumnRenamed("turnover", "goal")
+    gaps = turnover(all_late, "k").join(F.broadcast(goal)).withColumn("gap", F.round(F.abs(F.col("turnover") - F.col("goal")), 9))
     best = gaps.agg(F.min_by("k", F.struct("gap", "k")).alias("best_k"))
     held = band.groupBy("symbol").agg(F.sum(F.abs("side")).alias("periods_held"))
     return held.join(F.broadcast(best)).select("symbol", "periods_held", "best_k")
@@ -134,7 +144,6 @@ def hysteresis(spark, d):
 SELECT day::VARCHAR AS day, round(coalesce(lag(CASE WHEN vol > 0 THEN least(greatest(0.1 / vol, 0.25), 2) END) OVER (ORDER BY day), 1), 6) AS scale, round(net * coalesce(lag(CASE WHEN vol > 0 THEN least(greatest(0.1 / vol, 0.25), 2) END) OVER (ORDER BY day), 1), 8) AS scaled FROM v"""))
 def volatility_target(spark, d):
     """Leverage from realised volatility, lagged, within limits."""
-    from panelia.operators import accounting as A
 
     w = Window.partitionBy(F.lit(0)).orderBy("day")
     daily = A.trimmed(A.account(week_weights(spark, d), 0.001)).withColumn("vol", S.rolling(F.col("net"), 20, 20, w, F.stddev_samp) * 52**0.5)

@@ -120,6 +120,34 @@ def profiles(spark, d):
     return b.groupBy("stop", F.when(F.col("n") * 2 <= F.col("tot"), "train").otherwise("oos").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean_ret"), F.round(F.avg((F.col("r") > 0).cast("int")), 6).alias("win"))
 
 
+PROFILES = [
+    ("tight", 0.2, 0.3, 0.5, 2.0, 0.15, 0.0, 0, None),
+    ("wide", 0.5, 0.6, 0.5, 1.5, 0.3, 0.01, 1, None),
+    ("early", 0.4, 0.5, 0.25, 2.0, 0.2, 0.0, 0, 0.25),
+]
+
+
+@query("h11_h12_exit_replay")
+def exit_replay(spark, d):
+    """Exits in stages (stop, first target, runner, trailing stop, time) replayed for
+    three profiles and both sides, compared on the earlier and later half of each symbol's rows;
+    the winner has the best later mean among profiles with enough exits. Tested against a loop."""
+    w = S.over()
+    b = T.bars_day(spark, d).withColumns({
+        "path": F.collect_list(F.struct("high", "low", "close")).over(w.rowsBetween(1, 6)), "n": F.row_number().over(w),
+        "tot": F.count(F.lit(1)).over(Window.partitionBy("symbol")), "entry": F.col("close"),
+    }).filter(F.size("path") == 6)
+    profiles = spark.createDataFrame(PROFILES, L.PROFILE)  # a fixed list
+    x = b.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).join(F.broadcast(profiles))
+    x = L.exit_replay(x, 0.0013).withColumn("part", F.when(F.col("n") * 2 <= F.col("tot"), "train").otherwise("oos"))
+    g = x.groupBy("profile", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.count("pnl").alias("n_exits"), F.round(F.avg("pnl"), 6).alias("mean_pnl"), F.round(F.avg((F.col("pnl") > 0).cast("int")), 6).alias("win"),
+        F.round(F.avg("mfe"), 6).alias("mean_mfe"), F.round(F.avg("mae"), 6).alias("mean_mae"), F.count_if(F.col("reason") == "TP1_RUNNER_TP").alias("n_runners"),
+    )
+    later = F.when((F.col("part") == "oos") & (F.col("n_exits") >= 20), F.struct("mean_pnl", "profile"))
+    return g.withColumn("winner", F.coalesce(F.max(later).over(Window.partitionBy(F.lit(0)))["profile"] == F.col("profile"), F.lit(False)))
+
+
 def _ledger(lag):
     return f"""
 , f AS (SELECT symbol, day, close / nullif(lag(close, 3) OVER w, 0) - 1 AS mom, avg(volume) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS vol, lead(close, {lag + 2}) OVER w / nullif(lead(close, {lag}) OVER w, 0) - 1 AS outcome, row_number() OVER w AS n FROM bars_day WINDOW w AS (PARTITION BY symbol ORDER BY day))

@@ -1,5 +1,7 @@
 """Queries of model operators (survey M). Fits are rows-only; their metrics have SQL twins."""
 
+import functools
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,32 +39,54 @@ def rank_target(spark, d):
     return x.select(S.day_text(), "symbol", F.round(M.centred_rank(F.col("y"), "day"), 8).alias("target"))
 
 
+#: Purged walk-forward: each fold tests the days from its cut to the next one.
+CUTS = ["2024-01-13", "2024-01-18", "2024-01-23", "2024-01-28"]
+
+
+def folds(x):
+    """(train, test) of each fold; train rows' outcomes were known before the test starts."""
+    for a, b in zip(CUTS, CUTS[1:]):
+        start, end = (F.lit(c).cast("date") for c in (a, b))
+        yield x.filter(F.col("long_end") < start), x.filter((F.col("day") >= start) & (F.col("day") < end))
+
+
 @query("m2_m5_ridge")
 def ridge(spark, d):
-    """M2, M5: weighted ridge for two feature sets and three penalties; the best by test rank
-    correlation, ties to fewer features and then to the greater penalty."""
-    train, test = (x.persist() for x in split(ledger(spark, d)))
-    out = None
-    for features in (FEATURES[:1], FEATURES):
-        for alpha in (1e2, 1e3, 1e4):
-            scale, fitted = M.ridge(train, features, "target", "w", alpha)
-            scored = fitted.transform(M.assembled(M.scaled(test, scale), features))
-            row = scored.agg(F.corr("prediction", "target").alias("score")).select(F.lit(len(features)).alias("n_features"), F.lit(alpha).alias("alpha"), F.round("score", 6).alias("score"))
-            out = row if out is None else out.unionByName(row)
-    best = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "n_features", F.desc("alpha"))) == 1
-    return out.withColumn("chosen", best)
+    """M2, M5: weighted ridge for two feature sets and three penalties; the best by the median over
+    purged folds of the rank correlation, ties to fewer features and then to the greater penalty."""
+    x = ledger(spark, d).persist()
+    scores = []
+    for k, (train, test) in enumerate(folds(x)):
+        for features in (FEATURES[:1], FEATURES):
+            for alpha in (1e2, 1e3, 1e4):
+                scale, fitted = M.ridge(train, features, "target", "w", alpha)
+                scored = fitted.transform(M.assembled(M.scaled(test, scale), features))
+                scores.append((k, len(features), alpha, scored.agg(F.round(F.corr("prediction", "target"), 6)).first()[0]))
+    x.unpersist()
+    table = spark.createDataFrame(scores, "fold int, n_features int, alpha double, score double")  # one row a fit
+    out = table.groupBy("n_features", "alpha").agg(F.count(F.lit(1)).alias("n_folds"), F.median("score").alias("score"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "n_features", F.desc("alpha"))
+    return out.withColumn("chosen", F.row_number().over(order) == 1)
 
 
 @query("m3_boosted_walk_forward")
 def boosted(spark, d):
-    """M3: fit, threshold on the last part of train, result on later rows."""
+    """M3: in each purged fold, fit on the first three quarters of train, choose the threshold on its
+    last quarter, trade the test days; one row a fold and one of all pooled."""
     x = ledger(spark, d)
-    train, test = split(x)
-    fit, valid = train.filter("day < DATE '2024-01-09'"), train.filter("day >= DATE '2024-01-09'")
-    scored = M.boosted(fit, valid.withColumn("part", F.lit("valid")).unionByName(test.withColumn("part", F.lit("test"))), FEATURES, "up", "w")
-    limit = M.best_threshold(scored.filter("part = 'valid'"), "p", F.col("long_ret"), [0.5, 0.55, 0.6, 0.65, 0.7], 10).select("threshold")
-    t = scored.filter("part = 'test'").join(F.broadcast(limit))
-    return t.groupBy("threshold").agg(F.count(F.lit(1)).alias("n_test"), F.count(F.when(F.col("p") >= F.col("threshold"), 1)).alias("n_taken"), F.round(F.avg(F.when(F.col("p") >= F.col("threshold"), F.col("long_ret"))), 6).alias("mean_ret"))
+    taken = []
+    for k, (train, test) in enumerate(folds(x)):
+        edge = train.agg(F.percentile_approx(F.unix_date("day"), 0.75).alias("edge"))
+        t = train.join(F.broadcast(edge)).withColumn("early", F.unix_date("day") < F.col("edge")).drop("edge")
+        fit, valid = t.filter("early").drop("early"), t.filter("NOT early").drop("early")
+        scored = M.boosted(fit, valid.withColumn("part", F.lit("valid")).unionByName(test.withColumn("part", F.lit("test"))), FEATURES, "up", "w")
+        limit = M.best_threshold(scored.filter("part = 'valid'"), "p", F.col("long_ret"), [0.5, 0.55, 0.6, 0.65, 0.7], 10).select("threshold")
+        rows = scored.filter("part = 'test'").join(F.broadcast(limit), how="left").select(F.lit(str(k)).alias("fold"), "p", "threshold", "long_ret")
+        taken.append(rows)
+    every = functools.reduce(lambda a, b: a.unionByName(b), taken)
+    every = every.withColumn("fold", F.explode(F.array("fold", F.lit("pooled"))))
+    own = F.when(F.col("p") >= F.col("threshold"), F.col("long_ret"))
+    return every.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"), F.count(own).alias("n_taken"), F.round(F.avg(own), 6).alias("mean_ret"))
 
 
 @query("m4_threshold", T.with_sql("decision", """
@@ -95,11 +119,12 @@ def metrics(spark, d):
 @query("m9_m10_ablation")
 def ablation(spark, d):
     """Two feature sets on the same rows, and a cost grid with infeasible cells tagged."""
-    train, test = (x.persist() for x in split(ledger(spark, d)))
-    out = None
+    train, test = split(ledger(spark, d))
+    parts = []
     for name, features in (("base", FEATURES[:2]), ("all", FEATURES)):
-        s = M.boosted(train, test, features, "up", "w", trees=5).withColumn("cost", F.explode(F.array(F.lit(0.0), F.lit(0.01), F.lit(0.7))))
+        s = M.boosted(train, test, features, "up", "w", trees=5)
+        s = s.withColumn("cost", F.explode(F.array(F.lit(0.0), F.lit(0.01), F.lit(0.7))))
         taken = F.when(F.col("p") >= 0.5, F.col("long_ret") - F.col("cost"))
-        row = s.groupBy("cost").agg(F.count(taken).alias("n"), F.round(F.avg(taken), 6).alias("mean_net")).select(F.lit(name).alias("features"), "cost", (F.col("cost") < 0.6).alias("feasible"), "n", "mean_net")
-        out = row if out is None else out.unionByName(row)
-    return out
+        row = s.groupBy("cost").agg(F.count(taken).alias("n"), F.round(F.avg(taken), 6).alias("mean_net"))
+        parts.append(row.select(F.lit(name).alias("features"), "cost", (F.col("cost") < 0.6).alias("feasible"), "n", "mean_net"))
+    return parts[0].unionByName(parts[1])

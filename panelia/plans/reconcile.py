@@ -52,6 +52,26 @@ def tracking(spark, d):
     return t.select(S.day_text(), F.round("gap", 9).alias("gap"), "clean", F.round("divergence", 9).alias("divergence"))
 
 
+@query("e17_least_budgets", T.with_sql("fill", """
+, s AS (SELECT status AS book, part, round(avg(price), 6) AS price FROM fill GROUP BY ALL), w AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY book) AS weight FROM s)
+, q AS (SELECT *, ceil(round(5 / price / 0.001, 6)) * 0.001 AS by_value, 0.01 AS by_lot FROM w)
+, b AS (SELECT *, round(greatest(by_value, by_lot) * price / weight, 2) AS budget, CASE WHEN by_value >= by_lot THEN 'minNotional' ELSE 'minQty' END AS binds_on FROM q)
+SELECT book, count(*) AS n_names, max(budget) AS least_budget, arg_max(part, (budget, -part)) AS binding_part, arg_max(binds_on, (budget, -part)) AS binds_on, count(*) FILTER (binds_on = 'minQty') AS n_by_lot FROM b GROUP BY book"""))
+def least_budgets(spark, d):
+    """The least budget with which every name of a book gets its smallest order, and the name
+    that binds it."""
+    s = T.fills(spark, d).groupBy(F.col("status").alias("book"), "part").agg(F.round(F.avg("price"), 6).alias("price"))
+    n = s.groupBy("book").agg(F.count(F.lit(1)).alias("n"))
+    by_value = F.ceil(F.round(5 / F.col("price") / 0.001, 6)) * 0.001
+    q = s.join(n, "book").withColumns({"by_value": by_value, "weight": 1 / F.col("n")})
+    budget = F.round(F.greatest(F.col("by_value"), F.lit(0.01)) * F.col("price") / F.col("weight"), 2)
+    b = q.withColumns({"budget": budget, "binds_on": F.when(F.col("by_value") >= 0.01, "minNotional").otherwise("minQty")})
+    last = F.struct("budget", -F.col("part"))
+    return b.groupBy("book").agg(
+        F.count(F.lit(1)).alias("n_names"), F.max("budget").alias("least_budget"), F.max_by("part", last).alias("binding_part"),
+        F.max_by("binds_on", last).alias("binds_on"), F.count_if(F.col("binds_on") == "minQty").alias("n_by_lot"))
+
+
 @query("e16_e18_exposure", T.with_sql("fill", """
 , w AS (SELECT run, part, sum(CASE side WHEN 'BUY' THEN 1 ELSE -1 END) / count(*) OVER (PARTITION BY run) AS weight, avg(price / reference - 1) AS drift FROM fill GROUP BY run, part)
 SELECT run::VARCHAR AS run, count(*) AS n, coalesce(bool_and(weight BETWEEN -1 AND 1), false) AND sum(abs(weight)) <= 1.000001 AS within_limits, round(sum(weight), 6) AS net, round(median(abs(drift)), 8) AS median_drift, count(*) FILTER (abs(drift) > 0.5) AS n_drifted FROM w GROUP BY run"""))

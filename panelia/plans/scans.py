@@ -54,6 +54,21 @@ def day_metrics(spark, d):
         F.round(F.avg("volume"), 6).alias("mean_volume"), (F.count(F.lit(1)) == 6).alias("complete"))
 
 
+@query("q9_coverage_gates", T.with_sql("bars_4h", """
+, dm AS (SELECT symbol, CAST(bar AS DATE) AS day, count(*) >= 4 AND arg_max(close, bar) > 0 AS valid FROM bars_4h GROUP BY ALL)
+, el AS (SELECT symbol FROM dm WHERE valid GROUP BY symbol HAVING count(*) >= 10)
+SELECT day::VARCHAR AS day, count(*) FILTER (valid) AS n_valid, count(*) FILTER (NOT valid) AS n_short, count(*) FILTER (valid) >= 5 AS enough FROM dm WHERE symbol IN (SELECT symbol FROM el) GROUP BY day"""))
+def coverage_gates(spark, d):
+    """Q9: a day of a symbol counts if it has enough sub-daily rows and a positive value, a symbol if
+    it has enough such days, a day if enough symbols are left on it."""
+    day = F.to_date("bar").alias("day")
+    valid = (F.count(F.lit(1)) >= 4) & (F.max_by("close", "bar") > 0)
+    m = T.bars_4h(spark, d).groupBy("symbol", day).agg(valid.alias("valid"))
+    names = m.filter("valid").groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter("n >= 10")
+    left = m.join(names.select("symbol"), "symbol", "left_semi").groupBy(S.day_text())
+    return left.agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_short"), (F.count_if("valid") >= 5).alias("enough"))
+
+
 @query("a7_a8_g15_missing", T.with_sql("bars_day", """
 , cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM bars_day)
 SELECT symbol, day::VARCHAR AS day FROM (SELECT DISTINCT symbol FROM bars_day) CROSS JOIN cal WHERE (symbol, day) NOT IN (SELECT (symbol, day) FROM bars_day) AND day NOT IN (DATE '2024-01-05', DATE '2024-01-06')"""))

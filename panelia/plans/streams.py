@@ -14,7 +14,11 @@ STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 def scratch(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "/tmp/checkpoints"
     return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
 
 

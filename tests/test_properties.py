@@ -205,3 +205,53 @@ def test_rest_imports_without_text_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert e.oracle_sql() and not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_exit_replay_against_a_loop(spark):
+    """Every profile and side on random paths, bar by bar with prices."""
+    import random
+
+    from panelia.operators import labels
+    from panelia.plans.labels import PROFILES
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        path, price = [], 100.0
+        for _ in range(6):
+            a, price = price, price * (1 + rng.uniform(-0.35, 0.4))
+            path.append((max(a, price) * (1 + rng.uniform(0, 0.2)), min(a, price) * (1 - rng.uniform(0, 0.2)), price))
+        rows.append((i, rng.choice([1, -1]), 100.0, path, *PROFILES[i % len(PROFILES)]))
+    schema = "i int, side int, entry double, path array<struct<high: double, low: double, close: double>>, " + labels.PROFILE
+    got = {r.i: (r.reason, r.pnl, r.bars_held, r.mfe, r.mae) for r in labels.exit_replay(spark.createDataFrame(rows, schema), 0.001).collect()}
+    seen = set()
+    for i, side, entry, path, _, stop, target, share, runner, trail, even, wait, trigger in rows:
+        gain = lambda p: side * (p - entry) / entry
+        level, best, first, mfe, mae, out = entry * (1 - side * stop), entry, None, 0.0, 0.0, None
+        tighter = lambda *p: max(p) if side > 0 else min(p)
+        for n, (high, low, close) in enumerate(path, 1):
+            good, bad = (high, low) if side > 0 else (low, high)
+            mfe, mae = max(mfe, gain(good)), min(mae, gain(bad))
+            if gain(bad) <= gain(level) + 1e-12:
+                out = ("TP1_TRAIL_STOP", share * target + (1 - share) * gain(level)) if first else ("SL_OR_TRAIL", gain(level))
+            elif first and gain(good) >= target * runner:
+                out = "TP1_RUNNER_TP", share * target + (1 - share) * target * runner
+            if out:
+                break
+            best = tighter(best, good)
+            if not first and gain(good) >= target:
+                first, level = n, tighter(level, entry * (1 + side * even))
+                trails = wait <= 0
+            elif first:
+                trails = n - first >= wait
+            else:
+                trails = trigger is not None and gain(best) >= trigger
+            if trails:
+                level = tighter(level, entry * (1 + side * even), best * (1 - side * trail))
+        if not out:
+            out = ("TP1_TIME", share * target + (1 - share) * gain(path[-1][2])) if first else ("OPEN", None)
+        seen.add(out[0])
+        reason, pnl, held, up, down = got[i]
+        assert (reason, held) == (out[0], n) and abs(up - mfe) < 1e-9 and abs(down - mae) < 1e-9
+        assert pnl is None if out[1] is None else abs(pnl - (out[1] - 0.001)) < 1e-9
+    assert len(seen) == 5
