@@ -20,7 +20,8 @@ def donor_map(panel: DataFrame, n: int, seed: str) -> DataFrame:
     for each symbol and draw and is joined by Spark's own choice."""
     s = draws_of(panel.select("symbol").distinct(), n)
     w = Window.partitionBy("draw")
-    shuffled = s.withColumn("r", F.row_number().over(w.orderBy(hash_order(seed, F.col("draw").cast("string"), F.col("symbol").cast("string"))))).withColumnRenamed("symbol", "donor")
+    shuffled = s.withColumn("r", F.row_number().over(w.orderBy(hash_order(seed, F.col("draw").cast("string"),
+        F.col("symbol").cast("string"))))).withColumnRenamed("symbol", "donor")
     return s.withColumn("r", F.row_number().over(w.orderBy("symbol"))).join(shuffled, ["draw", "r"]).drop("r")
 
 
@@ -39,7 +40,8 @@ def hac_mean(daily: DataFrame, value: str, lags: int) -> DataFrame:
     cov = lagged_products(daily, value, lags).agg(F.sum(2 * (1 - F.col("lag") / (lags + 1)) * F.col("product")).alias("s"))
     out = base.join(F.broadcast(cov)).withColumn("var", F.greatest((F.col("v0") + F.col("s") / F.col("n")) / F.col("n"), F.lit(0.0)))
     se = F.sqrt("var")
-    return out.select("n", "mean", se.alias("se"), (F.col("mean") / F.nullif(se, F.lit(0.0))).alias("t"), (F.col("mean") - 1.96 * se).alias("low"), (F.col("mean") + 1.96 * se).alias("high"))
+    return out.select("n", "mean", se.alias("se"), (F.col("mean") / F.nullif(se, F.lit(0.0))).alias("t"), (F.col("mean") - 1.96 * se).alias("low"),
+        (F.col("mean") + 1.96 * se).alias("high"))
 
 
 def p_value(null: DataFrame, observed: DataFrame, value: str) -> DataFrame:

@@ -14,7 +14,8 @@ def field_differences(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -
         return df.select(key, *[plain[f].alias(f) for f in fields]).unpivot(key, fields, "field", name)
 
     j = tall(a, "left").join(tall(b, "right"), [key, "field"], "full")
-    state = F.when(F.col("left").isNull() & F.col("right").isNull(), "same").when(F.col("left").isNull(), "only right").when(F.col("right").isNull(), "only left").when(F.col("left") != F.col("right"), "differs").otherwise("same")
+    state = F.when(F.col("left").isNull() & F.col("right").isNull(), "same").when(F.col("left").isNull(), "only right").when(F.col("right").isNull(),
+        "only left").when(F.col("left") != F.col("right"), "differs").otherwise("same")
     return j.withColumn("state", state).filter("state <> 'same'")
 
 

@@ -21,7 +21,8 @@ WEEK = ", " + """days AS (SELECT DISTINCT day FROM bars_week), syms AS (SELECT D
    FROM base WINDOW s AS (PARTITION BY symbol ORDER BY day))
 , ranked AS (SELECT *, CASE WHEN signal IS NOT NULL THEN (rank() OVER (PARTITION BY day, signal IS NULL ORDER BY signal)
    + (count(*) OVER (PARTITION BY day, signal IS NULL, signal) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY day, signal IS NULL) END AS rk FROM rets)
-, tails AS (SELECT *, count(CASE WHEN rk >= 1 - 0.2::DOUBLE THEN 1 END) OVER (PARTITION BY day) AS nt, count(CASE WHEN rk <= 0.2::DOUBLE THEN 1 END) OVER (PARTITION BY day) AS nb FROM ranked)
+, tails AS (SELECT *, count(CASE WHEN rk >= 1 - 0.2::DOUBLE THEN 1 END) OVER (PARTITION BY day) AS nt,
+    count(CASE WHEN rk <= 0.2::DOUBLE THEN 1 END) OVER (PARTITION BY day) AS nb FROM ranked)
 , targets AS (SELECT *, CASE WHEN nt = 0 OR nb = 0 THEN 0 WHEN rk >= 1 - 0.2::DOUBLE THEN -0.5::DOUBLE / nt WHEN rk <= 0.2::DOUBLE THEN 0.5::DOUBLE / nb ELSE 0 END AS target FROM tails)
 , panel AS (SELECT *, coalesce(lag(target) OVER (PARTITION BY symbol ORDER BY day), 0) AS weight FROM targets)
 , masked AS (SELECT *, CASE WHEN ret IS NOT NULL THEN weight ELSE 0 END AS w FROM panel)
@@ -78,7 +79,8 @@ def tail_weights(spark, d):
 
 @query("e3_period_accounting", T.with_sql(NAMES, WEEK + "SELECT day::VARCHAR AS day, round(price, 11) AS price, round(funding, 11) AS funding, round(turnover, 11) AS turnover, round(gross, 11) AS gross, round(cost, 11) AS cost, round(net, 11) AS net FROM live"))
 def period_accounting(spark, d):
-    return A.trimmed(week_daily(spark, d)).select(F.col("day").cast("string").alias("day"), *[F.round(c, 11).alias(c) for c in ("price", "funding", "turnover", "gross", "cost", "net")])
+    return A.trimmed(week_daily(spark, d)).select(F.col("day").cast("string").alias("day"), *[F.round(c, 11).alias(c) for c in ("price", "funding", "turnover",
+        "gross", "cost", "net")])
 
 
 @query("e4_final_liquidation", T.with_sql(NAMES, WEEK + """
@@ -92,15 +94,18 @@ def final_liquidation(spark, d):
 
 @query("e7_legs", T.with_sql(NAMES, WEEK + """
 , sd AS (SELECT *, CASE WHEN w <> 0 THEN sign(w) ELSE sign(w0) END AS side FROM moves)
-SELECT side::BIGINT AS side, round(sum(w * coalesce(ret, 0)), 11) AS price, round(-sum(w * coalesce(cash, 0)), 11) AS funding, round(sum(abs(w - w0)) * 0.001, 11) AS cost FROM sd WHERE side <> 0 GROUP BY 1"""))
+SELECT side::BIGINT AS side, round(sum(w * coalesce(ret, 0)), 11) AS price, round(-sum(w * coalesce(cash, 0)), 11) AS funding, round(sum(abs(w - w0)) * 0.001,
+    11) AS cost FROM sd WHERE side <> 0 GROUP BY 1"""))
 def legs(spark, d):
     return A.legs(week_weights(spark, d), COST).select(F.col("side").cast("bigint").alias("side"), *[F.round(c, 11).alias(c) for c in ("price", "funding", "cost")])
 
 
 @query("e9_book_booking", T.with_sql(NAMES, WEEK + """
 , o AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY symbol ORDER BY day), 0) AS old FROM panel)
-, b AS (SELECT day, sum(old * coalesce(ret, 0)) AS price, -sum(coalesce(cash, 0) * (old / 3 + weight * 2 / 3)) AS funding, sum(abs(weight - old)) * 0.001 AS cost FROM o GROUP BY day)
-SELECT day::VARCHAR AS day, round(price, 11) AS price, round(funding, 11) AS funding, round(cost, 11) AS cost, round(price + funding - cost, 11) AS pnl, round(product(1 + price + funding - cost) OVER (ORDER BY day), 11) AS equity FROM b"""))
+, b AS (SELECT day, sum(old * coalesce(ret, 0)) AS price, -sum(coalesce(cash, 0) * (old / 3 + weight * 2 / 3)) AS funding, sum(abs(weight - old)) * 0.001 AS cost
+    FROM o GROUP BY day)
+SELECT day::VARCHAR AS day, round(price, 11) AS price, round(funding, 11) AS funding, round(cost, 11) AS cost, round(price + funding - cost, 11) AS pnl,
+    round(product(1 + price + funding - cost) OVER (ORDER BY day), 11) AS equity FROM b"""))
 def book_booking(spark, d):
     """Open-to-open booking with the cash flow split between old and new weights."""
     b = A.split_booking(week_weights(spark, d), COST)
@@ -110,14 +115,16 @@ def book_booking(spark, d):
 @query("e10_e11_catch_up", T.with_sql(NAMES, WEEK + """
 , booked AS (SELECT symbol, day, round(weight, 6) AS weight FROM panel WHERE day < DATE '2000-01-03')
 , cmp AS (SELECT p.day, coalesce(abs(b.weight - p.weight), abs(p.weight)) AS gap FROM panel p LEFT JOIN booked b USING (symbol, day) WHERE p.day < DATE '2000-01-03')
-SELECT (SELECT count(DISTINCT day) FROM panel WHERE day >= DATE '2000-01-03' AND ret IS NOT NULL) AS days_to_book, count(DISTINCT day) AS days_checked, coalesce(max(gap) <= 1e-6, false) AS agrees FROM cmp"""))
+SELECT (SELECT count(DISTINCT day) FROM panel WHERE day >= DATE '2000-01-03' AND ret IS NOT NULL) AS days_to_book, count(DISTINCT day) AS days_checked,
+    coalesce(max(gap) <= 1e-6, false) AS agrees FROM cmp"""))
 def catch_up(spark, d):
     """Periods after the last booked one that have an exit price; booked weights checked."""
     p = week_weights(spark, d)
     early = F.col("day") < F.lit("2000-01-03").cast("date")
     booked = p.filter(early).select("symbol", "day", F.round("weight", 6).alias("booked"))
     cmp = p.filter(early).join(booked, ["symbol", "day"], "full").agg(
-        F.countDistinct("day").alias("days_checked"), F.coalesce(F.max(F.abs(F.coalesce("booked", F.lit(0.0)) - F.coalesce("weight", F.lit(0.0)))) <= 1e-6, F.lit(False)).alias("agrees"))
+        F.countDistinct("day").alias("days_checked"), F.coalesce(F.max(F.abs(F.coalesce("booked", F.lit(0.0)) - F.coalesce("weight", F.lit(0.0)))) <= 1e-6,
+            F.lit(False)).alias("agrees"))
     ahead = p.filter(~early & F.col("ret").isNotNull()).agg(F.countDistinct("day").alias("days_to_book"))
     return ahead.join(F.broadcast(cmp)).select("days_to_book", "days_checked", "agrees")
 
@@ -154,7 +161,8 @@ def exclusion(spark, d):
 
 @query("e20_signal_health", T.with_sql(NAMES, WEEK + """
 , t AS (SELECT day, net, row_number() OVER (ORDER BY day DESC) AS r FROM live), m AS (SELECT day, median(signal) AS level FROM rets GROUP BY day)
-SELECT count(*) AS n, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(52), 6) AS sharpe, round(avg(level), 11) AS mean_level, coalesce(avg(net) < 0 OR avg(level) < 0, false) AS alert FROM t JOIN m USING (day) WHERE r <= 60"""))
+SELECT count(*) AS n, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(52), 6) AS sharpe, round(avg(level), 11) AS mean_level,
+    coalesce(avg(net) < 0 OR avg(level) < 0, false) AS alert FROM t JOIN m USING (day) WHERE r <= 60"""))
 def signal_health(spark, d):
     """Trailing-window Sharpe and signal level with an alert rule."""
     from pyspark.sql.window import Window
@@ -168,28 +176,35 @@ def signal_health(spark, d):
         F.round(F.avg("level"), 11).alias("mean_level"), F.coalesce((F.avg(net) < 0) | (F.avg("level") < 0), F.lit(False)).alias("alert"))
 
 
-_TWO = """, a AS (SELECT symbol, day, close, lead(close) OVER (PARTITION BY symbol ORDER BY day) / close - 1 AS ra FROM (SELECT symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS day, round(20000 + avg(l_extendedprice / l_quantity), 6) AS close FROM wl WHERE l_linestatus = 'F' GROUP BY ALL))
-, b AS (SELECT symbol, day, close, lead(close) OVER (PARTITION BY symbol ORDER BY day) / close - 1 AS rb FROM (SELECT symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS day, round(20000 + avg(l_extendedprice / l_quantity), 6) AS close FROM wl WHERE l_linestatus = 'O' GROUP BY ALL))
+_TWO = """, a AS (SELECT symbol, day, close, lead(close) OVER (PARTITION BY symbol ORDER BY day) / close - 1 AS ra FROM (SELECT symbol, CAST(date_trunc('week',
+    l_shipdate) AS DATE) AS day, round(20000 + avg(l_extendedprice / l_quantity), 6) AS close FROM wl WHERE l_linestatus = 'F' GROUP BY ALL))
+, b AS (SELECT symbol, day, close, lead(close) OVER (PARTITION BY symbol ORDER BY day) / close - 1 AS rb FROM (SELECT symbol, CAST(date_trunc('week',
+    l_shipdate) AS DATE) AS day, round(20000 + avg(l_extendedprice / l_quantity), 6) AS close FROM wl WHERE l_linestatus = 'O' GROUP BY ALL))
 , ab AS (SELECT symbol, day, ra, rb, a.close - b.close AS basis FROM a JOIN b USING (symbol, day))
 """
 
 
 @query("e2_e5_e6_two_legs", T.with_sql("wl", _TWO + """
-SELECT day::VARCHAR AS day, count(*) AS n, round(avg(sign(basis) * (rb - ra)), 11) AS price, round(sum(abs(basis)) / 1e6, 11) AS level FROM ab WHERE ra IS NOT NULL AND rb IS NOT NULL GROUP BY day"""))
+SELECT day::VARCHAR AS day, count(*) AS n, round(avg(sign(basis) * (rb - ra)), 11) AS price, round(sum(abs(basis)) / 1e6, 11) AS level FROM ab WHERE ra IS NOT NULL
+    AND rb IS NOT NULL GROUP BY day"""))
 def two_legs(spark, d):
     """Both legs must trade; the book earns the closing of the spread."""
     w = S.over()
-    a, b = (T.bars_week(spark, d, f"l_linestatus = '{s}'").select("symbol", "day", F.col("close").alias(n), (F.lead("close").over(w) / F.col("close") - 1).alias(f"r{n}")) for s, n in (("F", "a"), ("O", "b")))
+    a, b = (T.bars_week(spark, d, f"l_linestatus = '{s}'").select("symbol", "day", F.col("close").alias(n),
+        (F.lead("close").over(w) / F.col("close") - 1).alias(f"r{n}")) for s, n in (("F", "a"), ("O", "b")))
     ab = a.join(b, ["symbol", "day"]).filter("ra IS NOT NULL AND rb IS NOT NULL").withColumn("basis", F.col("a") - F.col("b"))
     return ab.groupBy(F.col("day").cast("string").alias("day")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.signum("basis") * (F.col("rb") - F.col("ra"))), 11).alias("price"), F.round(F.sum(F.abs("basis")) / 1e6, 11).alias("level"))
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.signum("basis") * (F.col("rb") - F.col("ra"))), 11).alias("price"), F.round(F.sum(F.abs("basis")) / 1e6,
+            11).alias("level"))
 
 
 @query("e15_e18_rebalance", T.with_sql("fill", """
 , held AS (SELECT part, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS held, avg(price) AS price FROM fill WHERE run < DATE '2000-01-01' GROUP BY part)
 , want AS (SELECT part, 1.0 / count(*) OVER () AS weight, avg_price FROM (SELECT part, avg(price) AS avg_price FROM fill WHERE run >= DATE '2000-01-01' GROUP BY part))
-, j AS (SELECT part, coalesce(held, 0) AS held, coalesce(floor(round(1e6 * weight / avg_price, 6) / 0.5) * 0.5, 0) AS wanted, coalesce(avg_price, price) AS price FROM held FULL JOIN want USING (part))
-SELECT part, round(wanted - held, 6) AS delta, abs(wanted - held) * price < 5 AS too_small, ceil(abs(wanted - held) / 100)::BIGINT AS chunks, round(greatest(0.5, ceil(round(5 / price / 0.5, 6)) * 0.5) * price, 7) AS least_budget FROM j"""))
+, j AS (SELECT part, coalesce(held, 0) AS held, coalesce(floor(round(1e6 * weight / avg_price, 6) / 0.5) * 0.5, 0) AS wanted, coalesce(avg_price, price) AS price
+    FROM held FULL JOIN want USING (part))
+SELECT part, round(wanted - held, 6) AS delta, abs(wanted - held) * price < 5 AS too_small, ceil(abs(wanted - held) / 100)::BIGINT AS chunks, round(greatest(0.5,
+    ceil(round(5 / price / 0.5, 6)) * 0.5) * price, 7) AS least_budget FROM j"""))
 def rebalance(spark, d):
     """Target against held quantities, steps, minimum sizes, chunks, least budget."""
     f = T.fills(spark, d)
@@ -198,7 +213,8 @@ def rebalance(spark, d):
     want = f.filter("run >= DATE '2000-01-01'").groupBy("part").agg(F.avg("price").alias("avg_price"))
     n = want.agg(F.count(F.lit(1)).alias("n"))
     want = want.join(F.broadcast(n)).withColumn("wanted", F.floor(F.round(1e6 / F.col("n") / F.col("avg_price"), 6) / 0.5) * 0.5)
-    j = held.join(want, "part", "full").select("part", F.coalesce("held", F.lit(0.0)).alias("held"), F.coalesce("wanted", F.lit(0.0)).alias("wanted"), F.coalesce("avg_price", "price").alias("price"))
+    j = held.join(want, "part", "full").select("part", F.coalesce("held", F.lit(0.0)).alias("held"), F.coalesce("wanted", F.lit(0.0)).alias("wanted"),
+        F.coalesce("avg_price", "price").alias("price"))
     delta, p = F.col("wanted") - F.col("held"), F.col("price")
     return j.select(
         "part", F.round(delta, 6).alias("delta"), (F.abs(delta) * p < 5).alias("too_small"), F.ceil(F.abs(delta) / 100).cast("bigint").alias("chunks"),

@@ -22,12 +22,14 @@ def summary(x="pnl"):
 
 @query("g1_settlement_days", T.with_sql("settle", "SELECT symbol, day::VARCHAR AS day, round(sum(rate), 9) AS total, round(arg_max(rate, ts), 9) AS last, count(*) AS n FROM settle GROUP BY symbol, day"))
 def settlement_days(spark, d):
-    return T.settlements(spark, d).groupBy("symbol", S.day_text()).agg(F.round(F.sum("rate"), 9).alias("total"), F.round(F.max_by("rate", "ts"), 9).alias("last"), F.count(F.lit(1)).alias("n"))
+    return T.settlements(spark, d).groupBy("symbol", S.day_text()).agg(F.round(F.sum("rate"), 9).alias("total"), F.round(F.max_by("rate", "ts"), 9).alias("last"),
+        F.count(F.lit(1)).alias("n"))
 
 
 @query("g2_resample", T.with_sql("bars_4h", "SELECT symbol, strftime(bar, '%Y-%m-%d %H:%M:%S') AS bar, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars_4h"))
 def resample(spark, d):
-    return T.bars_4h(spark, d).select("symbol", F.date_format("bar", "yyyy-MM-dd HH:mm:ss").alias("bar"), *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    return T.bars_4h(spark, d).select("symbol", F.date_format("bar", "yyyy-MM-dd HH:mm:ss").alias("bar"), *[F.round(c, 6).alias(c) for c in ("open", "high", "low",
+        "close")], "volume")
 
 
 @query("g4_g5_attribution", T.with_sql("decision", f"SELECT side, regime, event_type, {_SUM} FROM decision GROUP BY GROUPING SETS ((side, regime), (event_type), (side), ())"))
@@ -39,22 +41,27 @@ def attribution(spark, d):
 
 
 @query("g6_g9_costs", T.with_sql("fill", """
-SELECT side, run::VARCHAR AS run, status, count(*) AS n, round(sum(qty * price), 2) AS notional, round(sum(fee), 4) AS fees, round(sum(fee) / nullif(sum(qty * price), 0) * 1e4, 4) AS fee_bps,
- round(avg(maker::INT), 6) AS maker_share, round(sum(qty * price * (price / reference - 1)) / nullif(sum(qty * price), 0) * 1e4, 4) AS shortfall_bps FROM fill GROUP BY GROUPING SETS ((side), (run), (status), ()) HAVING count(*) >= 5"""))
+SELECT side, run::VARCHAR AS run, status, count(*) AS n, round(sum(qty * price), 2) AS notional, round(sum(fee), 4) AS fees,
+    round(sum(fee) / nullif(sum(qty * price), 0) * 1e4, 4) AS fee_bps,
+ round(avg(maker::INT), 6) AS maker_share, round(sum(qty * price * (price / reference - 1)) / nullif(sum(qty * price), 0) * 1e4, 4) AS shortfall_bps FROM fill
+     GROUP BY GROUPING SETS ((side), (run), (status), ()) HAVING count(*) >= 5"""))
 def costs(spark, d):
     """Cost cuts in one pass, notional-weighted means, fees, shortfall, small groups left out."""
     f = T.fills(spark, d).withColumn("run", F.col("run").cast("string")).withColumn("v", F.col("qty") * F.col("price"))
     s, r, t = (F.col(c) for c in ("side", "run", "status"))
     v = F.sum("v")
     out = f.groupingSets([[s], [r], [t], []], s, r, t).agg(
-        F.count(F.lit(1)).alias("n"), F.round(v, 2).alias("notional"), F.round(F.sum("fee"), 4).alias("fees"), F.round(F.sum("fee") / F.nullif(v, F.lit(0.0)) * 1e4, 4).alias("fee_bps"),
-        F.round(F.avg(F.col("maker").cast("int")), 6).alias("maker_share"), F.round(F.sum(F.col("v") * (F.col("price") / F.col("reference") - 1)) / F.nullif(v, F.lit(0.0)) * 1e4, 4).alias("shortfall_bps"))
+        F.count(F.lit(1)).alias("n"), F.round(v, 2).alias("notional"), F.round(F.sum("fee"), 4).alias("fees"), F.round(F.sum("fee") / F.nullif(v, F.lit(0.0)) * 1e4,
+            4).alias("fee_bps"),
+        F.round(F.avg(F.col("maker").cast("int")), 6).alias("maker_share"), F.round(F.sum(F.col("v") * (F.col("price") / F.col("reference") - 1)) / F.nullif(v,
+            F.lit(0.0)) * 1e4, 4).alias("shortfall_bps"))
     return out.filter("n >= 5").select("side", "run", "status", "n", "notional", "fees", "fee_bps", "maker_share", "shortfall_bps")
 
 
 @query("g10_g12_months", T.with_sql("decision", """
 , dd AS (SELECT DISTINCT symbol, day, event_type, round(value0, 2) AS v FROM (SELECT symbol, day, event_type, pnl AS value0 FROM decision WHERE pnl IS NOT NULL))
-SELECT event_type, strftime(day, '%G-%V') AS week, count(*) AS n, round(sum(v), 6) AS total, round(product(1 + v / 10) - 1, 6) AS compounded FROM dd GROUP BY GROUPING SETS ((event_type, strftime(day, '%G-%V')), (event_type), ())"""))
+SELECT event_type, strftime(day, '%G-%V') AS week, count(*) AS n, round(sum(v), 6) AS total, round(product(1 + v / 10) - 1, 6) AS compounded FROM dd
+    GROUP BY GROUPING SETS ((event_type, strftime(day, '%G-%V')), (event_type), ())"""))
 def months(spark, d):
     """Income by type and ISO week without repeats, totals, compounding."""
     x = T.decisions(spark, d).filter("pnl IS NOT NULL").select("symbol", "day", "event_type", F.round("pnl", 2).alias("v")).distinct()
@@ -64,22 +71,28 @@ def months(spark, d):
 
 
 @query("g11_concentration", T.with_sql("decision", """
-, s AS (SELECT symbol, coalesce(sum(pnl), 0) AS g FROM decision GROUP BY symbol), r AS (SELECT *, row_number() OVER (ORDER BY g DESC, symbol) AS k, sum(g) FILTER (g > 0) OVER () AS gains, sum(g) OVER () AS net FROM s)
-SELECT round(sum(CASE WHEN k = 1 THEN g END) / max(gains), 6) AS top1, round(sum(CASE WHEN k <= 3 THEN g END) / max(gains), 6) AS top3, round(sum(CASE WHEN g > 0 THEN (g / gains) ^ 2 END), 6) AS hhi, round(max(net) - sum(CASE WHEN k <= 3 THEN g END), 6) AS without_top3, round(avg((g > 0)::INT), 6) AS positive FROM r"""))
+, s AS (SELECT symbol, coalesce(sum(pnl), 0) AS g FROM decision GROUP BY symbol), r AS (SELECT *, row_number() OVER (ORDER BY g DESC, symbol) AS k,
+    sum(g) FILTER (g > 0) OVER () AS gains, sum(g) OVER () AS net FROM s)
+SELECT round(sum(CASE WHEN k = 1 THEN g END) / max(gains), 6) AS top1, round(sum(CASE WHEN k <= 3 THEN g END) / max(gains), 6) AS top3,
+    round(sum(CASE WHEN g > 0 THEN (g / gains) ^ 2 END), 6) AS hhi, round(max(net) - sum(CASE WHEN k <= 3 THEN g END), 6) AS without_top3, round(avg((g > 0)::INT),
+        6) AS positive FROM r"""))
 def concentration(spark, d):
     """Shares of the gains, Herfindahl, the total without the best names."""
     one = Window.partitionBy(F.lit(0))
     g = F.col("g")
     s = T.decisions(spark, d).groupBy("symbol").agg(F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("g"))
     totals = s.agg(F.sum(F.when(g > 0, g)).alias("gains"), F.sum(g).alias("net"))
-    top = s.orderBy(F.desc("g"), "symbol").limit(3).withColumn("k", F.row_number().over(one.orderBy(F.desc("g"), "symbol"))).agg(F.sum(F.when(F.col("k") == 1, g)).alias("g1"), F.sum(g).alias("g3"))
+    top = s.orderBy(F.desc("g"), "symbol").limit(3).withColumn("k", F.row_number().over(one.orderBy(F.desc("g"), "symbol"))).agg(F.sum(F.when(F.col("k") == 1,
+        g)).alias("g1"), F.sum(g).alias("g3"))
     hhi = s.join(F.broadcast(totals)).agg(F.sum(F.when(g > 0, F.pow(g / F.col("gains"), 2))).alias("hhi"), F.avg((g > 0).cast("int")).alias("positive"))
     x = totals.join(F.broadcast(top)).join(F.broadcast(hhi))
-    return x.select(F.round(F.col("g1") / F.col("gains"), 6).alias("top1"), F.round(F.col("g3") / F.col("gains"), 6).alias("top3"), F.round("hhi", 6).alias("hhi"), F.round(F.col("net") - F.col("g3"), 6).alias("without_top3"), F.round("positive", 6).alias("positive"))
+    return x.select(F.round(F.col("g1") / F.col("gains"), 6).alias("top1"), F.round(F.col("g3") / F.col("gains"), 6).alias("top3"), F.round("hhi", 6).alias("hhi"),
+        F.round(F.col("net") - F.col("g3"), 6).alias("without_top3"), F.round("positive", 6).alias("positive"))
 
 
 @query("g13_order_statistics", T.with_sql("decision", """
-SELECT event_type, round(median(pnl), 8) AS median, round(list_sort(list(pnl) FILTER (pnl IS NOT NULL))[1 + floor(0.9 * (count(pnl) - 1))::INT], 8) AS p90_index, round(quantile_cont(pnl, 0.9), 8) AS p90 FROM decision GROUP BY event_type"""))
+SELECT event_type, round(median(pnl), 8) AS median, round(list_sort(list(pnl) FILTER (pnl IS NOT NULL))[1 + floor(0.9 * (count(pnl) - 1))::INT], 8) AS p90_index,
+    round(quantile_cont(pnl, 0.9), 8) AS p90 FROM decision GROUP BY event_type"""))
 def order_statistics(spark, d):
     """Median, index and interpolated percentile. The index form is a place in an external
     sort of each group, so no group is gathered in memory."""
@@ -93,7 +106,8 @@ def order_statistics(spark, d):
 
 @query("g16_g18_routes", T.with_sql("decision", f"""
 , l AS (SELECT *, row_number() OVER (PARTITION BY side, event_type ORDER BY ts DESC) AS r FROM decision WHERE pnl IS NOT NULL), mx AS (SELECT max(ts) AS t FROM decision)
-SELECT side, event_type, {_SUM}, count(DISTINCT day) AS days, max(strftime(ts, '%Y-%m-%d %H:%M')) AS newest, count(*) FILTER (ts >= t - INTERVAL '2 days') AS recent FROM l, mx WHERE r <= 60 GROUP BY side, event_type HAVING count(*) >= 2"""))
+SELECT side, event_type, {_SUM}, count(DISTINCT day) AS days, max(strftime(ts, '%Y-%m-%d %H:%M')) AS newest, count(*) FILTER (ts >= t - INTERVAL '2 days') AS recent
+    FROM l, mx WHERE r <= 60 GROUP BY side, event_type HAVING count(*) >= 2"""))
 def routes(spark, d):
     """Proof of each route over its last 60 rows, with what is recent."""
     w = Window.partitionBy("side", "event_type").orderBy(F.desc("ts"))
@@ -107,7 +121,8 @@ def routes(spark, d):
 
 @query("g19_drift", T.with_sql("ev", """
 , e AS (SELECT quantile_cont(value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS edges FROM ev WHERE day < DATE '2024-01-16')
-, b AS (SELECT CASE WHEN day < DATE '2024-01-16' THEN 0 ELSE 1 END AS later, len(list_filter(edges, lambda x: value > x)) AS bin FROM ev, e), c AS (SELECT bin, count(*) FILTER (later = 0) AS n0, count(*) FILTER (later = 1) AS n1 FROM b GROUP BY bin)
+, b AS (SELECT CASE WHEN day < DATE '2024-01-16' THEN 0 ELSE 1 END AS later, len(list_filter(edges, lambda x: value > x)) AS bin FROM ev, e), c AS (SELECT bin,
+    count(*) FILTER (later = 0) AS n0, count(*) FILTER (later = 1) AS n1 FROM b GROUP BY bin)
 , s AS (SELECT bin, (n0 + 0.5) / (sum(n0) OVER () + 5) AS p, (n1 + 0.5) / (sum(n1) OVER () + 5) AS q FROM c)
 SELECT bin::BIGINT AS bin, round(p, 6) AS p, round(q, 6) AS q, round((p - q) * ln(p / q), 8) AS psi FROM s"""))
 def drift(spark, d):
@@ -128,7 +143,8 @@ def edge_prior(spark, d):
 
 
 @query("s1_s4_top", T.with_sql("decision", """
-, t AS (SELECT symbol, side, round(sum(coalesce(pnl, 0)), 8) AS total, count(*) AS n FROM decision GROUP BY symbol, side), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY total DESC, symbol) AS k FROM t)
+, t AS (SELECT symbol, side, round(sum(coalesce(pnl, 0)), 8) AS total, count(*) AS n FROM decision GROUP BY symbol, side), r AS (SELECT *,
+    row_number() OVER (PARTITION BY side ORDER BY total DESC, symbol) AS k FROM t)
 SELECT side, symbol, total, n, k, first_value(symbol) OVER (PARTITION BY side ORDER BY n DESC, symbol) AS busiest FROM r QUALIFY k <= 3"""))
 def top(spark, d):
     """Mixed sorts, limits, top-k of a group, arg-max with a tie rule."""
@@ -141,7 +157,8 @@ def top(spark, d):
 @query("s5_s8_sets", T.with_sql("bars_day", """
 , a AS (SELECT symbol FROM bars_day GROUP BY symbol HAVING max(volume) >= 6), b AS (SELECT symbol FROM bars_day GROUP BY symbol HAVING min(close) < 3)
 , h AS (SELECT symbol, day, close, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n, count(*) OVER (PARTITION BY symbol) AS tot FROM bars_day)
-SELECT h.symbol, h.symbol IN (SELECT * FROM a INTERSECT SELECT * FROM b) AS in_both, h.symbol IN (SELECT * FROM a EXCEPT SELECT * FROM b) AS only_a, count(*) FILTER (n * 2 <= tot + 1) AS first_half, round(arg_min(close, day), 6) AS first_close, round(arg_max(close, day), 6) AS last_close FROM h GROUP BY h.symbol"""))
+SELECT h.symbol, h.symbol IN (SELECT * FROM a INTERSECT SELECT * FROM b) AS in_both, h.symbol IN (SELECT * FROM a EXCEPT SELECT * FROM b) AS only_a,
+    count(*) FILTER (n * 2 <= tot + 1) AS first_half, round(arg_min(close, day), 6) AS first_close, round(arg_max(close, day), 6) AS last_close FROM h GROUP BY h.symbol"""))
 def sets(spark, d):
     """Intersection, difference, first and last kept, halves where the first takes the odd row."""
     bars = T.bars_day(spark, d)
@@ -150,8 +167,10 @@ def sets(spark, d):
     both, only = a.intersect(b).withColumn("x", F.lit(True)), a.exceptAll(b).withColumn("y", F.lit(True))
     w = Window.partitionBy("symbol")
     h = bars.withColumns({"n": F.row_number().over(w.orderBy("day")), "tot": F.count(F.lit(1)).over(w)})
-    out = h.groupBy("symbol").agg(F.count(F.when(F.col("n") * 2 <= F.col("tot") + 1, 1)).alias("first_half"), F.round(F.min_by("close", "day"), 6).alias("first_close"), F.round(F.max_by("close", "day"), 6).alias("last_close"))
-    return out.join(both, "symbol", "left").join(only, "symbol", "left").select("symbol", F.coalesce("x", F.lit(False)).alias("in_both"), F.coalesce("y", F.lit(False)).alias("only_a"), "first_half", "first_close", "last_close")
+    out = h.groupBy("symbol").agg(F.count(F.when(F.col("n") * 2 <= F.col("tot") + 1, 1)).alias("first_half"), F.round(F.min_by("close", "day"),
+        6).alias("first_close"), F.round(F.max_by("close", "day"), 6).alias("last_close"))
+    return out.join(both, "symbol", "left").join(only, "symbol", "left").select("symbol", F.coalesce("x", F.lit(False)).alias("in_both"), F.coalesce("y",
+        F.lit(False)).alias("only_a"), "first_half", "first_close", "last_close")
 
 
 #: Q1: named masks with a severity.
@@ -166,7 +185,8 @@ RULES = {
 def rule_pack(spark, d):
     """Q1, Q2: every named mask in one pass; rows that repeat a key."""
     x = T.decisions(spark, d)
-    counts = [F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.count(F.when(F.expr(m), 1)).alias("n"), F.count(F.lit(1)).alias("n_rows")) for n, (s, m) in RULES.items()]
+    counts = [F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.count(F.when(F.expr(m), 1)).alias("n"), F.count(F.lit(1)).alias("n_rows")) for n, (s,
+        m) in RULES.items()]
     rules = x.agg(F.array(*counts).alias("r")).select(F.inline("r"))
     c = x.groupBy("symbol", "day", "side", "event_type").agg(F.count(F.lit(1)).alias("c"))
     again = c.agg(F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)).alias("n"), F.sum("c").alias("n_rows"))
@@ -175,7 +195,9 @@ def rule_pack(spark, d):
 
 @query("q3_q5_open_rows", T.with_sql("decision bars_day", """
 , o AS (SELECT * FROM decision WHERE pnl IS NULL), p AS (SELECT o.*, b.close FROM o ASOF LEFT JOIN bars_day b ON o.symbol = b.symbol AND o.day >= b.day)
-SELECT symbol, count(*) AS n_open, round(max(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9, 4) AS oldest_hours, count(*) FILTER (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts) >= 864000000000) AS n_ready, count(*) > 3 AS over_cap, round(sum(CASE side WHEN 'LONG' THEN close / 50 - 1 ELSE 50 / close - 1 END), 6) AS marked FROM p GROUP BY symbol"""))
+SELECT symbol, count(*) AS n_open, round(max(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9, 4) AS oldest_hours,
+    count(*) FILTER (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts) >= 864000000000) AS n_ready, count(*) > 3 AS over_cap,
+        round(sum(CASE side WHEN 'LONG' THEN close / 50 - 1 ELSE 50 / close - 1 END), 6) AS marked FROM p GROUP BY symbol"""))
 def open_rows(spark, d):
     """Q3-Q5: age and readiness of open rows, their mark to the last bar, a cap for each key."""
     from panelia.operators import joins as J
@@ -185,12 +207,16 @@ def open_rows(spark, d):
     age = (F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))
     mark = F.when(F.col("side") == "LONG", F.col("close") / 50 - 1).otherwise(50 / F.col("close") - 1)
     return p.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("n_open"), F.round(F.max(age) / 3.6e9, 4).alias("oldest_hours"), F.count(F.when(age >= 864_000_000_000, 1)).alias("n_ready"), (F.count(F.lit(1)) > 3).alias("over_cap"), F.round(F.sum(mark), 6).alias("marked"))
+        F.count(F.lit(1)).alias("n_open"), F.round(F.max(age) / 3.6e9, 4).alias("oldest_hours"), F.count(F.when(age >= 864_000_000_000, 1)).alias("n_ready"),
+            (F.count(F.lit(1)) > 3).alias("over_cap"), F.round(F.sum(mark), 6).alias("marked"))
 
 
 @query("q6_q7_states", T.with_sql("decision", """
-, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) - 1 AS r FROM decision WHERE pnl IS NOT NULL), b AS (SELECT symbol, r // 4 AS batch, sum(pnl) AS total, count(*) AS n FROM l WHERE r < 12 GROUP BY symbol, batch)
-SELECT symbol, CASE WHEN sum(n) < 12 THEN 'warming' WHEN bool_and(total < 0) THEN 'locked' WHEN arg_min(total, batch) < -0.1 THEN 'storm' ELSE 'released' END AS state, CASE WHEN sum(n) < 12 THEN 'too few rows' WHEN sum(total) < 0 THEN 'losing' ELSE 'ok' END AS reason FROM b GROUP BY symbol"""))
+, l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) - 1 AS r FROM decision WHERE pnl IS NOT NULL), b AS (SELECT symbol, r // 4 AS batch,
+    sum(pnl) AS total, count(*) AS n FROM l WHERE r < 12 GROUP BY symbol, batch)
+SELECT symbol, CASE WHEN sum(n) < 12 THEN 'warming' WHEN bool_and(total < 0) THEN 'locked' WHEN arg_min(total,
+    batch) < -0.1 THEN 'storm' ELSE 'released' END AS state, CASE WHEN sum(n) < 12 THEN 'too few rows' WHEN sum(total) < 0 THEN 'losing' ELSE 'ok' END AS reason
+        FROM b GROUP BY symbol"""))
 def state_machine(spark, d):
     """Q6, Q7: states of a recent window by batches, and an ordered reason."""
     w = Window.partitionBy("symbol").orderBy(F.desc("ts"))
@@ -202,12 +228,14 @@ def state_machine(spark, d):
 
 
 @query("q8_q10_invariants", T.with_sql("bars_day", """
-SELECT count(*) FILTER (high < low) AS high_below_low, count(*) - count(DISTINCT (symbol, day)) AS repeated, coalesce(bool_and(close BETWEEN low AND high), true) AS close_inside, (SELECT count(*) FROM (SELECT day FROM bars_day GROUP BY day HAVING count(*) >= 10)) AS wide_days FROM bars_day"""))
+SELECT count(*) FILTER (high < low) AS high_below_low, count(*) - count(DISTINCT (symbol, day)) AS repeated, coalesce(bool_and(close BETWEEN low AND high),
+    true) AS close_inside, (SELECT count(*) FROM (SELECT day FROM bars_day GROUP BY day HAVING count(*) >= 10)) AS wide_days FROM bars_day"""))
 def invariants(spark, d):
     """Q8-Q10: prices are sane, keys unique, closes inside, days with enough names."""
     bars = T.bars_day(spark, d)
     wide = bars.groupBy("day").count().filter("count >= 10").agg(F.count(F.lit(1)).alias("wide_days"))
-    x = bars.agg(F.count(F.when(F.col("high") < F.col("low"), 1)).alias("high_below_low"), (F.count(F.lit(1)) - F.countDistinct("symbol", "day")).alias("repeated"), F.coalesce(F.every(F.col("close").between(F.col("low"), F.col("high"))), F.lit(True)).alias("close_inside"))
+    x = bars.agg(F.count(F.when(F.col("high") < F.col("low"), 1)).alias("high_below_low"), (F.count(F.lit(1)) - F.countDistinct("symbol", "day")).alias("repeated"),
+        F.coalesce(F.every(F.col("close").between(F.col("low"), F.col("high"))), F.lit(True)).alias("close_inside"))
     return x.join(F.broadcast(wide))
 
 

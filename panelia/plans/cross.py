@@ -23,14 +23,16 @@ def ranks(x, t="day"):
 , c AS (SELECT symbol, day, ret, CASE WHEN ret IS NOT NULL THEN {ranks('ret')} - 0.5 END AS centred, median(ret) OVER (PARTITION BY day) AS market,
   avg(CASE WHEN ret IS NOT NULL THEN (ret > 0)::INT END) OVER (PARTITION BY day) AS breadth,
   quantile_cont(ret, 0.75) OVER (PARTITION BY day) - quantile_cont(ret, 0.25) OVER (PARTITION BY day) AS dispersion FROM rets)
-SELECT symbol, day::VARCHAR AS day, round(centred, 8) AS centred, round(market, 8) AS market, round(breadth, 8) AS breadth, round(dispersion, 8) AS dispersion, round(ret - 0.5 * market, 8) AS residual FROM c"""))
+SELECT symbol, day::VARCHAR AS day, round(centred, 8) AS centred, round(market, 8) AS market, round(breadth, 8) AS breadth, round(dispersion, 8) AS dispersion,
+    round(ret - 0.5 * market, 8) AS residual FROM c"""))
 def context(spark, d):
     """Centred rank, market median, breadth, dispersion, residual return."""
     r = F.col("ret")
     p = week_panel(spark, d).withColumns({
         "centred": S.average_rank(r, "day") - 0.5, "market": F.median(r).over(X.by_day()), "breadth": F.avg(F.when(r.isNotNull(), (r > 0).cast("int"))).over(X.by_day()),
         "dispersion": F.percentile(r, 0.75).over(X.by_day()) - F.percentile(r, 0.25).over(X.by_day())})
-    return p.withColumn("residual", r - 0.5 * F.col("market")).select("symbol", S.day_text(), *[F.round(c, 8).alias(c) for c in ("centred", "market", "breadth", "dispersion", "residual")])
+    return p.withColumn("residual", r - 0.5 * F.col("market")).select("symbol", S.day_text(), *[F.round(c, 8).alias(c) for c in ("centred", "market", "breadth",
+        "dispersion", "residual")])
 
 
 @query("x5_x7_daily_regression", T.with_sql(NAMES, WEEK + f"""
@@ -46,7 +48,8 @@ def daily_regression(spark, d):
 @query("x9_gated_weights", T.with_sql(NAMES, WEEK + f"""
 , g AS (SELECT symbol, day, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY day) > 20 AND ret IS NOT NULL THEN signal END AS s FROM rets)
 , g2 AS (SELECT symbol, day, CASE WHEN count(s) OVER (PARTITION BY day) >= 10 THEN s END AS s FROM g), g3 AS (SELECT *, CASE WHEN s IS NOT NULL THEN {ranks('s')} END AS gk FROM g2)
-, g4 AS (SELECT *, count(CASE WHEN gk >= 1 - 0.25::DOUBLE THEN 1 END) OVER (PARTITION BY day) AS nt, count(CASE WHEN gk <= 0.25::DOUBLE THEN 1 END) OVER (PARTITION BY day) AS nb FROM g3)
+, g4 AS (SELECT *, count(CASE WHEN gk >= 1 - 0.25::DOUBLE THEN 1 END) OVER (PARTITION BY day) AS nt,
+    count(CASE WHEN gk <= 0.25::DOUBLE THEN 1 END) OVER (PARTITION BY day) AS nb FROM g3)
 SELECT symbol, day::VARCHAR AS day, round(CASE WHEN nt = 0 OR nb = 0 THEN 0 WHEN gk >= 1 - 0.25::DOUBLE THEN 0.5::DOUBLE / nt WHEN gk <= 0.25::DOUBLE THEN -0.5::DOUBLE / nb ELSE 0 END, 8) AS target FROM g4"""))
 def gated(spark, d):
     """Weights among eligible rows only; every outcome row stays."""
@@ -55,15 +58,18 @@ def gated(spark, d):
 
 
 @query("x10_x11_benchmarks", T.with_sql(NAMES, WEEK + """
-, f AS (SELECT *, px > avg(px) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AND count(px) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 10 AS up FROM base)
-SELECT symbol, day::VARCHAR AS day, round(coalesce(coalesce(up, false)::INT / nullif(sum(coalesce(up, false)::INT) OVER (PARTITION BY day), 0), 0), 8) AS trend, (symbol = 3)::INT::DOUBLE AS single FROM f"""))
+, f AS (SELECT *, px > avg(px) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AND count(px) OVER (PARTITION BY symbol
+    ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) >= 10 AS up FROM base)
+SELECT symbol, day::VARCHAR AS day, round(coalesce(coalesce(up, false)::INT / nullif(sum(coalesce(up, false)::INT) OVER (PARTITION BY day), 0), 0), 8) AS trend,
+    (symbol = 3)::INT::DOUBLE AS single FROM f"""))
 def benchmarks(spark, d):
     """Equal weight over names above their mean; one name alone."""
     p = week_panel(spark, d)
     px = F.when(F.col("volume") > 0, F.col("close"))
     up = F.coalesce(px > S.rolling(px, 10, 10, S.over()), F.lit(False)).cast("int")
     p = p.withColumn("up", up)
-    return p.select("symbol", S.day_text(), F.round(F.coalesce(F.col("up") / F.nullif(F.sum("up").over(X.by_day()), F.lit(0)), F.lit(0.0)), 8).alias("trend"), (F.col("symbol") == 3).cast("double").alias("single"))
+    return p.select("symbol", S.day_text(), F.round(F.coalesce(F.col("up") / F.nullif(F.sum("up").over(X.by_day()), F.lit(0)), F.lit(0.0)), 8).alias("trend"),
+        (F.col("symbol") == 3).cast("double").alias("single"))
 
 
 def _blocks(score, k, hold, name):
@@ -75,8 +81,10 @@ def _blocks(score, k, hold, name):
 , {name} AS (SELECT p.*, coalesce(c.target, 0) AS target FROM {name}_p p LEFT JOIN (SELECT * FROM {name}_c WHERE {f'r <= {k}' if k else 'true'}) c USING (block, symbol))"""
 
 
-@query("x12_x13_block_holdings", T.with_sql(NAMES, WEEK + ", h_s AS (SELECT symbol, day, signal FROM rets)" + _blocks("signal", 4, 7, "h") + ", g_s AS (SELECT symbol, day, signal FROM rets)" + _blocks("signal", None, 7, "g") + """
-SELECT h.symbol, h.day::VARCHAR AS day, round(coalesce(lag(h.target) OVER (PARTITION BY h.symbol ORDER BY h.day), 0), 8) AS top, round(coalesce(lag(g.target) OVER (PARTITION BY h.symbol ORDER BY h.day), 0), 8) AS positive FROM h JOIN g USING (symbol, day)"""))
+@query("x12_x13_block_holdings", T.with_sql(NAMES, WEEK + ", h_s AS (SELECT symbol, day, signal FROM rets)" + _blocks("signal", 4, 7,
+    "h") + ", g_s AS (SELECT symbol, day, signal FROM rets)" + _blocks("signal", None, 7, "g") + """
+SELECT h.symbol, h.day::VARCHAR AS day, round(coalesce(lag(h.target) OVER (PARTITION BY h.symbol ORDER BY h.day), 0), 8) AS top,
+    round(coalesce(lag(g.target) OVER (PARTITION BY h.symbol ORDER BY h.day), 0), 8) AS positive FROM h JOIN g USING (symbol, day)"""))
 def blocks(spark, d):
     """Top-k positive names held for a block, and all positive names."""
     p = week_panel(spark, d).select("symbol", "day", "signal")
@@ -87,7 +95,8 @@ def blocks(spark, d):
 
 _RATES = """, ra AS (SELECT symbol, day, round((avg(l_discount) - 0.05::DOUBLE) / 10, 8) AS a FROM wl WHERE l_returnflag = 'R' GROUP BY symbol, day)
 , rb AS (SELECT symbol, day, round((avg(l_discount) - 0.05::DOUBLE) / 10, 8) AS b FROM wl WHERE l_returnflag <> 'R' GROUP BY symbol, day)
-, sp AS (SELECT symbol, day, round(a - b, 10) AS spread, round(abs(a - b), 10) AS size FROM ra JOIN rb USING (symbol, day)), days AS (SELECT DISTINCT day FROM sp), h_s AS (SELECT symbol, day, spread, size FROM sp)"""
+, sp AS (SELECT symbol, day, round(a - b, 10) AS spread, round(abs(a - b), 10) AS size FROM ra JOIN rb USING (symbol, day)), days AS (SELECT DISTINCT day FROM sp),
+    h_s AS (SELECT symbol, day, spread, size FROM sp)"""
 
 
 def spreads(spark, d):
@@ -106,7 +115,8 @@ def spread_weights(spark, d):
 
 
 @query("x15_x16_hedged", T.with_sql(NAMES, WEEK + """
-, hb AS (SELECT symbol, day, CASE WHEN symbol = 0 THEN -coalesce(sum(CASE WHEN symbol <> 0 THEN weight * (1 + symbol / 100.0::DOUBLE) END) OVER (PARTITION BY day), 0) ELSE weight END AS w FROM panel)
+, hb AS (SELECT symbol, day, CASE WHEN symbol = 0 THEN -coalesce(sum(CASE WHEN symbol <> 0 THEN weight * (1 + symbol / 100.0::DOUBLE) END) OVER (PARTITION BY day),
+    0) ELSE weight END AS w FROM panel)
 SELECT symbol, day::VARCHAR AS day, round(w, 8) AS hedged, round(coalesce(w / nullif(sum(abs(w)) OVER (PARTITION BY day), 0), 0), 8) AS unit FROM hb"""))
 def hedged(spark, d):
     """A hedge asset against the beta of the book; gross scaled to one."""
@@ -140,8 +150,10 @@ def hysteresis(spark, d):
 
 
 @query("x20_volatility_target", T.with_sql(NAMES, WEEK + """
-, v AS (SELECT day, net, CASE WHEN count(net) OVER (ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) >= 20 THEN stddev_samp(net) OVER (ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(52) END AS vol FROM live)
-SELECT day::VARCHAR AS day, round(coalesce(lag(CASE WHEN vol > 0 THEN least(greatest(0.1 / vol, 0.25), 2) END) OVER (ORDER BY day), 1), 6) AS scale, round(net * coalesce(lag(CASE WHEN vol > 0 THEN least(greatest(0.1 / vol, 0.25), 2) END) OVER (ORDER BY day), 1), 8) AS scaled FROM v"""))
+, v AS (SELECT day, net, CASE WHEN count(net) OVER (ORDER BY day ROWS BETWEEN 19 PRECEDING
+    AND CURRENT ROW) >= 20 THEN stddev_samp(net) OVER (ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) * sqrt(52) END AS vol FROM live)
+SELECT day::VARCHAR AS day, round(coalesce(lag(CASE WHEN vol > 0 THEN least(greatest(0.1 / vol, 0.25), 2) END) OVER (ORDER BY day), 1), 6) AS scale,
+    round(net * coalesce(lag(CASE WHEN vol > 0 THEN least(greatest(0.1 / vol, 0.25), 2) END) OVER (ORDER BY day), 1), 8) AS scaled FROM v"""))
 def volatility_target(spark, d):
     """Leverage from realised volatility, lagged, within limits."""
 
@@ -155,12 +167,14 @@ def volatility_target(spark, d):
 @query("x21_x22_blend", T.with_sql(NAMES, WEEK + """
 , bl AS (SELECT symbol, day, 0.7::DOUBLE * weight + 0.3::DOUBLE * coalesce(lag(weight) OVER (PARTITION BY symbol ORDER BY day), 0) AS weight FROM panel)
 , fl AS (SELECT day, symbol, weight, abs((weight <> 0)::INT - coalesce((lag(weight) OVER (PARTITION BY symbol ORDER BY day) <> 0)::INT, 0)) AS flip FROM panel)
-SELECT day::VARCHAR AS day, round(sum(abs(bl.weight)), 8) AS gross, sum(flip)::BIGINT AS flips, count(CASE WHEN fl.weight <> 0 THEN 1 END) AS held FROM bl JOIN fl USING (symbol, day) GROUP BY day"""))
+SELECT day::VARCHAR AS day, round(sum(abs(bl.weight)), 8) AS gross, sum(flip)::BIGINT AS flips, count(CASE WHEN fl.weight <> 0 THEN 1 END) AS held FROM bl
+    JOIN fl USING (symbol, day) GROUP BY day"""))
 def blended(spark, d):
     """Two books blended; entries and exits a day, names held."""
     p = week_weights(spark, d)
     before = F.lag("weight").over(S.over())
     b = X.blend(p, p.withColumn("weight", F.coalesce(before, F.lit(0.0))), 0.7, 0.3).groupBy("day").agg(F.round(F.sum(F.abs("weight")), 8).alias("gross"))
     on = (F.col("weight") != 0).cast("int")
-    f = p.withColumn("flip", F.abs(on - F.coalesce((before != 0).cast("int"), F.lit(0)))).groupBy("day").agg(F.sum("flip").alias("flips"), F.count(F.when(F.col("weight") != 0, 1)).alias("held"))
+    f = p.withColumn("flip", F.abs(on - F.coalesce((before != 0).cast("int"), F.lit(0)))).groupBy("day").agg(F.sum("flip").alias("flips"),
+        F.count(F.when(F.col("weight") != 0, 1)).alias("held"))
     return b.join(f, "day").select(S.day_text(), "gross", "flips", "held")

@@ -35,14 +35,18 @@ def null_sharpes(panel, donors):
 
 
 _N1 = f"""
-, dr AS (SELECT unnest(range({DRAWS})) AS draw), o AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', '11', draw, symbol))) AS r FROM dr CROSS JOIN syms)
-, i AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY symbol) AS r FROM dr CROSS JOIN syms), dn AS (SELECT i.draw, i.symbol, o.symbol AS donor FROM i JOIN o USING (draw, r))
+, dr AS (SELECT unnest(range({DRAWS})) AS draw), o AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', '11', draw,
+    symbol))) AS r FROM dr CROSS JOIN syms)
+, i AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY symbol) AS r FROM dr CROSS JOIN syms), dn AS (SELECT i.draw, i.symbol, o.symbol AS donor
+    FROM i JOIN o USING (draw, r))
 , n0 AS (SELECT dn.draw, p.symbol, p.day, p.ret, p.cash, q.signal AS s FROM panel p JOIN dn ON p.symbol = dn.symbol JOIN panel q ON q.symbol = dn.donor AND q.day = p.day)
 , n1 AS (SELECT *, CASE WHEN s IS NOT NULL THEN {ranks('s', 'draw, day')} END AS k FROM n0)
-, n2 AS (SELECT *, count(CASE WHEN k >= 1 - 0.2::DOUBLE THEN 1 END) OVER (PARTITION BY draw, day) AS a, count(CASE WHEN k <= 0.2::DOUBLE THEN 1 END) OVER (PARTITION BY draw, day) AS b FROM n1)
+, n2 AS (SELECT *, count(CASE WHEN k >= 1 - 0.2::DOUBLE THEN 1 END) OVER (PARTITION BY draw, day) AS a,
+    count(CASE WHEN k <= 0.2::DOUBLE THEN 1 END) OVER (PARTITION BY draw, day) AS b FROM n1)
 , n3 AS (SELECT *, coalesce(lag(CASE WHEN a = 0 OR b = 0 THEN 0 WHEN k >= 1 - 0.2::DOUBLE THEN -0.5::DOUBLE / a WHEN k <= 0.2::DOUBLE THEN 0.5::DOUBLE / b ELSE 0 END) OVER (PARTITION BY draw, symbol ORDER BY day), 0) AS weight FROM n2)
 , n4 AS (SELECT *, CASE WHEN ret IS NOT NULL THEN weight ELSE 0 END AS w FROM n3), n5 AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY draw, symbol ORDER BY day), 0) AS w0 FROM n4)
-, n6 AS (SELECT draw, day, sum(w * coalesce(ret, 0)) - sum(w * coalesce(cash, 0)) - sum(abs(w - w0)) * 0.001::DOUBLE AS net, sum(abs(w - w0)) AS turnover, sum(abs(w)) AS gross FROM n5 GROUP BY draw, day)
+, n6 AS (SELECT draw, day, sum(w * coalesce(ret, 0)) - sum(w * coalesce(cash, 0)) - sum(abs(w - w0)) * 0.001::DOUBLE AS net, sum(abs(w - w0)) AS turnover,
+    sum(abs(w)) AS gross FROM n5 GROUP BY draw, day)
 , n7 AS (SELECT *, min(CASE WHEN gross > 0 THEN day END) OVER (PARTITION BY draw) AS st FROM n6)
 , nul AS (SELECT draw, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(52), 6) AS sharpe, round(avg(turnover), 6) AS turnover FROM n7 WHERE day >= st GROUP BY draw)
 , obs AS (SELECT round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(52), 6) AS sharpe, avg(turnover) AS turnover FROM live)"""
@@ -55,7 +59,8 @@ def permutation_null(spark, d):
 
 
 @query("n5_n10_n16_gate", T.with_sql(NAMES, WEEK + _N1 + """
-SELECT max(obs.sharpe) AS observed, count(*) AS n, (count(CASE WHEN nul.sharpe >= obs.sharpe THEN 1 END) + 1) / (count(*) + 1)::DOUBLE AS p, abs(avg(nul.turnover) / max(obs.turnover) - 1) <= 0.1 AS turnover_valid,
+SELECT max(obs.sharpe) AS observed, count(*) AS n, (count(CASE WHEN nul.sharpe >= obs.sharpe THEN 1 END) + 1) / (count(*) + 1)::DOUBLE AS p,
+    abs(avg(nul.turnover) / max(obs.turnover) - 1) <= 0.1 AS turnover_valid,
  (count(CASE WHEN nul.sharpe >= obs.sharpe THEN 1 END) + 1) / (count(*) + 1)::DOUBLE < 0.05 / 6 AND max(obs.sharpe) > 0 AS passes FROM nul, obs"""))
 def gate(spark, d):
     """Finite-sample p-value, null turnover near the observed one, adjusted gate."""
@@ -64,13 +69,16 @@ def gate(spark, d):
     obs = live(spark, d).agg(F.round(F.avg("net") / F.nullif(F.stddev_samp("net"), F.lit(0.0)) * 52**0.5, 6).alias("observed"), F.avg("turnover").alias("t"))
     x = null.join(F.broadcast(obs))
     pv = (F.count(F.when(F.col("sharpe") >= F.col("observed"), 1)) + 1) / (F.count(F.lit(1)) + 1)
-    return x.agg(F.max("observed").alias("observed"), F.count(F.lit(1)).alias("n"), pv.alias("p"), (F.abs(F.avg("turnover") / F.max("t") - 1) <= 0.1).alias("turnover_valid"), ((pv < 0.05 / 6) & (F.max("observed") > 0)).alias("passes"))
+    return x.agg(F.max("observed").alias("observed"), F.count(F.lit(1)).alias("n"), pv.alias("p"),
+        (F.abs(F.avg("turnover") / F.max("t") - 1) <= 0.1).alias("turnover_valid"), ((pv < 0.05 / 6) & (F.max("observed") > 0)).alias("passes"))
 
 
 @query("n2_random_pick_null", T.with_sql(NAMES, WEEK + f"""
 , dr AS (SELECT unnest(range({DRAWS})) AS draw), ix AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM days)
-, el AS (SELECT draw, i // 7 AS block, symbol, row_number() OVER (PARTITION BY draw, i // 7 ORDER BY md5(concat_ws('|', '5', draw, i // 7, symbol))) AS r FROM rets JOIN ix USING (day) CROSS JOIN dr WHERE i % 7 = 0 AND signal > 0)
-SELECT draw, round(sum(ret) / 4, 8) AS total, count(*) AS n FROM el JOIN ix ON ix.i // 7 = el.block JOIN rets ON rets.day = ix.day AND rets.symbol = el.symbol WHERE r <= 4 GROUP BY draw"""))
+, el AS (SELECT draw, i // 7 AS block, symbol, row_number() OVER (PARTITION BY draw, i // 7 ORDER BY md5(concat_ws('|', '5', draw, i // 7, symbol))) AS r FROM rets
+    JOIN ix USING (day) CROSS JOIN dr WHERE i % 7 = 0 AND signal > 0)
+SELECT draw, round(sum(ret) / 4, 8) AS total, count(*) AS n FROM el JOIN ix ON ix.i // 7 = el.block JOIN rets ON rets.day = ix.day AND rets.symbol = el.symbol
+    WHERE r <= 4 GROUP BY draw"""))
 def random_pick(spark, d):
     """K eligible names in hash order at each rebalance, held for the block."""
     p = week_panel(spark, d).join(X.ordinal_days(week_panel(spark, d)), "day").withColumn("block", F.floor(F.col("i") / 7))
@@ -81,9 +89,12 @@ def random_pick(spark, d):
 
 
 @query("n3_n4_paired_null", T.with_sql(NAMES, WEEK + f"""
-, dr AS (SELECT unnest(range({DRAWS})) AS draw), o AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', '3', draw, symbol))) AS r FROM dr CROSS JOIN syms)
-, i AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY symbol) AS r FROM dr CROSS JOIN syms), dn AS (SELECT i.draw, i.symbol, o.symbol AS donor FROM i JOIN o USING (draw, r))
-SELECT dn.draw, round(avg(sign(q.signal) * p.ret), 8) AS mean_signed, round(avg(p.signal * q.ret) * 1e4, 6) AS mean_joint FROM rets p JOIN dn ON p.symbol = dn.symbol JOIN rets q ON q.symbol = dn.donor AND q.day = p.day GROUP BY dn.draw"""))
+, dr AS (SELECT unnest(range({DRAWS})) AS draw), o AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', '3', draw,
+    symbol))) AS r FROM dr CROSS JOIN syms)
+, i AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY symbol) AS r FROM dr CROSS JOIN syms), dn AS (SELECT i.draw, i.symbol, o.symbol AS donor
+    FROM i JOIN o USING (draw, r))
+SELECT dn.draw, round(avg(sign(q.signal) * p.ret), 8) AS mean_signed, round(avg(p.signal * q.ret) * 1e4, 6) AS mean_joint FROM rets p JOIN dn ON p.symbol = dn.symbol
+    JOIN rets q ON q.symbol = dn.donor AND q.day = p.day GROUP BY dn.draw"""))
 def paired_null(spark, d):
     """One side of a pair permuted, magnitude and sign together, before they combine."""
     p = week_panel(spark, d).select("symbol", "day", "ret", "signal")
@@ -99,7 +110,8 @@ def block_shuffle(spark, d):
     p = week_panel(spark, d).select("symbol", "day", "ret").withColumn("n", F.row_number().over(w.orderBy("day")) - 1).withColumn("block", F.floor(F.col("n") / 12))
     b = p.select("symbol", "block").distinct().withColumn("to", F.row_number().over(w.orderBy(N.hash_order("9", F.col("symbol").cast("string"), F.col("block").cast("string")))))
     moved = p.join(b, ["symbol", "block"]).withColumn("n", F.row_number().over(w.orderBy("to", "n")) - 1).select("symbol", "n", F.col("ret").alias("shuffled"))
-    return p.join(moved, ["symbol", "n"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("ret", "shuffled"), 6).alias("c"), F.round(F.sum("ret") - F.sum("shuffled"), 8).alias("gap"))
+    return p.join(moved, ["symbol", "n"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("ret", "shuffled"), 6).alias("c"),
+        F.round(F.sum("ret") - F.sum("shuffled"), 8).alias("gap"))
 
 
 @query("n7_circular_shift", T.with_sql(NAMES, WEEK + f"""
@@ -107,7 +119,8 @@ def block_shuffle(spark, d):
 , wi AS (SELECT symbol, i, n, w, coalesce(ret, 0) - coalesce(cash, 0) AS r FROM masked JOIN ix USING (day))
 , fee AS (SELECT (sum(turnover) + max_by(gross, day)) * 0.001::DOUBLE AS fee, count(*) AS n FROM daily)
 , sh AS (SELECT 0 AS s UNION ALL SELECT unnest(range({LEAST_SHIFT}, (SELECT n FROM fee) - {LEAST_SHIFT} + 1)))
-, nl AS (SELECT s AS shift, round((sum(a.w * b.r) - max(fee)) / max(fee.n), 12) AS net FROM wi a CROSS JOIN sh CROSS JOIN fee JOIN wi b ON b.symbol = a.symbol AND b.i = (a.i - s + a.n) % a.n WHERE a.n >= 2 * {LEAST_SHIFT} AND a.w <> 0 GROUP BY s)
+, nl AS (SELECT s AS shift, round((sum(a.w * b.r) - max(fee)) / max(fee.n), 12) AS net FROM wi a CROSS JOIN sh CROSS JOIN fee JOIN wi b ON b.symbol = a.symbol
+    AND b.i = (a.i - s + a.n) % a.n WHERE a.n >= 2 * {LEAST_SHIFT} AND a.w <> 0 GROUP BY s)
 , ob AS (SELECT net AS observed FROM nl WHERE shift = 0)
 SELECT shift, net, round((count(CASE WHEN net >= observed THEN 1 END) OVER () + 1) / (count(*) OVER () + 1)::DOUBLE, 10) AS p FROM nl, ob WHERE shift > 0"""))
 def circular_shift(spark, d):
@@ -134,9 +147,11 @@ def circular_shift(spark, d):
 
 _BOOT = f"""
 , sr AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, net, price, net - avg(net) OVER () AS x, (net - price) - avg(net - price) OVER () AS xd, count(*) OVER () AS n FROM live)
-, dr AS (SELECT draw, b, n, ('0x' || substr(md5(concat_ws('|', '13', draw, b)), 1, 8))::BIGINT % n AS start FROM (SELECT max(n) AS n FROM sr) CROSS JOIN range({BOOTSTRAPS}) t(draw) CROSS JOIN range(1000) u(b) WHERE b < ceil(n / {BLOCK}.0))
+, dr AS (SELECT draw, b, n, ('0x' || substr(md5(concat_ws('|', '13', draw, b)), 1, 8))::BIGINT % n AS start FROM (SELECT max(n) AS n FROM sr) CROSS
+    JOIN range({BOOTSTRAPS}) t(draw) CROSS JOIN range(1000) u(b) WHERE b < ceil(n / {BLOCK}.0))
 , pos AS (SELECT draw, (start + o) % n AS i FROM dr CROSS JOIN range({BLOCK}) v(o) WHERE b * {BLOCK} + o < n)
-, bm AS (SELECT draw, avg(x) AS m, avg(xd) AS md, (avg(net) / nullif(stddev_samp(net), 0) - avg(price) / nullif(stddev_samp(price), 0)) * sqrt(52) AS ds FROM pos JOIN sr USING (i) GROUP BY draw)"""
+, bm AS (SELECT draw, avg(x) AS m, avg(xd) AS md, (avg(net) / nullif(stddev_samp(net), 0) - avg(price) / nullif(stddev_samp(price), 0)) * sqrt(52) AS ds FROM pos
+    JOIN sr USING (i) GROUP BY draw)"""
 
 
 @query("n8_block_bootstrap", T.with_sql(NAMES, WEEK + _BOOT + " SELECT draw, round(m * 1e4, 6) AS mean_bps FROM bm"))
@@ -164,7 +179,8 @@ def block_p_values(spark, d):
 
 @query("n9_sharpe_interval", T.with_sql(NAMES, WEEK + _BOOT + """
 , ob AS (SELECT (avg(net) / nullif(stddev_samp(net), 0) - avg(price) / nullif(stddev_samp(price), 0)) * sqrt(52) AS o FROM sr)
-SELECT count(*) AS n, round(max(o), 6) AS observed, round(quantile_cont(ds, 0.025), 6) AS low, round(quantile_cont(ds, 0.975), 6) AS high, round(avg((round(ds, 10) <= 0)::INT), 6) AS share_below FROM bm, ob"""))
+SELECT count(*) AS n, round(max(o), 6) AS observed, round(quantile_cont(ds, 0.025), 6) AS low, round(quantile_cont(ds, 0.975), 6) AS high, round(avg((round(ds,
+    10) <= 0)::INT), 6) AS share_below FROM bm, ob"""))
 def interval(spark, d):
     """Difference of the Sharpe ratios of two paired series over shared block draws: its
     percentile interval and the share of draws at or below zero."""
@@ -179,9 +195,11 @@ def interval(spark, d):
 
 
 @query("n11_hac_mean", T.with_sql(NAMES, WEEK + """
-, x AS (SELECT row_number() OVER (ORDER BY day) AS n, net - avg(net) OVER () AS e FROM live), cv AS (SELECT sum(2 * (1 - l / 8.0) * a.e * b.e) AS s FROM x a JOIN range(1, 8) t(l) ON true JOIN x b ON b.n = a.n - l)
+, x AS (SELECT row_number() OVER (ORDER BY day) AS n, net - avg(net) OVER () AS e FROM live), cv AS (SELECT sum(2 * (1 - l / 8.0) * a.e * b.e) AS s FROM x a
+    JOIN range(1, 8) t(l) ON true JOIN x b ON b.n = a.n - l)
 , bs AS (SELECT count(net) AS n, avg(net) AS mean, var_pop(net) AS v0 FROM live), v AS (SELECT n, mean, sqrt(greatest((v0 + s / n) / n, 0)) AS se FROM bs, cv)
-SELECT n, round(mean * 1e4, 6) AS mean_bps, round(se * 1e4, 6) AS se_bps, round(mean / nullif(se, 0), 6) AS t, round((mean - 1.96 * se) * 1e4, 6) AS low_bps, round((mean + 1.96 * se) * 1e4, 6) AS high_bps FROM v"""))
+SELECT n, round(mean * 1e4, 6) AS mean_bps, round(se * 1e4, 6) AS se_bps, round(mean / nullif(se, 0), 6) AS t, round((mean - 1.96 * se) * 1e4, 6) AS low_bps,
+    round((mean + 1.96 * se) * 1e4, 6) AS high_bps FROM v"""))
 def hac(spark, d):
     h = N.hac_mean(live(spark, d), "net", 7)
     bps = lambda c: F.round(F.col(c) * 1e4, 6).alias(f"{c}_bps")
@@ -189,24 +207,29 @@ def hac(spark, d):
 
 
 @query("n12_n15_regression", T.with_sql(NAMES, WEEK + """
-, mk AS (SELECT day, median(ret) AS m FROM rets GROUP BY day), j AS (SELECT l.day, net, m, row_number() OVER (ORDER BY l.day) AS i FROM live l JOIN mk USING (day) WHERE m IS NOT NULL)
+, mk AS (SELECT day, median(ret) AS m FROM rets GROUP BY day), j AS (SELECT l.day, net, m, row_number() OVER (ORDER BY l.day) AS i FROM live l JOIN mk USING (day)
+    WHERE m IS NOT NULL)
 , f AS (SELECT *, net - regr_intercept(net, m) OVER () - regr_slope(net, m) OVER () * m AS u FROM j)
-SELECT count(*) AS n, round(regr_intercept(net, m) * 1e4, 6) AS intercept_bps, round(regr_slope(net, m), 6) AS slope, round(corr(net, m), 6) AS correlation, round(sqrt(sum(u * u)) * 1e4, 4) AS residual_bps FROM f"""))
+SELECT count(*) AS n, round(regr_intercept(net, m) * 1e4, 6) AS intercept_bps, round(regr_slope(net, m), 6) AS slope, round(corr(net, m), 6) AS correlation,
+    round(sqrt(sum(u * u)) * 1e4, 4) AS residual_bps FROM f"""))
 def regression(spark, d):
     """Intercept, slope, correlation and residual scale against the market."""
     market = week_panel(spark, d).groupBy("day").agg(F.median("ret").alias("m")).filter("m IS NOT NULL")
     j = live(spark, d).join(market, "day")
     s = j.agg(F.regr_intercept("net", "m").alias("a"), F.regr_slope("net", "m").alias("b"))
     f = j.join(F.broadcast(s)).withColumn("u", F.col("net") - F.col("a") - F.col("b") * F.col("m"))
-    return f.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("a") * 1e4, 6).alias("intercept_bps"), F.round(F.max("b"), 6).alias("slope"), F.round(F.corr("net", "m"), 6).alias("correlation"), F.round(F.sqrt(F.sum(F.col("u") * F.col("u"))) * 1e4, 4).alias("residual_bps"))
+    return f.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("a") * 1e4, 6).alias("intercept_bps"), F.round(F.max("b"), 6).alias("slope"), F.round(F.corr("net",
+        "m"), 6).alias("correlation"), F.round(F.sqrt(F.sum(F.col("u") * F.col("u"))) * 1e4, 4).alias("residual_bps"))
 
 
 @query("n12_hac_intercept", T.with_sql(NAMES, WEEK + """
-, mk AS (SELECT day, median(ret) AS m FROM rets GROUP BY day), j AS (SELECT l.day, net, m, row_number() OVER (ORDER BY l.day) AS i FROM live l JOIN mk USING (day) WHERE m IS NOT NULL)
+, mk AS (SELECT day, median(ret) AS m FROM rets GROUP BY day), j AS (SELECT l.day, net, m, row_number() OVER (ORDER BY l.day) AS i FROM live l JOIN mk USING (day)
+    WHERE m IS NOT NULL)
 , c AS (SELECT regr_intercept(net, m) AS a, regr_slope(net, m) AS b, count(*) AS n, sum(m) AS s, sum(m * m) AS q FROM j)
 , h AS (SELECT i, (q - s * m) / (n * q - s * s) * (net - a - b * m) AS h FROM j, c)
 , v AS (SELECT (SELECT sum(h * h) FROM h) + (SELECT sum(2 * (1 - l / 11.0) * x.h * y.h) FROM h x JOIN range(1, 11) t(l) ON true JOIN h y ON y.i = x.i - l) AS v)
-SELECT n, round(a * 1e4, 6) AS intercept_bps, round(b, 6) AS slope, CASE WHEN n > 12 AND v > 0 THEN round(sqrt(v) * 1e4, 6) END AS se_bps, CASE WHEN n > 12 AND v > 0 THEN round(a / sqrt(v), 6) END AS t FROM c, v"""))
+SELECT n, round(a * 1e4, 6) AS intercept_bps, round(b, 6) AS slope, CASE WHEN n > 12 AND v > 0 THEN round(sqrt(v) * 1e4, 6) END AS se_bps, CASE WHEN n > 12
+    AND v > 0 THEN round(a / sqrt(v), 6) END AS t FROM c, v"""))
 def hac_intercept(spark, d):
     """T of the intercept against the market with a Bartlett-weighted error over ten lags."""
     market = week_panel(spark, d).groupBy("day").agg(F.median("ret").alias("m")).filter("m IS NOT NULL")
@@ -220,8 +243,10 @@ def hac_intercept(spark, d):
 , r AS (SELECT *, rank() OVER (PARTITION BY side ORDER BY proba) + (count(*) OVER (PARTITION BY side, proba) - 1) / 2.0::DOUBLE AS a,
    rank() OVER (PARTITION BY side ORDER BY pnl) + (count(*) OVER (PARTITION BY side, pnl) - 1) / 2.0::DOUBLE AS b,
    row_number() OVER (PARTITION BY side ORDER BY proba, event_id) AS k, count(*) OVER (PARTITION BY side) AS n, greatest(1, count(*) OVER (PARTITION BY side) // 4) AS q FROM x)
-, g AS (SELECT side, count(*) AS n, round(corr(proba, pnl), 6) AS c, round(corr(a, b), 6) AS rc, round(sum(CASE WHEN k <= q THEN pnl ELSE 0 END), 6) AS bottom, round(sum(CASE WHEN k > n - q THEN pnl ELSE 0 END), 6) AS top FROM r GROUP BY side)
-SELECT side, n, c AS correlation, rc AS rank_correlation, bottom, top, CASE WHEN n < 20 THEN 'LOW_N' WHEN rc < -0.1 AND top < bottom THEN 'POSSIBLE_INVERTED' WHEN rc > 0.1 AND top > bottom THEN 'ALIGNED' ELSE 'WEAK_OR_NOISY' END AS verdict FROM g"""))
+, g AS (SELECT side, count(*) AS n, round(corr(proba, pnl), 6) AS c, round(corr(a, b), 6) AS rc, round(sum(CASE WHEN k <= q THEN pnl ELSE 0 END), 6) AS bottom,
+    round(sum(CASE WHEN k > n - q THEN pnl ELSE 0 END), 6) AS top FROM r GROUP BY side)
+SELECT side, n, c AS correlation, rc AS rank_correlation, bottom, top, CASE WHEN n < 20 THEN 'LOW_N' WHEN rc < -0.1
+    AND top < bottom THEN 'POSSIBLE_INVERTED' WHEN rc > 0.1 AND top > bottom THEN 'ALIGNED' ELSE 'WEAK_OR_NOISY' END AS verdict FROM g"""))
 def orientation(spark, d):
     """Does a score rank outcomes the right way round? Correlation, rank correlation, the
     outcomes of the lowest and highest quarter of scores, and a verdict for each side. Ranks within
@@ -244,17 +269,21 @@ def orientation(spark, d):
 
 
 @query("n13_effective_n", T.with_sql("decision", """
-SELECT side, count(pnl) AS n, round(sum(proba), 6) AS effective, round(sum(pnl * proba) / nullif(sum(CASE WHEN pnl IS NOT NULL THEN proba END), 0), 8) AS mean, round(stddev_samp(pnl) / sqrt(nullif(sum(proba), 0)), 8) AS se FROM decision GROUP BY side"""))
+SELECT side, count(pnl) AS n, round(sum(proba), 6) AS effective, round(sum(pnl * proba) / nullif(sum(CASE WHEN pnl IS NOT NULL THEN proba END), 0), 8) AS mean,
+    round(stddev_samp(pnl) / sqrt(nullif(sum(proba), 0)), 8) AS se FROM decision GROUP BY side"""))
 def effective_n(spark, d):
     """Error of a weighted mean with the sum of weights as the number of observations."""
     w, x = F.col("proba"), F.col("pnl")
     return T.decisions(spark, d).groupBy("side").agg(
-        F.count(x).alias("n"), F.round(F.sum(w), 6).alias("effective"), F.round(F.sum(x * w) / F.nullif(F.sum(F.when(x.isNotNull(), w)), F.lit(0.0)), 8).alias("mean"), F.round(F.stddev_samp(x) / F.sqrt(F.nullif(F.sum(w), F.lit(0.0))), 8).alias("se"))
+        F.count(x).alias("n"), F.round(F.sum(w), 6).alias("effective"), F.round(F.sum(x * w) / F.nullif(F.sum(F.when(x.isNotNull(), w)), F.lit(0.0)),
+            8).alias("mean"), F.round(F.stddev_samp(x) / F.sqrt(F.nullif(F.sum(w), F.lit(0.0))), 8).alias("se"))
 
 
 @query("n17_n19_scorecard", T.with_sql(NAMES, WEEK + """
-, s AS (SELECT avg(net) AS m, stddev_samp(net) AS sd, min(net) AS lo, count(*) AS n FROM live), l3 AS (SELECT bool_and(net < 0) AS down FROM (SELECT net FROM live ORDER BY day DESC LIMIT 3))
-, c AS (SELECT 'mean_positive' AS condition, CASE WHEN n < 50 THEN 'pending' WHEN m > 0 THEN 'pass' ELSE 'fail' END AS state FROM s UNION ALL SELECT 'worst_limited', CASE WHEN lo > -0.2 THEN 'pass' ELSE 'fail' END FROM s
+, s AS (SELECT avg(net) AS m, stddev_samp(net) AS sd, min(net) AS lo, count(*) AS n FROM live), l3 AS (SELECT bool_and(net < 0) AS down FROM (SELECT net FROM live
+    ORDER BY day DESC LIMIT 3))
+, c AS (SELECT 'mean_positive' AS condition, CASE WHEN n < 50 THEN 'pending' WHEN m > 0 THEN 'pass' ELSE 'fail' END AS state FROM s UNION ALL SELECT 'worst_limited',
+    CASE WHEN lo > -0.2 THEN 'pass' ELSE 'fail' END FROM s
  UNION ALL SELECT 'enough_periods', CASE WHEN n >= 100 THEN 'pass' ELSE 'pending' END FROM s UNION ALL SELECT 'not_falling', CASE WHEN down THEN 'fail' ELSE 'pass' END FROM l3)
 SELECT condition, state, CASE WHEN count(*) FILTER (state = 'fail') OVER () > 0 THEN 'stop' WHEN count(*) FILTER (state = 'pending') OVER () > 0 THEN 'wait' ELSE 'go' END AS verdict FROM c"""))
 def scorecard(spark, d):

@@ -20,11 +20,13 @@ def asof(spark, d):
     """Latest settlement at or before each bar, and whether it is at most 8 hours old."""
     m = J.asof(T.bars_4h(spark, d).select("symbol", F.col("bar").alias("ts")), T.settlements(spark, d).select("symbol", "ts", "rate"), "symbol", "ts", ["rate"])
     micro = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    return m.select("symbol", F.date_format("ts", STAMP).alias("bar"), F.round("rate", 8).alias("rate"), F.coalesce(micro("ts") - micro("ts_matched") <= 28_800_000_000, F.lit(False)).alias("fresh"))
+    return m.select("symbol", F.date_format("ts", STAMP).alias("bar"), F.round("rate", 8).alias("rate"),
+        F.coalesce(micro("ts") - micro("ts_matched") <= 28_800_000_000, F.lit(False)).alias("fresh"))
 
 
 @query("j3_j4_interval_sums", T.with_sql("bars_4h settle", """
-SELECT b.symbol, strftime(b.bar, '%Y-%m-%d %H:%M:%S') AS bar, round(coalesce(sum(CASE WHEN s.ts < b.bar + INTERVAL '36 hours' THEN rate END), 0), 9) AS open_sum, count(CASE WHEN s.ts < b.bar + INTERVAL '36 hours' THEN 1 END) AS open_n,
+SELECT b.symbol, strftime(b.bar, '%Y-%m-%d %H:%M:%S') AS bar, round(coalesce(sum(CASE WHEN s.ts < b.bar + INTERVAL '36 hours' THEN rate END), 0), 9) AS open_sum,
+    count(CASE WHEN s.ts < b.bar + INTERVAL '36 hours' THEN 1 END) AS open_n,
  round(coalesce(sum(rate), 0), 9) AS closed_sum, count(s.ts) AS closed_n
 FROM bars_4h b LEFT JOIN settle s ON b.symbol = s.symbol AND s.ts > b.bar AND s.ts <= b.bar + INTERVAL '36 hours' GROUP BY b.symbol, b.bar"""))
 def interval_sums(spark, d):
@@ -38,8 +40,10 @@ def interval_sums(spark, d):
 
 @query("j5_higher_frame", T.with_sql("bars_4h bars_day", """
 , c AS (SELECT symbol, day, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS day_close, lag(high) OVER (PARTITION BY symbol ORDER BY day) AS day_high FROM bars_day)
-SELECT b.symbol, strftime(bar, '%Y-%m-%d %H:%M:%S') AS bar, round(last_value(day_close IGNORE NULLS) OVER w, 6) AS day_close, round(last_value(day_high IGNORE NULLS) OVER w, 6) AS day_high
-FROM bars_4h b LEFT JOIN c ON b.symbol = c.symbol AND CAST(bar AS DATE) = c.day WINDOW w AS (PARTITION BY b.symbol ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+SELECT b.symbol, strftime(bar, '%Y-%m-%d %H:%M:%S') AS bar, round(last_value(day_close IGNORE NULLS) OVER w, 6) AS day_close,
+    round(last_value(day_high IGNORE NULLS) OVER w, 6) AS day_high
+FROM bars_4h b LEFT JOIN c ON b.symbol = c.symbol AND CAST(bar AS DATE) = c.day WINDOW w AS (PARTITION BY b.symbol ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING
+    AND CURRENT ROW)"""))
 def higher_frame(spark, d):
     """The day bar before, on four-hour bars, without look-ahead."""
     day = T.bars_day(spark, d).select("symbol", F.col("day").alias("bar"), F.col("close").alias("day_close"), F.col("high").alias("day_high"))
@@ -48,15 +52,18 @@ def higher_frame(spark, d):
 
 
 @query("j6_calendar_reindex", T.with_sql("bars_day settle", """
-, cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM bars_day), s AS (SELECT symbol, day, sum(rate) AS rate FROM settle GROUP BY symbol, day)
-SELECT symbol, day::VARCHAR AS day, round(coalesce(rate, 0), 8) AS rate, rate IS NULL AS was_missing FROM (SELECT DISTINCT symbol FROM bars_day) CROSS JOIN cal LEFT JOIN s USING (symbol, day)"""))
+, cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM bars_day), s AS (SELECT symbol, day, sum(rate) AS rate
+    FROM settle GROUP BY symbol, day)
+SELECT symbol, day::VARCHAR AS day, round(coalesce(rate, 0), 8) AS rate, rate IS NULL AS was_missing FROM (SELECT DISTINCT symbol FROM bars_day) CROSS JOIN cal LEFT
+    JOIN s USING (symbol, day)"""))
 def reindex(spark, d):
     """A series on the complete calendar, zero where nothing happened."""
     bars = T.bars_day(spark, d)
     days = B.calendar(bars).agg(F.collect_list("day").alias("days"))  # one row: the calendar as an array
     full = bars.select("symbol").distinct().join(F.broadcast(days)).select("symbol", F.explode("days").alias("day"))
     s = T.settlements(spark, d).groupBy("symbol", "day").agg(F.sum("rate").alias("rate"))
-    return full.join(s, ["symbol", "day"], "left").select("symbol", S.day_text(), F.round(F.coalesce("rate", F.lit(0.0)), 8).alias("rate"), F.col("rate").isNull().alias("was_missing"))
+    return full.join(s, ["symbol", "day"], "left").select("symbol", S.day_text(), F.round(F.coalesce("rate", F.lit(0.0)), 8).alias("rate"),
+        F.col("rate").isNull().alias("was_missing"))
 
 
 @query("j7_panel_align", T.with_sql("wl", """
@@ -65,7 +72,8 @@ SELECT symbol, count(*) AS n_days, min(day)::VARCHAR AS first_day, max(day)::VAR
 def align(spark, d):
     """Days and names that both venues have."""
     a, b = (T.week_lines(spark, d).filter(F.col("l_linestatus") == s).select("symbol", "day").distinct() for s in ("F", "O"))
-    return a.join(b, ["symbol", "day"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_days"), F.min("day").cast("string").alias("first_day"), F.max("day").cast("string").alias("last_day"))
+    return a.join(b, ["symbol", "day"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_days"), F.min("day").cast("string").alias("first_day"),
+        F.max("day").cast("string").alias("last_day"))
 
 
 @query("j8_label_shift", T.with_sql("bars_day", """
@@ -81,7 +89,8 @@ def label_shift(spark, d):
 
 @query("j9_j10_fill_match", T.with_sql("fill", """
 , o AS (SELECT DISTINCT order_id FROM fill WHERE order_id % 3 <> 0), opens AS (SELECT run, avg(reference) AS open FROM fill WHERE month(run) <> 2 GROUP BY run)
-SELECT f.run::VARCHAR AS run, count(*) AS n_fills, count(o.order_id) AS matched, count(*) - count(o.order_id) AS unmatched, count(*) FILTER (opens.open IS NULL) AS no_open, round(avg(f.price / opens.open - 1), 6) AS shortfall
+SELECT f.run::VARCHAR AS run, count(*) AS n_fills, count(o.order_id) AS matched, count(*) - count(o.order_id) AS unmatched,
+    count(*) FILTER (opens.open IS NULL) AS no_open, round(avg(f.price / opens.open - 1), 6) AS shortfall
 FROM fill f LEFT JOIN o USING (order_id) LEFT JOIN opens USING (run) GROUP BY f.run"""))
 def fill_match(spark, d):
     """Fills with their orders and the open of their day; what is missing is counted."""
@@ -109,9 +118,12 @@ def reconcile(spark, d):
 
 
 @query("j15_j16_permuted", T.with_sql(NAMES, WEEK + """
-, dr AS (SELECT unnest(range(5)) AS draw), o AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', '7', draw, symbol))) AS r FROM dr CROSS JOIN syms)
-, i AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY symbol) AS r FROM dr CROSS JOIN syms), dn AS (SELECT i.draw, i.symbol, o.symbol AS donor FROM i JOIN o USING (draw, r))
-SELECT dn.draw, p.symbol, round(corr(p.ret, q.signal), 6) AS c, max(donor) AS donor FROM panel p JOIN dn ON p.symbol = dn.symbol JOIN panel q ON q.symbol = dn.donor AND q.day = p.day GROUP BY dn.draw, p.symbol"""))
+, dr AS (SELECT unnest(range(5)) AS draw), o AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', '7', draw, symbol))) AS r
+    FROM dr CROSS JOIN syms)
+, i AS (SELECT draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY symbol) AS r FROM dr CROSS JOIN syms), dn AS (SELECT i.draw, i.symbol, o.symbol AS donor
+    FROM i JOIN o USING (draw, r))
+SELECT dn.draw, p.symbol, round(corr(p.ret, q.signal), 6) AS c, max(donor) AS donor FROM panel p JOIN dn ON p.symbol = dn.symbol JOIN panel q ON q.symbol = dn.donor
+    AND q.day = p.day GROUP BY dn.draw, p.symbol"""))
 def permuted(spark, d):
     """Each draw gives every symbol the whole history of a donor."""
     from panelia.operators import inference as N
@@ -131,28 +143,34 @@ def lagged_products(spark, d):
     from panelia.operators import accounting as A
     from panelia.operators import inference as N
 
-    return N.lagged_products(A.trimmed(A.account(week_weights(spark, d), 0.001)), "net", 7).select(F.col("lag").cast("bigint").alias("lag"), "n", F.round(F.col("product") * 1e4, 8).alias("product"))
+    return N.lagged_products(A.trimmed(A.account(week_weights(spark, d), 0.001)), "net", 7).select(F.col("lag").cast("bigint").alias("lag"), "n",
+        F.round(F.col("product") * 1e4, 8).alias("product"))
 
 
 @query("j18_j19_j21_gates", T.with_sql("decision", """
 , st AS (SELECT symbol, arg_max(event_type, ts) AS latest FROM decision GROUP BY symbol)
 , ok AS (SELECT side, regime, event_type FROM decision GROUP BY ALL HAVING count(pnl) >= 5 AND avg((pnl > 0)::INT) >= 0.3)
-SELECT d.event_id, st.latest, (d.side, d.regime, d.event_type) IN (SELECT (side, regime, event_type) FROM ok) AS allowed FROM decision d JOIN st USING (symbol) WHERE NOT (d.regime = 'R1' AND d.side = 'SHORT' AND d.symbol % 4 = 1)"""))
+SELECT d.event_id, st.latest, (d.side, d.regime, d.event_type) IN (SELECT (side, regime, event_type) FROM ok) AS allowed FROM decision d JOIN st USING (symbol)
+    WHERE NOT (d.regime = 'R1' AND d.side = 'SHORT' AND d.symbol % 4 = 1)"""))
 def gates(spark, d):
     """Latest status on every row, groups that pass a gate, a deny list taken out."""
     x = T.decisions(spark, d)
     latest = x.groupBy("symbol").agg(F.max_by("event_type", "ts").alias("latest"))
     group = ["side", "regime", "event_type"]
-    ok = x.groupBy(*group).agg(F.count("pnl").alias("n"), F.avg((F.col("pnl") > 0).cast("int")).alias("win")).filter("n >= 5 AND win >= 0.3").select(*group, F.lit(True).alias("ok"))
+    ok = x.groupBy(*group).agg(F.count("pnl").alias("n"), F.avg((F.col("pnl") > 0).cast("int")).alias("win")).filter("n >= 5 AND win >= 0.3").select(*group,
+        F.lit(True).alias("ok"))
     deny = x.select("symbol").distinct().filter("symbol % 4 = 1").select("symbol", F.lit("R1").alias("regime"), F.lit("SHORT").alias("side"))
-    return x.join(deny, ["symbol", "regime", "side"], "left_anti").join(latest, "symbol").join(ok, group, "left").select("event_id", "latest", F.coalesce("ok", F.lit(False)).alias("allowed"))
+    return x.join(deny, ["symbol", "regime", "side"], "left_anti").join(latest, "symbol").join(ok, group, "left").select("event_id", "latest", F.coalesce("ok",
+        F.lit(False)).alias("allowed"))
 
 
 @query("j20_following_bars", T.with_sql("bars_4h ev", """
-, m AS (SELECT e.event_id, b.high, b.low, e.value, row_number() OVER (PARTITION BY e.event_id ORDER BY b.bar) AS r FROM ev e JOIN bars_4h b ON b.symbol = e.symbol AND b.bar > e.ts AND b.bar <= date_trunc('second', e.ts) + INTERVAL '1 day' WHERE e.event_type = 'purchase')
+, m AS (SELECT e.event_id, b.high, b.low, e.value, row_number() OVER (PARTITION BY e.event_id ORDER BY b.bar) AS r FROM ev e JOIN bars_4h b ON b.symbol = e.symbol
+    AND b.bar > e.ts AND b.bar <= date_trunc('second', e.ts) + INTERVAL '1 day' WHERE e.event_type = 'purchase')
 SELECT event_id, count(*) AS n, round(max(high / value - 1), 6) AS mfe, round(min(low / value - 1), 6) AS mae FROM m WHERE r <= 4 GROUP BY event_id"""))
 def following(spark, d):
     """The first bars after an event within a day; best and worst excursion."""
     e = T.events(spark, d).filter("event_type = 'purchase'").select("event_id", "symbol", "ts", "value")
     m = J.following(e, T.bars_4h(spark, d).select("symbol", "bar", "high", "low"), "symbol", "ts", "bar", 4, 86400)
-    return m.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.col("high") / F.col("value") - 1), 6).alias("mfe"), F.round(F.min(F.col("low") / F.col("value") - 1), 6).alias("mae"))
+    return m.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.col("high") / F.col("value") - 1), 6).alias("mfe"),
+        F.round(F.min(F.col("low") / F.col("value") - 1), 6).alias("mae"))

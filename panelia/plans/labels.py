@@ -14,12 +14,15 @@ N, STOP, TARGET, COST = 5, 0.4, 0.6, 0.002
 _TOUCH = f"""
 , ix AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n, count(*) OVER (PARTITION BY symbol) AS tot FROM bars_day)
 , path AS (SELECT a.symbol, a.day, a.n, a.tot, a.close AS c, b.n - a.n AS k, b.day AS bday, b.close AS bclose,
-  b.low <= a.close * (1 - {STOP}::DOUBLE) AS llost, b.high >= a.close * (1 + {TARGET}::DOUBLE) AS lwon, b.high >= a.close * (1 + {STOP}::DOUBLE) AS slost, b.low <= a.close * (1 - {TARGET}::DOUBLE) AS swon
+  b.low <= a.close * (1 - {STOP}::DOUBLE) AS llost, b.high >= a.close * (1 + {TARGET}::DOUBLE) AS lwon, b.high >= a.close * (1 + {STOP}::DOUBLE) AS slost,
+      b.low <= a.close * (1 - {TARGET}::DOUBLE) AS swon
   FROM ix a JOIN ix b ON a.symbol = b.symbol AND b.n BETWEEN a.n + 1 AND a.n + {N} WHERE a.n + {N} <= a.tot)
 , touch AS (SELECT symbol, day,
-  coalesce(arg_min(CASE WHEN llost THEN -{STOP}::DOUBLE ELSE {TARGET}::DOUBLE END, k) FILTER (llost OR lwon), max(CASE WHEN k = {N} THEN bclose / c - 1 END)) - {COST}::DOUBLE AS long_ret,
+  coalesce(arg_min(CASE WHEN llost THEN -{STOP}::DOUBLE ELSE {TARGET}::DOUBLE END, k) FILTER (llost OR lwon),
+      max(CASE WHEN k = {N} THEN bclose / c - 1 END)) - {COST}::DOUBLE AS long_ret,
   coalesce(arg_min(bday, k) FILTER (llost OR lwon), max(CASE WHEN k = {N} THEN bday END)) AS long_end,
-  coalesce(arg_min(CASE WHEN slost THEN -{STOP}::DOUBLE ELSE {TARGET}::DOUBLE END, k) FILTER (slost OR swon), max(CASE WHEN k = {N} THEN 1 - bclose / c END)) - {COST}::DOUBLE AS short_ret,
+  coalesce(arg_min(CASE WHEN slost THEN -{STOP}::DOUBLE ELSE {TARGET}::DOUBLE END, k) FILTER (slost OR swon),
+      max(CASE WHEN k = {N} THEN 1 - bclose / c END)) - {COST}::DOUBLE AS short_ret,
   coalesce(arg_min(bday, k) FILTER (slost OR swon), max(CASE WHEN k = {N} THEN bday END)) AS short_end FROM path GROUP BY symbol, day)"""
 
 
@@ -31,12 +34,14 @@ def touched(spark, d):
 SELECT symbol, day::VARCHAR AS day, round(long_ret, 6) AS long_ret, long_end::VARCHAR AS long_end, round(short_ret, 6) AS short_ret, short_end::VARCHAR AS short_end FROM touch"""))
 def first_touch(spark, d):
     """H1, H2: triple barrier with the stop first, both sides, gap-safe ends."""
-    return touched(spark, d).select("symbol", S.day_text(), F.round("long_ret", 6).alias("long_ret"), F.col("long_end").cast("string").alias("long_end"), F.round("short_ret", 6).alias("short_ret"), F.col("short_end").cast("string").alias("short_end"))
+    return touched(spark, d).select("symbol", S.day_text(), F.round("long_ret", 6).alias("long_ret"), F.col("long_end").cast("string").alias("long_end"),
+        F.round("short_ret", 6).alias("short_ret"), F.col("short_end").cast("string").alias("short_end"))
 
 
 @query("h3_uniqueness", T.with_sql("bars_day", _TOUCH + """
 , con AS (SELECT g.symbol, g.day, count(t.day) AS c FROM bars_day g LEFT JOIN touch t ON t.symbol = g.symbol AND g.day BETWEEN t.day AND t.long_end GROUP BY g.symbol, g.day)
-SELECT t.symbol, t.day::VARCHAR AS day, round(avg(1.0 / con.c), 8) AS weight FROM touch t JOIN con ON con.symbol = t.symbol AND con.day BETWEEN t.day AND t.long_end GROUP BY t.symbol, t.day"""))
+SELECT t.symbol, t.day::VARCHAR AS day, round(avg(1.0 / con.c), 8) AS weight FROM touch t JOIN con ON con.symbol = t.symbol AND con.day BETWEEN t.day AND t.long_end
+    GROUP BY t.symbol, t.day"""))
 def uniqueness(spark, d):
     """H3: average uniqueness of overlapping labels; its sum is the effective number of labels."""
     u = L.uniqueness(touched(spark, d).select("symbol", "day", "long_end"), T.bars_day(spark, d).select("symbol", "day"), "day", "long_end")
@@ -44,9 +49,11 @@ def uniqueness(spark, d):
 
 
 @query("h4_h5_j14_folds", T.with_sql("bars_day", _TOUCH + """
-, en AS (SELECT min(day) AS lo, max(day) AS hi FROM touch), fo AS (SELECT f, lo + floor((hi - lo) / 5.0 * f)::INT AS a, CASE WHEN f = 4 THEN hi + 1 ELSE lo + floor((hi - lo) / 5.0 * (f + 1))::INT END AS b FROM en, range(1, 5) t(f))
+, en AS (SELECT min(day) AS lo, max(day) AS hi FROM touch), fo AS (SELECT f, lo + floor((hi - lo) / 5.0 * f)::INT AS a,
+    CASE WHEN f = 4 THEN hi + 1 ELSE lo + floor((hi - lo) / 5.0 * (f + 1))::INT END AS b FROM en, range(1, 5) t(f))
 , tg AS (SELECT f, a, long_end, day, CASE WHEN day >= a THEN 'test' WHEN long_end < a - 1 THEN 'train' ELSE 'purged' END AS part FROM touch JOIN fo ON day < b)
-SELECT f::INT AS fold, count(*) FILTER (part = 'test') AS n_test, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'purged') AS n_purged, coalesce(max(long_end) FILTER (part = 'train') + 1 < min(day) FILTER (part = 'test'), true) AS no_leak FROM tg GROUP BY f"""))
+SELECT f::INT AS fold, count(*) FILTER (part = 'test') AS n_test, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'purged') AS n_purged,
+    coalesce(max(long_end) FILTER (part = 'train') + 1 < min(day) FILTER (part = 'test'), true) AS no_leak FROM tg GROUP BY f"""))
 def folds(spark, d):
     """Purged walk-forward folds with a leak check."""
     t = touched(spark, d).select("day", "long_end")
@@ -58,7 +65,8 @@ def folds(spark, d):
 
 
 @query("h6_h7_blocks", T.with_sql("bars_day", _TOUCH + """
-, dd AS (SELECT day, dense_rank() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM touch)), tb AS (SELECT touch.*, floor((i - 8) / 4)::BIGINT AS block FROM touch JOIN dd USING (day) WHERE i >= 8)
+, dd AS (SELECT day, dense_rank() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM touch)), tb AS (SELECT touch.*, floor((i - 8) / 4)::BIGINT AS block
+    FROM touch JOIN dd USING (day) WHERE i >= 8)
 , st AS (SELECT block, min(day) AS a, count(DISTINCT day) AS nd, count(*) AS n_test FROM tb GROUP BY block)
 SELECT st.block, st.n_test, count(t.day) AS n_train FROM st LEFT JOIN touch t ON t.long_end < st.a WHERE nd = 4 GROUP BY st.block, st.n_test"""))
 def blocks(spark, d):
@@ -90,7 +98,8 @@ def cooldown(spark, d):
 
 
 @query("h10_resting_entry", T.with_sql("bars_day", _TOUCH + """
-, ent AS (SELECT a.symbol, a.day, a.close AS c, min(b.n) FILTER (b.low <= a.close * (1 - w * 0.1::DOUBLE)) AS hit, w FROM ix a JOIN ix b ON a.symbol = b.symbol AND b.n BETWEEN a.n + 1 AND a.n + 2, (VALUES (1), (3)) t(w) WHERE a.n + 5 <= a.tot GROUP BY ALL)
+, ent AS (SELECT a.symbol, a.day, a.close AS c, min(b.n) FILTER (b.low <= a.close * (1 - w * 0.1::DOUBLE)) AS hit, w FROM ix a JOIN ix b ON a.symbol = b.symbol
+    AND b.n BETWEEN a.n + 1 AND a.n + 2, (VALUES (1), (3)) t(w) WHERE a.n + 5 <= a.tot GROUP BY ALL)
 SELECT w::INT AS depth, count(*) AS n, count(hit) AS n_filled, round(avg(CASE WHEN hit IS NOT NULL THEN x.close / (c * (1 - w * 0.1::DOUBLE)) - 1 ELSE long_ret END), 6) AS mean_ret
 FROM ent JOIN touch USING (symbol, day) LEFT JOIN ix x ON x.symbol = ent.symbol AND x.n = ent.hit + 2 GROUP BY w"""))
 def resting_entry(spark, d):
@@ -106,18 +115,21 @@ def resting_entry(spark, d):
 
 
 @query("h11_h12_profiles", T.with_sql("bars_day", _TOUCH + """
-, pr AS (SELECT p.symbol, p.day, n, tot, stop, bclose / c - 1 AS r FROM (SELECT path.*, stop, k = 5 OR bclose <= c * (1 - stop) AS ends FROM path, (VALUES (0.2::DOUBLE), (0.5::DOUBLE)) t(stop)) p WHERE ends QUALIFY row_number() OVER (PARTITION BY p.symbol, p.day, stop ORDER BY k) = 1)
+, pr AS (SELECT p.symbol, p.day, n, tot, stop, bclose / c - 1 AS r FROM (SELECT path.*, stop, k = 5 OR bclose <= c * (1 - stop) AS ends FROM path,
+    (VALUES (0.2::DOUBLE), (0.5::DOUBLE)) t(stop)) p WHERE ends QUALIFY row_number() OVER (PARTITION BY p.symbol, p.day, stop ORDER BY k) = 1)
 SELECT stop, CASE WHEN n * 2 <= tot THEN 'train' ELSE 'oos' END AS part, count(*) AS n, round(avg(r), 6) AS mean_ret, round(avg((r > 0)::INT), 6) AS win FROM pr GROUP BY 1, 2"""))
 def profiles(spark, d):
     """Exit profiles replayed over the same paths, compared on two parts."""
     w = S.over()
-    b = T.bars_day(spark, d).withColumns({"path": F.collect_list("close").over(w.rowsBetween(1, 5)), "n": F.row_number().over(w), "tot": F.count(F.lit(1)).over(Window.partitionBy("symbol"))}).filter(F.size("path") == 5)
+    b = T.bars_day(spark, d).withColumns({"path": F.collect_list("close").over(w.rowsBetween(1, 5)), "n": F.row_number().over(w),
+        "tot": F.count(F.lit(1)).over(Window.partitionBy("symbol"))}).filter(F.size("path") == 5)
     b = b.withColumn("stop", F.explode(F.array(F.lit(0.2), F.lit(0.5))))
     state = F.aggregate(
         "path", F.struct(F.lit(False).alias("done"), F.lit(0.0).alias("out")),
         lambda s, x: F.struct((s["done"] | (x <= F.col("close") * (1 - F.col("stop")))).alias("done"), F.when(s["done"], s["out"]).otherwise(x).alias("out")))
     b = b.withColumn("r", state["out"] / F.col("close") - 1)
-    return b.groupBy("stop", F.when(F.col("n") * 2 <= F.col("tot"), "train").otherwise("oos").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"), 6).alias("mean_ret"), F.round(F.avg((F.col("r") > 0).cast("int")), 6).alias("win"))
+    return b.groupBy("stop", F.when(F.col("n") * 2 <= F.col("tot"), "train").otherwise("oos").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r"),
+        6).alias("mean_ret"), F.round(F.avg((F.col("r") > 0).cast("int")), 6).alias("win"))
 
 
 PROFILES = [
@@ -150,8 +162,10 @@ def exit_replay(spark, d):
 
 def _ledger(lag):
     return f"""
-, f AS (SELECT symbol, day, close / nullif(lag(close, 3) OVER w, 0) - 1 AS mom, avg(volume) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS vol, lead(close, {lag + 2}) OVER w / nullif(lead(close, {lag}) OVER w, 0) - 1 AS outcome, row_number() OVER w AS n FROM bars_day WINDOW w AS (PARTITION BY symbol ORDER BY day))
-SELECT substr(sha256(concat_ws('|', day::VARCHAR, symbol::VARCHAR, '2', '{lag}')), 1, 24) AS decision_id, symbol, day::VARCHAR AS day, round(mom, 6) AS mom, round(vol, 6) AS vol, round(mom - avg(mom) OVER (PARTITION BY day), 6) AS rel, round(outcome, 6) AS outcome FROM f WHERE n >= 5 AND mom IS NOT NULL AND outcome IS NOT NULL"""
+, f AS (SELECT symbol, day, close / nullif(lag(close, 3) OVER w, 0) - 1 AS mom, avg(volume) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS vol, lead(close,
+    {lag + 2}) OVER w / nullif(lead(close, {lag}) OVER w, 0) - 1 AS outcome, row_number() OVER w AS n FROM bars_day WINDOW w AS (PARTITION BY symbol ORDER BY day))
+SELECT substr(sha256(concat_ws('|', day::VARCHAR, symbol::VARCHAR, '2', '{lag}')), 1, 24) AS decision_id, symbol, day::VARCHAR AS day, round(mom, 6) AS mom,
+    round(vol, 6) AS vol, round(mom - avg(mom) OVER (PARTITION BY day), 6) AS rel, round(outcome, 6) AS outcome FROM f WHERE n >= 5 AND mom IS NOT NULL AND outcome IS NOT NULL"""
 
 
 def decision_ledger(spark, d, lag):
@@ -170,9 +184,11 @@ query("h14_lag_stressed", T.with_sql("bars_day", _ledger(2)))(lambda spark, d: d
 
 
 @query("h15_partition_grid", T.with_sql("bars_day", _ledger(1).replace("SELECT substr", ", g AS (SELECT substr") + """)
-SELECT CASE WHEN symbol % 2 = 0 THEN 'discovery' ELSE 'holdout' END AS universe, CASE WHEN day < '2024-01-15' THEN 'before' ELSE 'after' END AS period, cost, count(*) AS n, round(avg(sign(rel) * outcome - cost), 6) AS mean_net FROM g, (VALUES (0.001::DOUBLE), (0.002::DOUBLE)) t(cost) GROUP BY ALL"""))
+SELECT CASE WHEN symbol % 2 = 0 THEN 'discovery' ELSE 'holdout' END AS universe, CASE WHEN day < '2024-01-15' THEN 'before' ELSE 'after' END AS period, cost,
+    count(*) AS n, round(avg(sign(rel) * outcome - cost), 6) AS mean_net FROM g, (VALUES (0.001::DOUBLE), (0.002::DOUBLE)) t(cost) GROUP BY ALL"""))
 def grid(spark, d):
     """Universe, period and cost as tags, one grouped run."""
     g = decision_ledger(spark, d, 1).withColumn("cost", F.explode(F.array(F.lit(0.001), F.lit(0.002))))
-    return g.groupBy(F.when(F.col("symbol") % 2 == 0, "discovery").otherwise("holdout").alias("universe"), F.when(F.col("day") < "2024-01-15", "before").otherwise("after").alias("period"), "cost").agg(
+    return g.groupBy(F.when(F.col("symbol") % 2 == 0, "discovery").otherwise("holdout").alias("universe"), F.when(F.col("day") < "2024-01-15",
+        "before").otherwise("after").alias("period"), "cost").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(F.signum("rel") * F.col("outcome") - F.col("cost")), 6).alias("mean_net"))

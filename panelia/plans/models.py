@@ -33,7 +33,8 @@ def split(x, cut="2024-01-17"):
 
 @query("m1_rank_target", T.with_sql("decision", """
 , x AS (SELECT day, symbol, round(sum(pnl), 8) AS y FROM decision WHERE pnl IS NOT NULL GROUP BY day, symbol)
-SELECT day::VARCHAR AS day, symbol, round((rank() OVER (PARTITION BY day ORDER BY y) + (count(*) OVER (PARTITION BY day, y) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY day) - 0.5, 8) AS target FROM x"""))
+SELECT day::VARCHAR AS day, symbol, round((rank() OVER (PARTITION BY day ORDER BY y) + (count(*) OVER (PARTITION BY day,
+    y) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY day) - 0.5, 8) AS target FROM x"""))
 def rank_target(spark, d):
     x = T.decisions(spark, d).filter("pnl IS NOT NULL").groupBy("day", "symbol").agg(F.round(F.sum("pnl"), 8).alias("y"))
     return x.select(S.day_text(), "symbol", F.round(M.centred_rank(F.col("y"), "day"), 8).alias("target"))
@@ -90,7 +91,8 @@ def boosted(spark, d):
 
 
 @query("m4_threshold", T.with_sql("decision", """
-, g AS (SELECT t AS threshold, count(*) AS n, round(sum(pnl * (1 + proba)), 8) AS total FROM decision, (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) v(t) WHERE proba >= t AND pnl IS NOT NULL GROUP BY t HAVING count(*) >= 10)
+, g AS (SELECT t AS threshold, count(*) AS n, round(sum(pnl * (1 + proba)), 8) AS total FROM decision, (VALUES (0.5::DOUBLE), (0.6::DOUBLE), (0.7::DOUBLE),
+    (0.8::DOUBLE), (0.9::DOUBLE)) v(t) WHERE proba >= t AND pnl IS NOT NULL GROUP BY t HAVING count(*) >= 10)
 SELECT threshold, n, total FROM g ORDER BY total DESC, threshold LIMIT 1"""))
 def threshold(spark, d):
     x = T.decisions(spark, d).filter("pnl IS NOT NULL")
@@ -108,7 +110,8 @@ def logistic(spark, d):
 @query("m8_metrics", T.with_sql("decision", """
 , x AS (SELECT side, proba AS p, (pnl > 0)::INT AS y, least(greatest(proba, 1e-6), 1 - 1e-6) AS q FROM decision WHERE pnl IS NOT NULL)
 , r AS (SELECT *, rank() OVER (PARTITION BY side ORDER BY p) + (count(*) OVER (PARTITION BY side, p) - 1) / 2.0::DOUBLE AS k FROM x)
-SELECT side, count(*) AS n, round((sum(k * y) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0), 8) AS auc, round(avg((p - y) ^ 2), 8) AS brier, round(avg(y) * (1 - avg(y)), 8) AS base_brier,
+SELECT side, count(*) AS n, round((sum(k * y) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y) * sum(1 - y), 0), 8) AS auc, round(avg((p - y) ^ 2),
+    8) AS brier, round(avg(y) * (1 - avg(y)), 8) AS base_brier,
  round(-avg(y * ln(q) + (1 - y) * ln(1 - q)), 8) AS log_loss, round(avg(y), 8) AS prevalence FROM r GROUP BY side"""))
 def metrics(spark, d):
     x = T.decisions(spark, d).filter("pnl IS NOT NULL").withColumn("y", (F.col("pnl") > 0).cast("int"))

@@ -35,17 +35,20 @@ def top_up(spark, d):
 
 @query("a4_a5_venues", T.with_sql("bars_day", """
 , mp AS (SELECT DISTINCT symbol, 'B' || symbol AS other, CASE WHEN symbol % 10 = 0 THEN 1000 ELSE 1 END AS multiplier FROM bars_day)
-SELECT 'first' AS venue, count(*) AS n, round(sum(close), 4) AS total FROM bars_day UNION ALL SELECT 'second', count(*), round(sum(close * multiplier), 4) FROM bars_day JOIN mp USING (symbol)"""))
+SELECT 'first' AS venue, count(*) AS n, round(sum(close), 4) AS total FROM bars_day UNION ALL SELECT 'second', count(*), round(sum(close * multiplier), 4)
+    FROM bars_day JOIN mp USING (symbol)"""))
 def venues(spark, d):
     """A4, A5: a second market by mapping and multiplier, venues as one table."""
     bars = T.bars_day(spark, d).select("symbol", "day", "close")
-    names = bars.select("symbol").distinct().select("symbol", F.concat(F.lit("B"), "symbol").alias("other"), F.when(F.col("symbol") % 10 == 0, 1000).otherwise(1).alias("multiplier"))
+    names = bars.select("symbol").distinct().select("symbol", F.concat(F.lit("B"), "symbol").alias("other"), F.when(F.col("symbol") % 10 == 0,
+        1000).otherwise(1).alias("multiplier"))
     both = B.venues({"first": bars, "second": B.scaled_mapping(bars, names, "close").drop("other", "multiplier")})
     return both.groupBy("venue").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 4).alias("total"))
 
 
 @query("a6_g3_day_metrics", T.with_sql("bars_4h", """
-SELECT symbol, CAST(bar AS DATE)::VARCHAR AS day, count(*) AS n, round(arg_max(close, bar), 6) AS last_close, round(avg(close), 6) AS mean_close, round(avg(volume), 6) AS mean_volume, count(*) = 6 AS complete FROM bars_4h GROUP BY symbol, CAST(bar AS DATE)"""))
+SELECT symbol, CAST(bar AS DATE)::VARCHAR AS day, count(*) AS n, round(arg_max(close, bar), 6) AS last_close, round(avg(close), 6) AS mean_close, round(avg(volume),
+    6) AS mean_volume, count(*) = 6 AS complete FROM bars_4h GROUP BY symbol, CAST(bar AS DATE)"""))
 def day_metrics(spark, d):
     """Last sub-daily row and the mean of each metric, with the row count of the day."""
     b = T.bars_4h(spark, d).withColumn("day", F.to_date("bar"))
@@ -57,7 +60,8 @@ def day_metrics(spark, d):
 @query("q9_coverage_gates", T.with_sql("bars_4h", """
 , dm AS (SELECT symbol, CAST(bar AS DATE) AS day, count(*) >= 4 AND arg_max(close, bar) > 0 AS valid FROM bars_4h GROUP BY ALL)
 , el AS (SELECT symbol FROM dm WHERE valid GROUP BY symbol HAVING count(*) >= 10)
-SELECT day::VARCHAR AS day, count(*) FILTER (valid) AS n_valid, count(*) FILTER (NOT valid) AS n_short, count(*) FILTER (valid) >= 5 AS enough FROM dm WHERE symbol IN (SELECT symbol FROM el) GROUP BY day"""))
+SELECT day::VARCHAR AS day, count(*) FILTER (valid) AS n_valid, count(*) FILTER (NOT valid) AS n_short, count(*) FILTER (valid) >= 5 AS enough FROM dm
+    WHERE symbol IN (SELECT symbol FROM el) GROUP BY day"""))
 def coverage_gates(spark, d):
     """Q9: a day of a symbol counts if it has enough sub-daily rows and a positive value, a symbol if
     it has enough such days, a day if enough symbols are left on it."""
@@ -71,7 +75,8 @@ def coverage_gates(spark, d):
 
 @query("a7_a8_g15_missing", T.with_sql("bars_day", """
 , cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM bars_day)
-SELECT symbol, day::VARCHAR AS day FROM (SELECT DISTINCT symbol FROM bars_day) CROSS JOIN cal WHERE (symbol, day) NOT IN (SELECT (symbol, day) FROM bars_day) AND day NOT IN (DATE '2024-01-05', DATE '2024-01-06')"""))
+SELECT symbol, day::VARCHAR AS day FROM (SELECT DISTINCT symbol FROM bars_day) CROSS JOIN cal WHERE (symbol, day) NOT IN (SELECT (symbol, day) FROM bars_day)
+    AND day NOT IN (DATE '2024-01-05', DATE '2024-01-06')"""))
 def missing(spark, d):
     """Wanted keys without those stored and those known to be absent."""
     bars = T.bars_day(spark, d)
@@ -130,12 +135,15 @@ def qualifying(spark, d):
     """Legs of qualifying runs; columns picked by the first alias present."""
     f = T.fills(spark, d).filter("status = 'F' AND qty >= 10")
     picked = B.alias_projection(f, {"when": ["date", "RUN"], "amount": ["Quantity", "QTY"], "absent": ["nothing"]})
-    return picked.groupBy("when").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("amount"), F.max("absent").alias("absent")).withColumn("when", F.col("when").cast("string"))
+    return picked.groupBy("when").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("amount"), 4).alias("amount"), F.max("absent").alias("absent")).withColumn("when",
+        F.col("when").cast("string"))
 
 
 @query("a19_g14_books", T.with_sql("decision", """
-, b AS (SELECT day, string_agg(DISTINCT symbol::VARCHAR, ',' ORDER BY symbol::VARCHAR) FILTER (side = 'LONG') AS longs, string_agg(DISTINCT symbol::VARCHAR, ', ' ORDER BY symbol::VARCHAR) FILTER (side = 'SHORT') AS shorts FROM decision GROUP BY day)
-, r AS (SELECT day, trim(unnest(string_split(longs, ','))) AS symbol, 0.5::DOUBLE / len(string_split(longs, ',')) AS weight FROM b UNION ALL SELECT day, trim(unnest(string_split(shorts, ','))), -0.5::DOUBLE / len(string_split(shorts, ',')) FROM b)
+, b AS (SELECT day, string_agg(DISTINCT symbol::VARCHAR, ',' ORDER BY symbol::VARCHAR) FILTER (side = 'LONG') AS longs, string_agg(DISTINCT symbol::VARCHAR, ', '
+    ORDER BY symbol::VARCHAR) FILTER (side = 'SHORT') AS shorts FROM decision GROUP BY day)
+, r AS (SELECT day, trim(unnest(string_split(longs, ','))) AS symbol, 0.5::DOUBLE / len(string_split(longs, ',')) AS weight FROM b UNION ALL SELECT day,
+    trim(unnest(string_split(shorts, ','))), -0.5::DOUBLE / len(string_split(shorts, ',')) FROM b)
 SELECT symbol, count(*) AS slots, count(DISTINCT day) AS days, count(*) - count(DISTINCT day) AS both_sides, round(sum(weight), 8) AS weight FROM r GROUP BY symbol"""))
 def books(spark, d):
     """Books written as comma lists, as rows; slots and days of each name."""
@@ -144,4 +152,5 @@ def books(spark, d):
     b = x.groupBy("day").agg(names("LONG", ",").alias("longs"), names("SHORT", ", ").alias("shorts"))
     r = B.book_rows(b, "day", "longs", "shorts")
     return r.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("slots"), F.countDistinct("day").alias("days"), (F.count(F.lit(1)) - F.countDistinct("day")).alias("both_sides"), F.round(F.sum("weight"), 8).alias("weight"))
+        F.count(F.lit(1)).alias("slots"), F.countDistinct("day").alias("days"), (F.count(F.lit(1)) - F.countDistinct("day")).alias("both_sides"),
+            F.round(F.sum("weight"), 8).alias("weight"))

@@ -30,23 +30,28 @@ def messages(spark, d):
     order = F.struct(text("symbol").alias("symbol"), F.lower("event_type").alias("side"), text("k").alias("q"), text("value").alias("p"))
     kind = F.when(F.col("k") % 3 == 0, "depth").when(F.col("k") % 3 == 1, "liquidation").otherwise("gap")
     m = F.to_json(F.struct(
-        kind.alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("event_time_ms"), text("symbol").alias("symbol"), F.col("event_type").alias("side"), text("k").alias("quantity"), text("value").alias("price"),
-        F.when(F.col("k") % 2 == 0, F.array(order, order)).alias("orders"), F.when(F.col("k") % 2 == 0, pair).alias("b"), F.when(F.col("k") % 2 == 1, pair).alias("bids"), pair.alias("a")))
+        kind.alias("kind"), F.unix_millis(F.col("ts").cast("timestamp")).alias("event_time_ms"), text("symbol").alias("symbol"), F.col("event_type").alias("side"),
+            text("k").alias("quantity"), text("value").alias("price"),
+        F.when(F.col("k") % 2 == 0, F.array(order, order)).alias("orders"), F.when(F.col("k") % 2 == 0, pair).alias("b"), F.when(F.col("k") % 2 == 1,
+            pair).alias("bids"), pair.alias("a")))
     return e.select(F.from_json(m, R.RECORD).alias("r")).select("r.*")
 
 
 @query("t2_liquidations", T.with_sql("ev", """
-SELECT symbol::VARCHAR AS symbol, upper(event_type) AS side, sum(CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS n, round(sum(CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END * k * value), 4) AS notional FROM ev WHERE k % 3 = 1 GROUP BY symbol, event_type"""))
+SELECT symbol::VARCHAR AS symbol, upper(event_type) AS side, sum(CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS n,
+    round(sum(CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END * k * value), 4) AS notional FROM ev WHERE k % 3 = 1 GROUP BY symbol, event_type"""))
 def liquidations(spark, d):
     x = R.liquidations(messages(spark, d))
     return x.groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("quantity") * F.col("price")), 4).alias("notional"))
 
 
 @query("t3_depth", T.with_sql("ev", """
-SELECT symbol::VARCHAR AS symbol, count(*) AS n, round(avg(value), 6) AS mean_bid, round(sum(k), 4)::DOUBLE AS bid_size, round(sum(k), 4)::DOUBLE AS ask_size FROM ev WHERE k % 3 = 0 GROUP BY symbol"""))
+SELECT symbol::VARCHAR AS symbol, count(*) AS n, round(avg(value), 6) AS mean_bid, round(sum(k), 4)::DOUBLE AS bid_size, round(sum(k), 4)::DOUBLE AS ask_size FROM ev
+    WHERE k % 3 = 0 GROUP BY symbol"""))
 def depth(spark, d):
     x = R.depth(messages(spark, d))
-    return x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("bid"), 6).alias("mean_bid"), F.round(F.sum("bid_size"), 4).alias("bid_size"), F.round(F.sum("ask_size"), 4).alias("ask_size"))
+    return x.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("bid"), 6).alias("mean_bid"), F.round(F.sum("bid_size"), 4).alias("bid_size"),
+        F.round(F.sum("ask_size"), 4).alias("ask_size"))
 
 
 @query("t4_counters", T.with_sql("ev", "SELECT CASE k % 3 WHEN 0 THEN 'depth' WHEN 1 THEN 'liquidation' ELSE 'gap' END AS kind, count(*) AS n, max(epoch_us(ts) // 1000) AS latest_ms FROM ev GROUP BY 1"))
@@ -76,7 +81,8 @@ def tumbling_stream(spark, d):
     path = scratch(spark)
     e = event_stream(spark, d).select("ts", F.col("user_id").alias("symbol"), "value")
     g = R.tumbling(e, "ts", "symbol", "value", "1 hour", "10 minutes")
-    g.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    g.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation",
+        f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema("start timestamp, symbol long, n long, total double").parquet(f"{path}/out")
     return out.select(F.date_format("start", STAMP).alias("start"), "symbol", "n", F.round("total", 4).alias("total"))
 
@@ -89,7 +95,8 @@ def sampled_stream(spark, d):
     path = scratch(spark)
     e = event_stream(spark, d).select(F.col("user_id").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     s = R.sampled(e, "symbol", "t", 30 * 3600 * 1_000_000)
-    s.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out/batch={n}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    s.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out/batch={n}")).option("checkpointLocation",
+        f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema("symbol long, t long").parquet(f"{path}/out")
     return out.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_kept"), F.max("t").alias("last_kept"))
 
@@ -122,7 +129,8 @@ def append_once(spark, d):
 
 @query("t7_staleness", T.with_sql("settle", """
 , a AS (SELECT DISTINCT user_id AS symbol FROM events WHERE ts >= TIMESTAMP '2024-01-25')
-SELECT a.symbol, strftime(max(s.ts), '%Y-%m-%d %H:%M:%S') AS latest, coalesce(max(s.ts) < TIMESTAMP '2024-01-28', true) AS stale FROM a LEFT JOIN settle s USING (symbol) GROUP BY a.symbol"""))
+SELECT a.symbol, strftime(max(s.ts), '%Y-%m-%d %H:%M:%S') AS latest, coalesce(max(s.ts) < TIMESTAMP '2024-01-28', true) AS stale FROM a LEFT
+    JOIN settle s USING (symbol) GROUP BY a.symbol"""))
 def staleness(spark, d):
     active = T.events(spark, d).filter("ts >= TIMESTAMP_NTZ '2024-01-25 00:00:00'").select("symbol").distinct()
     s = R.stale(T.settlements(spark, d), active, "symbol", "ts", F.expr("TIMESTAMP_NTZ '2024-01-28 00:00:00'"))

@@ -186,7 +186,8 @@ def rolling(spark, d):
     """Rolling mean, sum, deviation with a least count; z-score."""
     c = F.col("close")
     return bars(spark, d).select("symbol", S.day_text(), *r6(
-        mean7=S.rolling(c, 7, 7, S.over()), sum7=S.rolling(F.col("volume"), 7, 3, S.over(), F.sum), std7=S.rolling(c, 7, 4, S.over(), F.stddev_samp), z7=S.zscore(c, 7, 4, S.over())))
+        mean7=S.rolling(c, 7, 7, S.over()), sum7=S.rolling(F.col("volume"), 7, 3, S.over(), F.sum), std7=S.rolling(c, 7, 4, S.over(), F.stddev_samp), z7=S.zscore(c,
+            7, 4, S.over())))
 
 
 _PRIOR = f"OVER ({PART} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
@@ -230,7 +231,8 @@ _M = f"(close - lag(close) OVER ({PART}))"
 @query("w9_w12_indicators", T.with_sql(BD, f"""
 , m AS (SELECT *, {_M} AS move, greatest(high - low, abs(high - lag(close) OVER ({PART})), abs(low - lag(close) OVER ({PART}))) AS tr FROM bars_day)
 , v AS (SELECT *, {sroll('move', 6, 6, 'stddev_samp')} AS vol6, {sroll('tr', 7, 7)} AS atr,
-   CASE WHEN count(move) OVER ({PART} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) >= 7 THEN 100 - 100 / (1 + avg(greatest(move, 0)) OVER ({PART} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
+   CASE WHEN count(move) OVER ({PART} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) >= 7 THEN 100 - 100 / (1 + avg(greatest(move,
+       0)) OVER ({PART} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)
      / nullif(avg(greatest(-move, 0)) OVER ({PART} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 0)) END AS rsi FROM m)
 """ + day(("rsi", "rsi"), ("tr", "tr"), ("atr", "atr"), ("band_high", f"({sroll('close', 10, 10)}) + 2 * ({sroll('close', 10, 10, 'stddev_samp')})"),
           ("band_width", f"4 * ({sroll('close', 10, 10, 'stddev_samp')}) / nullif({sroll('close', 10, 10)}, 0)"),
@@ -269,7 +271,8 @@ def time_window(spark, d):
     micro = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy("symbol").orderBy(micro).rangeBetween(-7 * 86_400_000_000 + 1, 0)
     n = F.count(F.lit(1)).over(w)
-    return T.settlements(spark, d).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), n.alias("n"), F.round(F.when(n >= 3, F.sum("rate").over(w)), 9).alias("sum7d"))
+    return T.settlements(spark, d).select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), n.alias("n"), F.round(F.when(n >= 3,
+        F.sum("rate").over(w)), 9).alias("sum7d"))
 
 
 _BETA = f"OVER ({PART} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
@@ -277,8 +280,10 @@ _BETA = f"OVER ({PART} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
 
 @query("w17_w18_beta", T.with_sql(BD, f"""
 , r AS (SELECT *, ln(close) - ln(lag(close) OVER ({PART})) AS ret FROM bars_day), mk AS (SELECT *, avg(ret) OVER (PARTITION BY day) AS mkt FROM r)
-, b AS (SELECT *, CASE WHEN count(ret) {_BETA} >= 5 THEN covar_samp(ret, CASE WHEN ret IS NOT NULL THEN mkt END) {_BETA} / nullif(var_samp(CASE WHEN ret IS NOT NULL THEN mkt END) {_BETA}, 0) END AS beta_now FROM mk)
-""" + day(("beta", f"lag(CASE WHEN beta_now IS NOT NULL THEN least(greatest(beta_now, 0), 3) END) OVER ({PART})"), ("parkinson", f"sqrt({sroll('(ln(high / low) ^ 2 / (4 * ln(2)))', 7, 5)})"), ("log_std", sroll("ret", 7, 5, "stddev_samp"))) + " FROM b"))
+, b AS (SELECT *, CASE WHEN count(ret) {_BETA} >= 5 THEN covar_samp(ret,
+    CASE WHEN ret IS NOT NULL THEN mkt END) {_BETA} / nullif(var_samp(CASE WHEN ret IS NOT NULL THEN mkt END) {_BETA}, 0) END AS beta_now FROM mk)
+""" + day(("beta", f"lag(CASE WHEN beta_now IS NOT NULL THEN least(greatest(beta_now, 0), 3) END) OVER ({PART})"), ("parkinson",
+    f"sqrt({sroll('(ln(high / low) ^ 2 / (4 * ln(2)))', 7, 5)})"), ("log_std", sroll("ret", 7, 5, "stddev_samp"))) + " FROM b"))
 def beta(spark, d):
     """Lagged rolling beta against the cross-section, Parkinson and log volatility."""
     c = F.col("close")
@@ -288,7 +293,8 @@ def beta(spark, d):
     now = F.when(F.count("ret").over(f) >= 5, S.safe_ratio(F.covar_samp("ret", paired).over(f), F.var_samp(paired).over(f)))
     b = r.withColumn("beta_now", S.clip(now, 0.0, 3.0))
     park = F.pow(F.log(F.col("high") / F.col("low")), 2) / (4 * F.log(F.lit(2.0)))
-    return b.select("symbol", S.day_text(), *r6(beta=F.lag("beta_now").over(S.over()), parkinson=F.sqrt(S.rolling(park, 7, 5, S.over())), log_std=S.rolling(F.col("ret"), 7, 5, S.over(), F.stddev_samp)))
+    return b.select("symbol", S.day_text(), *r6(beta=F.lag("beta_now").over(S.over()), parkinson=F.sqrt(S.rolling(park, 7, 5, S.over())),
+        log_std=S.rolling(F.col("ret"), 7, 5, S.over(), F.stddev_samp)))
 
 
 _ALL = f"OVER ({PART} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -317,12 +323,14 @@ SELECT symbol, count(*) AS n, bool_and(coalesce(step, 1) = 1) AS regular, coales
 def cadence(spark, d):
     """Whether every step of a key is one period."""
     s = bars(spark, d).select("symbol", F.datediff("day", F.lag("day").over(S.over())).alias("step"))
-    return s.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.every(F.coalesce("step", F.lit(1)) == 1).alias("regular"), F.coalesce(F.max("step"), F.lit(0)).cast("bigint").alias("widest"))
+    return s.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.every(F.coalesce("step", F.lit(1)) == 1).alias("regular"), F.coalesce(F.max("step"),
+        F.lit(0)).cast("bigint").alias("widest"))
 
 
 @query("w23_sequences", T.with_sql(BD, f"""
 , s AS (SELECT symbol, day, close, list(close) OVER ({PART} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS x FROM bars_day)
-SELECT symbol, day::VARCHAR AS day, round((list_min(x) - list_avg(x)) / nullif(list_stddev_pop(x), 0), 6) AS low_z, round((close - list_avg(x)) / nullif(list_stddev_pop(x), 0), 6) AS last_z FROM s WHERE len(x) = 8"""))
+SELECT symbol, day::VARCHAR AS day, round((list_min(x) - list_avg(x)) / nullif(list_stddev_pop(x), 0), 6) AS low_z,
+    round((close - list_avg(x)) / nullif(list_stddev_pop(x), 0), 6) AS last_z FROM s WHERE len(x) = 8"""))
 def sequences(spark, d):
     """Sliding sequences scaled by their own mean and deviation; their ends are returned."""
     s = bars(spark, d).withColumn("x", F.collect_list("close").over(S.over().rowsBetween(-7, 0))).filter(F.size("x") == 8)
@@ -339,7 +347,8 @@ def sequences(spark, d):
 , i AS (SELECT *, sum((bad <> was)::INT) OVER (PARTITION BY symbol ORDER BY day) AS island FROM f)
 , g AS (SELECT symbol, island, count(*) AS n, max(day) AS last FROM i WHERE bad GROUP BY symbol, island)
 , l AS (SELECT symbol, max(day) AS end_day, coalesce(max(gap), 0) AS widest FROM f GROUP BY symbol)
-SELECT l.symbol, coalesce(max(n), 0)::BIGINT AS longest, coalesce(max(CASE WHEN g.last = l.end_day THEN n END), 0)::BIGINT AS running, max(l.widest)::BIGINT AS widest FROM l LEFT JOIN g USING (symbol) GROUP BY l.symbol"""))
+SELECT l.symbol, coalesce(max(n), 0)::BIGINT AS longest, coalesce(max(CASE WHEN g.last = l.end_day THEN n END), 0)::BIGINT AS running,
+    max(l.widest)::BIGINT AS widest FROM l LEFT JOIN g USING (symbol) GROUP BY l.symbol"""))
 def streaks(spark, d):
     """Intervals to the next reading; longest and running streak of losing days."""
     w = T.decisions(spark, d).groupBy("symbol", "day").agg(F.sum(F.coalesce("pnl", F.lit(0.0))).alias("pnl"))
@@ -364,5 +373,7 @@ def last_batches(spark, d):
     run = by.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     r = T.decisions(spark, d).filter("pnl IS NOT NULL").withColumns({"rn": F.row_number().over(by.orderBy(F.desc("ts"))) - 1, "eq": F.sum("pnl").over(run)})
     h = r.withColumn("hwm", F.greatest(F.max("eq").over(run), F.lit(0.0))).filter("rn < 15")
-    b = h.groupBy("symbol", F.floor(F.col("rn") / 5).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("total"), F.bool_or(F.col("hwm") - F.col("eq") >= 0.2).alias("halted"))
-    return b.groupBy("symbol").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 6).alias("total"), F.every(F.col("total") > -0.1).alias("passes"), F.bool_or("halted").alias("halted"))
+    b = h.groupBy("symbol", F.floor(F.col("rn") / 5).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("total"),
+        F.bool_or(F.col("hwm") - F.col("eq") >= 0.2).alias("halted"))
+    return b.groupBy("symbol").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 6).alias("total"), F.every(F.col("total") > -0.1).alias("passes"),
+        F.bool_or("halted").alias("halted"))
