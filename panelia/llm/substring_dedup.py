@@ -96,7 +96,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     ends = cuts(raw)
                     starts = np.concatenate(([0], ends[:-1]))
                     seen = np.concatenate(([0], np.cumsum(space[raw])))
-                    docs_.append(np.full(len(ends), doc if doc is not None else -1, np.int64))
+                    docs_.append(np.full(len(ends), doc, np.int64))
                     starts_.append(starts)
                     sizes_.append(ends - starts)
                     words_.append(seen[ends] - seen[starts])
@@ -130,8 +130,9 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     others only chunks of which this document holds the first copy, so that dropping the
     redundant spans leaves one copy of everything. first_doc_id is the smallest doc_id that holds
     a chunk of the span. Null and empty texts have no spans and rows with a null doc_id are not
-    searched; repeated rows count once; an empty table gives an empty one; other columns are
-    ignored.
+    searched; repeated rows count once; different texts under one doc_id are taken as one document,
+    whose places overlap (at each place the shortest chunk counts); an empty table gives an empty
+    one; other columns are ignored.
 
     Digests are combined before their shuffle, so a chunk that stands in a third of all rows
     arrives as one row a task; in the join back, adaptive execution splits such digests. Chunks
@@ -146,7 +147,7 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
         "repeated-chunks",
     )
     found = chunks(docs).join(known.hint("merge"), ["h1", "h2"])
-    in_text = Window.partitionBy("doc_id").orderBy("start")
+    in_text = Window.partitionBy("doc_id").orderBy("start", "size", "h1", "h2")
     gap = F.col("start") != F.lag(F.col("start") + F.col("size"), 1, -1).over(in_text)
     again = F.col("start") == F.lag("start", 1, -1).over(in_text)
     earlier = F.col("first") < F.col("doc_id")

@@ -324,6 +324,44 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeated_spans(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_against_plain_python(spark):
+    """Runs of chunks that stand in two documents, found with dictionaries; only the cuts are shared."""
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    own = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared = [own(rng.randint(20, 90)) for _ in range(12)]
+    rows = [(i, " ".join(x for _ in range(rng.randint(1, 4)) for x in (own(rng.randint(0, 40)), rng.choice(shared)))) for i in range(80)]
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (300, "same " * 200), (301, "same " * 300), (302, None), (303, "")]
+    pieces, holders = {}, {}
+    for i, t in rows:
+        raw = (t or "").encode()
+        ends = substring_dedup.cuts(np.frombuffer(raw, np.uint8)).tolist() if raw else []
+        pieces[i] = [(a, b, raw[a:b]) for a, b in zip([0, *ends], ends)]
+        for _, _, c in pieces[i]:
+            holders.setdefault(c, set()).add(i)
+    want = set()
+    for i, chunks in pieces.items():
+        runs = [[]]
+        for chunk in chunks:
+            if len(holders[chunk[2]]) > 1:
+                runs[-1].append(chunk)
+            elif runs[-1]:
+                runs.append([])
+        for run in runs:
+            if sum(len(re.findall(rb"[ \t-\r]", c)) for _, _, c in run) < substring_dedup.RUN_WORDS:
+                continue
+            parts = []
+            for a, b, c in run:
+                first = min(holders[c])
+                if not parts or (first < i) != parts[-1][3]:
+                    parts.append([a, b, first, first < i, 0])
+                part = parts[-1]
+                part[1], part[2], part[4] = b, min(part[2], first), part[4] + len(re.findall(rb"[ \t-\r]", c))
+            want |= {(i, a, b, n, first, again) for a, b, first, again, n in parts}
+    got = {(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id, r.redundant) for r in substring_dedup.repeated_spans(docs(spark, rows + rows[:5])).collect()}
+    assert got == want and len(want) > 80
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(7)
     raw = bytes(rng.randrange(97, 123) for _ in range(5000))
