@@ -70,8 +70,9 @@ def hysteresis(df: DataFrame, key: str, time: str, rank: str, q: float, h: float
     return seen.withColumn("side", F.when(held, F.col("_side")).otherwise(0)).drop("_side", "_at", "_out_high", "_out_low")
 
 
-def delayed_exit(df: DataFrame, key: str, time: str, rank: str, q: float, k: int, eps: float = 1e-9) -> DataFrame:
-    """Side of the last entry, kept for ``k`` rows after the last row in its tail."""
+def delayed_exit(df: DataFrame, key: str, time: str, rank: str, q: float, *delays: int, eps: float = 1e-9) -> DataFrame:
+    """Side of the last entry, kept for so many rows after the last row in its tail (X18); for
+    several delays one row for each, in column k, from one pass over the series."""
     order = Window.partitionBy(key).orderBy(time)
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     r = F.col(rank)
@@ -83,5 +84,6 @@ def delayed_exit(df: DataFrame, key: str, time: str, rank: str, q: float, k: int
             "_null": F.max(F.when(r.isNull(), F.col("_n"))).over(run),
         }
     )
-    held = F.col("_side").isNotNull() & (F.col("_n") - F.col("_at") <= k) & (F.col("_null").isNull() | (F.col("_null") < F.col("_at")))
+    rows = rows.withColumn("k", F.explode(F.array(*map(F.lit, delays))))
+    held = F.col("_side").isNotNull() & (F.col("_n") - F.col("_at") <= F.col("k")) & (F.col("_null").isNull() | (F.col("_null") < F.col("_at")))
     return rows.withColumn("side", F.when(held, F.col("_side")).otherwise(0)).drop("_n", "_side", "_at", "_null")

@@ -1,7 +1,5 @@
 """Queries of cross-sectional operators (survey X)."""
 
-import functools
-
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -124,14 +122,24 @@ def hedged(spark, d):
     return X.unit_gross(p.withColumn("hedged", F.round("weight", 8))).select("symbol", S.day_text(), "hedged", F.round("weight", 8).alias("unit"))
 
 
-@query("x17_x19_hysteresis")
+@query("x17_x19_hysteresis", T.with_sql(NAMES, WEEK + """
+, en AS (SELECT symbol, day, rk, ret, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n, CASE WHEN rk >= 0.8 - 1e-9 THEN 1 WHEN rk <= 0.2 + 1e-9 THEN -1 END AS e FROM panel)
+, st AS (SELECT *, last_value(e IGNORE NULLS) OVER r AS s, max(CASE WHEN e IS NOT NULL THEN n END) OVER r AS since, max(CASE WHEN rk IS NULL OR rk < 0.7 - 1e-9 THEN n END) OVER r AS high,
+   max(CASE WHEN rk IS NULL OR rk > 0.3 + 1e-9 THEN n END) OVER r AS low, max(CASE WHEN rk IS NULL THEN n END) OVER r AS gone FROM en WINDOW r AS (PARTITION BY symbol ORDER BY day ROWS UNBOUNDED PRECEDING))
+, sd AS (SELECT 0 AS k, symbol, day, ret, CASE WHEN s IS NOT NULL AND coalesce(CASE WHEN s = 1 THEN high ELSE low END, 0) < since THEN s ELSE 0 END AS side FROM st
+   UNION ALL SELECT k, symbol, day, ret, CASE WHEN s IS NOT NULL AND n - since <= k AND coalesce(gone, 0) < since THEN s ELSE 0 END FROM st, range(1, 13) t(k))
+, tg AS (SELECT *, CASE WHEN side <> 0 THEN side * 0.5::DOUBLE / count(*) OVER (PARTITION BY k, day, side) ELSE 0 END AS t FROM sd)
+, wt AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY k, symbol ORDER BY day), 0) AS held FROM tg), ws AS (SELECT *, CASE WHEN ret IS NOT NULL THEN held ELSE 0 END AS w FROM wt)
+, mv AS (SELECT k, day, abs(w - coalesce(lag(w) OVER (PARTITION BY k, symbol ORDER BY day), 0)) AS m FROM ws)
+, tn AS (SELECT k, avg(turnover) AS a FROM (SELECT k, day, sum(m) AS turnover FROM mv GROUP BY k, day) GROUP BY k)
+, best AS (SELECT arg_min(x.k, (round(abs(x.a - y.a), 9), x.k))::INTEGER AS best_k FROM tn x JOIN tn y ON y.k = 0 WHERE x.k > 0)
+SELECT symbol, sum(abs(side))::BIGINT AS periods_held, best_k FROM sd, best WHERE k = 0 GROUP BY symbol, best_k"""))
 def hysteresis(spark, d):
     """Members that stay in a tail past its edge, and a placebo that only exits late; the
-    delay of 1 to 12 periods whose accounted turnover is nearest to the band's, the least of equals.
-    Rows only: tested against a loop."""
+    delay of 1 to 12 periods whose accounted turnover is nearest to the band's, the least of equals."""
     p = week_weights(spark, d).select("symbol", "day", "rank", "ret", "cash")
     band = states.hysteresis(p, "symbol", "day", "rank", 0.2, 0.1)
-    late = [states.delayed_exit(p, "symbol", "day", "rank", 0.2, k).withColumn("k", F.lit(k)) for k in range(1, 13)]
+    late = states.delayed_exit(p, "symbol", "day", "rank", 0.2, *range(1, 13))
 
     def turnover(x, *by):
         """Mean turnover of half a unit on each side, dealt equally, held from the next period on."""
@@ -141,9 +149,8 @@ def hysteresis(spark, d):
         daily = A.account(x.withColumn("weight", F.coalesce(before, F.lit(0.0))), 0.0, list(by))
         return daily.groupBy(*by).agg(F.avg("turnover").alias("turnover"))
 
-    all_late = functools.reduce(lambda x, y: x.unionByName(y), late)
     goal = turnover(band).withColumnRenamed("turnover", "goal")
-    gaps = turnover(all_late, "k").join(F.broadcast(goal)).withColumn("gap", F.round(F.abs(F.col("turnover") - F.col("goal")), 9))
+    gaps = turnover(late, "k").join(F.broadcast(goal)).withColumn("gap", F.round(F.abs(F.col("turnover") - F.col("goal")), 9))
     best = gaps.agg(F.min_by("k", F.struct("gap", "k")).alias("best_k"))
     held = band.groupBy("symbol").agg(F.sum(F.abs("side")).alias("periods_held"))
     return held.join(F.broadcast(best)).select("symbol", "periods_held", "best_k")

@@ -103,15 +103,19 @@ def paired_null(spark, d):
     return m.groupBy("draw").agg(F.round(F.avg(F.signum("s2") * F.col("ret")), 8).alias("mean_signed"), F.round(F.avg(F.col("signal") * F.col("r2")) * 1e4, 6).alias("mean_joint"))
 
 
-@query("n6_block_shuffle")
+@query("n6_block_shuffle", T.with_sql(NAMES, WEEK + """
+, p0 AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY day) - 1 AS n FROM rets)
+, bl AS (SELECT symbol, block, row_number() OVER (PARTITION BY symbol ORDER BY md5(concat_ws('|', '9', symbol, block))) AS t FROM (SELECT DISTINCT symbol, n // 12 AS block FROM p0))
+, mv AS (SELECT p0.symbol, row_number() OVER (PARTITION BY p0.symbol ORDER BY t, n) - 1 AS n, ret AS shuffled FROM p0 JOIN bl ON bl.symbol = p0.symbol AND bl.block = p0.n // 12)
+SELECT symbol, count(*) AS n, round(corr(ret, shuffled), 6) AS c, round(sum(ret) - sum(shuffled), 8) + 0.0 AS gap FROM p0 JOIN mv USING (symbol, n) GROUP BY symbol"""))
 def block_shuffle(spark, d):
-    """Blocks of twelve rows in hash order within each symbol. Rows only: tested as a permutation."""
+    """Blocks of twelve rows in hash order within each symbol."""
     w = Window.partitionBy("symbol")
     p = week_panel(spark, d).select("symbol", "day", "ret").withColumn("n", F.row_number().over(w.orderBy("day")) - 1).withColumn("block", F.floor(F.col("n") / 12))
     b = p.select("symbol", "block").distinct().withColumn("to", F.row_number().over(w.orderBy(N.hash_order("9", F.col("symbol").cast("string"), F.col("block").cast("string")))))
     moved = p.join(b, ["symbol", "block"]).withColumn("n", F.row_number().over(w.orderBy("to", "n")) - 1).select("symbol", "n", F.col("ret").alias("shuffled"))
     return p.join(moved, ["symbol", "n"]).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("ret", "shuffled"), 6).alias("c"),
-        F.round(F.sum("ret") - F.sum("shuffled"), 8).alias("gap"))
+        (F.round(F.sum("ret") - F.sum("shuffled"), 8) + 0.0).alias("gap"))
 
 
 @query("n7_circular_shift", T.with_sql(NAMES, WEEK + f"""
