@@ -1,6 +1,7 @@
 """Queries of scans, sources and sinks (survey A)."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelia.functions import series as S
 from panelia.plans.registry import query
@@ -19,6 +20,16 @@ def clean_scan(spark, d):
     return B.minimum_history(bars, "symbol", 20).select("symbol", S.day_text(), F.round("close", 6).alias("close"), "volume")
 
 
+@query("a2_settlement_scan", T.with_sql("settle", """
+, k AS (SELECT DISTINCT symbol, ts, rate FROM settle WHERE symbol IS NOT NULL AND ts IS NOT NULL AND rate IS NOT NULL)
+SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, rate, row_number() OVER (PARTITION BY symbol ORDER BY ts, rate) AS n FROM k"""))
+def settlement_scan(spark, d):
+    """A2: settlements cast, without nulls and repeats, in order within each symbol."""
+    k = T.settlements(spark, d).select("symbol", "ts", F.col("rate").cast("double").alias("rate")).dropna().dropDuplicates()
+    n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts", "rate"))
+    return k.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "rate", n.alias("n"))
+
+
 @query("a3_a9_top_up", T.with_sql("bars_day", """
 , old AS (SELECT symbol, day, close FROM bars_day WHERE day < DATE '2024-01-15' AND symbol % 3 <> 0), en AS (SELECT symbol, max(day) AS e FROM old GROUP BY symbol)
 , fresh AS (SELECT b.symbol, b.day, b.close + 1 AS close FROM bars_day b LEFT JOIN en USING (symbol) WHERE e IS NULL OR b.day > e)
