@@ -27,7 +27,7 @@ def settlement_scan(spark, d):
     """A2: settlements cast, without nulls and repeats, in order within each symbol."""
     k = T.settlements(spark, d).select("symbol", "ts", F.col("rate").cast("double").alias("rate")).dropna().dropDuplicates()
     n = F.row_number().over(Window.partitionBy("symbol").orderBy("ts", "rate"))
-    return k.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "rate", n.alias("n"))
+    return k.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "rate", n.cast("bigint").alias("n"))
 
 
 @query("a3_a9_top_up", T.with_sql("bars_day", """
