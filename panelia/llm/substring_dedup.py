@@ -1,9 +1,11 @@
 """Operator 7, substring dedup: content-defined chunks cut by a gear rolling hash."""
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,9 +20,12 @@ LONG = 64
 MOST = 256
 #: The 16-bit gear hash forgets a byte after 16 places.
 FORGETS = 16
-#: Whole chunks inside a repeated passage of 50 words keep at least this many words of it: its
-#: ends lose FORGETS + REACH bytes and the chunks that stick out.
-RUN_WORDS = 30
+#: Words that a repeated passage must have.
+PASSAGE_WORDS = 50
+#: Whole chunks inside such a passage keep at least this many words of it: its ends lose FORGETS +
+#: REACH bytes and the chunks that stick out. Where all words have two letters, about one passage
+#: of 51 words in a hundred keeps fewer.
+RUN_WORDS = 10
 BLOCK = 1 << 20
 
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -77,16 +82,20 @@ def inner_cuts(start: int, end: int, weak: np.ndarray) -> list[int]:
     return out + list(range(at + MOST, end, MOST))
 
 
+def word_starts(raw: np.ndarray) -> np.ndarray:
+    """Whether a word, a run of bytes other than ASCII white space, begins at each place."""
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    return ~space & np.concatenate(([True], space[:-1]))
+
+
 CHUNK_SCHEMA = "doc_id long, start int, size int, words int, h1 long, h2 long"
 
 
 def chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, start, size, words, h1, h2): every chunk of every text; places count bytes, words
-    count the white space in the chunk, h1 and h2 are the halves of its 128-bit digest."""
+    count the words that begin in the chunk, h1 and h2 are the halves of its 128-bit digest."""
 
     def run(batches):
-        space = np.zeros(256, bool)
-        space[[9, 10, 11, 12, 13, 32]] = True
         for batch in batches:
             docs_, starts_, sizes_, words_, digests = [], [], [], [], []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -95,7 +104,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     raw = np.frombuffer(text, np.uint8)
                     ends = cuts(raw)
                     starts = np.concatenate(([0], ends[:-1]))
-                    seen = np.concatenate(([0], np.cumsum(space[raw])))
+                    seen = np.concatenate(([0], np.cumsum(word_starts(raw))))
                     docs_.append(np.full(len(ends), doc, np.int64))
                     starts_.append(starts)
                     sizes_.append(ends - starts)
@@ -121,18 +130,21 @@ def chunks(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, passage_words: int = PASSAGE_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, start, end, n_words, first_doc_id, redundant: passages that stand in other texts too.
 
-    A passage is a run of whole chunks that each stand in two documents or more, with
-    ``run_words`` words or more. It is given as one or more spans (start and end in bytes):
+    A run is a stretch of whole chunks that each stand in two documents or more. A run in which
+    more than ``passage_words`` words begin is a passage; one with ``run_words`` or more is a
+    passage if the texts around it show so: see ``confirmed``. A passage is given as one or more
+    spans (start and end in bytes) of its whole chunks, n_words the words that begin in each:
     redundant ones have only chunks of which a document with a smaller doc_id holds a copy, the
     others only chunks of which this document holds the first copy, so that dropping the
     redundant spans leaves one copy of everything. first_doc_id is the smallest doc_id that holds
-    a chunk of the span. Null and empty texts have no spans and rows with a null doc_id are not
-    searched; repeated rows count once; different texts under one doc_id are taken as one document,
-    whose places overlap (at each place the shortest chunk counts); an empty table gives an empty
-    one; other columns are ignored.
+    a chunk of the span. Words end at ASCII white space, so text without any has no passages. Null
+    and empty texts have no spans and rows with a null doc_id are not searched; repeated rows
+    count once; different texts under one doc_id are taken as one document, whose places overlap
+    (at each place the shortest chunk counts); an empty table gives an empty one; other columns
+    are ignored.
 
     Digests are combined before their shuffle, so a chunk that stands in a third of all rows
     arrives as one row a task; in the join back, adaptive execution splits such digests. Chunks
@@ -142,8 +154,7 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
         chunks(docs)
         .groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .filter("first <> last")
-        .select("h1", "h2", "first"),
+        .filter("first <> last"),
         "repeated-chunks",
     )
     found = chunks(docs).join(known.hint("merge"), ["h1", "h2"])
@@ -152,7 +163,7 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     again = F.col("start") == F.lag("start", 1, -1).over(in_text)
     earlier = F.col("first") < F.col("doc_id")
     turn = F.col("gap") | (earlier != F.lag(earlier, 1, False).over(in_text))
-    runs = (
+    runs = stored(
         found.withColumns({"gap": gap, "again": again})
         .filter(~F.col("again"))
         .withColumns(
@@ -163,9 +174,14 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
         )
         .withColumn("run_words", F.sum("words").over(Window.partitionBy("doc_id", "run")))
         .filter(F.col("run_words") >= run_words)
+        .drop("gap", "again"),
+        "runs",
     )
+    short = runs.filter(F.col("run_words") <= passage_words)
+    sure = confirmed(docs, runs, short, passage_words)
+    passages = runs.filter(F.col("run_words") > passage_words).unionByName(short.join(sure, ["doc_id", "run"], "left_semi"))
     return (
-        runs.groupBy("doc_id", "part")
+        passages.groupBy("doc_id", "part")
         .agg(
             F.min("start").cast("long").alias("start"),
             F.max(F.col("start") + F.col("size")).cast("long").alias("end"),
@@ -177,6 +193,83 @@ def repeated_spans(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     )
 
 
+def confirmed(docs: DataFrame, runs: DataFrame, short: DataFrame, passage_words: int) -> DataFrame:
+    """(doc_id, run): those runs of ``short`` that lie in ``passage_words`` equal words.
+
+    The words on both sides of a chunk are compared with those around the same chunk in another
+    document: the one with the smallest doc_id that holds it, or the largest where that is the
+    document itself. A run has as many partners as its chunks name; its first and last chunk with
+    each partner are tried, at their first and last place there and in the longest run there. A
+    run of chunks that many texts share is missed only if none of them names a text with the same
+    words. A place asks for its words once,
+    however many runs meet there, and they travel as at most twice ``passage_words`` hashes.
+    """
+    partner = F.when(F.col("first") == F.col("doc_id"), F.col("last")).otherwise(F.col("first"))
+    anchor = F.struct("start", "h1", "h2")
+    anchors = stored(
+        short.groupBy("doc_id", "run", partner.alias("partner"))
+        .agg(F.explode(F.array_distinct(F.array(F.min(anchor), F.max(anchor)))).alias("anchor"))
+        .select("doc_id", "run", "partner", "anchor.*"),
+        "anchors",
+    )
+    wanted = anchors.select(F.col("partner").alias("doc_id"), "h1", "h2").distinct()
+    places = stored(
+        runs.select("doc_id", "h1", "h2", "start", "run_words")
+        .join(wanted.hint("merge"), ["doc_id", "h1", "h2"])
+        .groupBy(F.col("doc_id").alias("partner"), "h1", "h2")
+        .agg(
+            F.min("start").alias("low"),
+            F.max("start").alias("high"),
+            F.max(F.struct("run_words", -F.col("start"))).alias("begin"),
+            F.max(F.struct("run_words", "start")).alias("end"),
+        )
+        .select("partner", "h1", "h2", F.explode(F.array_distinct(F.array("low", "high", -F.col("begin")["col2"], F.col("end")["start"]))).alias("place")),
+        "places",
+    )
+    points = anchors.select("doc_id", "start").unionByName(places.select(F.col("partner").alias("doc_id"), F.col("place").alias("start")))
+    around = stored(surroundings(docs, points.distinct(), passage_words), "surroundings")
+    there = around.select(F.col("doc_id").alias("partner"), F.col("start").alias("place"), F.col("before").alias("b"), F.col("after").alias("a"))
+    # the anchors keep their side of each join, so that one place with many runs can be split
+    met = anchors.join(places.hint("merge"), ["partner", "h1", "h2"]).join(around.hint("merge"), ["doc_id", "start"])
+    equal = leading("before", "b") + leading("after", "a")
+    return met.join(there.hint("merge"), ["partner", "place"]).filter(equal >= passage_words).select("doc_id", "run").distinct()
+
+
+def leading(one: str, other: str) -> Column:
+    """How many elements of two arrays are equal before the first that differ."""
+    same = F.zip_with(one, other, lambda x, y: x.eqNullSafe(y))
+    differs = F.array_position(same, F.lit(False))
+    return F.when(differs == 0, F.size(same)).otherwise(differs - 1)
+
+
+def surroundings(docs: DataFrame, points: DataFrame, most: int) -> DataFrame:
+    """(doc_id, start, before, after): hashes of up to ``most`` words on each side of each place,
+    the nearest first. A word across the place counts as before it."""
+
+    def run(batches):
+        for batch in batches:
+            for doc, text, places in zip(*(batch.column(k) for k in range(3))):
+                raw = text.as_py()
+                begins = np.nonzero(word_starts(np.frombuffer(raw, np.uint8)))[0].tolist()
+                words = raw.split()
+                rows = []
+                for place in places.as_py():
+                    at = bisect.bisect_left(begins, place)
+                    before, after = words[max(0, at - most) : at][::-1], words[at : at + most]
+                    rows.append((doc.as_py(), place, *([xxhash.xxh64_intdigest(w) - (1 << 63) for w in x] for x in (before, after))))
+                kinds = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                for k in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows[k : k + 4096]), kinds)], names=["doc_id", "start", "before", "after"]
+                    )
+
+    asked = points.groupBy("doc_id").agg(F.collect_list("start").alias("places"))
+    texts = docs.select("doc_id", text_or_empty().cast("binary").alias("text"))
+    return texts.join(asked.hint("merge"), "doc_id").select("doc_id", "text", "places").mapInArrow(
+        run, "doc_id long, start int, before array<long>, after array<long>"
+    )
+
+
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the redundant spans cut out of ``text``; texts without any are unchanged."""
     cut = spans.filter("redundant").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))

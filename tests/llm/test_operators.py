@@ -325,41 +325,67 @@ def test_substring_dedup(spark):
 
 
 def test_substring_dedup_against_plain_python(spark):
-    """Runs of chunks that stand in two documents, found with dictionaries; only the cuts are shared."""
+    """Runs of chunks that stand in two documents, found with dictionaries, and kept if more than 50
+    words begin in them or if the text around them stands in another document too; only the cuts
+    are shared."""
     rng = random.Random(16)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 9))) for _ in range(400)]
     own = lambda n: " ".join(rng.choice(words) for _ in range(n))
     shared = [own(rng.randint(20, 90)) for _ in range(12)]
     rows = [(i, " ".join(x for _ in range(rng.randint(1, 4)) for x in (own(rng.randint(0, 40)), rng.choice(shared)))) for i in range(80)]
     rows += [(200, rows[3][1]), (201, rows[3][1]), (300, "same " * 200), (301, "same " * 300), (302, None), (303, "")]
-    pieces, holders = {}, {}
+    pieces, holders, windows = {}, {}, {}
     for i, t in rows:
         raw = (t or "").encode()
         ends = substring_dedup.cuts(np.frombuffer(raw, np.uint8)).tolist() if raw else []
         pieces[i] = [(a, b, raw[a:b]) for a, b in zip([0, *ends], ends)]
         for _, _, c in pieces[i]:
             holders.setdefault(c, set()).add(i)
-    want = set()
+        places = [m.span() for m in re.finditer(rb"[^ \t-\r]+", raw)]
+        for k in range(len(places) - 49):
+            words_ = tuple(raw[a:b] for a, b in places[k : k + 50])
+            windows.setdefault(words_, []).append((i, places[k][0], places[k + 49][1]))
+    long = [(i, a, b) for found in windows.values() if len({i for i, *_ in found}) > 1 for i, a, b in found]
+    want, borderline = set(), [0, 0]
     for i, chunks in pieces.items():
+        begins = [m.start() for m in re.finditer(rb"[^ \t-\r]+", dict(rows)[i].encode() if dict(rows)[i] else b"")]
+        count = lambda a, b: sum(a <= x < b for x in begins)  # noqa: E731, B023
         runs = [[]]
         for chunk in chunks:
             if len(holders[chunk[2]]) > 1:
                 runs[-1].append(chunk)
             elif runs[-1]:
                 runs.append([])
-        for run in runs:
-            if sum(len(re.findall(rb"[ \t-\r]", c)) for _, _, c in run) < substring_dedup.RUN_WORDS:
-                continue
+        for run in filter(None, runs):
+            n = count(run[0][0], run[-1][1])
+            if n <= 50:
+                inside = any(i == j and a <= run[-1][0] and run[0][1] <= b for j, a, b in long)
+                borderline[inside] += n >= substring_dedup.RUN_WORDS
+                if not inside:
+                    continue
             parts = []
             for a, b, c in run:
                 first = min(holders[c])
                 if not parts or (first < i) != parts[-1][3]:
-                    parts.append([a, b, first, first < i, 0])
-                part = parts[-1]
-                part[1], part[2], part[4] = b, min(part[2], first), part[4] + len(re.findall(rb"[ \t-\r]", c))
-            want |= {(i, a, b, n, first, again) for a, b, first, again, n in parts}
+                    parts.append([a, b, first, first < i])
+                parts[-1][1], parts[-1][2] = b, min(parts[-1][2], first)
+            want |= {(i, a, b, count(a, b), first, again) for a, b, first, again in parts}
     got = {(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id, r.redundant) for r in substring_dedup.repeated_spans(docs(spark, rows + rows[:5])).collect()}
-    assert got == want and len(want) > 80
+    assert got == want and len(want) > 80 and min(borderline) > 10
+
+
+@pytest.mark.parametrize("letters", [3, 5, 9])
+def test_substring_dedup_tells_51_words_from_45(spark, letters):
+    """Passages of 51 words are found in words of three letters or more, passages of 45 are left alone."""
+    rng = random.Random(letters)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(letters)) for _ in range(n))
+    rows = []
+    for k in range(120):
+        for copy in range(2):
+            rows.append((4 * k + copy, f"{own(20)} {(found := own(51)) if copy == 0 else found} {own(15)}"))
+            rows.append((4 * k + 2 + copy, f"{own(20)} {(left := own(45)) if copy == 0 else left} {own(15)}"))
+    got = {r.doc_id for r in substring_dedup.repeated_spans(docs(spark, rows)).select("doc_id").distinct().collect()}
+    assert got == {i for i, _ in rows if i % 4 < 2}
 
 
 def test_chunks_resist_shifts():
