@@ -26,6 +26,8 @@ PASSAGE_WORDS = 50
 #: REACH bytes and the chunks that stick out. Where all words have two letters, about one passage
 #: of 51 words in a hundred keeps fewer.
 RUN_WORDS = 10
+#: Words from which a run counts that repeats itself, such as a line of one word.
+REPEATING_WORDS = 30
 BLOCK = 1 << 20
 
 GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -193,8 +195,9 @@ def repeated_spans(docs: DataFrame, passage_words: int = PASSAGE_WORDS, run_word
     )
 
 
-def confirmed(docs: DataFrame, runs: DataFrame, short: DataFrame, passage_words: int) -> DataFrame:
-    """(doc_id, run): those runs of ``short`` that lie in ``passage_words`` equal words.
+def confirmed(docs: DataFrame, runs: DataFrame, short: DataFrame, passage_words: int, repeating_words: int = REPEATING_WORDS) -> DataFrame:
+    """(doc_id, run): those runs of ``short`` that lie in ``passage_words`` equal words, and those
+    of ``repeating_words`` words or more that hold a chunk twice.
 
     The words on both sides of a chunk are compared with those around the same chunk in another
     document: the one with the smallest doc_id that holds it, or the largest where that is the
@@ -232,7 +235,12 @@ def confirmed(docs: DataFrame, runs: DataFrame, short: DataFrame, passage_words:
     # the anchors keep their side of each join, so that one place with many runs can be split
     met = anchors.join(places.hint("merge"), ["partner", "h1", "h2"]).join(around.hint("merge"), ["doc_id", "start"])
     equal = leading("before", "b") + leading("after", "a")
-    return met.join(there.hint("merge"), ["partner", "place"]).filter(equal >= passage_words).select("doc_id", "run").distinct()
+    proven = met.join(there.hint("merge"), ["partner", "place"]).filter(equal >= passage_words).select("doc_id", "run")
+    # a chunk that comes twice in a run tells no place, so equal words may not be found beside each other
+    again = short.groupBy("doc_id", "run", "h1", "h2").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("times"))
+    periodic = again.groupBy("doc_id", "run").agg(F.sum("words").alias("words"), F.max("times").alias("times"))
+    periodic = periodic.filter((F.col("times") > 1) & (F.col("words") >= repeating_words))
+    return proven.unionByName(periodic.select("doc_id", "run")).distinct()
 
 
 def leading(one: str, other: str) -> Column:

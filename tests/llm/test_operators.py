@@ -360,6 +360,7 @@ def test_substring_dedup_against_plain_python(spark):
             n = count(run[0][0], run[-1][1])
             if n <= 50:
                 inside = any(i == j and a <= run[-1][0] and run[0][1] <= b for j, a, b in long)
+                inside |= len({c for _, _, c in run}) < len(run) and n >= substring_dedup.REPEATING_WORDS
                 borderline[inside] += n >= substring_dedup.RUN_WORDS
                 if not inside:
                     continue
