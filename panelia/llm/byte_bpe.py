@@ -7,6 +7,7 @@ import re
 import struct
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ from panelia.llm.common import table, text_or_empty
 
 #: Encoded words and matches that a worker remembers of each; beyond it the memory starts anew.
 REMEMBERED = 500_000
-#: A space with white space on both sides belongs to a run that one match may take whole.
-INNER_SPACE = re.compile(r"\s \s")
+#: A space after white space and before more of it, or before the end, belongs to a run that one
+#: match may take whole.
+INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 
 def byte_characters() -> list[str]:
@@ -37,6 +39,7 @@ class ByteBpe:
         self.of_byte = byte_characters()
         self.byte_of = {c: b for b, c in enumerate(self.of_byte)}
         self.pattern = regex.compile(pattern)
+        self.cuts_at_spaces = pattern == public_tokenizers.PATTERN
         self.translate = str.maketrans({chr(b): c for b, c in enumerate(self.of_byte)})
         vocabulary = {self.characters(token): i for token, i in ranks.items()}
         self.model = models.BPE(vocabulary, merges_of(ranks, self.characters), ignore_merges=True)
@@ -73,11 +76,13 @@ class ByteBpe:
         return packed
 
     def encode(self, text: str) -> bytes:
-        """A space next to something visible always begins a match, so the text can be cut
-        before such spaces and equal words are encoded once."""
+        """In ``public_tokenizers.PATTERN`` a space before something visible always begins a match
+        and one alone at the end is a match, so the text can be cut before such spaces and equal
+        words are encoded once. Texts with other spaces, and texts under another pattern, are
+        encoded whole."""
         if not text:
             return b""
-        if INNER_SPACE.search(text):
+        if not self.cuts_at_spaces or INNER_SPACE.search(text):
             return self.word(text)
         first, *rest = text.split(" ")
         known, word = self.words, self.word
@@ -190,8 +195,6 @@ def encoding_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     return encoding_digests(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     )

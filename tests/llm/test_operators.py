@@ -183,6 +183,19 @@ def test_byte_bpe(spark, texts):
     assert byte_bpe.encoding_digests(docs(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_byte_bpe_with_tokens_of_white_space(tmp_path):
+    """Runs of white space are matched whole, also at the end and under another pattern."""
+    tokens = [bytes([b]) for b in range(256)] + [b"  ", b"\n ", b" \n", b"a ", b" a", b"  a"]
+    ranks = tmp_path / "ranks.tiktoken"
+    ranks.write_text("".join(f"{base64.b64encode(x).decode()} {i}\n" for i, x in enumerate(tokens)))
+    rng = random.Random(8)
+    texts = ["", "a  ", "a\n ", "a \n", "  ", " ", *("".join(rng.choices("ab1 \n", k=rng.randint(1, 12))) for _ in range(3000))]
+    for pattern in (public_tokenizers.PATTERN, r"[a-z ]+|\s|[0-9]"):
+        want = tiktoken.Encoding("small", pat_str=pattern, mergeable_ranks={x: i for i, x in enumerate(tokens)}, special_tokens={})
+        bpe = byte_bpe.ByteBpe(str(ranks), pattern)
+        assert [np.frombuffer(bpe.encode(x), "<u4").tolist() for x in texts] == [want.encode_ordinary(x) for x in texts]
+
+
 def test_token_counts(spark, texts):
     import sentencepiece
 
