@@ -1,4 +1,4 @@
-"""Joins of keyed series: as-of, interval sums, higher time frames, shifted and permuted joins."""
+"""Joins of keyed series: as-of, higher time frames, shifted and permuted joins."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,18 +16,6 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[st
     return out.select(*left.columns, F.col(f"_m.{time}").alias(f"{time}_matched"), *[F.col(f"_m.{v}").alias(v) for v in values])
 
 
-def interval_sums(spans: DataFrame, flows: DataFrame, key: str, a: str, b: str, time: str, value: str, closed_right: bool, bucket_seconds: int) -> DataFrame:
-    """Sum and count of the flows inside each span, open on the left, open or closed on the right
-    (J3, J4). Spans are exploded over time buckets, so the range becomes an equi-join."""
-    bucket = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / bucket_seconds)
-    wide = spans.withColumn("_id", F.monotonically_increasing_id())
-    parts = wide.withColumn("_k", F.explode(F.sequence(bucket(a), bucket(b))))
-    inside = (F.col(f"_f.{time}") > F.col(a)) & ((F.col(f"_f.{time}") <= F.col(b)) if closed_right else (F.col(f"_f.{time}") < F.col(b)))
-    f = flows.withColumn("_k", bucket(time)).select(key, "_k", F.struct(time, value).alias("_f"))
-    met = parts.join(f, [key, "_k"], "left").withColumn("_v", F.when(inside, F.col(f"_f.{value}")))
-    return met.groupBy("_id", *spans.columns).agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("total"), F.count("_v").alias("n_flows")).drop("_id")
-
-
 def higher_frame(bars: DataFrame, coarse: DataFrame, key: str, time: str, label: Column, values: list[str]) -> DataFrame:
     """The last finished coarse bar for each fine bar: coarse values lag one coarse bar, join on
     the label of the coarse bar that holds the fine one, and carry forward (J5)."""

@@ -1,10 +1,12 @@
 """Event labels over future paths, purged folds, sequential selections."""
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelia.operators.ranges import chain_of, running
+from panelia.sources.storage import stored
+
 
 def first_touch(bars: DataFrame, n: int, stop: float, target: float, cost: float) -> DataFrame:
     """Long and short outcome of holding from each close over the next ``n`` bars (H1, H2): the
@@ -71,35 +73,46 @@ def purged_folds(labels: DataFrame, folds: DataFrame, time: str, end: str, embar
 
 def non_overlapping(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Spans accepted in order of start if they begin at or after the end of the last accepted one
-    of their key (H8). Order-dependent by nature, so each key is folded, streamed in sorted batches
-    so that a long key is never held whole."""
-    return _greedy(spans, key, start, end)
+    of their key (H8)."""
+    return chain_of(spans, key, start, end)
 
 
 def cooldown(events: DataFrame, key: str, time: str, seconds: int) -> DataFrame:
     """Events kept if at least ``seconds`` after the last KEPT one of their key (H9)."""
     until = F.timestamp_seconds(F.unix_micros(F.col(time).cast("timestamp")) / 1e6 + seconds)
-    return _greedy(events.withColumn("_until", until), key, time, "_until").drop("_until")
-
-
-def _greedy(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    number = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    dealt = rows.withColumns({"_a": number(start), "_z": number(end)}).repartition(key).sortWithinPartitions(key, "_a", "_z")
-    at, a, z = (dealt.columns.index(c) for c in (key, "_a", "_z"))
-
-    def run(batches):
-        current, free = None, None
-        for pdf in batches:
-            keep = []
-            for k, s, e in zip(pdf.iloc[:, at], pdf.iloc[:, a], pdf.iloc[:, z]):
-                if k != current:
-                    current, free = k, None
-                keep.append(free is None or s >= free)
-                if keep[-1]:
-                    free = e
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
-
-    return dealt.mapInPandas(run, dealt.schema).drop("_a", "_z")
+    return chain_of(events.withColumn("_until", until), key, time, "_until").drop("_until")
+
+
+def event_purged_folds(rows: DataFrame, time: str, end: str, least: int, size: int, step: int, embargo: int) -> tuple[DataFrame, DataFrame]:
+    """Walk-forward folds by rows (H7): (folds, purged).
+
+    Rows are ordered by time; fold f tests the ``size`` rows from ``least + f * step`` on, and only
+    whole blocks count. A row before the block is train unless its span [time, end] comes within
+    ``embargo`` seconds of the block's span on either side; later rows are never train. ``folds``
+    has fold, a, b (the block's span), n_before and n_test; ``purged`` has (fold, place) of the rows
+    before a block that its embargo takes out. Train rows are what is left of those before: they
+    grow with the square of the folds, so they are counted, not listed.
+
+    ``time`` and ``end`` are seconds. Ordinals come from a running count that splits the table by
+    time. Spans and blocks are dealt over buckets of time, and a pair counts in the first bucket
+    that both have, so the overlap join is an equi-join.
+    """
+    placed = running(rows.withColumn("_all", F.lit(0)), "_all", time, {"place": ("count", F.lit(1))}, end)
+    placed = stored(placed.withColumn("place", F.col("place") - 1), "fold-rows")
+    newest = F.floor((F.col("place") - least) / step)
+    oldest = F.greatest(F.floor((F.col("place") - least - size) / step) + 1, F.lit(0))
+    tests = placed.filter((F.col("place") >= least) & (oldest <= newest)).withColumn("fold", F.explode(F.sequence(oldest, newest)))
+    folds = tests.groupBy("fold").agg(F.min(time).alias("a"), F.max(end).alias("b"), F.count(F.lit(1)).alias("n_test")).filter(F.col("n_test") == size)
+    folds = stored(folds.withColumn("n_before", F.col("fold") * step + least), "folds")
+    width = F.greatest(F.lit(1), F.lit(embargo), F.ceil(F.avg(F.col(end) - F.col(time))).cast("long"))
+    bucket = placed.agg(width.alias("_w"))
+    spread = lambda df, lo, hi: df.join(F.broadcast(bucket)).withColumns({
+        "_lo": F.floor(F.col(lo) / F.col("_w")), "_k": F.explode(F.sequence(F.floor(F.col(lo) / F.col("_w")), F.floor(F.col(hi) / F.col("_w"))))})
+    blocks = folds.select("fold", "n_before", (F.col("a") - embargo).alias("_a"), (F.col("b") + embargo).alias("_b"))
+    blocks = spread(blocks, "_a", "_b").withColumnRenamed("_lo", "_blo").drop("_w")
+    met = spread(placed.select("place", time, end), time, end).join(blocks, "_k").filter(F.col("_k") == F.greatest("_lo", "_blo"))
+    purged = met.filter((F.col("place") < F.col("n_before")) & (F.col(end) >= F.col("_a")) & (F.col(time) <= F.col("_b")))
+    return folds, purged.select("fold", "place", time, end)
 
 
 #: Exit profiles (H11): stop, first target, share sold there, runner target as a multiple of the

@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 
 from panelia.functions import series as S
 from panelia.operators import joins as J
+from panelia.operators import ranges as R
 from panelia.plans.accounting import NAMES, WEEK, week_weights
 from panelia.plans.registry import query
 from panelia.sources import stand_ins as T
@@ -33,9 +34,8 @@ def interval_sums(spark, d):
     """Settlements inside a holding span, with open and closed right ends."""
     spans = T.bars_4h(spark, d).select("symbol", F.col("bar").alias("a"), (F.col("bar") + F.expr("INTERVAL 36 HOURS")).alias("b"))
     s = T.settlements(spark, d).select("symbol", "ts", "rate")
-    o = J.interval_sums(spans, s, "symbol", "a", "b", "ts", "rate", False, 86400).select("symbol", "a", F.round("total", 9).alias("open_sum"), F.col("n_flows").alias("open_n"))
-    c = J.interval_sums(spans, s, "symbol", "a", "b", "ts", "rate", True, 86400).select("symbol", "a", F.round("total", 9).alias("closed_sum"), F.col("n_flows").alias("closed_n"))
-    return o.join(c, ["symbol", "a"]).select("symbol", F.date_format("a", STAMP).alias("bar"), "open_sum", "open_n", "closed_sum", "closed_n")
+    both = R.span_sums(spans, s, "symbol", "a", "b", "ts", "rate")
+    return both.select("symbol", F.date_format("a", STAMP).alias("bar"), F.round("open_sum", 9).alias("open_sum"), "open_n", F.round("closed_sum", 9).alias("closed_sum"), "closed_n")
 
 
 @query("j5_higher_frame", T.with_sql("bars_4h bars_day", """

@@ -5,8 +5,8 @@ from pyspark.sql.window import Window
 
 from panelia.functions import series as S
 from panelia.operators import labels as L
+from panelia.operators import ranges as R
 from panelia.plans.registry import query
-from panelia.session import ship_package
 from panelia.sources import stand_ins as T
 
 N, STOP, TARGET, COST = 5, 0.4, 0.6, 0.002
@@ -64,21 +64,50 @@ def folds(spark, d):
     return tagged.groupBy("fold").agg(n("test"), n("train"), n("purged"), F.coalesce(F.date_add(last, 1) < first, F.lit(True)).alias("no_leak"))
 
 
-@query("h6_h7_blocks", T.with_sql("bars_day", _TOUCH + """
+@query("h6_blocks", T.with_sql("bars_day", _TOUCH + """
 , dd AS (SELECT day, dense_rank() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM touch)), tb AS (SELECT touch.*, floor((i - 8) / 4)::BIGINT AS block
     FROM touch JOIN dd USING (day) WHERE i >= 8)
 , st AS (SELECT block, min(day) AS a, count(DISTINCT day) AS nd, count(*) AS n_test FROM tb GROUP BY block)
 SELECT st.block, st.n_test, count(t.day) AS n_train FROM st LEFT JOIN touch t ON t.long_end < st.a WHERE nd = 4 GROUP BY st.block, st.n_test"""))
 def blocks(spark, d):
-    """H6, H7: ordinal test blocks of dates; train rows whose label was known before the block."""
+    """H6: ordinal test blocks of dates; train rows whose label was known before the block. Labels
+    are counted by their end; one running count over dates serves all blocks."""
     t = touched(spark, d).select("symbol", "day", "long_end")
     days = t.select("day").distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("day")) - 1)
     test = t.join(days, "day").filter("i >= 8").withColumn("block", F.floor((F.col("i") - 8) / 4))
     starts = test.groupBy("block").agg(F.min("day").alias("a"), F.countDistinct("day").alias("nd"), F.count(F.lit(1)).alias("n_test")).filter("nd = 4")
-    # blocks are few (dates / 4): counts by label end first, then a running sum over the dates
-    known = t.groupBy("long_end").agg(F.count(F.lit(1)).alias("n"))
-    met = starts.join(known, known.long_end < starts.a, "left")
-    return met.groupBy("block", "n_test").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_train"))
+    known = t.groupBy(F.col("long_end").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("a").rangeBetween(Window.unboundedPreceding, -1)  # one row a date
+    both = starts.unionByName(known, allowMissingColumns=True).withColumn("a", F.unix_date("a"))
+    return both.withColumn("n_train", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("block IS NOT NULL").select("block", "n_test", "n_train")
+
+
+LEAST, SIZE, STEP, EMBARGO = 50, 20, 20, 6 * 3600
+
+
+@query("h7_event_purged_folds", T.with_sql("ev", f"""
+, x AS (SELECT event_id, epoch_us(ts) // 1000000 AS a, epoch_us(ts) // 1000000 + (1 + k % 12) * 3600 AS z FROM ev)
+, p AS (SELECT *, row_number() OVER (ORDER BY a, z) - 1 AS place FROM x)
+, f AS (SELECT unnest(range(0, (SELECT count(*) FROM p) // {STEP} + 1)) AS fold)
+, b AS (SELECT fold, min(a) AS a, max(z) AS b, count(*) AS n_test, fold * {STEP} + {LEAST} AS n_before FROM f JOIN p ON place >= {LEAST} + fold * {STEP}
+    AND place < {LEAST} + fold * {STEP} + {SIZE} GROUP BY fold HAVING count(*) = {SIZE})
+, t AS (SELECT fold, b.n_test, b.n_before, count(*) FILTER (p.z < b.a - {EMBARGO} OR p.a > b.b + {EMBARGO}) AS n_train,
+    max(p.z) FILTER (p.z < b.a - {EMBARGO} OR p.a > b.b + {EMBARGO}) + {EMBARGO} < b.a AS no_leak FROM b JOIN p ON p.place < b.n_before GROUP BY fold, b.n_test, b.n_before, b.a)
+SELECT fold, n_test, n_before, n_train, n_before - n_train AS n_purged, no_leak FROM t WHERE n_train >= {max(20, LEAST // 2)}"""))
+def event_purged(spark, d):
+    """H7: blocks of rows as test, all earlier rows as train but those whose outcome comes within six
+    hours of the block; folds with too few train rows go."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    x = T.events(spark, d).select("event_id", at.alias("a"), (at + (1 + F.col("k") % 12) * 3600).alias("z"))
+    folds, purged = L.event_purged_folds(x, "a", "z", LEAST, SIZE, STEP, EMBARGO)
+    n = purged.groupBy("fold").agg(F.count(F.lit(1)).alias("n_purged"))
+    out = folds.join(n, "fold", "left").fillna(0, ["n_purged"]).withColumn("n_train", F.col("n_before") - F.col("n_purged"))
+    # counted another way: train rows are those whose outcome was known before the embargo
+    ends = x.select(F.lit(0).alias("key"), F.col("z").alias("t"), F.lit(1).alias("side"), F.lit(1).alias("one"))
+    asked = out.select("*", F.lit(0).alias("key"), (F.col("a") - EMBARGO).alias("t"), F.lit(0).alias("side")).unionByName(ends, allowMissingColumns=True)
+    known = R.running(asked, "key", "t", {"n_known": ("count", F.col("one"))}, "side").filter("side = 0")
+    kept = known.filter(F.col("n_train") >= max(20, LEAST // 2))
+    return kept.select("fold", "n_test", "n_before", "n_train", "n_purged", (F.col("n_train") == F.coalesce("n_known", F.lit(0))).alias("no_leak"))
 
 
 _GREEDY = """
@@ -91,7 +120,6 @@ SELECT symbol, count(*) AS n, count(*) FILTER (kept) AS n_kept, max(strftime(a,
 @query("h8_h9_cooldown", _GREEDY.format(rows="SELECT user_id AS symbol, ts AS a, ts + INTERVAL '30 hours' AS z FROM events"))
 def cooldown(spark, d):
     """H8, H9: events kept only if far enough after the last kept one."""
-    ship_package(spark)
     e = T.events(spark, d).select("symbol", "ts", "event_id")
     kept = L.cooldown(e, "symbol", "ts", 30 * 3600).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_kept"), F.max(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("last_kept"))
     return e.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).join(kept, "symbol").select("symbol", "n", "n_kept", "last_kept")

@@ -15,9 +15,10 @@ from panelia.operators import inference as N
 from panelia.operators import joins as J
 from panelia.operators import labels as L
 from panelia.operators import models as M
+from panelia.operators import ranges as R
 from panelia.operators import states
 from panelia.sources import tables as B
-from panelia.streaming import streams as R
+from panelia.streaming import streams as W
 
 SF = "/root/testdata/sf0.001"
 
@@ -120,8 +121,8 @@ def test_interval_ends_are_strict(spark):
     at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
     spans = spark.createDataFrame([(1, at(0), at(8))], "k int, a timestamp, b timestamp")
     flows = spark.createDataFrame([(1, at(0), 1.0), (1, at(4), 10.0), (1, at(8), 100.0)], "k int, t timestamp, v double")
-    total = lambda closed: J.interval_sums(spans, flows, "k", "a", "b", "t", "v", closed, 3600).first().total
-    assert total(False) == 10 and total(True) == 110
+    met = R.span_sums(spans, flows, "k", "a", "b", "t", "v").first()
+    assert (met.open_sum, met.open_n, met.closed_sum, met.closed_n) == (10, 1, 110, 2)
 
 
 def test_greedy_selection_against_loop(spark):
