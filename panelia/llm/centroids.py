@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelia.llm.common import stored, table
 
@@ -166,10 +167,10 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, centroids = cluster_vectors(table(spark, sf_dir, "embeddings"))
     found = stored(found, "clusters")
     names = spark.createDataFrame([(k, centroid_digest(c)) for k, c in enumerate(centroids)], "cluster int, centroid_sha256 string")
-    by_cluster = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
-    whole = found.agg(F.sum("distance").alias("inertia"))
     # at most CLUSTERS rows
-    facts = by_cluster.join(F.broadcast(names), "cluster").crossJoin(F.broadcast(whole))
+    by_cluster = found.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    whole = F.sum("cluster_inertia").over(Window.partitionBy(F.lit(0)))
+    facts = by_cluster.withColumn("inertia", whole).join(F.broadcast(names), "cluster")
     return found.join(F.broadcast(facts), "cluster").select(
         "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
     )

@@ -64,9 +64,10 @@ def index_buckets(spark: SparkSession) -> int:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` against an index that starts empty and is dropped in the end."""
     index = f"digest_index_{uuid.uuid4().hex}"
-    verdicts = stored(exact_dedup(table(spark, sf_dir, "documents"), index, index_buckets(spark)), "exact-dedup")
-    spark.sql(f"DROP TABLE {index}")
-    return verdicts
+    try:
+        return stored(exact_dedup(table(spark, sf_dir, "documents"), index, index_buckets(spark)), "exact-dedup")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {index}")
 
 
 OP5_SQL = """

@@ -1,6 +1,7 @@
 """Operator 7, substring dedup: content-defined chunks cut by a gear rolling hash."""
 
 import bisect
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -280,7 +281,8 @@ def surroundings(docs: DataFrame, points: DataFrame, most: int) -> DataFrame:
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the redundant spans cut out of ``text``; texts without any are unchanged."""
-    cut = spans.filter("redundant").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    cuts = f"cuts-{uuid.uuid4().hex}"  # no column of docs has this name
+    cut = spans.filter("redundant").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
 
     @F.pandas_udf("string")
     def apart(text, spans):
@@ -296,7 +298,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     joined = docs.join(cut, "doc_id", "left")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(apart("text", F.coalesce("_cut", F.array().cast("array<struct<start:long,end:long>>"))))
+    text = F.when(F.col(cuts).isNull(), F.col("text")).otherwise(apart("text", F.coalesce(cuts, F.array().cast("array<struct<start:long,end:long>>"))))
     return joined.withColumn("text", F.when(F.col("text").isNotNull(), text)).select(docs.columns)
 
 

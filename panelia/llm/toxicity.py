@@ -113,7 +113,7 @@ def labelled_rows(labels: DataFrame, bound: int) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, chosen: DataFrame, bound: int) -> DataFrame:
-    """(doc_id, label, tokens) of the labelled rows and of up to ``bound`` others outside the
+    """(doc_id, label, tokens) of the labelled ids and of up to ``bound`` others outside the
     held-out quarter, whose label is null. Both lists of ids are bounded, so they are broadcast."""
     others = (
         docs.select("doc_id")
@@ -123,7 +123,10 @@ def training_rows(docs: DataFrame, chosen: DataFrame, bound: int) -> DataFrame:
         .limit(bound)
     )
     ids = chosen.unionByName(others.distinct().withColumn("label", F.lit(None).cast("int")))
-    return stored(token_sets(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")), "toxicity-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    # one text of an id, so that ids given many times leave the sample within its bounds
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(text_or_empty()).alias("text"))
+    return stored(token_sets(rows), "toxicity-sample")
 
 
 def token_statistics(sample: DataFrame) -> DataFrame:
@@ -224,7 +227,7 @@ def vote_masks(docs: DataFrame, chosen: DataFrame, voters: Voters) -> DataFrame:
             columns = [pa.array(list(counts), pa.list_(pa.int32())), pa.array(list(counts.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["votes", "n"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left").select(text_or_empty().alias("text"), "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left").select(text_or_empty().alias("text"), "label")
     return stored(rows.mapInArrow(run, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")), "votes")
 
 
@@ -301,7 +304,10 @@ def first_model(masks: DataFrame, voters: Voters) -> LabelModel:
     accuracy = np.array([(found.get(k, (0, 0))[0] + 1) / (found.get(k, (0, 0))[1] + 2) for k in range(voters.count)])
     accuracy[[voters.says_toxic, voters.says_clean]] = ANNOTATORS
     toxic, n = found.get(-1, (0, 0))
-    return LabelModel(min(max(toxic / n if n else 0.05, 1e-3), 0.5), accuracy)
+    prior = min(max(toxic / n if n else 0.05, 1e-3), 0.5)
+    if not n:  # nobody has said what silence means: it is taken for clean, not for half
+        accuracy[voters.silence] = prior / 2
+    return LabelModel(prior, accuracy)
 
 
 class Classifier:
@@ -321,20 +327,27 @@ class Classifier:
 
 def fit(docs: DataFrame, labels: DataFrame, sample_bound: int = SAMPLE, unlabelled: int = UNLABELLED) -> Classifier:
     """Voters from the labelled sample, the label model from all documents, the classifier from
-    the posterior labels of a sample, labelled or not. Without labelled rows of both classes only
-    the lexicon decides. Collected to the driver: FEATURES tokens, the telling tokens of the
-    sample and their places in its toxic rows, and sums for each pair of voters."""
+    the posterior labels of a sample, labelled or not. Without labelled rows of both classes the
+    hand-written voters are all there are, and their tokens the features. Without any row to learn
+    from, the words of the lexicon count alike. Collected to the driver: FEATURES tokens, the
+    telling tokens of the sample and their places in its toxic rows, and sums for each pair of
+    voters."""
     chosen = stored(labelled_rows(labels, sample_bound), "labelled")
     rows = training_rows(docs, chosen, unlabelled)
     sample = rows.filter("label IS NOT NULL")
     totals = sample.agg(F.sum("label").alias("n1"), F.count(F.lit(1)).alias("n")).first()
     n1, n = totals.n1 or 0, totals.n or 0
-    if n1 == 0 or n1 == n:
+    if rows.isEmpty():
         return Classifier({w: 3.0 for w in LEXICON}, -2.0)
-    statistics = stored(token_statistics(sample), "token-statistics")
-    strongest = statistics.orderBy(F.desc("strength"), "token")
-    features = [r.token for r in strongest.limit(FEATURES).collect()]
-    voters = Voters(mined_voters(sample, statistics))
+    if n1 == 0 or n1 == n:
+        voters = Voters([])
+        features = list(voters.number)
+    else:
+        statistics = stored(token_statistics(sample), "token-statistics")
+        strongest = statistics.orderBy(F.desc("strength"), "token")
+        voters = Voters(mined_voters(sample, statistics))
+        # a few labelled rows may have no token that is frequent enough
+        features = [r.token for r in strongest.limit(FEATURES).collect()] or list(voters.number)
     masks = vote_masks(docs, chosen, voters)
     model = first_model(masks, voters)
     for _ in range(EM_ROUNDS):

@@ -534,4 +534,27 @@ def test_toxicity_on_held_out_rows(spark):
     kept = toxicity.without_toxic(d, model)
     assert kept.columns == d.columns and kept.count() == sum(r.predicted == 0 for r in got)
     assert toxicity.toxicity_scores(d.limit(0), toxicity.fit(d.limit(0), table)).count() == 0
-    assert toxicity.toxicity_scores(d, toxicity.fit(d, table.limit(0))).count() == len(rows)
+    # without labels EM runs on the hand-written voters alone
+    silent = {r.doc_id: r.score for r in toxicity.toxicity_scores(d, toxicity.fit(d, table.limit(0))).collect()}
+    assert min(silent[i] for i, t in rows[:600] if sum(w in toxicity.LEXICON for w in t.split()) > 1) > 0.3
+    assert max(silent[i] for i, t in rows[:600] if not any(w in toxicity.LEXICON for w in t.split())) < 0.3
+
+
+def test_clashing_columns(spark):
+    """Names that the operators use inside, as columns of the input."""
+    text = "you are an idiot and a moron " * 3
+    rows = [(1, text, 7, "k", "c", "d", 5), (1, text, 7, "k", "c", "d", 5), (2, "clean words", 8, "k", "c", "d", 5), (None, None, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label int, _key string, _cut string, key string, `n-x` int")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels)
+    assert toxicity.without_toxic(d, model).columns == d.columns
+    spans = spark.createDataFrame([(1, 0, 8, True)], "doc_id long, start long, end long, redundant boolean")
+    cut = substring_dedup.without_spans(d, spans)
+    assert cut.columns == d.columns and {r._cut for r in cut.collect()} == {"c", None}
+    assert [r.text for r in cut.filter("doc_id = 1").collect()] == [text[8:]] * 2
+
+
+def test_repeated_ids_leave_the_sample_in_bounds(spark):
+    d = docs(spark, [(k % 3, f"word{k}") for k in range(300)])
+    chosen = toxicity.labelled_rows(spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int"), 10)
+    assert toxicity.training_rows(d, chosen, 1).count() <= 3

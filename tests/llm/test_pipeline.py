@@ -50,3 +50,16 @@ def test_null_and_repeated_ids(spark):
     near = P.near_dedup_stage(spark, docs, SF)
     assert near.columns == docs.columns
     assert sorted([(r.doc_id, r.source) for r in near.collect()], key=key) == [(3, "a"), (None, "b"), (1, "c"), (3, "d"), (3, "e"), (7, "f")]
+
+
+def test_keep_rows_with_clashing_columns_and_one_hot_text(spark):
+    """A text with half of all rows and no ids; columns with names that the join uses."""
+    rows = [(None, "same text", "a", "b", k) for k in range(500)] + [(k, f"text {k}", "a", "b", k) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, key string, _row int")
+    kept = P.exact_dedup_stage(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.count() == 501
+    assert {(r._key, r.key) for r in kept.collect()} == {("a", "b")}
+    from panelia.llm.common import text_digest
+
+    plan = P.keep_rows(docs, docs.select("doc_id", text_digest().alias("digest")))._jdf.queryExecution().toString()
+    assert plan.count("partial_first") >= 1  # hot rows are made one before the shuffle
