@@ -26,10 +26,12 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     is no other. Null and empty texts are equal; of rows given twice one stays; an empty table
     stays empty."""
     index = f"digest_index_{uuid.uuid4().hex}"
-    verdicts = exact_dedup.exact_dedup(docs, index, exact_dedup.index_buckets(spark))
-    kept = keep_rows(docs, verdicts.filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest")))
-    spark.sql(f"DROP TABLE {index}")  # the kept keys are stored
-    return kept
+    try:
+        verdicts = exact_dedup.exact_dedup(docs, index, exact_dedup.index_buckets(spark))
+        # the kept keys are stored, so the index may go
+        return keep_rows(docs, verdicts.filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest")))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {index}")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +61,13 @@ def row_key(digest: Column) -> Column:
 def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of ``docs`` for each (doc_id, digest) of ``kept``, the first of those given twice.
 
-    The kept keys grow with the input, so they always meet the documents by sort-merge join: it
-    moves each text once and behaves alike at every size. Its order serves the grouping too."""
-    keys = stored(kept.select(row_key(F.col("digest")).alias("_key")).distinct(), "kept")
-    met = docs.withColumn("_key", row_key(text_digest())).join(keys.hint("merge"), "_key", "left_semi")
-    one = met.groupBy("_key").agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return one.select("_row.*")
+    Rows of one key are made one before they are shuffled, so a key that holds a third of all rows
+    sends one row a task. The kept keys grow with the input, so they meet the documents by
+    sort-merge join, which uses the partitioning and order that the grouping left."""
+    key, row = (f"{name}-{uuid.uuid4().hex}" for name in ("key", "row"))  # no column of docs has this name
+    keys = stored(kept.select(row_key(F.col("digest")).alias("key")).distinct(), "kept").withColumnRenamed("key", key)
+    one = docs.groupBy(row_key(text_digest()).alias(key)).agg(F.first(F.struct(*(docs[c] for c in docs.columns))).alias(row))
+    return one.join(keys.hint("merge"), key, "left_semi").select(f"`{row}`.*")
 
 
 STAGES = [
