@@ -164,3 +164,52 @@ def exit_replay(paths: DataFrame, cost: float) -> DataFrame:
     return done.withColumns({
         "reason": F.when(timed, "TP1_TIME").otherwise(F.col("_s.reason")), "pnl": raw - cost, "bars_held": F.col("_s.n"), "mfe": F.col("_s.mfe"), "mae": F.col("_s.mae"),
     }).drop("_s")
+
+
+def resting_entries(signals: DataFrame, waits: list[int], n: int, stop: float, target: float, offset: float, slip: float, fees: tuple[float, float]) -> DataFrame:
+    """Outcome of every signal entered at once and by an order that rests (H10): mode, wait, filled,
+    ret, one row for each signal and mode.
+
+    ``signals`` holds side (1 or -1), close, atr (as a share of the price) and ``path``, an array of
+    the next max(waits) + n bars (high, low, close), shorter at the end of a series. A signal counts
+    if n bars follow it. An order rests at ``offset`` behind the close for ``wait`` bars. Once it is
+    filled, the bar that filled it is looked at first, stop before target, then n more; a fill with
+    fewer bars left than that gives no row. A miss is valued as an entry at once. Exits are at the
+    market. ``fees`` are those of resting and of market orders.
+    """
+    side, close, atr = F.col("side"), F.col("close"), F.col("atr")
+    rest, market = fees
+
+    def outcome(entry, first, count, fee):
+        lost_at, won_at = entry * (1 - side * atr * stop), entry * (1 + side * atr * target)
+        lost = lambda b: F.when(side > 0, b["low"] <= lost_at).otherwise(b["high"] >= lost_at)
+        won = lambda b: F.when(side > 0, b["high"] >= won_at).otherwise(b["low"] <= won_at)
+        part = F.slice("path", first, count)
+        hit = F.get(F.filter(part, lambda b: lost(b) | won(b)), F.lit(0))
+        out = F.when(hit.isNull(), F.element_at(part, -1)["close"]).when(lost(hit), lost_at).otherwise(won_at)
+        return side * (out * (1 - side * slip) - entry) / entry - fee - market
+
+    modes = [F.struct(F.lit("market").alias("mode"), F.lit(0).alias("wait"))] + [F.struct(F.lit("rest").alias("mode"), F.lit(w).alias("wait")) for w in waits]
+    x = signals.filter((F.size("path") >= n) & (atr > 0)).withColumn("_m", F.explode(F.array(*modes))).select("*", "_m.*").drop("_m")
+    limit = close * (1 - side * offset)
+    reached = F.transform(F.slice("path", F.lit(1), F.greatest("wait", F.lit(1))), lambda b: F.when(side > 0, b["low"] <= limit).otherwise(b["high"] >= limit))
+    x = x.withColumn("_at", F.when(F.col("mode") == "rest", F.array_position(reached, True)).otherwise(0))  # 0: not filled by resting
+    resting = F.col("_at") > 0
+    at_once = outcome(close * (1 + side * slip), F.lit(1), F.lit(n), F.lit(market))
+    rested = outcome(limit, F.col("_at").cast("int"), F.lit(n + 1), F.lit(rest))
+    x = x.filter(~resting | (F.col("_at") + n <= F.size("path")))
+    return x.withColumns({"filled": resting | (F.col("mode") == "market"), "ret": F.when(resting, rested).otherwise(at_once)}).drop("_at")
+
+
+def pooled_entries(entries: DataFrame, key: str, *by: str) -> DataFrame:
+    """The table of modes pooled over keys (H10): keys without a fill do not count; adverse selection
+    is the mean over keys of how much better the misses would have done than the fills."""
+    mine = F.col("filled")
+    e = entries.groupBy(*by, "mode", "wait", key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(mine).alias("f"), F.sum(F.when(mine, F.col("ret"))).alias("total"),
+        F.avg(F.when(mine, F.col("ret"))).alias("got"), F.avg(F.when(~mine, F.col("ret"))).alias("missed"),
+    ).filter("f > 0")
+    return e.groupBy(*by, "mode", "wait").agg(
+        F.sum("n").alias("n_signals"), F.sum("f").alias("n_filled"), (F.sum("f") / F.sum("n")).alias("fill_rate"), (F.sum("total") / F.sum("f") * 1e4).alias("net_bps_filled"),
+        (F.sum("total") / F.sum("n") * 1e4).alias("net_bps_all"), (F.avg(F.col("missed") - F.col("got")) * 1e4).alias("adverse_bps"),
+    )

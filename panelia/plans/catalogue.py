@@ -1,5 +1,5 @@
 """Registered queries of the panel operators."""
 
-from panelia.plans import accounting, audit, cross, inference, joins, labels, models, reconcile, scans, splits, streams, windows  # noqa: F401
+from panelia.plans import accounting, audit, cross, inference, joins, labels, models, reconcile, refits, scans, splits, streams, windows  # noqa: F401
 from panelia.plans.accounting import flagship  # noqa: F401
 from panelia.plans.registry import QUERIES, SQL  # noqa: F401

@@ -7,12 +7,14 @@ from panelia.functions import series as S
 from panelia.operators import accounting as A
 from panelia.operators import cross as X
 from panelia.operators import inference as N
+from panelia.operators import refits as M
 from panelia.plans.accounting import COST, NAMES, Q, WEEK, week_panel, week_weights
 from panelia.plans.registry import query
+from panelia.session import ship_package
 from panelia.sources import stand_ins as T
 
-#: Draws of permutation nulls and of bootstraps, the least shift and the block of the latter.
-DRAWS, BOOTSTRAPS, LEAST_SHIFT, BLOCK = 200, 999, 14, 22
+#: Draws of permutation nulls and of bootstraps, the least shift, the block of a bootstrap, shifts of a sample.
+DRAWS, BOOTSTRAPS, LEAST_SHIFT, BLOCK, SAMPLED_SHIFTS = 200, 999, 14, 22, 60
 
 
 def live(spark, d):
@@ -118,37 +120,52 @@ def block_shuffle(spark, d):
         (F.round(F.sum("ret") - F.sum("shuffled"), 8) + 0.0).alias("gap"))
 
 
-@query("n7_circular_shift", T.with_sql(NAMES, WEEK + f"""
+_SHIFT = f"""
 , ix AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM days)
 , wi AS (SELECT symbol, i, n, w, coalesce(ret, 0) - coalesce(cash, 0) AS r FROM masked JOIN ix USING (day))
 , fee AS (SELECT (sum(turnover) + max_by(gross, day)) * 0.001::DOUBLE AS fee, count(*) AS n FROM daily)
-, sh AS (SELECT 0 AS s UNION ALL SELECT unnest(range({LEAST_SHIFT}, (SELECT n FROM fee) - {LEAST_SHIFT} + 1)))
+, al AS (SELECT unnest(range({LEAST_SHIFT}, (SELECT n FROM fee) - {LEAST_SHIFT} + 1)) AS s)
+, sh AS (SELECT 0 AS s UNION ALL {{chosen}})
 , nl AS (SELECT s AS shift, round((sum(a.w * b.r) - max(fee)) / max(fee.n), 12) AS net FROM wi a CROSS JOIN sh CROSS JOIN fee JOIN wi b ON b.symbol = a.symbol
     AND b.i = (a.i - s + a.n) % a.n WHERE a.n >= 2 * {LEAST_SHIFT} AND a.w <> 0 GROUP BY s)
 , ob AS (SELECT net AS observed FROM nl WHERE shift = 0)
-SELECT shift, net, round((count(CASE WHEN net >= observed THEN 1 END) OVER () + 1) / (count(*) OVER () + 1)::DOUBLE, 10) AS p FROM nl, ob WHERE shift > 0"""))
-def circular_shift(spark, d):
-    """Price and cash taken together from t - s around the end, for every distinct shift
-    that is far enough from none; the book's own costs stay. One row a shift, and the p-value."""
+SELECT shift, net, round((count(CASE WHEN net >= observed THEN 1 END) OVER () + 1) / (count(*) OVER () + 1)::DOUBLE, 10) AS p FROM nl, ob WHERE shift > 0"""
+
+
+def shifted_nets(spark, d, wanted=None):
+    """(shift, net, p): net of the book with price and cash taken together from t - s around the end,
+    for every distinct shift that is far enough from none, or for ``wanted`` of them in a hash
+    order; the book's own costs stay. All shifts come from one circular correlation a symbol."""
+    ship_package(spark)
     p = week_weights(spark, d)
     daily = A.account(p, COST)
-    fee = daily.agg((F.sum("cost") + F.max_by("gross", "day") * COST).alias("fee"), F.count(F.lit(1)).alias("n"))
-    p = p.join(X.ordinal_days(p), "day").join(F.broadcast(fee.filter(F.col("n") >= 2 * LEAST_SHIFT)))
+    fee = daily.agg((F.sum("cost") + F.max_by("gross", "day") * COST).alias("fee"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2 * LEAST_SHIFT)
     w = F.when(F.col("ret").isNotNull(), F.col("weight")).otherwise(0.0)
-    held = p.select("symbol", "i", "n", "fee", w.alias("w")).filter("w <> 0")
     flow = F.coalesce("ret", F.lit(0.0)) - F.coalesce("cash", F.lit(0.0))
-    out = p.select("symbol", F.col("i").alias("j"), flow.alias("r"))
-    least = F.lit(LEAST_SHIFT).cast("bigint")
-    shifts = F.concat(F.array(F.lit(0).cast("bigint")), F.sequence(least, F.col("n") - least))
-    s = held.withColumn("shift", F.explode(shifts)).withColumn("j", (F.col("i") - F.col("shift") + F.col("n")) % F.col("n"))
-    total = F.sum(F.col("w") * F.col("r")) - F.max("fee")
-    null = s.join(out, ["symbol", "j"]).groupBy("shift").agg(F.round(total / F.max("n"), 12).alias("net"))
+    rows = p.join(X.ordinal_days(p), "day").join(F.broadcast(fee.select("n"))).select("symbol", "i", "n", w.alias("w"), flow.alias("r"))
+    null = M.circular_sums(rows, "symbol", "i", "n", "w", "r").join(F.broadcast(fee))
+    null = null.select("shift", "n", F.round((F.col("total") - F.col("fee")) / F.col("n"), 12).alias("net"))
+    inside = F.col("shift").between(LEAST_SHIFT, F.col("n") - LEAST_SHIFT)
     every = Window.partitionBy(F.lit(0))  # one row a shift
-    null = null.withColumn("observed", F.max(F.when(F.col("shift") == 0, F.col("net"))).over(every)).filter("shift > 0")
+    null = null.withColumn("observed", F.max(F.when(F.col("shift") == 0, F.col("net"))).over(every)).filter(inside)
+    if wanted is not None:
+        null = null.orderBy(N.hash_order("21", F.col("shift").cast("string"))).limit(wanted)
     reached = F.count(F.when(F.col("net") >= F.col("observed"), 1)).over(every)
     return null.select("shift", "net", F.round((reached + 1) / (F.count(F.lit(1)).over(every) + 1), 10).alias("p"))
 
 
+@query("n7_circular_shift", T.with_sql(NAMES, WEEK + _SHIFT.format(chosen="SELECT s FROM al")))
+def circular_shift(spark, d):
+    """Every distinct shift."""
+    return shifted_nets(spark, d)
+
+
+@query("n7_sampled_shifts", T.with_sql(NAMES, WEEK + _SHIFT.format(chosen=f"(SELECT s FROM al ORDER BY md5(concat_ws('|', '21', s)) LIMIT {SAMPLED_SHIFTS})")))
+def sampled_shifts(spark, d):
+    """As many shifts as are wanted."""
+    return shifted_nets(spark, d, SAMPLED_SHIFTS)
+
+
 _BOOT = f"""
 , sr AS (SELECT row_number() OVER (ORDER BY day) - 1 AS i, net, price, net - avg(net) OVER () AS x, (net - price) - avg(net - price) OVER () AS xd, count(*) OVER () AS n FROM live)
 , dr AS (SELECT draw, b, n, ('0x' || substr(md5(concat_ws('|', '13', draw, b)), 1, 8))::BIGINT % n AS start FROM (SELECT max(n) AS n FROM sr) CROSS

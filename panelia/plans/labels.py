@@ -125,21 +125,43 @@ def cooldown(spark, d):
     return e.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).join(kept, "symbol").select("symbol", "n", "n_kept", "last_kept")
 
 
-@query("h10_resting_entry", T.with_sql("bars_day", _TOUCH + """
-, ent AS (SELECT a.symbol, a.day, a.close AS c, min(b.n) FILTER (b.low <= a.close * (1 - w * 0.1::DOUBLE)) AS hit, w FROM ix a JOIN ix b ON a.symbol = b.symbol
-    AND b.n BETWEEN a.n + 1 AND a.n + 2, (VALUES (1), (3)) t(w) WHERE a.n + 5 <= a.tot GROUP BY ALL)
-SELECT w::INT AS depth, count(*) AS n, count(hit) AS n_filled, round(avg(CASE WHEN hit IS NOT NULL THEN x.close / (c * (1 - w * 0.1::DOUBLE)) - 1 ELSE long_ret END), 6) AS mean_ret
-FROM ent JOIN touch USING (symbol, day) LEFT JOIN ix x ON x.symbol = ent.symbol AND x.n = ent.hit + 2 GROUP BY w"""))
+#: Waits, horizon, stop and target in units of the range, distance of a resting order, slippage, fees.
+WAITS, HOLD, STOPS, TARGETS, OFFSET, SLIP, FEES = [1, 2, 4], 5, 0.25, 0.5, 0.05, 0.0005, (0.0002, 0.0005)
+
+
+@query("h10_resting_entry", T.with_sql("bars_day", f"""
+, t0 AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, row_number() OVER w AS n, count(*) OVER (PARTITION BY symbol) AS tot
+    FROM bars_day WINDOW w AS (PARTITION BY symbol ORDER BY day))
+, ix AS (SELECT *, CASE WHEN count(tr) OVER w >= 3 THEN avg(tr) OVER w END / nullif(close, 0) AS atr FROM t0
+    WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+, sg AS (SELECT symbol, n, tot, close AS c, atr, CASE WHEN close > open THEN 1 ELSE -1 END AS s FROM ix WHERE close <> open AND n + {HOLD} <= tot AND atr > 0)
+, md AS (SELECT sg.*, mode, wait, c * (1 - s * {OFFSET}::DOUBLE) AS lim FROM sg CROSS JOIN (VALUES ('market', 0), ('rest', 1), ('rest', 2), ('rest', 4)) v(mode, wait))
+, fl AS (SELECT md.*, (SELECT min(b.n) FROM ix b WHERE b.symbol = md.symbol AND b.n > md.n AND b.n <= md.n + md.wait
+    AND CASE WHEN s > 0 THEN b.low <= lim ELSE b.high >= lim END) AS hb FROM md)
+, en AS (SELECT *, coalesce(hb, n + 1) AS a, coalesce(hb, n) + {HOLD} AS z, CASE WHEN hb IS NULL THEN c * (1 + s * {SLIP}::DOUBLE) ELSE lim END AS e,
+    CASE WHEN hb IS NULL THEN {FEES[1]}::DOUBLE ELSE {FEES[0]}::DOUBLE END AS fee FROM fl WHERE hb IS NULL OR hb + {HOLD} <= tot)
+, lv AS (SELECT *, e * (1 - s * atr * {STOPS}::DOUBLE) AS sl, e * (1 + s * atr * {TARGETS}::DOUBLE) AS tp FROM en)
+, ex AS (SELECT lv.symbol, lv.n, lv.s, mode, wait, hb, e, fee, coalesce(arg_min(CASE WHEN CASE WHEN s > 0 THEN b.low <= sl ELSE b.high >= sl END THEN sl ELSE tp END, b.n)
+      FILTER (CASE WHEN s > 0 THEN b.low <= sl OR b.high >= tp ELSE b.high >= sl OR b.low <= tp END), max(CASE WHEN b.n = z THEN b.close END)) AS px
+    FROM lv JOIN ix b ON b.symbol = lv.symbol AND b.n BETWEEN a AND z GROUP BY lv.symbol, lv.n, lv.s, mode, wait, hb, e, fee, sl, tp, z)
+, rt AS (SELECT symbol, s, mode, wait, mode = 'market' OR hb IS NOT NULL AS filled, s * (px * (1 - s * {SLIP}::DOUBLE) - e) / e - fee - {FEES[1]}::DOUBLE AS ret FROM ex)
+, pk AS (SELECT symbol, s, mode, wait, count(*) AS n, count(*) FILTER (filled) AS f, sum(ret) FILTER (filled) AS total, avg(ret) FILTER (filled) AS got,
+    avg(ret) FILTER (NOT filled) AS missed FROM rt GROUP BY symbol, s, mode, wait HAVING count(*) FILTER (filled) > 0)
+SELECT s::INT AS side, mode, wait::INT AS wait, sum(n)::BIGINT AS n_signals, sum(f)::BIGINT AS n_filled, round(sum(f) / sum(n), 6) AS fill_rate, round(sum(total) / sum(f) * 1e4, 4) AS net_bps_filled,
+    round(sum(total) / sum(n) * 1e4, 4) AS net_bps_all, round(avg(missed - got) * 1e4, 4) AS adverse_bps FROM pk GROUP BY s, mode, wait"""))
 def resting_entry(spark, d):
-    """A limit below the close filled within two bars and held two more; misses enter at once."""
-    w = S.over()
-    ahead = w.rowsBetween(1, 5)
-    b = T.bars_day(spark, d).withColumn("path", F.collect_list(F.struct("low", "close")).over(ahead)).filter(F.size("path") == 5)
-    b = b.withColumn("depth", F.explode(F.array(F.lit(1), F.lit(3)))).withColumn("limit", F.col("close") * (1 - F.col("depth") * 0.1))
-    hit = F.when(F.col("path")[0]["low"] <= F.col("limit"), 0).when(F.col("path")[1]["low"] <= F.col("limit"), 1)
-    b = b.withColumn("hit", hit).join(touched(spark, d).select("symbol", "day", "long_ret"), ["symbol", "day"])
-    ret = F.when(F.col("hit").isNotNull(), F.get("path", F.col("hit") + 2)["close"] / F.col("limit") - 1).otherwise(F.col("long_ret"))
-    return b.groupBy("depth").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("n_filled"), F.round(F.avg(ret), 6).alias("mean_ret"))
+    """Longs after rising and shorts after falling days, entered at the market or by an order
+    that rests one, two or four bars; misses valued as entries at once; pooled over symbols."""
+    c, h, l, w = F.col("close"), F.col("high"), F.col("low"), S.over()  # noqa: E741
+    before = F.lag(c).over(w)
+    b = T.bars_day(spark, d).withColumn("tr", F.greatest(h - l, F.abs(h - before), F.abs(l - before)))
+    ahead = w.rowsBetween(1, max(WAITS) + HOLD)
+    b = b.withColumns({"atr": S.safe_ratio(S.rolling(F.col("tr"), 5, 3, w), c), "path": F.collect_list(F.struct("high", "low", "close")).over(ahead)})
+    signals = b.filter(c != F.col("open")).withColumn("side", F.when(c > F.col("open"), 1).otherwise(-1))
+    e = L.resting_entries(signals, WAITS, HOLD, STOPS, TARGETS, OFFSET, SLIP, FEES)
+    p = L.pooled_entries(e, "symbol", "side")
+    return p.select("side", "mode", "wait", "n_signals", "n_filled", F.round("fill_rate", 6).alias("fill_rate"),
+        *[F.round(x, 4).alias(x) for x in ("net_bps_filled", "net_bps_all", "adverse_bps")])
 
 
 @query("h11_h12_profiles", T.with_sql("bars_day", _TOUCH + """

@@ -5,8 +5,12 @@ from pyspark.sql.window import Window
 
 from panelia.functions import series as S
 from panelia.plans.registry import query
+from panelia.session import ship_package
+from panelia.sources import archives as Z
 from panelia.sources import stand_ins as T
+from panelia.sources import storage as Y
 from panelia.sources import tables as B
+from panelia.sources.storage import scratch
 
 ASOF = "2024-01-20"
 
@@ -68,6 +72,78 @@ def day_metrics(spark, d):
         F.round(F.avg("volume"), 6).alias("mean_volume"), (F.count(F.lit(1)) == 6).alias("complete"))
 
 
+#: CSV name and name in use of each metric (fixed values).
+METRICS = {"sum_open_interest": "open_interest", "count_long_short_ratio": "account_ratio", "sum_taker_long_short_vol_ratio": "taker_ratio"}
+
+
+def written_archive(spark, d):
+    """Stand-in archive: one zip file for each symbol with one CSV member a day, 5-minute rows."""
+    path = scratch(spark, "archive").removeprefix("file:")
+    if "://" in path:
+        raise ValueError("the stand-in archive is written through a mounted folder")
+    bar = F.window("ts", "5 minutes").getField("start")
+    m = T.events(spark, d).groupBy("symbol", bar.alias("create_time")).agg(
+        F.round(F.sum("value"), 6).alias("sum_open_interest"), F.round(F.avg("value") / 50, 6).alias("count_long_short_ratio"),
+        F.round(F.avg("k"), 6).alias("sum_taker_long_short_vol_ratio"))
+    m = m.withColumn("day", F.to_date("create_time").cast("string")).withColumn("create_time", F.date_format("create_time", "yyyy-MM-dd HH:mm:ss"))
+
+    def write(pdf):
+        import os
+        import zipfile
+
+        symbol = pdf.symbol.iloc[0]
+        os.makedirs(path, exist_ok=True)
+        with zipfile.ZipFile(f"{path}/{symbol}-metrics.part", "w", zipfile.ZIP_DEFLATED) as archive:
+            for day, rows in pdf.groupby("day"):
+                archive.writestr(f"{symbol}-metrics-{day}.csv", rows.drop(columns=["day"]).sort_values("create_time").to_csv(index=False))
+        os.replace(f"{path}/{symbol}-metrics.part", f"{path}/{symbol}-metrics.zip")
+        return pdf[["symbol"]].head(1)
+
+    m.groupBy("symbol").applyInPandas(write, "symbol long").count()
+    return path
+
+
+@query("a6_zip_archive", T.with_sql("ev", """
+, m AS (SELECT symbol, time_bucket(INTERVAL '5 minutes', ts) AS t, round(sum(value), 6) AS oi, round(avg(value) / 50, 6) AS ar, round(avg(k), 6) AS tr FROM ev GROUP BY ALL)
+SELECT symbol, CAST(t AS DATE)::VARCHAR AS day, count(*) AS n_rows, round(arg_max(oi, t), 6) AS open_interest_last, round(avg(oi), 6) AS open_interest_mean,
+    round(arg_max(ar, t), 6) AS account_ratio_last, round(avg(ar), 6) AS account_ratio_mean, round(arg_max(tr, t), 6) AS taker_ratio_last, round(avg(tr), 6) AS taker_ratio_mean,
+    count(*) = 288 AS complete FROM m GROUP BY ALL"""))
+def zip_archive(spark, d):
+    """Zipped CSV files written from the events, read back, renamed and cast; the last row and
+    the mean of each metric a day, and whether all 288 rows of a day are there."""
+    ship_package(spark)
+    rows = Z.archive_rows(Z.zip_files(spark, written_archive(spark, d)), METRICS, "create_time")
+    symbol = F.regexp_extract("member", "^(-?[0-9]+)-metrics-", 1).cast("bigint").alias("symbol")
+    daily = rows.filter("error IS NULL").withColumn("day", F.to_date("create_time")).groupBy(symbol, S.day_text())
+    made = [x for c in METRICS.values() for x in (F.round(F.max_by(c, "create_time"), 6).alias(f"{c}_last"), F.round(F.avg(c), 6).alias(f"{c}_mean"))]
+    return daily.agg(F.count(F.lit(1)).alias("n_rows"), *made, (F.count(F.lit(1)) == 288).alias("complete"))
+
+
+@query("a3_a9_keyed_sink", T.with_sql("bars_day", """
+, old AS (SELECT symbol, day, close FROM bars_day WHERE day < DATE '2024-01-15' AND symbol % 3 <> 0), en AS (SELECT symbol, max(day) AS e FROM old GROUP BY symbol)
+, fresh AS (SELECT b.symbol, b.day, b.close + 1 AS close FROM bars_day b LEFT JOIN en USING (symbol) WHERE (e IS NULL OR b.day > e) AND (b.symbol % 2 = 0 OR b.day < DATE '2024-01-29'))
+, rev AS (SELECT symbol, day, close + 2 AS close FROM old WHERE day = DATE '2024-01-10')
+, u AS (SELECT symbol, day, coalesce(r.close, o.close) AS close FROM (SELECT * FROM old UNION ALL SELECT * FROM fresh) o LEFT JOIN rev r USING (symbol, day))
+SELECT symbol, day::VARCHAR AS day, round(close, 6) AS close, epoch_us(TIMESTAMP '2024-01-30 06:00:00') - epoch_us(max(day::TIMESTAMP) OVER (PARTITION BY symbol)) > 43200000000 AS stale FROM u"""))
+def keyed_sink(spark, d):
+    """A table partitioned by day; what is newer than the stored end of a key is added, a
+    revised day is upserted, twice, and only its partition is written again. ``stale`` tells keys
+    whose stored end is more than twelve hours old."""
+    path = scratch(spark, "sink")
+    bars = T.bars_day(spark, d).select("symbol", "close", "day")
+    read = lambda: spark.read.schema(bars.schema).parquet(path)
+    upsert = lambda batch: Y.upsert_partitions(batch, path, ["symbol", "day"], "day")
+    old = bars.filter("day < DATE '2024-01-15' AND symbol % 3 <> 0")
+    upsert(old)
+    late = (F.col("symbol") % 2 == 0) | (F.col("day") < F.lit("2024-01-29").cast("date"))
+    upsert(B.newer_rows(bars, read(), "symbol", "day").filter(late).withColumn("close", F.col("close") + 1))
+    revised = old.filter("day = DATE '2024-01-10'").withColumn("close", F.col("close") + 2)
+    upsert(revised)
+    upsert(revised)
+    tails = Y.stale_tails(read(), "symbol", "day", F.expr("TIMESTAMP '2024-01-30 06:00:00'")).drop("end")
+    return read().join(tails, "symbol").select("symbol", S.day_text(), F.round("close", 6).alias("close"), "stale")
+
+
 @query("q9_coverage_gates", T.with_sql("bars_4h", """
 , dm AS (SELECT symbol, CAST(bar AS DATE) AS day, count(*) >= 4 AND arg_max(close, bar) > 0 AS valid FROM bars_4h GROUP BY ALL)
 , el AS (SELECT symbol FROM dm WHERE valid GROUP BY symbol HAVING count(*) >= 10)

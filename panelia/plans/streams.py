@@ -1,27 +1,17 @@
 """Queries of streaming operators (survey T, A21). Batch twins have SQL; streams run to the end of
 the data that is there."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from panelia.plans.registry import query
 from panelia.session import ship_package
 from panelia.sources import stand_ins as T
+from panelia.sources.storage import scratch
 from panelia.streaming import streams as R
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
-def scratch(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
-
-
 def messages(spark, d):
     """Events as JSON messages of three kinds, parsed back by the stream's schema."""
     e = T.events(spark, d)
@@ -59,6 +49,32 @@ def counters(spark, d):
     return R.kind_counters(messages(spark, d))
 
 
+GAP_US, LATE_MS = 24 * 3_600_000_000, 600_000
+
+
+@query("t4_gap_stream", T.with_sql("ev", f"""
+, x AS (SELECT symbol, epoch_us(ts) AS us, row_number() OVER w AS n, lead(epoch_us(ts)) OVER w AS nx FROM ev WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+, wm AS (SELECT max(us) // 1000 - {LATE_MS} AS wm FROM x)
+, g AS (SELECT symbol, us, n, row_number() OVER (PARTITION BY symbol ORDER BY us) AS k FROM x, wm WHERE nx - us > {GAP_US} OR (nx IS NULL AND (us + {GAP_US}) // 1000 + 1 < wm))
+SELECT symbol::VARCHAR AS key, us AS start, n AS n_messages, k AS n_gaps FROM g
+UNION ALL SELECT x.symbol::VARCHAR, NULL, count(*), (SELECT count(*) FROM g WHERE g.symbol = x.symbol) FROM x GROUP BY x.symbol"""))
+def gap_stream(spark, d):
+    """T4: a day without a message is a gap. The events come as JSON files, week by week, one file a
+    batch; gaps of all keys and, without start, the lifetime counters."""
+    ship_package(spark)
+    path = scratch(spark, "streams")
+    e = T.events(spark, d).select("symbol", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "day")
+    for a, b in (("2024-01-01", "2024-01-09"), ("2024-01-09", "2024-01-17"), ("2024-01-17", "2024-01-25"), ("2024-01-25", "2024-02-09")):
+        e.filter(f"day >= DATE '{a}' AND day < DATE '{b}'").drop("day").coalesce(1).write.mode("append").json(f"{path}/landed")
+    records = spark.readStream.schema("symbol long, us long").option("maxFilesPerTrigger", 1).json(f"{path}/landed")
+    g = R.gap_events(records.withColumn("at", F.timestamp_micros("us")), "symbol", "at", GAP_US, f"{LATE_MS} milliseconds")
+    g.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out/batch={n}")).option("checkpointLocation",
+        f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(R.GAPS).parquet(f"{path}/out")
+    life = out.groupBy("key").agg(F.lit(None).cast("long").alias("start"), F.max("n_messages").alias("n_messages"), F.max("n_gaps").alias("n_gaps"))
+    return out.filter("gap").select("key", F.col("last").alias("start"), "n_messages", "n_gaps").unionByName(life)
+
+
 _T6 = """SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS start, symbol, count(*) AS n, round(sum(value), 4) AS total FROM ev GROUP BY 1, 2"""
 
 
@@ -78,7 +94,7 @@ def event_stream(spark, d):
 def tumbling_stream(spark, d):
     """T6 as a stream over the events file: watermark, windows, append to files. Windows that the
     watermark has not passed at the end of the data stay open."""
-    path = scratch(spark)
+    path = scratch(spark, "streams")
     e = event_stream(spark, d).select("ts", F.col("user_id").alias("symbol"), "value")
     g = R.tumbling(e, "ts", "symbol", "value", "1 hour", "10 minutes")
     g.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation",
@@ -92,7 +108,7 @@ def sampled_stream(spark, d):
     """At most one event in thirty hours of each key, by state over micro-batches. Each batch
     has a folder, so a batch that is replayed replaces its rows."""
     ship_package(spark)
-    path = scratch(spark)
+    path = scratch(spark, "streams")
     e = event_stream(spark, d).select(F.col("user_id").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     s = R.sampled(e, "symbol", "t", 30 * 3600 * 1_000_000)
     s.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out/batch={n}")).option("checkpointLocation",
@@ -104,7 +120,7 @@ def sampled_stream(spark, d):
 @query("a21_ndjson_landing", T.with_sql("ev", "SELECT CASE k % 3 WHEN 0 THEN 'depth' WHEN 1 THEN 'liquidation' ELSE 'gap' END AS kind, count(*) AS n, max(epoch_us(ts) // 1000) AS latest_ms FROM ev GROUP BY 1"))
 def ndjson_landing(spark, d):
     """The records as NDJSON files, read by the landing stream into Parquet, then counted."""
-    path = scratch(spark)
+    path = scratch(spark, "streams")
     messages(spark, d).write.json(f"{path}/landed")
     found = R.landing(spark, f"{path}/landed", R.RECORD, "*.json")
     sink = found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
@@ -116,7 +132,7 @@ def ndjson_landing(spark, d):
 def append_once(spark, d):
     """Hourly files from the stream, and the same stream appended twice stores each key
     once."""
-    path = scratch(spark)
+    path = scratch(spark, "streams")
     e = event_stream(spark, d).select("event_id", "ts", F.col("user_id").alias("symbol"))
     R.rotated_sink(e, "ts", f"{path}/hours", f"{path}/s0").awaitTermination()
     schema = "event_id long, ts timestamp_ntz, symbol long"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from panelia.sources.storage import stored
 from panelia.sources.tables import upsert
 
 RECORD = """kind string, received string, event_time_ms long, symbol string, side string, quantity string, price string,
@@ -75,6 +76,54 @@ def sampled(rows: DataFrame, key: str, time_us: str, least_us: int) -> DataFrame
     return rows.select(key, time_us).groupBy(key).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+GAPS = "key string, gap boolean, last long, n_messages long, n_gaps long"
+
+
+def gap_events(rows: DataFrame, key: str, time: str, least_us: int, late: str) -> DataFrame:
+    """Gaps and lifetime counters of each key of a stream (T4), columns as in GAPS.
+
+    A key has a gap where its next message comes more than ``least_us`` after its last one. If that
+    message is there, it says so; else an event-time timer does, as soon as the watermark has passed
+    the time by which it was due. So every gap is one row, with the time of the message before it
+    and the counters up to it, however the stream is cut into batches. Rows that are no gap give the
+    counters of a key after each batch that holds it. State is four numbers a key; the messages of a
+    key in one batch are put in order in memory, so the source should bound a batch.
+    """
+    stamp = F.col(time).cast("timestamp")
+    timed = rows.select(F.col(key).cast("string").alias("key"), stamp.alias("at"), F.unix_micros(stamp).alias("us")).withWatermark("at", late)
+
+    def run(k, batches, state: GroupState):
+        import pandas as pd
+
+        last, n, gaps, silent = state.get if state.exists else (None, 0, 0, False)
+        out = []
+
+        def gap():
+            nonlocal gaps
+            gaps += 1
+            out.append((k[0], True, last, n, gaps))
+
+        if state.hasTimedOut:
+            gap()
+            silent = True
+        else:
+            for t in sorted(int(x) for pdf in batches for x in pdf.us):
+                if last is not None and t - last > least_us and not silent:
+                    gap()
+                n, silent, last = n + 1, False, t if last is None else max(last, t)
+            due = (last + least_us) // 1000 + 1
+            if due < state.getCurrentWatermarkMs():
+                gap()
+                silent = True
+            else:
+                state.setTimeoutTimestamp(due)
+            out.append((k[0], False, last, n, gaps))
+        state.update((last, n, gaps, silent))
+        yield pd.DataFrame(out, columns=["key", "gap", "last", "n_messages", "n_gaps"])
+
+    return timed.groupBy("key").applyInPandasWithState(run, GAPS, "last long, n long, gaps long, silent boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def stale(rows: DataFrame, active: DataFrame, key: str, time: str, expected) -> DataFrame:
     """Active keys whose latest row is before the expected boundary, or missing."""
     latest = rows.groupBy(key).agg(F.max(time).alias("latest"))
@@ -109,7 +158,8 @@ def append_once(rows: DataFrame, keys: list[str], time: str, path: str, checkpoi
         own = f"{path}/batch={run}-{number}"
         if exists(spark, f"{own}/_SUCCESS"):  # a replay of a finished batch
             return
-        fresh = batch.dropDuplicates(keys).withColumn("date", F.to_date(time))
+        batch = stored(batch.dropDuplicates(keys), "append")  # it is read more than once
+        fresh = batch.withColumn("date", F.to_date(time))
         if exists(spark, path):
             dates = [r.date for r in fresh.select("date").distinct().collect()]
             reader = spark.read.schema(f"{schema}, date date, batch string").option("ignoreMissingFiles", "true")
@@ -120,4 +170,4 @@ def append_once(rows: DataFrame, keys: list[str], time: str, path: str, checkpoi
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["landing", "liquidations", "depth", "kind_counters", "tumbling", "sampled", "stale", "rotated_sink", "append_once", "upsert"]
+__all__ = ["landing", "liquidations", "depth", "kind_counters", "gap_events", "tumbling", "sampled", "stale", "rotated_sink", "append_once", "upsert"]
