@@ -55,8 +55,9 @@ ROLES = frozenset(
 COMMENTS = frozenset(
     "comments comment-list comment_list commentlist comments-area comment-section respond disqus_thread replies".split()
 )
-#: Whole class or id tokens that say advert, notice, menu and so on. They count outside article
-#: elements and only where a host has too few pages to learn a wrapper from.
+#: Whole class or id tokens that say advert, notice, menu and so on. They count for lists of links,
+#: for text that a template repeats within articles, and, on a page that is judged alone, outside
+#: article elements for what holds less than half of its text.
 FURNITURE = frozenset(
     "ad ads advert advertisement banner sponsored promo cookie cookies cookie-banner consent gdpr notice popup modal "
     "newsletter subscribe signup login sidebar menu navbar nav navigation breadcrumb breadcrumbs pagination header "
@@ -65,14 +66,16 @@ FURNITURE = frozenset(
 
 #: Pages of a host (those of least hash) whose trees are merged into its wrapper.
 PIVOTS = 4
-#: A slot is judged by its values once its pages hold so many different main texts ...
-LEAST = 5
-#: ... and is template if it has at most one value for each 1 / POOL of those main texts.
+#: A slot beside different main texts is template if it has one value only, or at most one for
+#: each 1 / POOL of those main texts.
 POOL = 0.05
+#: With fewer main texts adverts of a pool still look like content, so class tokens help.
+LEAST = 5
 #: The wrapper descends into the child that holds this share of the varying text.
 SHARE = 0.8
-#: A slot outside articles whose text is links to this share is a menu.
+#: A slot whose text is links to this share may be a menu.
 LINKS = 0.8
+LISTS = frozenset("ul ol dl".split())
 #: More children of a node are grouped by tag and class, then by tag, wherever they stand.
 WIDE = 48
 #: A run of more siblings that look the same is one node, whatever their tag.
@@ -420,27 +423,58 @@ def verdicts(order: list[Slot], sums: dict[int, tuple], induced: bool) -> tuple[
     """PATH, CONTENT, FIXED or OUT for every slot of a wrapper, and the slot of the article.
 
     ``sums`` holds for a slot (characters, those in links, values, main texts beside them) over
-    all pages. A slot whose values are few beside many main texts is FIXED: the template repeats
+    all pages. A slot whose values are few beside many main texts is fixed: the template repeats
     it or draws it from a small set. From the root the wrapper descends into the child that holds
     nearly all of the varying text outside links, not beyond an article element. What stands there
     is CONTENT, what stands beside the way there is OUT, save text blocks, which may be a title or
-    a lead. Without enough pages (``induced`` is false) nothing is known to be FIXED, and whole
-    class tokens that say furniture decide instead.
+    a lead. Fixed slots there are FIXED; but within an article element a heading, paragraph, list
+    item or table cell that stands beside varying text belongs to it ("Summary", "Details").
+
+    A list of links there is a menu if it is fixed, or if its class says so. With few main texts
+    (``induced`` is false) little can be seen to vary or not: a list of links is then a menu unless
+    it follows text as its sibling, and whole class tokens that say furniture count for all that
+    holds less than half of the text, or stands beside an article or main element.
     """
-    hints = COMMENTS if induced else COMMENTS | FURNITURE
     count = len(order)
-    fixed, mass, links, chars = [False] * count, [0] * count, [0] * count, [0] * count
+    fixed, mass, links, chars, varying = [False] * count, [0] * count, [0] * count, [0] * count, [0] * count
     for s in order:
         size, linked, values, mains = sums.get(s.number, (0, 0, 0, 0))
-        fixed[s.number] = mains >= LEAST and values <= max(1, POOL * mains)
+        fixed[s.number] = mains > 1 and values <= max(1, POOL * mains)
         chars[s.number], links[s.number] = size, linked
         mass[s.number] = 0 if fixed[s.number] else size - linked
-    hinted = [not s.in_article and s.tag not in ("html", "body", "main") and not s.marks.isdisjoint(hints) for s in order]
+        varying[s.number] = 0 if fixed[s.number] else size
+    hinted = [not s.in_article and s.tag not in ("html", "body", "main") and not s.marks.isdisjoint(COMMENTS) for s in order]
+    if not induced:
+        whole = list(chars)
+        for s in reversed(order):
+            whole[s.number] += sum([whole[c.number] for c in s.children])
+        named = any(s.in_article or s.tag == "main" for s in order)
+        for s in order:
+            small = named or 2 * whole[s.number] < whole[0]
+            if small and not s.in_article and s.tag not in ("html", "body", "main") and not s.marks.isdisjoint(FURNITURE):
+                hinted[s.number] = True
     for s in reversed(order):
         for c in s.children:
             if not hinted[c.number]:
-                for total in (mass, links, chars):
+                for total in (mass, links, chars, varying):
                     total[s.number] += total[c.number]
+
+    def linked(s: Slot) -> bool:
+        return links[s.number] >= LINKS * chars[s.number] > 0
+
+    def is_menu(s: Slot, text_before: bool) -> bool:
+        if s.in_article or not linked(s):
+            return False
+        if not s.marks.isdisjoint(FURNITURE):
+            return True
+        if induced:
+            return not varying[s.number]
+        return not (text_before and (s.tag in LISTS or s.tag in TEXT_TAGS))
+
+    def belongs(s: Slot, parent: Slot) -> bool:
+        """A fixed slot that is part of an article."""
+        return s.in_article and s.tag in ITEMS and varying[parent.number] > 0 and not linked(s) and s.marks.isdisjoint(FURNITURE)
+
     flags = [OUT] * count
     at = order[0]
     while at.tag != "article" and at.tag not in TEXT_TAGS:
@@ -448,20 +482,20 @@ def verdicts(order: list[Slot], sums: dict[int, tuple], induced: bool) -> tuple[
         inner = [c for c in at.children if not hinted[c.number] and c.tag not in ITEMS]
         child = max(inner, key=lambda c: mass[c.number], default=None)
         for c in at.children:
-            is_menu = links[c.number] >= LINKS * chars[c.number] > 0
-            if c.tag in TEXT_TAGS and not fixed[c.number] and not is_menu:
+            if c.tag in TEXT_TAGS and not fixed[c.number] and not linked(c):
                 flags[c.number] = CONTENT
         if child is None or mass[child.number] == 0 or mass[child.number] < SHARE * mass[at.number]:
             break
         at = child
-    stack = [at]
+    stack = [(at, False)]
     while stack:
-        s = stack.pop()
-        flags[s.number] = FIXED if fixed[s.number] else CONTENT
+        s, part = stack.pop()
+        flags[s.number] = FIXED if fixed[s.number] and not part else CONTENT
+        text_before = False
         for c in s.children:
-            is_menu = not c.in_article and links[c.number] >= LINKS * chars[c.number] > 0
-            if not hinted[c.number] and not is_menu:
-                stack.append(c)
+            if not hinted[c.number] and not is_menu(c, text_before):
+                stack.append((c, belongs(c, s)))
+            text_before = text_before or c.tag in TEXT_TAGS and not linked(c)
     return flags, at.number
 
 
@@ -618,8 +652,8 @@ def induced_wrappers(pages: DataFrame) -> DataFrame:
             for source, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 order = read(source)[0]
                 found = {x["slot"]: (x["size"], x["links"], x["n_values"], x["n_mains"]) for x in slots or []}
-                learned = max([x[3] for x in found.values()], default=0) >= LEAST
-                out.append(written(order, *verdicts(order, found, True)) if learned else written(order))
+                mains = max([x[3] for x in found.values()], default=0)
+                out.append(written(order, *verdicts(order, found, mains >= LEAST)) if mains > 1 else written(order))
             columns = [batch.column(0), batch.column(1), pa.array(out, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["host", "pages", "wrapper"])
 

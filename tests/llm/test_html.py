@@ -131,3 +131,42 @@ def test_induction_against_exact_counts(spark):
         parts = dict(zip(("top", "h", "p", "few", "q", "end"), re.findall(">([^<>]+)<", html)))
         # the end varies, but stands beside the element that holds the text
         assert got[i] == "\n".join(parts[n].strip() for n in ("h", "p", "few", "q") if n not in fixed)
+
+
+def page_texts(spark, rows):
+    return {r.page_id: r.text for r in H.extract_main_text(table(spark, rows)).collect()}
+
+
+def test_articles_keep_their_constant_parts(spark):
+    """Headings, lead-ins and table heads that every page repeats belong to an article; a box that
+    every page repeats is template, within an article and beside it."""
+    page = (
+        "<div id=m><a href=/>Home</a></div><h2>Summary</h2><article><h1>Title {k}</h1><h2>Summary</h2><p>text {k} {w}</p><h2>Details</h2><p>In short:</p><p>more {k} {w}</p>"
+        "<table><tr><th>Name<th>Size<tr><td>n{k}<td>{k}</table><div class=box><p>Fixed words</p></div><p class=share>Share this</p></article><h2>Details</h2>"
+    )
+    rows = [(k, f"http://a/{k}", page.format(k=k, w="word " * k)) for k in range(40)]
+    got = page_texts(spark, rows)
+    for k in range(40):
+        w = (" word" * k).strip()
+        first, second = f"text {k} {w}".strip(), f"more {k} {w}".strip()
+        assert got[k] == "\n".join([f"Title {k}", "Summary", first, "Details", "In short:", second, "Name", "Size", f"n{k}", str(k)])
+
+
+@pytest.mark.parametrize("pages", [1, 40])
+def test_lists_of_links_within_the_text(spark, pages):
+    page = (
+        "<div id=top><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></div><div id=c><h1>T {k}</h1><p>first {k} {w}</p><ul><li><a href=1>one {k}</a><li><a href=2>two {k}</a></ul>"
+        "<p>last {k}</p><ul class=related><li><a href=3>else {k}</a></ul></div><div id=end><ul><li><a href=/x>Terms</a></ul></div>"
+    )
+    got = page_texts(spark, [(k, f"http://b/{k}", page.format(k=k, w="word " * (k + 9))) for k in range(pages)])
+    for k in range(pages):
+        assert got[k] == f"T {k}\nfirst {k}" + " word" * (k + 9) + f"\none {k}\ntwo {k}\nlast {k}"
+
+
+@pytest.mark.parametrize("pages", [1, 2, 3, 4, 9])
+@pytest.mark.parametrize("name", ["banner post", "widget", "header"])
+def test_small_hosts_with_misleading_classes(spark, pages, name):
+    page = "<div class=site>Logo</div><div class='ad'>Buy now</div><div class='{name}'><h1>T {k}</h1><p>the text of article {k} goes on {w}</p></div><div class=footer>Imprint</div>"
+    got = page_texts(spark, [(k, f"http://c/{k}", page.format(k=k, name=name, w=f"and{k} " * 20)) for k in range(pages)])
+    for k in range(pages):
+        assert got[k] == f"T {k}\nthe text of article {k} goes on" + f" and{k}" * 20
