@@ -17,8 +17,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # greedy runs: the same spans as runs of any length, then a filter
 
-#: A candidate for the token test is a run of 16 characters or more, without the marks at its ends.
+#: A candidate for the token test is a run of 16 characters or more, without the marks at its ends,
+#: or a part of such a run (see Scanner.within).
 CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_=.-]{14,}[A-Za-z0-9]")
+LEAST = 16
 #: Random strings need more tokens than words do: fewer characters a token than this are suspect.
 #: Runs that look like identifiers, and runs of under 20 characters, must be more suspect still:
 #: the ratio of short words spreads more. Under 20 letters of one case nothing tells them apart.
@@ -32,6 +34,15 @@ UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 #: are possessive: giving letters back never helps a match, and trying it takes exponential time.
 IDENTIFIER = re.compile(r"[/_.-]*+(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)[0-9]{0,4}+[/_.-]*+)++=*+")
 NUMBER = re.compile(r"[0-9/_=+.-]+")
+#: Marks between the parts of a path, name or assignment; + belongs to Base64.
+MARKS = re.compile(r"[/_.=-]+")
+#: Shapes made of words and numbers: versions, dates, file names, book numbers.
+PARTS = re.compile(r"(?:[A-Z]?[a-z]{1,19}+|[A-Z]{1,19}+|[0-9]++)(?:[/_.=+-]+(?:[A-Z]?[a-z]{1,19}+|[A-Z]{1,19}+|[0-9]++))*+")
+TIME_MARK = re.compile(r"(?<=[0-9])T(?=[0-9])|(?<=[0-9])Z$|(?<![A-Za-z0-9])v(?=[0-9])")
+#: Names that Kubernetes makes up: a name, a template hash and five characters.
+POD = re.compile(r"(?:[a-z][a-z0-9]*-)+[a-z0-9]{8,10}-[bcdfghjklmnpqrstvwxz0-9]{5}")
+#: A run in which this share of the neighbours differ by one step or none is an alphabet or a rule.
+STEPS = 0.75
 
 
 def excluded(run: str) -> bool:
@@ -42,6 +53,16 @@ def excluded(run: str) -> bool:
     return bool(UUID.fullmatch(run) or NUMBER.fullmatch(run))
 
 
+def shaped(run: str) -> bool:
+    """Versions, dates, file names, pods and alphabets look like nothing but what they are."""
+    if POD.fullmatch(run):
+        return True
+    steps = sum([abs(ord(x) - ord(y)) < 2 for x, y in zip(run, run[1:])])
+    if steps >= STEPS * (len(run) - 1):
+        return True
+    return bool(MARKS.search(run) and PARTS.fullmatch(TIME_MARK.sub("-", run).strip("-")))
+
+
 def least_ratio(run: str, chars_per_token: float) -> float:
     """Characters a token that a run must have to pass as no secret."""
     if len(run) < SHORT:
@@ -62,18 +83,54 @@ class Scanner:
         found += [(*m.span(), "hex") for m in HEX.finditer(text)]
         return found
 
+    def suspect(self, run: str) -> bool:
+        if len(run) < LEAST or excluded(run) or shaped(run):
+            return False
+        return len(run) < least_ratio(run, self.limit) * len(self.encoding.encode_ordinary(run))
+
+    def plain(self, part: str) -> bool:
+        """A part of a path or name that is a word or a number."""
+        if NUMBER.fullmatch(part):
+            return True
+        return 2 < len(part) < SHORT and bool(WORD.fullmatch(part)) or bool(IDENTIFIER.fullmatch(part)) and not self.suspect(part)
+
+    def within(self, run: str) -> list[tuple[int, int]]:
+        """Suspect places of a run: its parts between words and numbers, together where several
+        stand side by side, else each by itself; if there are none, the whole run."""
+        if shaped(run):
+            return []
+        known = UUID.search(run) is not None
+        if known:
+            run = UUID.sub(lambda m: "/" * len(m[0]), run)
+        parts, at = [], 0
+        for mark in MARKS.finditer(run):
+            parts.append((at, mark.start()))
+            at = mark.end()
+        parts.append((at, len(run)))
+        found, group = [], []
+        for part in [*parts, None] if len(parts) > 1 else []:
+            if part and not self.plain(run[part[0] : part[1]]):
+                group.append(part)
+                continue
+            if group and self.suspect(run[group[0][0] : group[-1][1]]):
+                found.append((group[0][0], group[-1][1]))
+            else:
+                found += [(a, b) for a, b in group if self.suspect(run[a:b])]
+            group = []
+        if found or known:
+            return found
+        return [(0, len(run))] if self.suspect(run) else []
+
     def random(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Runs outside the base spans, which come in order, of few characters a token."""
+        """Places outside the base spans, which come in order, of few characters a token."""
         found, at, reach = [], 0, 0
         for m in CANDIDATE.finditer(text):
-            run, (a, b) = m[0], m.span()
+            a, b = m.span()
             while at < len(base) and base[at][0] < b:  # reach: how far those before b go
                 reach = max(reach, base[at][1])
                 at += 1
-            if reach > a or excluded(run):
-                continue
-            if len(run) < least_ratio(run, self.limit) * len(self.encoding.encode_ordinary(run)):
-                found.append((a, b, "random"))
+            if reach <= a:
+                found += [(a + x, a + y, "random") for x, y in self.within(m[0])]
         return found
 
     def scan(self, text: str) -> tuple[list, list]:
@@ -101,7 +158,7 @@ def secret_scan(docs: DataFrame, ranks_path: str, pattern: str, chars_per_token:
     Spans are kind:start:end in code points, by start and then by kind. Null and empty texts have
     no spans (the digest is that of the empty string). Repeated rows give repeated results; an
     empty table gives an empty one; other columns are not read. One pass, no shuffle. Runs are
-    measured whole, however long they are.
+    measured whole and by their parts, however long they are.
     """
 
     def run(batches):

@@ -261,7 +261,29 @@ def test_secret_scan_finds_planted_random_strings():
         runs = ["".join(rng.choice(alphabet) for _ in range(34)) for _ in range(200)]
         assert sum(bool(scanner.random(f"run {r}.", [])) for r in runs) >= 180, name
     plain = ["internationalisation_of_documents", "https://www.example.com/articles/2024/01/some-page-title.html", "getElementsByClassName", "org.apache.spark.sql.functions", "2024-01-31T12:00:00.000", "4111111111111111", "DA39A3EE5E6B4B0D3255BFEF95601890AFD80709"]
-    assert not [p for p in plain if scanner.random(p, [])]
+    plain += ["v1.2.3-beta.4+build.567", "2024-01-15T12-30-45.123456", "IMG_20240115_123045.jpg", "ISBN-978-3-16-148410-0", "nginx-deployment-7fb96c846b-8xk2p"]
+    plain += [string.ascii_lowercase, string.ascii_uppercase, both + digits + "+/", "0123456789abcdef", "files/123e4567-e89b-12d3-a456-426614174000/content.json", "aaaaaaaaaaaaaaaaaaaaaaaa"]
+    assert [scanner.random(p, []) for p in plain] == [[]] * len(plain)
+
+
+def test_secret_scan_finds_random_strings_inside_longer_runs():
+    """As the last part of a URL, as a file name, in a path, behind an equals sign and in a name:
+    the share found, and that the place is the string's own."""
+    import string
+
+    rng = random.Random(12)
+    scanner = secret_scan.Scanner(RANKS, public_tokenizers.PATTERN, secret_scan.CHARS_PER_TOKEN)
+    places = ["https://www.example.com/articles/2024/{}", "path/to/files/{}.txt", "data/{}/index.html", "session={}", "backup-of-{}", "some_name_{}.tar.gz"]
+    for name, alphabet in (("base62", string.ascii_letters + string.digits), ("base64", string.ascii_letters + string.digits + "+/")):
+        for length in (16, 20, 24, 32, 48):
+            for place in places:
+                right = 0
+                for _ in range(100):
+                    run = "x" + "".join(rng.choice(alphabet) for _ in range(length - 2)) + "Q"
+                    text = f"see {place.format(run)} there"
+                    a = text.index(run)
+                    right += any(x < a + length and y > a and y - x <= length + 8 for x, y, _ in scanner.random(text, []))
+                assert right >= 90, (name, length, place, right)
 
 
 # --- 9 ---------------------------------------------------------------------------------------
