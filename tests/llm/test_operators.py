@@ -448,10 +448,51 @@ def test_license_scan(spark):
     assert license_scan.license_scan(docs(spark, [])).count() == 0
 
 
+def license_texts():
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    as_is = 'THIS SOFTWARE IS PROVIDED BY {} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING'
+    three = "3. Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    free = "{} is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version. "
+    holders = ["the copyright holder", "Google Inc.", "the University of California, Berkeley", "Foo & Bar (GmbH), its parents, or any of their subsidiaries", "the <organization>"]
+    want = [("BSD-3-Clause", bsd + three.format(h) + as_is.format(h)) for h in holders]
+    want += [
+        ("BSD-2-Clause", bsd + as_is.format("THE AUTHOR AND CONTRIBUTORS")), ("BSD-3-Clause", bsd + "3. The name of the author may not be used to endorse or promote products derived from this software without permission."),
+        ("BSD-3-Clause", bsd + "Neither the names of the authors, nor those of others may be used to endorse or promote products derived from this software."),
+        ("GPL-3.0-or-later", "This file is part of Foo. " + free.format("Foo", ":", ",", 3) + "Foo is distributed in the hope that it will be useful"),
+        ("GPL-2.0-or-later", free.format("The GNU C Library manual", ";", ";", 2)), ("GPL-3.0-or-later", free.format("This program", ":", ",", 3)),
+        ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+        ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("GPL-2.0-only", "/* SPDX-License-Identifier: GPL-2.0-only */ int x;"), ("GPL-2.0", "# SPDX-License-Identifier:  GPL-2.0\nimport os"),
+        ("MIT", "SPDX-License-Identifier: MIT OR Apache-2.0"), ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ]
+    return want
+
+
+def test_license_scan_names_holders_and_tags(spark):
+    """Texts with names put in; a third clause however it is worded is never two; SPDX tags."""
+    want = license_texts()
+    got = {}
+    for r in license_scan.license_scan(docs(spark, [(i, t) for i, (_, t) in enumerate(want)])).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert [got.get(i) for i in range(len(want))] == [[x] for x, _ in want]
+
+
+def test_license_sql_equals_operator(spark):
+    import duckdb
+    import pandas as pd
+
+    documents = pd.DataFrame({"doc_id": range(len(license_texts())), "text": [t for _, t in license_texts()]})  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    sql = con.sql(license_scan.OP4_SQL)
+    got = license_scan.license_scan(docs(spark, [(i, t) for i, (_, t) in enumerate(license_texts())])).select(*sql.columns)
+    assert by_id(got) == sorted(map(tuple, sql.fetchall()), key=str)
+
+
 def test_license_scan_finds_texts_however_they_are_wrapped(spark):
     import textwrap
 
-    rules = {r: [license_scan.SENTENCES[i] for i in w] for r, _, w in license_scan.RULES}
+    filled = {i: re.sub(r"\{[0-9]+-[0-9]+\}", "of any name whatever", t) for i, t in license_scan.SENTENCES.items()}
+    rules = {r: [filled[i] for i in w] for r, _, w in license_scan.RULES}
     rows, want = [], []
     for k, (rule, sentences) in enumerate(rules.items()):
         for width in (12, 30, 50, 78, 10_000):
