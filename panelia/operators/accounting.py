@@ -102,3 +102,39 @@ def split_booking(panel: DataFrame, cost: float) -> DataFrame:
     daily = daily.withColumn("pnl", F.col("price") + F.col("funding") - F.col("cost"))
     run = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return daily.withColumn("equity", F.product(1 + F.col("pnl")).over(run))
+
+
+def account_legs(panel: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Daily price, cash, turnover of each leg and gross of a book with two legs.
+
+    ``panel`` holds weight_a, weight_b (positive is long), ret_a, ret_b, cash_a, cash_b on a full
+    calendar. Both legs need a return, or neither counts; a long leg pays its cash flow, a short
+    one receives it."""
+    w = Window.partitionBy(*by, "symbol").orderBy("day")
+    both = F.col("ret_a").isNotNull() & F.col("ret_b").isNotNull()
+    p = panel.withColumns({f"w_{x}": F.when(both, F.col(f"weight_{x}")).otherwise(0.0) for x in "ab"})
+    p = p.withColumns({f"moved_{x}": F.abs(F.col(f"w_{x}") - F.coalesce(F.lag(f"w_{x}").over(w), F.lit(0.0))) for x in "ab"})
+    flow = lambda c: sum(F.col(f"w_{x}") * F.coalesce(f"{c}_{x}", F.lit(0.0)) for x in "ab")
+    return p.groupBy(*by, "day").agg(
+        F.sum(flow("ret")).alias("price"), (-F.sum(flow("cash"))).alias("funding"), F.sum("moved_a").alias("turnover_a"), F.sum("moved_b").alias("turnover_b"),
+        F.sum(F.abs("w_a") + F.abs("w_b")).alias("gross"),
+    )
+
+
+def leg_record(daily: DataFrame, periods: float, capital: float, by: list[str]) -> DataFrame:
+    """The record of a book of legs from its first position on: ``daily`` has price, funding, cost, net,
+    turnover, gross. Return on capital divides by the capital that a unit of notional ties up."""
+    d = trimmed(daily, by)
+    order = Window.partitionBy(*by).orderBy("day")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = d.withColumn("_e", F.product(1 + F.col("net")).over(run)).withColumn("_d", F.col("_e") / F.max("_e").over(run) - 1)
+    d = d.withColumns({"_first": F.row_number().over(order) <= F.floor(F.count(F.lit(1)).over(every) / 2)})
+    sharpe = lambda x: F.round(F.avg(x) / F.nullif(F.stddev_samp(x), F.lit(0.0)) * periods**0.5, 6)
+    year = lambda c: F.round(F.avg(c) * periods * 100, 6)
+    return d.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_periods"), sharpe(F.col("net")).alias("sharpe"), sharpe(F.when(F.col("_first"), F.col("net"))).alias("sharpe_first"),
+        sharpe(F.when(~F.col("_first"), F.col("net"))).alias("sharpe_second"), year("net").alias("annual_notional"), F.round(F.avg("net") * periods * 100 / capital, 6).alias("annual_capital"),
+        F.round(F.stddev_samp("net") * periods**0.5 * 100, 6).alias("annual_vol"), F.round(F.min("_d") * 100, 6).alias("max_drawdown"), year("funding").alias("annual_funding"),
+        year("price").alias("annual_price"), year("cost").alias("annual_cost"), F.round(F.avg("turnover"), 6).alias("turnover"), F.round(F.avg("gross"), 6).alias("invested"),
+    )

@@ -184,11 +184,11 @@ _TWO = """, a AS (SELECT symbol, day, close, lead(close) OVER (PARTITION BY symb
 """
 
 
-@query("e2_e5_e6_two_legs", T.with_sql("wl", _TWO + """
+@query("e2_two_legs", T.with_sql("wl", _TWO + """
 SELECT day::VARCHAR AS day, count(*) AS n, round(avg(sign(basis) * (rb - ra)), 11) AS price, round(sum(abs(basis)) / 1e6, 11) AS level FROM ab WHERE ra IS NOT NULL
     AND rb IS NOT NULL GROUP BY day"""))
 def two_legs(spark, d):
-    """Both legs must trade; the book earns the closing of the spread."""
+    """Both legs must trade; the book earns the closing of the spread."""
     w = S.over()
     a, b = (T.bars_week(spark, d, f"l_linestatus = '{s}'").select("symbol", "day", F.col("close").alias(n),
         (F.lead("close").over(w) / F.col("close") - 1).alias(f"r{n}")) for s, n in (("F", "a"), ("O", "b")))

@@ -58,12 +58,12 @@ def costs(spark, d):
     return out.filter("n >= 5").select("side", "run", "status", "n", "notional", "fees", "fee_bps", "maker_share", "shortfall_bps")
 
 
-@query("g10_g12_months", T.with_sql("decision", """
+@query("g12_weeks", T.with_sql("decision", """
 , dd AS (SELECT DISTINCT symbol, day, event_type, round(value0, 2) AS v FROM (SELECT symbol, day, event_type, pnl AS value0 FROM decision WHERE pnl IS NOT NULL))
 SELECT event_type, strftime(day, '%G-%V') AS week, count(*) AS n, round(sum(v), 6) AS total, round(product(1 + v / 10) - 1, 6) AS compounded FROM dd
     GROUP BY GROUPING SETS ((event_type, strftime(day, '%G-%V')), (event_type), ())"""))
 def months(spark, d):
-    """Income by type and ISO week without repeats, totals, compounding."""
+    """Income by type and ISO week without repeats, totals, compounding."""
     x = T.decisions(spark, d).filter("pnl IS NOT NULL").select("symbol", "day", "event_type", F.round("pnl", 2).alias("v")).distinct()
     x = x.withColumn("week", F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), "day").cast("string"), F.lpad(F.weekofyear("day").cast("string"), 2, "0")))
     e, w = F.col("event_type"), F.col("week")
@@ -104,12 +104,12 @@ def order_statistics(spark, d):
     return other.join(index, "event_type")
 
 
-@query("g16_g18_routes", T.with_sql("decision", f"""
+@query("g16_recent_routes", T.with_sql("decision", f"""
 , l AS (SELECT *, row_number() OVER (PARTITION BY side, event_type ORDER BY ts DESC) AS r FROM decision WHERE pnl IS NOT NULL), mx AS (SELECT max(ts) AS t FROM decision)
 SELECT side, event_type, {_SUM}, count(DISTINCT day) AS days, max(strftime(ts, '%Y-%m-%d %H:%M')) AS newest, count(*) FILTER (ts >= t - INTERVAL '2 days') AS recent
     FROM l, mx WHERE r <= 60 GROUP BY side, event_type HAVING count(*) >= 2"""))
 def routes(spark, d):
-    """Proof of each route over its last 60 rows, with what is recent."""
+    """Proof of each pair of side and type over its last 60 rows, with what is recent."""
     w = Window.partitionBy("side", "event_type").orderBy(F.desc("ts"))
     x = T.decisions(spark, d)
     newest = x.agg(F.max("ts").alias("t"))
@@ -193,19 +193,19 @@ def rule_pack(spark, d):
     return rules.unionByName(again.select(F.lit("repeated").alias("rule"), F.lit("warn").alias("severity"), "n", "n_rows"))
 
 
-@query("q3_q5_open_rows", T.with_sql("decision bars_day", """
-, o AS (SELECT * FROM decision WHERE pnl IS NULL), p AS (SELECT o.*, b.close FROM o ASOF LEFT JOIN bars_day b ON o.symbol = b.symbol AND o.day >= b.day)
+@query("q3_q5_open_rows", T.with_sql("ledger bars_day", """
+, o AS (SELECT * FROM ledger WHERE pnl IS NULL), p AS (SELECT o.*, b.close FROM o ASOF LEFT JOIN bars_day b ON o.symbol = b.symbol AND o.day >= b.day)
 SELECT symbol, count(*) AS n_open, round(max(epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9, 4) AS oldest_hours,
     count(*) FILTER (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts) >= 864000000000) AS n_ready, count(*) > 3 AS over_cap,
-        round(sum(CASE side WHEN 'LONG' THEN close / 50 - 1 ELSE 50 / close - 1 END), 6) AS marked FROM p GROUP BY symbol"""))
+        round(sum(CASE side WHEN 'LONG' THEN close / nullif(price, 0) - 1 ELSE price / nullif(close, 0) - 1 END), 6) AS marked FROM p GROUP BY symbol"""))
 def open_rows(spark, d):
-    """Q3-Q5: age and readiness of open rows, their mark to the last bar, a cap for each key."""
+    """Q3-Q5: age and readiness of open rows, their own entry marked to the last bar, a cap for each key."""
     from panelia.operators import joins as J
 
-    o = T.decisions(spark, d).filter("pnl IS NULL").select("symbol", "day", "ts", "side")
+    o = T.ledger(spark, d).filter("pnl IS NULL").select("symbol", "day", "ts", "side", "price")
     p = J.asof(o, T.bars_day(spark, d).select("symbol", "day", "close"), "symbol", "day", ["close"])
     age = (F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))
-    mark = F.when(F.col("side") == "LONG", F.col("close") / 50 - 1).otherwise(50 / F.col("close") - 1)
+    mark = F.when(F.col("side") == "LONG", S.safe_ratio(F.col("close"), F.col("price")) - 1).otherwise(S.safe_ratio(F.col("price"), F.col("close")) - 1)
     return p.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_open"), F.round(F.max(age) / 3.6e9, 4).alias("oldest_hours"), F.count(F.when(age >= 864_000_000_000, 1)).alias("n_ready"),
             (F.count(F.lit(1)) > 3).alias("over_cap"), F.round(F.sum(mark), 6).alias("marked"))

@@ -39,7 +39,7 @@ def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def week_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = load(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_shipdate", "l_returnflag", "l_linestatus"
+        "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_shipdate", "l_returnflag", "l_linestatus"
     )
     nations = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("bigint").alias("symbol"))
     return lines.join(nations, "l_suppkey").withColumn("day", F.to_date(F.date_trunc("week", "l_shipdate")))
@@ -82,6 +82,32 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, "order_id").join(p, "part")
 
 
+#: Columns of a full decision ledger by expressions that Spark SQL and DuckDB read alike.
+LEDGER = {
+    "event_id": "event_id", "ts": "ts", "day": "day", "symbol": "symbol", "price": "value", "k": "k",
+    "side": "CASE WHEN event_type IN ('click','purchase','view') THEN 'LONG' ELSE 'SHORT' END", "regime": "k % 2", "proba": "(k % 100) / CAST(100 AS DOUBLE)",
+    "pnl": "CASE WHEN event_id % 7 <> 0 THEN round((value - 50) / 1e3, 8) END", "executable": "event_id % 3 = 0", "live": "event_id % 12 = 0",
+    "paper": "event_id % 3 = 0 AND event_id % 12 <> 0", "rejected": "event_id % 5 = 0", "backfilled": "event_id % 29 = 0",
+    "size_usd": "CAST(CASE WHEN event_id % 11 = 0 OR event_id % 3 <> 0 AND event_id % 8 <> 0 THEN 0 ELSE 10 * (k % 7 + 1) END AS DOUBLE)",
+    "size_asset": "CASE WHEN event_id % 23 = 0 THEN 0 ELSE 1e0 END",
+    "invested": "CAST(CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 17 = 0 THEN 0 WHEN event_id % 19 = 0 THEN 10 * (k % 7 + 1) + 1 ELSE 10 * (k % 7 + 1) END AS DOUBLE)",
+    "status": "CASE event_id % 4 WHEN 0 THEN 'FINAL' WHEN 1 THEN 'OPEN' WHEN 2 THEN 'TP1' ELSE 'SL_12H' END",
+    "stage": "CASE event_id % 5 WHEN 0 THEN 'rejected_gate' WHEN 1 THEN 'EXECUTED' WHEN 2 THEN NULL ELSE 'SIGNAL' END",
+    "reason": "CASE event_id % 8 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'scout_a' WHEN 3 THEN 'CANARY_MIRROR_b' WHEN 4 THEN 'DISCOVERY_c' WHEN 5 THEN 'STRICT_SYMBOL_d' WHEN 6 THEN 'MIRROR_e' ELSE 'LOW_PROBA' END",
+    "prior": "CASE event_id % 9 WHEN 0 THEN 'PROMOTE_SYMBOL' WHEN 1 THEN 'DISCOVERY_x' WHEN 2 THEN 'SHORT0_CANARY_EXACT_BUCKET' ELSE '' END",
+    "exit_reason": "CASE event_id % 4 WHEN 0 THEN 'STOP' WHEN 1 THEN 'TARGET' WHEN 2 THEN 'TIME' END",
+    "layer": "CASE WHEN event_id % 12 = 0 THEN 'LIVE' WHEN event_id % 3 = 0 THEN 'PAPER' WHEN event_id % 5 = 0 THEN 'REJECTED' ELSE 'RESEARCH' END",
+    "bucket": "CASE WHEN k % 100 < 30 THEN 'p00_30' WHEN k % 100 < 50 THEN 'p30_50' WHEN k % 100 < 60 THEN 'p50_60' WHEN k % 100 < 70 THEN 'p60_70' ELSE 'p70_up' END",
+    "raw_ts": "CASE WHEN event_id % 31 = 0 THEN 'no time' WHEN event_id % 37 = 0 THEN '' ELSE CAST(ts AS VARCHAR(40)) END",
+    "stop_risk": "CASE WHEN event_id % 10 <> 0 THEN (event_id % 100) / CAST(100 AS DOUBLE) END",
+}
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision ledger with sizes, states, reasons and outcomes."""
+    return events(spark, sf_dir).selectExpr(*[f"{x.replace('VARCHAR(40)', 'STRING')} AS {name}" for name, x in LEDGER.items()])
+
+
 SQL = {
     "ev": """ev AS (SELECT event_id, ts, CAST(ts AS DATE) AS day, user_id AS symbol, event_type, value,
   CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""",
@@ -104,7 +130,8 @@ SQL = {
   CAST(o_orderdate AS DATE) AS run, o_orderstatus AS status, p_retailprice AS reference
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)""",
 }
-_NEEDS = {"bars_day": ["ev"], "bars_4h": ["ev"], "settle": ["ev"], "bars_week": ["wl"], "cash_week": ["wl"], "decision": ["ev"]}
+SQL["ledger"] = "ledger AS (SELECT " + ", ".join(f"{x} AS {name}" for name, x in LEDGER.items()) + " FROM ev)"
+_NEEDS = {"ledger": ["ev"], "bars_day": ["ev"], "bars_4h": ["ev"], "settle": ["ev"], "bars_week": ["wl"], "cash_week": ["wl"], "decision": ["ev"]}
 
 
 def with_sql(names: str, rest: str) -> str:
