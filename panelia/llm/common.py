@@ -47,6 +47,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches cut into pieces of so many rows: what Python makes of a piece is soon freed."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of ``rows`` with one row of ``groups`` for each key, safe for hot keys.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelia.llm.common import stored, table, text_or_empty
+from panelia.llm.common import slices, stored, table, text_or_empty
 
 # The hand-written lexicon voters, one for each word.
 LEXICON = "idiot moron stupid scum trash clown loser pathetic worthless disgusting".split()
@@ -92,7 +92,7 @@ def token_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, label, tokens) of sampled rows."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [sorted(tokens(t.as_py())) for t in batch.column(2)]
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "tokens"])
@@ -206,7 +206,7 @@ def mined_voters(sample: DataFrame, statistics: DataFrame) -> list[str]:
     written = Voters([])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [set(words) for words in batch.column(0).to_pylist()]
             found = [[rank[t] for t in words & rank.keys()] for words in sets if not written.among(words)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["found"])
@@ -361,7 +361,7 @@ def train(rows: DataFrame, features: list[str], voters: Voters, model: LabelMode
     from pyspark.ml.feature import CountVectorizerModel
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             labels, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             ps = [model.posterior(voters.votes(set(words), label)) for label, words in zip(labels, found)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ps, pa.float64())], names=["tokens", "p"])
