@@ -165,14 +165,14 @@ def mean_rank_correlation(spark, d):
 
 @query("g10_income_months", """
 WITH o AS (SELECT DISTINCT o_orderdate::TIMESTAMP AS ts, o_orderpriority AS kind, o_custkey, round(o_totalprice / 1e3, 4) AS income FROM orders)
-, m AS (SELECT date_trunc('month', ts) AS a, kind, count(*) AS n, round(sum(income), 2) AS total FROM o GROUP BY ALL)
-SELECT strftime(a, '%Y-%m-%d') AS month_start, strftime(a + INTERVAL '1 month' - INTERVAL '1 day', '%Y-%m-%d') AS month_end, kind, n, total, round(sum(total) OVER (PARTITION BY a), 2) AS month_total FROM m""")
+, m AS (SELECT date_trunc('month', ts) AS a, kind, count(*) AS n, round(sum(income), 4) AS total FROM o GROUP BY ALL)
+SELECT strftime(a, '%Y-%m-%d') AS month_start, strftime(a + INTERVAL '1 month' - INTERVAL '1 day', '%Y-%m-%d') AS month_end, kind, n, total, round(sum(total) OVER (PARTITION BY a), 4) AS month_total FROM m""")
 def income_months(spark, d):
     """Income by type and calendar month with the month's bounds; rows that agree in time, type,
     account and amount count once; the month's total beside each type."""
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderpriority").alias("kind"), "o_custkey", F.round(F.col("o_totalprice") / 1e3, 4).alias("income")).distinct()
-    m = o.groupBy(F.trunc("ts", "month").alias("a"), "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("income"), 2).alias("total"))
-    whole = F.round(F.sum("total").over(Window.partitionBy("a")), 2)
+    m = o.groupBy(F.trunc("ts", "month").alias("a"), "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("income"), 4).alias("total"))
+    whole = F.round(F.sum("total").over(Window.partitionBy("a")), 4)
     return m.select(F.col("a").cast("string").alias("month_start"), F.last_day("a").cast("string").alias("month_end"), "kind", "n", "total", whole.alias("month_total"))
 
 
