@@ -81,7 +81,7 @@ def admitted(rows: DataFrame, proofs: DataFrame, policy: DataFrame, default: dic
         F.when(c("mode").isin("DISABLED", "RESEARCH_ONLY"), F.concat(F.lit("ROUTE_"), c("mode")))
         .when(c("proba") < c("min_proba"), text("ROUTE_PROBA_BLOCK:%.3f<%.2f", c("proba"), c("min_proba")))
         .when(c("n") < c("min_n"), text("ROUTE_PROOF_WARMUP:%d<%d", c("n"), c("min_n")))
-        .when((c("min_factor") > 0) & weak, F.concat(F.lit("ROUTE_PROOF_BLOCK:PF"), F.coalesce(text("%.2f", c("profit_factor")), F.lit("nan")), text("<%.2f", c("min_factor"))))
+        .when((c("min_factor") > 0) & weak, F.concat(F.lit("ROUTE_PROOF_BLOCK:PF"), F.when(c("profit_factor").isNull(), "nan").otherwise(text("%.2f", c("profit_factor"))), text("<%.2f", c("min_factor"))))
         .when(c("days") < c("min_days"), text("ROUTE_DAY_DIVERSITY_BLOCK:%d<%d", c("days"), c("min_days")))
         .when((c("max_age") > 0) & old, F.lit("ROUTE_STALE_PROOF"))
         .when((c("max_fall") > 0) & (c("drawdown") < -c("max_fall")), text("ROUTE_DRAWDOWN_BLOCK:%.4f<-%.4f", c("drawdown"), c("max_fall")))
