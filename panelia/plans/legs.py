@@ -35,10 +35,8 @@ _BOOKS = f"""
     price + funding - turnover * CASE book WHEN 'basis' THEN {BASIS_COST}::DOUBLE ELSE {LEG_COST}::DOUBLE END AS net FROM dl)"""
 
 
-def leg_books(spark, d):
-    """(book, day, price, funding, turnover, gross, cost, net): the basis book is long venue b and short
-    venue a on the names whose cash flow in a is greatest, and has a's cash flow only; the spread
-    book is short the venue that pays more and long the other, where they differ most."""
+def venue_grid(spark, d):
+    """Returns, cash flows and trailing cash flows of two venues on the calendar that both have."""
     even = F.col("l_linenumber") % 2
     lines = T.week_lines(spark, d)
     price = F.round(20000 + F.avg(F.col("l_extendedprice") / F.col("l_quantity")), 6)
@@ -48,7 +46,15 @@ def leg_books(spark, d):
     days = a.select("day").intersect(b.select("day")).agg(F.array_sort(F.collect_list("day")).alias("_days"))  # a calendar, as in the skeleton
     grid = names.join(F.broadcast(days)).select("symbol", F.explode("_days").alias("day")).join(a, ["symbol", "day"], "left").join(b, ["symbol", "day"], "left")
     w = S.over()
-    p = grid.withColumns({f"ret_{x}": F.col(f"p{x}") / F.lag(f"p{x}").over(w) - 1 for x in "ab"} | {f"s{x}": F.round(S.rolling(F.col(f"cash_{x}"), 7, 7, w, F.sum), 10) for x in "ab"})
+    return grid.withColumns({f"ret_{x}": F.col(f"p{x}") / F.lag(f"p{x}").over(w) - 1 for x in "ab"} | {f"s{x}": F.round(S.rolling(F.col(f"cash_{x}"), 7, 7, w, F.sum), 10) for x in "ab"})
+
+
+def leg_books(spark, d):
+    """(book, day, price, funding, turnover, gross, cost, net): the basis book is long venue b and short
+    venue a on the names whose cash flow in a is greatest, and has a's cash flow only; the spread
+    book is short the venue that pays more and long the other, where they differ most."""
+    w = S.over()
+    p = venue_grid(spark, d)
     p = p.withColumn("size", F.round(F.abs(F.col("sa") - F.col("sb")), 10))
     lagged = lambda x: F.coalesce(F.lag(x).over(w), F.lit(0.0))
     basis = X.block_holdings(p, "sa", TOP, HELD).select(F.lit("basis").alias("book"), "*").withColumns({"weight_a": lagged(-F.col("target")), "weight_b": lagged(F.col("target")), "cash_b": F.lit(0.0)})
@@ -185,3 +191,36 @@ def compounded_months(spark, d):
     m = net.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round((F.product(1 + F.col("net")) - 1) * 100, 6).alias("compounded_pct"), F.round(F.sum("net") * 1e4, 4).alias("sum_bps"))
     worst = F.min(F.struct("compounded_pct", "month")).over(Window.partitionBy(F.lit(0)))["month"]  # one row a month
     return m.withColumn("worst", F.col("month") == worst)
+
+
+#: Trailing periods of the signal's health, least Sharpe, least gap while the Sharpe is under the safe one, level of the cash flow.
+WINDOW, LOW, GAP, SAFE, LEVEL = 52, -3.0, 0.3, 1.0, 0.0
+_SIDE = "(rank() OVER (PARTITION BY src, day, x IS NULL ORDER BY x) + (count(*) OVER (PARTITION BY src, day, x IS NULL, x) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY src, day, x IS NULL)"
+
+
+@query("e20_two_signals", T.with_sql("wl", _BOOKS[: _BOOKS.index(", c1 AS")] + f"""
+, si AS (SELECT 'a' AS src, symbol, day, ra, fa, sa AS x FROM sg UNION ALL SELECT 'b', symbol, day, ra, fa, sb FROM sg), rk AS (SELECT *, CASE WHEN x IS NOT NULL THEN {_SIDE} END AS k FROM si)
+, tl AS (SELECT *, count(CASE WHEN k >= 1 - 0.2::DOUBLE THEN 1 END) OVER (PARTITION BY src, day) AS nt, count(CASE WHEN k <= 0.2::DOUBLE THEN 1 END) OVER (PARTITION BY src, day) AS nb FROM rk)
+, tt AS (SELECT *, CASE WHEN nt = 0 OR nb = 0 THEN 0 WHEN k >= 1 - 0.2::DOUBLE THEN -0.5::DOUBLE / nt WHEN k <= 0.2::DOUBLE THEN 0.5::DOUBLE / nb ELSE 0 END AS t FROM tl)
+, tw AS (SELECT *, CASE WHEN ra IS NOT NULL THEN coalesce(lag(t) OVER (PARTITION BY src, symbol ORDER BY day), 0) ELSE 0 END AS w FROM tt)
+, tm AS (SELECT *, abs(w - coalesce(lag(w) OVER (PARTITION BY src, symbol ORDER BY day), 0)) AS m FROM tw)
+, td AS (SELECT src, day, sum(w * coalesce(ra, 0)) - sum(w * coalesce(fa, 0)) - sum(m) * 0.001::DOUBLE AS net FROM tm GROUP BY src, day)
+, tv AS (SELECT src, day, CASE WHEN count(net) OVER q >= {WINDOW} THEN avg(net) OVER q / nullif(stddev_samp(net) OVER q, 0) * sqrt(52) END AS sharpe FROM td WINDOW q AS (PARTITION BY src ORDER BY day ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW))
+, lv AS (SELECT day, median(sa) / 7 * 52 AS level FROM sg GROUP BY day), h AS (SELECT a.day, round(a.sharpe, 6) AS own, round(b.sharpe, 6) AS other, round(a.sharpe - b.sharpe, 6) AS gap, round(level, 8) AS level
+    FROM tv a JOIN tv b ON b.src = 'b' AND b.day = a.day JOIN lv ON lv.day = a.day WHERE a.src = 'a' AND a.sharpe IS NOT NULL AND b.sharpe IS NOT NULL)
+SELECT day::VARCHAR AS day, own, other, gap, level, concat_ws('|', CASE WHEN own < {LOW} THEN 'SIGNAL:low' END, CASE WHEN gap < {GAP} AND own < {SAFE} THEN 'SIGNAL:converging' END, CASE WHEN level > {LEVEL} THEN 'REGIME:level' END) AS alerts FROM h"""))
+def two_signals(spark, d):
+    """The trailing Sharpe of one book under the signal of its own venue and under the other's, the
+    gap between them, the market's median cash flow and the alerts that follow, period by period."""
+    p = venue_grid(spark, d).select("symbol", "day", F.col("ret_a").alias("ret"), F.col("cash_a").alias("cash"), "sa", "sb")
+    w = Window.partitionBy(F.lit(0)).orderBy("day")  # one row a period
+    trailing = {}
+    for name, signal in (("own", "sa"), ("other", "sb")):
+        net = A.account(X.tail_weights(p, signal, 0.2, flip=-1), COST)
+        sharpe = S.safe_ratio(S.rolling(F.col("net"), WINDOW, WINDOW, w), S.rolling(F.col("net"), WINDOW, WINDOW, w, F.stddev_samp)) * PERIODS**0.5
+        trailing[name] = net.select("day", sharpe.alias(name)).dropna()
+    level = p.groupBy("day").agg(F.round(F.median("sa") / 7 * PERIODS, 8).alias("level"))
+    h = trailing["own"].join(trailing["other"], "day").join(level, "day")
+    h = h.select("day", F.round("own", 6).alias("own"), F.round("other", 6).alias("other"), F.round(F.col("own") - F.col("other"), 6).alias("gap"), "level")
+    alerts = F.concat_ws("|", F.when(F.col("own") < LOW, "SIGNAL:low"), F.when((F.col("gap") < GAP) & (F.col("own") < SAFE), "SIGNAL:converging"), F.when(F.col("level") > LEVEL, "REGIME:level"))
+    return h.select(S.day_text(), "own", "other", "gap", "level", alerts.alias("alerts"))
