@@ -8,15 +8,27 @@ from pyspark.sql import functions as F
 from panelia.sources.tables import upsert
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. A local session without one uses a default, since its
-    executors are on this machine; on a cluster there is none."""
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application in the shared folder. A local session without one uses a
+    default, since its executors are on this machine; on a cluster there is none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/panelia-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table of this application."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Remove all tables that this application stored. Results that were not written or collected
+    yet can no longer be computed, so this belongs at the end of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ from panelia.operators import ranges as R
 from panelia.operators import refits as M
 from panelia.sources import archives as Z
 from panelia.sources import storage as Y
-from panelia.sources.storage import scratch
+from panelia.sources.storage import discard_scratch, scratch, scratch_root, stored
 from panelia.streaming import streams as W
 
 
@@ -294,3 +294,11 @@ def test_keyed_sink_leaves_other_partitions(spark):
     assert files(1) == before[1] and files(3) == before[3] and files(2) != before[2]
     ends = Y.stale_tails(spark.read.schema(schema).parquet(path), "symbol", "day", F.expr("TIMESTAMP '2024-01-04 12:00:00'"))
     assert {r.symbol: r.stale for r in ends.collect()} == {**dict.fromkeys(range(5), True), 9: False}
+
+
+def test_scratch_can_be_discarded(spark):
+    kept = stored(spark.range(5), "numbers")
+    assert kept.count() == 5 and os.path.isdir(scratch_root(spark).removeprefix("file:"))
+    discard_scratch(spark)
+    assert not os.path.exists(scratch_root(spark).removeprefix("file:"))
+    assert stored(spark.range(3), "numbers").count() == 3
