@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelia.functions import series as S
 from panelia.operators.ranges import chain_of, running
 from panelia.sources.storage import stored
 
@@ -128,9 +129,11 @@ def exit_replay(paths: DataFrame, cost: float) -> DataFrame:
     Everything is a return in the direction of the trade, so both sides follow one rule: a bar that
     reaches the stop ends the trade there; else one that reaches the first target sells a share and
     lifts the stop to break-even; the rest runs to its own target, to the stop, which now trails
-    the best price, or to the end. Adds reason, pnl (null while open), bars_held, mfe and mae."""
+    the best price, or to the end. Adds reason, pnl (null while open), bars_held, mfe and mae. An
+    entry that is not above zero has no return, so such a row is no trade and gives none."""
     side, entry = F.col("side"), F.col("entry")
-    gain = lambda price: side * (price / entry - 1)
+    paths = paths.filter(entry > 0)
+    gain = lambda price: side * (S.safe_ratio(price, entry) - 1)
     bars = F.transform("path", lambda b: F.struct(
         F.when(side > 0, gain(b["high"])).otherwise(gain(b["low"])).alias("up"),
         F.when(side > 0, gain(b["low"])).otherwise(gain(b["high"])).alias("down"), gain(b["close"]).alias("close")))
