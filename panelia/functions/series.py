@@ -17,6 +17,11 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0.0))
 
 
+def ieee_ratio(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers divide: infinite by zero, NaN for 0 / 0."""
+    return F.when(b != 0, a / F.nullif(b, F.lit(0.0))).otherwise(F.when(b.isNotNull(), a * F.lit(float("inf"))))
+
+
 def finite(x: Column) -> Column:
     return F.when(F.abs(x) != float("inf"), x)
 

@@ -53,3 +53,7 @@ def test_exit_replay_without_an_entry_price(spark, folder):
             want["train" if n * 2 <= len(own) else "oos"] += 2 * (close > 0)
     got = catalogue.QUERIES["h11_h12_exit_replay"](spark, folder).collect()
     assert len(got) == 6 and all(r.n == want[r.part] and abs(r.mean_mfe) < float("inf") for r in got)
+
+
+def test_profiles_from_a_price_of_zero(spark, folder):
+    assert_same(spark, folder, "h11_h12_profiles")
