@@ -172,5 +172,5 @@ def following(spark, d):
     """The first bars after an event within a day; best and worst excursion."""
     e = T.events(spark, d).filter("event_type = 'purchase'").select("event_id", "symbol", "ts", "value")
     m = J.following(e, T.bars_4h(spark, d).select("symbol", "bar", "high", "low"), "symbol", "ts", "bar", 4, 86400)
-    return m.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.col("high") / F.col("value") - 1), 6).alias("mfe"),
-        F.round(F.min(F.col("low") / F.col("value") - 1), 6).alias("mae"))
+    return m.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(S.ieee_ratio(F.col("high"), F.col("value")) - 1), 6).alias("mfe"),
+        F.round(F.min(S.ieee_ratio(F.col("low"), F.col("value")) - 1), 6).alias("mae"))

@@ -57,3 +57,7 @@ def test_exit_replay_without_an_entry_price(spark, folder):
 
 def test_profiles_from_a_price_of_zero(spark, folder):
     assert_same(spark, folder, "h11_h12_profiles")
+
+
+def test_bars_after_an_event_of_value_zero(spark, folder):
+    assert_same(spark, folder, "j20_following_bars")
