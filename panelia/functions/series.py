@@ -22,6 +22,17 @@ def ieee_ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / F.nullif(b, F.lit(0.0))).otherwise(F.when(b.isNotNull(), a * F.lit(float("inf"))))
 
 
+def ieee_log(x: Column) -> Column:
+    """ln(x), minus infinity at zero and NaN below."""
+    return F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan")))
+
+
+def ieee_round(x: Column, digits: int) -> Column:
+    """x to so many digits by its binary value, as x * 10^digits shows it. Spark's round goes by the
+    shortest decimal text of x instead, so the two differ where that ends in a 5."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def finite(x: Column) -> Column:
     return F.when(F.abs(x) != float("inf"), x)
 

@@ -17,7 +17,7 @@ def day(*names):
 
 
 def r6(**columns):
-    return [F.round(c, 6).alias(n) for n, c in columns.items()]
+    return [S.ieee_round(c, 6).alias(n) for n, c in columns.items()]
 
 
 def sroll(x, n, m, fn="avg"):
@@ -48,10 +48,10 @@ def candle_shape(spark, d):
             range_pct=S.safe_ratio(h, l) - 1, body_pct=S.safe_ratio(c, o) - 1,
             upper_wick=S.safe_ratio(h - F.greatest(o, c), c), lower_wick=S.safe_ratio(F.least(o, c) - l, c),
             body_abs=F.abs(c - o), body_low=F.least(o, c), body_high=F.greatest(o, c), log_quote=F.log1p("quote"),
-            log_range=F.log(h / l), imbalance=2 * S.safe_ratio(F.col("taker"), F.col("volume")) - 1,
+            log_range=S.ieee_log(S.ieee_ratio(h, l)), imbalance=2 * S.safe_ratio(F.col("taker"), F.col("volume")) - 1,
         ),
         F.signum(c - o).alias("direction"),
-        *r6(clipped=S.clip(S.finite(c / o - 1), -0.5, 2.0)),
+        *r6(clipped=S.clip(S.finite(S.ieee_ratio(c, o) - 1), -0.5, 2.0)),
     )
 
 

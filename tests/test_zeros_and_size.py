@@ -61,3 +61,18 @@ def test_profiles_from_a_price_of_zero(spark, folder):
 
 def test_bars_after_an_event_of_value_zero(spark, folder):
     assert_same(spark, folder, "j20_following_bars")
+
+
+def test_candles_with_a_low_of_zero(spark, folder):
+    assert_same(spark, folder, "p1_p9_candle_shape")
+
+
+def test_rounding_goes_by_the_binary_value(spark):
+    from pyspark.sql import functions as F
+
+    from panelia.functions import series as S
+
+    values = [57.63 / 6.4 - 1, -(57.63 / 6.4 - 1), 0.285, 1.5e-6, float("inf"), None]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select(*[S.ieee_round(F.col("x"), n).alias(f"r{n}") for n in (2, 6)]).collect()
+    want = [duckdb.connect().execute("SELECT round(?::DOUBLE, 2), round(?::DOUBLE, 6)", [x, x]).fetchall()[0] for x in values]
+    assert [tuple(r) for r in got] == want
