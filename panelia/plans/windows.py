@@ -287,12 +287,12 @@ _BETA = f"OVER ({PART} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
 def beta(spark, d):
     """Lagged rolling beta against the cross-section, Parkinson and log volatility."""
     c = F.col("close")
-    r = bars(spark, d).withColumn("ret", F.log(c) - F.log(F.lag(c).over(S.over()))).withColumn("mkt", F.avg("ret").over(Window.partitionBy("day")))
+    r = bars(spark, d).withColumn("ret", S.ieee_log(c) - S.ieee_log(F.lag(c).over(S.over()))).withColumn("mkt", F.avg("ret").over(Window.partitionBy("day")))
     f = S.over().rowsBetween(-9, 0)
     paired = F.when(F.col("ret").isNotNull(), F.col("mkt"))
     now = F.when(F.count("ret").over(f) >= 5, S.safe_ratio(F.covar_samp("ret", paired).over(f), F.var_samp(paired).over(f)))
     b = r.withColumn("beta_now", S.clip(now, 0.0, 3.0))
-    park = F.pow(F.log(F.col("high") / F.col("low")), 2) / (4 * F.log(F.lit(2.0)))
+    park = F.pow(S.ieee_log(S.ieee_ratio(F.col("high"), F.col("low"))), 2) / (4 * F.log(F.lit(2.0)))
     return b.select("symbol", S.day_text(), *r6(beta=F.lag("beta_now").over(S.over()), parkinson=F.sqrt(S.rolling(park, 7, 5, S.over())),
         log_std=S.rolling(F.col("ret"), 7, 5, S.over(), F.stddev_samp)))
 

@@ -76,3 +76,7 @@ def test_rounding_goes_by_the_binary_value(spark):
     got = spark.createDataFrame([(x,) for x in values], "x double").select(*[S.ieee_round(F.col("x"), n).alias(f"r{n}") for n in (2, 6)]).collect()
     want = [duckdb.connect().execute("SELECT round(?::DOUBLE, 2), round(?::DOUBLE, 6)", [x, x]).fetchall()[0] for x in values]
     assert [tuple(r) for r in got] == want
+
+
+def test_beta_of_prices_of_zero(spark, folder):
+    assert_same(spark, folder, "w17_w18_beta")
