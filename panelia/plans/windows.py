@@ -202,8 +202,8 @@ def extremes(spark, d):
     prior = S.over().rowsBetween(-10, -1)
     c = F.col("close")
     return bars(spark, d).select("symbol", S.day_text(), *r6(
-        breakout=F.when(F.count("high").over(prior) == 10, c / F.max("high").over(prior) - 1),
-        breakdown=F.when(F.count("low").over(prior) == 10, c / F.min("low").over(prior) - 1),
+        breakout=F.when(F.count("high").over(prior) == 10, S.ieee_ratio(c, F.max("high").over(prior)) - 1),
+        breakdown=F.when(F.count("low").over(prior) == 10, S.ieee_ratio(c, F.min("low").over(prior)) - 1),
         q75=S.rolling(F.col("volume"), 12, 12, S.over(), lambda x: F.percentile(x, 0.75))))
 
 

@@ -80,3 +80,7 @@ def test_rounding_goes_by_the_binary_value(spark):
 
 def test_beta_of_prices_of_zero(spark, folder):
     assert_same(spark, folder, "w17_w18_beta")
+
+
+def test_extremes_of_prices_of_zero(spark, folder):
+    assert_same(spark, folder, "w6_w7_extremes")
