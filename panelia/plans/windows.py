@@ -176,7 +176,7 @@ def lags(spark, d):
     return bars(spark, d).select("symbol", S.day_text(), *r6(
         **{f"close_lag{k}": F.lag(c, k).over(S.over()) for k in LAGS}, next_close=F.lead(c).over(S.over()),
         **{f"change{k}": S.pct_change(c, k, S.over()) for k in LAGS},
-        diff=c - F.lag(c).over(S.over()), log_return=F.log(c) - F.log(F.lag(c).over(S.over()))))
+        diff=c - F.lag(c).over(S.over()), log_return=S.ieee_log(c) - S.ieee_log(F.lag(c).over(S.over()))))
 
 
 @query("w4_w5_rolling", T.with_sql(BD, day(

@@ -84,3 +84,7 @@ def test_beta_of_prices_of_zero(spark, folder):
 
 def test_extremes_of_prices_of_zero(spark, folder):
     assert_same(spark, folder, "w6_w7_extremes")
+
+
+def test_log_returns_of_prices_of_zero(spark, folder):
+    assert_same(spark, folder, "w1_w3_lags")
