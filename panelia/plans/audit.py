@@ -64,7 +64,7 @@ SELECT event_type, strftime(day, '%G-%V') AS week, count(*) AS n, round(sum(v),
     GROUP BY GROUPING SETS ((event_type, strftime(day, '%G-%V')), (event_type), ())"""))
 def months(spark, d):
     """Income by type and ISO week without repeats, totals, compounding."""
-    x = T.decisions(spark, d).filter("pnl IS NOT NULL").select("symbol", "day", "event_type", F.round("pnl", 2).alias("v")).distinct()
+    x = T.decisions(spark, d).filter("pnl IS NOT NULL").select("symbol", "day", "event_type", S.ieee_round(F.col("pnl"), 2).alias("v")).distinct()
     x = x.withColumn("week", F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), "day").cast("string"), F.lpad(F.weekofyear("day").cast("string"), 2, "0")))
     e, w = F.col("event_type"), F.col("week")
     return x.rollup(e, w).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"), F.round(F.product(1 + F.col("v") / 10) - 1, 6).alias("compounded"))

@@ -88,3 +88,11 @@ def test_extremes_of_prices_of_zero(spark, folder):
 
 def test_log_returns_of_prices_of_zero(spark, folder):
     assert_same(spark, folder, "w1_w3_lags")
+
+
+def test_income_that_ends_in_a_five(spark, tmp_path):
+    """Outcomes of 0.005, 0.015, ... lie a little above or below the half cent."""
+    df = pd.DataFrame({"event_id": [i * 7 + 1 for i in range(40)], "ts": [datetime(2024, 1, 1) + timedelta(hours=i) for i in range(40)], "user_id": range(40),
+        "event_type": ["view", "click"] * 20, "value": [55.0 + 10 * (i % 30) for i in range(40)], "props": ['{"k": 1}'] * 40})
+    duckdb.sql(f"COPY (SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM df) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert_same(spark, str(tmp_path), "g12_weeks")
