@@ -91,20 +91,22 @@ def span_sums(spans: DataFrame, flows: DataFrame, key: str, a: str, b: str, time
     open_n, closed_sum, closed_n.
 
     Running sums of the flows are looked up at both ends, so a span costs the same three rows
-    whatever its length. A span that is empty or turned round has no flows.
+    whatever its length. A span that is empty or turned round has no flows. Spans are known by their
+    key and ends: the sums meet a second run of the plan of ``spans``, whose rows may come in
+    another order, so a number given to rows would not do.
     """
-    wide = spans.withColumn("_id", F.monotonically_increasing_id())
     # at one time: what ends before it, the flows, what holds them
     probe = lambda at, side, sign: F.struct(F.col(at).alias("at"), F.lit(side).alias("side"), F.lit(sign).alias("sign"))
     ends = F.explode(F.array(probe(a, 2, 0), probe(b, 0, 1), probe(b, 2, 2)))
-    probes = wide.filter(F.col(a) < F.col(b)).select(key, "_id", ends.alias("_p")).select(key, "_id", "_p.*")
+    held = spans.filter(F.col(a) < F.col(b)).select(key, a, b).distinct()
+    probes = held.select(key, F.col(a).alias("_a"), F.col(b).alias("_b"), ends.alias("_p")).select(key, "_a", "_b", "_p.*")
     f = flows.select(key, F.col(time).alias("at"), F.lit(1).alias("side"), F.col(value).alias("_v"))
     both = probes.unionByName(f, allowMissingColumns=True)
     at = running(both, key, "at", {"_s": ("sum", F.col("_v")), "_n": ("count", F.col("_v"))}, "side").filter("side <> 1")
     pick = lambda c, sign: F.max(F.when(F.col("sign") == sign, F.coalesce(F.col(c), F.lit(0))))
-    sums = at.groupBy("_id").agg(*[(pick(c, s) - pick(c, 0)).alias(f"{n}_{w}") for c, w in (("_s", "sum"), ("_n", "n")) for s, n in ((1, "open"), (2, "closed"))])
+    sums = at.groupBy(key, F.col("_a").alias(a), F.col("_b").alias(b)).agg(*[(pick(c, s) - pick(c, 0)).alias(f"{n}_{w}") for c, w in (("_s", "sum"), ("_n", "n")) for s, n in ((1, "open"), (2, "closed"))])
     made = ["open_sum", "open_n", "closed_sum", "closed_n"]
-    return wide.join(sums, "_id", "left").fillna(0, made).select(*spans.columns, *made)
+    return spans.join(sums, [key, a, b], "left").fillna(0, made).select(*spans.columns, *made)
 
 
 def chain_of(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:

@@ -96,3 +96,21 @@ def test_income_that_ends_in_a_five(spark, tmp_path):
         "event_type": ["view", "click"] * 20, "value": [55.0 + 10 * (i % 30) for i in range(40)], "props": ['{"k": 1}'] * 40})
     duckdb.sql(f"COPY (SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM df) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     assert_same(spark, str(tmp_path), "g12_weeks")
+
+
+def test_span_sums_when_rows_come_in_another_order(spark):
+    """Every run of the plan gives the spans in another order, as shuffles of a cluster do."""
+
+    def shuffled(batches):
+        for b in batches:
+            yield b.sample(frac=1)
+
+    spans = spark.range(0, 400, 1, 1).selectExpr("id % 4 AS k", "id AS a", "id + 1 + id % 7 AS b").mapInPandas(shuffled, "k long, a long, b long")
+    flows = spark.range(0, 1600).selectExpr("id % 4 AS k", "id % 400 AS t", "CAST(id AS DOUBLE) AS v")
+    of = lambda k, a, b: [i for i in range(1600) if i % 4 == k and a < i % 400 <= b]
+    got = R.span_sums(spans, flows, "k", "a", "b", "t", "v").collect()
+    assert len(got) == 400
+    for r in got:
+        closed = of(r.k, r.a, r.b)
+        kept = [i for i in closed if i % 400 < r.b]
+        assert (r.closed_n, r.open_n) == (len(closed), len(kept)) and abs(r.closed_sum - sum(closed)) < 1e-6 and abs(r.open_sum - sum(kept)) < 1e-6
