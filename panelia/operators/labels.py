@@ -116,6 +116,23 @@ def event_purged_folds(rows: DataFrame, time: str, end: str, least: int, size: i
     return folds, purged.select("fold", "place", time, end)
 
 
+def event_train_counts(rows: DataFrame, folds: DataFrame, time: str, end: str, embargo: int) -> DataFrame:
+    """``folds`` (see ``event_purged_folds``) with n_train, n_purged and last_end, the latest end of a
+    train row.
+
+    No span ends before it begins, so the train rows of a fold are all those that end more than
+    ``embargo`` before its block: what ends there began there too, and nothing that comes before the
+    block begins after it. One running count over the ends gives all folds, whatever rows and folds
+    lie within an embargo; rows to be purged are never listed.
+    """
+    key = F.lit(0).alias("_all")
+    ends = rows.filter(F.col(end) >= F.col(time)).select(key, F.col(end).alias("_t"), F.lit(1).alias("_side"), F.col(end).alias("_end"))
+    asked = folds.select("*", key, (F.col("a") - embargo).alias("_t"), F.lit(0).alias("_side")).unionByName(ends, allowMissingColumns=True)
+    known = running(asked, "_all", "_t", {"_n": ("count", F.col("_end")), "last_end": ("max", F.col("_end"))}, "_side").filter("_side = 0")
+    train = F.coalesce("_n", F.lit(0))
+    return known.select(*folds.columns, train.alias("n_train"), (F.col("n_before") - train).alias("n_purged"), "last_end")
+
+
 #: Exit profiles (H11): stop, first target, share sold there, runner target as a multiple of the
 #: first, trailing distance, offset of the break-even stop, bars to wait before trailing after the
 #: first target, gain from which the stop trails before it (null: never).

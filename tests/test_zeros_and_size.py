@@ -114,3 +114,21 @@ def test_span_sums_when_rows_come_in_another_order(spark):
         closed = of(r.k, r.a, r.b)
         kept = [i for i in closed if i % 400 < r.b]
         assert (r.closed_n, r.open_n) == (len(closed), len(kept)) and abs(r.closed_sum - sum(closed)) < 1e-6 and abs(r.open_sum - sum(kept)) < 1e-6
+
+
+@pytest.mark.parametrize("least, size, step, embargo", [(50, 20, 20, 6), (10, 8, 5, 0), (30, 10, 10, 400)])
+def test_train_counts_equal_the_rows_left(spark, least, size, step, embargo):
+    rng = random.Random(least)
+    rows = [(t := rng.randrange(900), t + rng.randrange(60)) for _ in range(400)]
+    x = spark.createDataFrame(rows, "t long, z long")
+    folds, purged = L.event_purged_folds(x, "t", "z", least, size, step, embargo)
+    gone = {r.fold: r["count"] for r in purged.groupBy("fold").count().collect()}
+    got = L.event_train_counts(x, folds, "t", "z", embargo).collect()
+    assert len(got) == folds.count() > 10
+    for r in got:
+        assert (r.n_purged, r.n_train) == (gone.get(r.fold, 0), r.n_before - gone.get(r.fold, 0))
+        assert r.last_end == max((z for _, z in rows if z < r.a - embargo), default=None)
+
+
+def test_event_folds_equal_their_sql(spark, folder):
+    assert_same(spark, folder, "h7_event_purged_folds")
