@@ -270,15 +270,19 @@ SELECT side, n, c AS correlation, rc AS rank_correlation, bottom, top, CASE WHEN
     AND top < bottom THEN 'POSSIBLE_INVERTED' WHEN rc > 0.1 AND top > bottom THEN 'ALIGNED' ELSE 'WEAK_OR_NOISY' END AS verdict FROM g"""))
 def orientation(spark, d):
     """Does a score rank outcomes the right way round? Correlation, rank correlation, the
-    outcomes of the lowest and highest quarter of scores, and a verdict for each side. Ranks within
-    a side are ordered by Spark's sort, which spills; the sides are few by definition."""
-    x = T.decisions(spark, d).filter("proba IS NOT NULL AND pnl IS NOT NULL")
-    side = Window.partitionBy("side")
-    n = F.count(F.lit(1)).over(side)
-    r = x.withColumns({
-        "a": S.average_rank(F.col("proba"), "side"), "b": S.average_rank(F.col("pnl"), "side"), "n": n,
-        "k": F.row_number().over(side.orderBy("proba", "event_id")), "q": F.greatest(F.lit(1), F.floor(n / 4)),
-    })
+    outcomes of the lowest and highest quarter of scores, and a verdict for each side. Ranks come
+    from the counts of equal values and prefix sums over ranges of them; only rows whose score is the
+    one at which a quarter ends are ordered by event, so no task orders a side."""
+    x = T.decisions(spark, d).filter("proba IS NOT NULL AND pnl IS NOT NULL").select("side", "proba", "pnl", "event_id")
+    below = lambda c: S.sum_below(x.groupBy("side", c).agg(F.count(F.lit(1)).alias("_same")), F.col("_same"), c, "_below", "side")
+    mean = F.col("_below") + (F.col("_same") + 1) / 2
+    sizes = x.groupBy("side").agg(F.count(F.lit(1)).alias("n")).withColumn("q", F.greatest(F.lit(1), F.floor(F.col("n") / 4)))
+    cut = lambda k: (F.col("_below") < k) & (k < F.col("_below") + F.col("_same"))
+    scores = below("proba").join(F.broadcast(sizes), "side").withColumns({"a": mean, "_cut": cut(F.col("q")) | cut(F.col("n") - F.col("q"))})  # one row a side
+    outcomes = below("pnl").select("side", "pnl", mean.alias("b"))
+    r = x.join(scores.drop("_same"), ["side", "proba"]).join(outcomes, ["side", "pnl"])
+    inside = S.sum_below(r.filter("_cut"), F.lit(1), "event_id", "_inside", "side", "proba")
+    r = r.filter("NOT _cut").withColumn("_inside", F.lit(0)).unionByName(inside).withColumn("k", F.col("_below") + F.col("_inside") + 1)
     total = lambda where: F.round(F.sum(F.when(where, F.col("pnl")).otherwise(0.0)), 6)
     g = r.groupBy("side").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.corr("proba", "pnl"), 6).alias("correlation"), F.round(F.corr("a", "b"), 6).alias("rank_correlation"),

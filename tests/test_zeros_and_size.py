@@ -132,3 +132,12 @@ def test_train_counts_equal_the_rows_left(spark, least, size, step, embargo):
 
 def test_event_folds_equal_their_sql(spark, folder):
     assert_same(spark, folder, "h7_event_purged_folds")
+
+
+def test_orientation_orders_no_side_in_one_task(spark, folder):
+    import re
+
+    assert_same(spark, folder, "n15_orientation")
+    plan = catalogue.QUERIES["n15_orientation"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    ordered = re.findall(r"windowspecdefinition\(([^()]*?)(?:proba|pnl|event_id)#\d+ ASC", plan)
+    assert ordered and all("_range#" in partition for partition in ordered)
