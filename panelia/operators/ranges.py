@@ -117,7 +117,8 @@ def chain_of(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     that begins at or after its end. That successor is looked up for every row by one running
     count; the accepted rows are those reached from the first. Jumps double in every round, and so
     does the part of the chain that is marked, so a chain of n rows takes log2(n) rounds of
-    equi-joins, each over one row of three numbers for each input row.
+    equi-joins, each over one row of three numbers for each input row. The joins sort both sides:
+    rounds with few marks would else send these through the driver.
     """
     number = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     placed = rows.withColumns({"_a": number(start), "_z": number(end)}).dropna(subset=[key, "_a", "_z"])
@@ -127,14 +128,14 @@ def chain_of(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     seen = running(ends.unionByName(begins, allowMissingColumns=True), key, "t", {"_before": ("count", F.col("_one"))}, "side")
     most = placed.groupBy(key).agg(F.max("_n").alias("_most"))
     after = F.greatest(F.coalesce("_before", F.lit(0)), F.col("_n")) + 1
-    jumps = seen.filter("side = 0").select(key, "_n", after.alias("_to")).join(most, key)
+    jumps = seen.filter("side = 0").select(key, "_n", after.alias("_to")).join(most.hint("merge"), key)
     jumps = stored(jumps.select(key, "_n", F.when(F.col("_to") <= F.col("_most"), F.col("_to")).alias("_to"), (F.col("_n") == 1).alias("_kept")), "chain-jumps")
     while not (marks := jumps.filter("_kept AND _to IS NOT NULL")).isEmpty():
         reached = marks.select(key, F.col("_to").alias("_n"), F.lit(True).alias("_new"))
         further = jumps.select(key, F.col("_n").alias("_to"), F.col("_to").alias("_next"))
         jumps = stored(
-            jumps.join(further, [key, "_to"], "left").join(reached, [key, "_n"], "left")
+            jumps.join(further.hint("merge"), [key, "_to"], "left").join(reached.hint("merge"), [key, "_n"], "left")
             .select(key, "_n", F.col("_next").alias("_to"), (F.col("_kept") | F.coalesce("_new", F.lit(False))).alias("_kept")),
             "chain-jumps",
         )
-    return placed.join(jumps.filter("_kept").select(key, "_n"), [key, "_n"], "left_semi").select(*rows.columns)
+    return placed.join(jumps.filter("_kept").select(key, "_n").hint("merge"), [key, "_n"], "left_semi").select(*rows.columns)

@@ -141,3 +141,12 @@ def test_orientation_orders_no_side_in_one_task(spark, folder):
     plan = catalogue.QUERIES["n15_orientation"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     ordered = re.findall(r"windowspecdefinition\(([^()]*?)(?:proba|pnl|event_id)#\d+ ASC", plan)
     assert ordered and all("_range#" in partition for partition in ordered)
+
+
+def test_chains_send_nothing_through_the_driver(spark):
+    rows = [(i % 50, datetime(2024, 1, 1) + timedelta(minutes=37 * i)) for i in range(2000)]
+    kept = L.cooldown(spark.createDataFrame(rows, "k long, ts timestamp"), "k", "ts", 5 * 24 * 3600)
+    assert 0 < len(kept.collect()) < 2000
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "LeftSemi" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
