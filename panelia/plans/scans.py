@@ -87,19 +87,28 @@ def written_archive(spark, d):
         F.round(F.avg("k"), 6).alias("sum_taker_long_short_vol_ratio"))
     m = m.withColumn("day", F.to_date("create_time").cast("string")).withColumn("create_time", F.date_format("create_time", "yyyy-MM-dd HH:mm:ss"))
 
-    def write(pdf):
+    # a day of a symbol has 288 rows at most: Spark writes them as one text, a task only packs texts
+    names = ["symbol", "create_time", *METRICS]
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    lines = F.array_sort(F.collect_list(F.struct("create_time", F.concat_ws(",", *map(cell, names)).alias("line"))))
+    text = F.concat_ws("\n", F.lit(",".join(names)), F.transform(lines, lambda x: x["line"]), F.lit(""))
+    members = m.groupBy("symbol", "day").agg(text.alias("text")).repartition("symbol").sortWithinPartitions("symbol", "day")
+
+    def write(batches):
+        import itertools
         import os
         import zipfile
 
-        symbol = pdf.symbol.iloc[0]
         os.makedirs(path, exist_ok=True)
-        with zipfile.ZipFile(f"{path}/{symbol}-metrics.part", "w", zipfile.ZIP_DEFLATED) as archive:
-            for day, rows in pdf.groupby("day"):
-                archive.writestr(f"{symbol}-metrics-{day}.csv", rows.drop(columns=["day"]).sort_values("create_time").to_csv(index=False))
-        os.replace(f"{path}/{symbol}-metrics.part", f"{path}/{symbol}-metrics.zip")
-        return pdf[["symbol"]].head(1)
-
-    m.groupBy("symbol").applyInPandas(write, "symbol long").count()
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for symbol, days in itertools.groupby(rows, lambda r: r[0]):
+            with zipfile.ZipFile(f"{path}/{symbol}-metrics.part", "w", zipfile.ZIP_DEFLATED) as archive:
+                for _, day, content in days:
+                    archive.writestr(f"{symbol}-metrics-{day}.csv", content)
+            os.replace(f"{path}/{symbol}-metrics.part", f"{path}/{symbol}-metrics.zip")
+        yield from ()
+
+    members.mapInArrow(write, "symbol long").count()
     return path
 
 
@@ -115,7 +124,7 @@ def zip_archive(spark, d):
     rows = Z.archive_rows(Z.zip_files(spark, written_archive(spark, d)), METRICS, "create_time")
     symbol = F.regexp_extract("member", "^(-?[0-9]+)-metrics-", 1).cast("bigint").alias("symbol")
     daily = rows.filter("error IS NULL").withColumn("day", F.to_date("create_time")).groupBy(symbol, S.day_text())
-    made = [x for c in METRICS.values() for x in (F.round(F.max_by(c, "create_time"), 6).alias(f"{c}_last"), F.round(F.avg(c), 6).alias(f"{c}_mean"))]
+    made = [x for c in METRICS.values() for x in (S.ieee_round(F.max_by(c, "create_time"), 6).alias(f"{c}_last"), S.ieee_round(F.avg(c), 6).alias(f"{c}_mean"))]
     return daily.agg(F.count(F.lit(1)).alias("n_rows"), *made, (F.count(F.lit(1)) == 288).alias("complete"))
 
 

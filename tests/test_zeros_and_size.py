@@ -150,3 +150,47 @@ def test_chains_send_nothing_through_the_driver(spark):
     plan = kept._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line and "LeftSemi" in line]
     assert joins and not any("Broadcast" in line for line in joins)
+
+
+def test_small_members_are_parsed_together(spark, monkeypatch):
+    """One parse for the members of a file that begin alike; a bad one among them is found alone."""
+    import io
+    import zipfile
+
+    from panelia.sources import archives as Z
+
+    texts = {f"m{i}.csv": f"t,x\n2024-01-01 00:00:0{i},{i}\n2024-01-02 00:00:0{i},\n" for i in range(5)}
+    texts |= {"bad.csv": "t,x\n1,2,3\n", "quoted.csv": 't,x\n"2024-01-03 00:00:00",7\n', "other.csv": "x,t\n8,2024-01-04 00:00:00\n", "empty.csv": ""}
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for name, text in texts.items():
+            archive.writestr(name, text)
+    files = spark.createDataFrame([("a.zip", packed.getvalue())], "path string, content binary")
+    got = Z.archive_rows(files, {"x": "value"}, "t").collect()
+    assert sorted(r.member for r in got if r.error) == ["bad.csv", "empty.csv"]
+    rows = sorted((r.member, str(r.t), r.value) for r in got if not r.error and r.value is not None)
+    want = [(f"m{i}.csv", f"2024-01-01 00:00:0{i}", float(i)) for i in range(5)]
+    assert rows == sorted([*want, ("quoted.csv", "2024-01-03 00:00:00", 7.0), ("other.csv", "2024-01-04 00:00:00", 8.0)]) and len(got) == 14
+    seen = []
+    run = Z.csv.read_csv
+    monkeypatch.setattr(Z.csv, "read_csv", lambda *a, **k: seen.append(1) or run(*a, **k))
+
+    class Files:
+        """Runs the reader's function here."""
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, function, schema):
+            batch = Z.pa.RecordBatch.from_arrays([Z.pa.array(["b.zip"]), Z.pa.array([clean.getvalue()])], names=["path", "content"])
+            self.rows = sum(map(len, function([batch])))
+            raise StopIteration
+
+    clean = io.BytesIO()
+    with zipfile.ZipFile(clean, "w") as archive:
+        for i in range(30):
+            archive.writestr(f"m{i}.csv", texts["m1.csv"])
+    files = Files()
+    with pytest.raises(StopIteration):
+        Z.archive_rows(files, {"x": "value"}, "t")
+    assert files.rows == 60 and len(seen) == 1
