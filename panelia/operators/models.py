@@ -1,5 +1,6 @@
 """Model routes on pyspark.ml: ridge, boosted trees, logistic regression, walk-forward."""
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -28,6 +29,45 @@ def ridge(train: DataFrame, features: list[str], target: str, weight: str, alpha
     return scale, lr.fit(data)
 
 
+def ridge_scores(parts: DataFrame, by: str, features: list[list[str]], target: str, weight: str, alphas: list[float]) -> list[tuple]:
+    """(fold, number of features, alpha, correlation of prediction and target on test rows) of the
+    fits that ``ridge`` gives, for each list of features and each alpha (M2, M5).
+
+    ``parts`` holds the rows with ``by``, the fold, and ``part``, train or test. Fits and correlations
+    follow from weighted and plain moments of a fold's parts, so one pass gives all of them, and two
+    rows of numbers a fold are collected.
+    """
+    every = list(dict.fromkeys(f for fs in features for f in fs))
+    full = parts.dropna(subset=[*every, target, weight])
+    pairs = [(a, b) for a in [*every, target] for b in [*every, target]]
+    w, columns = F.col(weight), [*every, target]
+    rows = full.groupBy(by, "part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.array(*[F.sum(w * F.col(c)) for c in columns]).alias("wx"),
+        F.array(*[F.sum(w * F.col(a) * F.col(b)) for a, b in pairs]).alias("wxx"), F.array(*[F.covar_pop(a, b) for a, b in pairs]).alias("cov"),
+    ).collect()
+    square = lambda x: np.array(x, float).reshape(len(columns), len(columns))
+    sides = {(r[by], r.part): r for r in rows}
+    scores = []
+    for fold in sorted({r[by] for r in rows}):
+        train, test = sides.get((fold, "train")), sides.get((fold, "test"))
+        for fs in features:
+            at = [every.index(f) for f in fs]
+            for alpha in alphas:
+                score = None
+                if train and test:
+                    mean = np.array(train.wx, float) / train.w
+                    weighted = train.n * (square(train.wxx) / train.w - np.outer(mean, mean))
+                    scale = np.sqrt(np.diag(square(train.cov)))[at]
+                    scale[scale == 0] = 1.0
+                    gram = weighted[np.ix_(at, at)] / np.outer(scale, scale) + alpha * np.eye(len(at))
+                    slopes = np.linalg.solve(gram, weighted[at, -1] / scale) / scale
+                    cov = square(test.cov)
+                    spread = slopes @ cov[np.ix_(at, at)] @ slopes * cov[-1, -1]
+                    score = float(slopes @ cov[at, -1] / spread**0.5) if spread > 0 else None
+                scores.append((fold, len(fs), alpha, score))
+    return scores
+
+
 def scaled(df: DataFrame, scale: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({f: (F.col(f) - m) / s for f, (m, s) in scale.items()})
 

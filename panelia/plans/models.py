@@ -44,26 +44,27 @@ def rank_target(spark, d):
 CUTS = ["2024-01-13", "2024-01-18", "2024-01-23", "2024-01-28"]
 
 
-def folds(x):
-    """(train, test) of each fold; train rows' outcomes were known before the test starts."""
+def fold_rows():
+    """Conditions (train, test) of each fold; train rows' outcomes were known before the test starts."""
     for a, b in zip(CUTS, CUTS[1:]):
         start, end = (F.lit(c).cast("date") for c in (a, b))
-        yield x.filter(F.col("long_end") < start), x.filter((F.col("day") >= start) & (F.col("day") < end))
+        yield F.col("long_end") < start, (F.col("day") >= start) & (F.col("day") < end)
+
+
+def folds(x):
+    """(train, test) of each fold."""
+    for train, test in fold_rows():
+        yield x.filter(train), x.filter(test)
 
 
 @query("m2_m5_ridge")
 def ridge(spark, d):
     """M2, M5: weighted ridge for two feature sets and three penalties; the best by the median over
     purged folds of the rank correlation, ties to fewer features and then to the greater penalty."""
-    x = ledger(spark, d).persist()
-    scores = []
-    for k, (train, test) in enumerate(folds(x)):
-        for features in (FEATURES[:1], FEATURES):
-            for alpha in (1e2, 1e3, 1e4):
-                scale, fitted = M.ridge(train, features, "target", "w", alpha)
-                scored = fitted.transform(M.assembled(M.scaled(test, scale), features))
-                scores.append((k, len(features), alpha, scored.agg(F.round(F.corr("prediction", "target"), 6)).first()[0]))
-    x.unpersist()
+    tags = [F.struct(F.lit(k).alias("fold"), F.lit(p).alias("part"), rows.alias("own")) for k, both in enumerate(fold_rows()) for p, rows in zip(("train", "test"), both)]
+    parts = ledger(spark, d).withColumn("_t", F.explode(F.filter(F.array(*tags), lambda t: t["own"]))).select("*", "_t.fold", "_t.part")
+    scores = M.ridge_scores(parts, "fold", [FEATURES[:1], FEATURES], "target", "w", [1e2, 1e3, 1e4])
+    scores = [(*fit, score if score is None else round(score, 6)) for *fit, score in scores]
     table = spark.createDataFrame(scores, "fold int, n_features int, alpha double, score double")  # one row a fit
     out = table.groupBy("n_features", "alpha").agg(F.count(F.lit(1)).alias("n_folds"), F.median("score").alias("score"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "n_features", F.desc("alpha"))

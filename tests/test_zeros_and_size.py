@@ -194,3 +194,20 @@ def test_small_members_are_parsed_together(spark, monkeypatch):
     with pytest.raises(StopIteration):
         Z.archive_rows(files, {"x": "value"}, "t")
     assert files.rows == 60 and len(seen) == 1
+
+
+def test_ridge_scores_equal_single_fits(spark):
+    from pyspark.sql import functions as F
+
+    from panelia.operators import models as M
+
+    rng = random.Random(5)
+    rows = [(i % 2, "test" if i % 5 == 0 else "train", rng.gauss(3, 1), rng.gauss(0, 9), rng.gauss(0, 1), rng.uniform(0.5, 2)) for i in range(400)]
+    x = spark.createDataFrame(rows, "fold int, part string, a double, b double, y double, w double").withColumn("y", F.col("y") + F.col("a") / 2 - F.col("b") / 9)
+    got = {(k, n, alpha): score for k, n, alpha, score in M.ridge_scores(x, "fold", [["a"], ["a", "b"]], "y", "w", [1.0, 500.0])}
+    assert len(got) == 8
+    for (k, n, alpha), score in got.items():
+        own, names = x.filter(F.col("fold") == k), ["a", "b"][:n]
+        scale, fitted = M.ridge(own.filter("part = 'train'"), names, "y", "w", alpha)
+        scored = fitted.transform(M.assembled(M.scaled(own.filter("part = 'test'"), scale), names))
+        assert score == pytest.approx(scored.agg(F.corr("prediction", "y")).first()[0], abs=1e-9)
