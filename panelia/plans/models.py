@@ -10,6 +10,7 @@ from panelia.plans.labels import touched
 from panelia.plans.registry import query
 from panelia.functions import series as S
 from panelia.sources import stand_ins as T
+from panelia.sources.storage import stored
 
 FEATURES = ["mom", "vol", "rel"]
 
@@ -74,8 +75,9 @@ def ridge(spark, d):
 @query("m3_boosted_walk_forward")
 def boosted(spark, d):
     """M3: in each purged fold, fit on the first three quarters of train, choose the threshold on its
-    last quarter, trade the test days; one row a fold and one of all pooled."""
-    x = ledger(spark, d)
+    last quarter, trade the test days; one row a fold and one of all pooled. The ledger is stored, so
+    a pass of a fit reads rows instead of making the bars and labels again."""
+    x = stored(ledger(spark, d), "model-rows")
     taken = []
     for k, (train, test) in enumerate(folds(x)):
         edge = train.agg(F.percentile_approx(F.unix_date("day"), 0.75).alias("edge"))
@@ -123,7 +125,7 @@ def metrics(spark, d):
 @query("m9_m10_ablation")
 def ablation(spark, d):
     """Two feature sets on the same rows, and a cost grid with infeasible cells tagged."""
-    train, test = split(ledger(spark, d))
+    train, test = split(stored(ledger(spark, d), "model-rows"))
     parts = []
     for name, features in (("base", FEATURES[:2]), ("all", FEATURES)):
         s = M.boosted(train, test, features, "up", "w", trees=5)

@@ -211,3 +211,18 @@ def test_ridge_scores_equal_single_fits(spark):
         scale, fitted = M.ridge(own.filter("part = 'train'"), names, "y", "w", alpha)
         scored = fitted.transform(M.assembled(M.scaled(own.filter("part = 'test'"), scale), names))
         assert score == pytest.approx(scored.agg(F.corr("prediction", "y")).first()[0], abs=1e-9)
+
+
+def test_boosted_trees_read_a_stored_ledger(spark, monkeypatch):
+    """The folds' plans read stored rows, not events."""
+    from panelia.operators import models as M
+
+    seen, run = [], M.boosted
+
+    def boosted(train, test, *rest, **named):
+        seen.extend(f for df in (train, test) for f in df.inputFiles())
+        return run(train, test, *rest, **named)
+
+    monkeypatch.setattr(M, "boosted", boosted)
+    assert catalogue.QUERIES["m3_boosted_walk_forward"](spark, "/root/testdata/sf0.01").count() == 4
+    assert seen and not any("events.parquet" in f for f in seen)
